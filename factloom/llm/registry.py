@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from factloom.llm.decontaminate import OP2_SQL, op2_decontaminate
 from factloom.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES = {
+    "op2_decontaminate": OP2_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
