@@ -5,10 +5,12 @@ from __future__ import annotations
 from factloom.llm.decontaminate import OP2_SQL, op2_decontaminate
 from factloom.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from factloom.llm.near_dedup import OP7_SQL, op7_near_dedup
+from factloom.llm.packing import op9_packing
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op7_near_dedup": op7_near_dedup,
+    "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
