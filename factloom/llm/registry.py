@@ -6,10 +6,12 @@ from factloom.llm.decontaminate import OP2_SQL, op2_decontaminate
 from factloom.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from factloom.llm.near_dedup import OP7_SQL, op7_near_dedup
 from factloom.llm.packing import op9_packing
+from factloom.llm.url_filter import OP8_SQL, op8_url_filter
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op7_near_dedup": op7_near_dedup,
+    "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
@@ -17,5 +19,6 @@ QUERIES = {
 ORACLES = {
     "op2_decontaminate": OP2_SQL,
     "op7_near_dedup": OP7_SQL,
+    "op8_url_filter": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
