@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from factloom.llm.decontaminate import OP2_SQL, op2_decontaminate
 from factloom.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from factloom.llm.language_id import op1_language_id
 from factloom.llm.near_dedup import OP7_SQL, op7_near_dedup
 from factloom.llm.packing import op9_packing
 from factloom.llm.secret_scan import op4_secret_scan
@@ -11,6 +12,7 @@ from factloom.llm.token_store import op5_token_ids
 from factloom.llm.url_filter import OP8_SQL, op8_url_filter
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
     "op4_secret_scan": op4_secret_scan,
     "op5_token_ids": op5_token_ids,
