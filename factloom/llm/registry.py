@@ -8,6 +8,7 @@ from factloom.llm.language_id import op1_language_id
 from factloom.llm.near_dedup import OP7_SQL, op7_near_dedup
 from factloom.llm.packing import op9_packing
 from factloom.llm.secret_scan import op4_secret_scan
+from factloom.llm.sharding import op6_sharding
 from factloom.llm.token_store import op5_token_ids
 from factloom.llm.url_filter import OP8_SQL, op8_url_filter
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op4_secret_scan": op4_secret_scan,
     "op5_token_ids": op5_token_ids,
+    "op6_sharding": op6_sharding,
     "op7_near_dedup": op7_near_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
