@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import ASCII_LOWER, ASCII_UPPER, LOWER_BYTES, bound_batches, connected_components, materialise, table
@@ -138,6 +138,59 @@ def _confirm(size: int, percent: int):
     return run
 
 
+def _tokens(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, sets = [], []
+            for i, (digest, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).cast(pa.binary()).to_pylist(), strict=True)):
+                found = shingles(text, size)
+                if _digest(found) == digest:  # else another text under a repeated id
+                    keep.append(i)
+                    sets.append(found.view(np.int64))
+            at = pa.array(keep, pa.int64())
+            columns = [*(batch.column(k).take(at) for k in range(3)), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "comp", "least_n", "n", "tokens"])
+
+    return run
+
+
+def _cross_pairs(left: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): the pairs of left(key, node, n, comp) in different components that may be linked.
+
+    Nothing that the percentage allows is lost, and members of a bucket are not
+    paired with each other. A link needs an intersection of at least percent / (100
+    + percent) of both sizes together. Only shingles that another component has as
+    well can be in it; a node with too few of them for its bucket's smallest
+    member is out, and what it alone shared with others no longer counts. Of the
+    shingles of a node, rarest first, so few can be missing from a partner that
+    one of the first must be in it: that prefix is looked up among the shingles of
+    larger components. The shingles that a whole group has in common come last in
+    that order, so a large group of near copies gives no pairs by them.
+    """
+    whole = 100 + percent
+    need = lambda x, y: F.ceil(F.lit(percent) * (x + y) / F.lit(whole))
+    bounds = left.groupBy("key").agg(F.min("n").alias("bucket_n"))
+    nodes = left.join(bounds, "key").groupBy("node").agg(F.first("comp").alias("comp"), F.min("bucket_n").alias("least_n"))
+    sets = nodes.join(texts, "node").select("node", "comp", "least_n", "digest", "text").mapInArrow(_tokens(size), "node long, comp long, least_n long, n long, tokens array<long>")
+    rows = materialise(sets.select("node", "comp", "least_n", "n", F.explode("tokens").alias("token")), "tokens")
+    for _ in range(2):
+        common = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+        shared = rows.join(common, "token", "left_semi")
+        least = F.greatest(F.col("least_n"), F.ceil(F.lit(percent) * F.col("n") / 100))
+        alive = shared.groupBy("node").agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n"), F.first("least_n").alias("least_n")).where(F.col("s") >= need(F.col("n"), least)).select("node", "s")
+        rows = materialise(shared.drop("s").join(alive, "node"), "tokens")
+    sizes = rows.select("node", "comp").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("comp_n"))
+    rows = rows.join(sizes, "comp").withColumn("rank", F.struct("comp_n", "comp"))
+    of_token = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("rank").alias("top"))
+    ordered = rows.join(of_token, "token").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("df", "token")))
+    least = F.greatest(F.col("least_n"), F.ceil(F.lit(percent) * F.col("n") / 100))
+    probes = ordered.where((F.col("r") <= F.col("s") - need(F.col("n"), least) + 1) & (F.col("rank") < F.col("top"))).select("token", F.col("node").alias("x"), F.col("rank").alias("rank_x"), F.col("n").alias("nx"), F.col("s").alias("sx"), "r")
+    held = rows.select("token", F.col("node").alias("y"), F.col("rank").alias("rank_y"), F.col("n").alias("ny"), F.col("s").alias("sy"))
+    wanted = need(F.col("nx"), F.col("ny"))
+    met = probes.join(held, "token").where((F.col("rank_x") < F.col("rank_y")) & (F.col("sy") >= wanted) & (F.col("r") <= F.col("sx") - wanted + 1))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, percent: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -146,9 +199,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are one node from the start, so copies never meet in a bucket. Nodes that
     share a band's bucket are candidates. A bucket is not paired out: first all
     its members are held against the one that meets most others, twice, and what
-    that links is merged; only members of different components are then paired,
-    without a cap, so that no link between components is lost. Every link is
-    confirmed on the full sets of the whole texts.
+    that links is merged; between the components that are left, _cross_pairs()
+    finds every pair that can be linked. There is no cap. Every link is confirmed
+    on the full sets of the whole texts.
 
     Null and wordless texts have the empty set and are linked with nothing. A
     text of fewer words than a shingle is one shingle. Repeated rows are equal
@@ -170,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The texts of all nodes that share a bucket, once.
     wanted = firsts.join(reach, F.col("rid") == F.col("node")).select("node", "reach", "digest", F.col("doc_id").alias("own_id"))
     texts = materialise(wanted.join(own, F.col("own_id") == F.col("doc_id")).select("node", "digest", "text"), "texts")
-    members = members.select("key", "node").join(reach, "node")
+    members = materialise(members.select("key", "node").join(reach.join(firsts.select(F.col("rid").alias("node"), F.col("n_shingles").alias("n")), "node"), "node"), "members")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         of_b = texts.select(F.col("node").alias("b"), F.col("digest").alias("db"), F.col("text").alias("tb"))
@@ -180,6 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = None
     tried = None
+    roots = None
     grouped = members.withColumn("comp", F.col("node"))
     for turn in range(STAR_ROUNDS + 1):
         open_keys = grouped.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
@@ -190,15 +244,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if turn:
                 rest = left.join(centre.select("key", F.col("c.comp").alias("done")), "key").where("comp <> done")
                 centre = rest.groupBy("key").agg(F.max(F.struct("reach", "node", "comp")).alias("c"))
-            pairs = left.join(centre, "key").where("comp <> c.comp").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
+            pairs = left.join(centre, "key").where("comp <> c.comp").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
         else:
-            other = left.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = left.join(other, "key").where("node < b and comp <> comp_b").select(F.col("node").alias("a"), "b")
-        pairs = pairs.distinct()
+            pairs = _cross_pairs(left, texts, size, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         if pairs.isEmpty():
+            if turn < STAR_ROUNDS:
+                continue
             break
         fresh = materialise(confirm(pairs), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
