@@ -5,6 +5,7 @@ from __future__ import annotations
 from factloom.llm.decontaminate import OP2_SQL, op2_decontaminate
 from factloom.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from factloom.llm.language_id import op1_language_id
+from factloom.llm.license_scan import OP3_SQL, op3_license_scan
 from factloom.llm.near_dedup import OP7_SQL, op7_near_dedup
 from factloom.llm.packing import op9_packing
 from factloom.llm.secret_scan import op4_secret_scan
@@ -15,6 +16,7 @@ from factloom.llm.url_filter import OP8_SQL, op8_url_filter
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
+    "op3_license_scan": op3_license_scan,
     "op4_secret_scan": op4_secret_scan,
     "op5_token_ids": op5_token_ids,
     "op6_sharding": op6_sharding,
@@ -26,6 +28,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_decontaminate": OP2_SQL,
+    "op3_license_scan": OP3_SQL,
     "op7_near_dedup": OP7_SQL,
     "op8_url_filter": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
