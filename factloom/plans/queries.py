@@ -460,3 +460,38 @@ def migration_remap(g):
     own = g.tenants.select("group_id", F.upper("n_name").alias("name"), F.concat(F.lit("old:"), F.col("n_nationkey")).alias("uuid"))
     cur = g.tenants.where("n_nationkey % 2 = 0").select("group_id", F.lower("n_name").alias("name"), F.concat(F.lit("new:"), F.col("n_nationkey")).alias("uuid"))
     return entity_map(own, cur)
+
+
+# ---- ingest: ordered folds have no SQL; tests hold them against scenarios and against each other
+
+
+def _notes(g):
+    """Customers' orders as notes: who joined which clerk's region office, and who left."""
+    names = F.array(*[F.lit(x) for x in ("Acme", "Globex", "Initech", "Umbrella", "Hooli", "Stark")])
+    e = g.table("events").where(F.col("event_type").isin("signup", "error", "purchase"))
+    person = F.concat(F.lit("User"), F.col("user_id").cast("string"))
+    firm = F.get(names, (F.col("event_id") % 6).cast("int"))
+    text = F.when(F.col("event_type") == "error", F.concat_ws(" ", person, F.lit("left"), firm)).when(F.col("event_type") == "signup", F.concat_ws(" ", person, F.lit("joined"), firm)).otherwise(F.concat_ws(" ", person, F.lit("likes"), firm))
+    group = F.concat(F.lit("g"), (F.col("user_id") % 8).cast("string"))
+    return e.select(F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("uuid"), group.alias("group_id"), text.alias("content"), F.col("ts").alias("valid_at"), F.col("ts").alias("created_at"))
+
+
+@query()
+def mock_extract(g):
+    from factloom.ingest.job import with_payload
+
+    return with_payload(_notes(g)).select("uuid", "payload")
+
+
+@query()
+def ingest_fold(g):
+    from factloom.ingest.job import empty_state, fold_groups, with_payload
+
+    return fold_groups(with_payload(_notes(g)), empty_state(g.spark))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(g):
+    from factloom.streaming.ingest import windowed_counts
+
+    return windowed_counts(g.table("events"))
