@@ -26,12 +26,12 @@ def _cut(name: str, end_id: int, most: int):
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(name).encode
+        encode = encoder(name).encode_many
         for batch in batches:
             rows = []
             docs, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc, key, text in zip(docs, keys, batch.column(2).to_pylist(), strict=True):
-                ids = encode(text) + tail
+            for doc, key, found in zip(docs, keys, encode(batch.column(2).to_pylist()), strict=True):
+                ids = found + tail
                 n = len(ids) // 4
                 begin, piece = 0, 0
                 end = n % most or min(n, most)  # the first piece takes what is over

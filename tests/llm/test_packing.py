@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from factloom.llm.packing import best_two_fit, op9_packing, pack
 from factloom.llm.tokens import encoder
 
-TEXTS = ["", " ", "a  b", " a b ", "a\n b", "a \nb", "don't 's x 's", "é é", "e ́x y", "<|endoftext|> a <|endoftext|>", "x　y z", "a <| endoftext |> b", "ab ŉn c", "a\x85 b", "İ a İ", "ß À\n\n b  c d", "猫 が 好き a b"]
+TEXTS = ["", " ", "a", "\fa", "a \fb", "\f", "a\n\nb c\n\n\nd e\n", "a\nb\n.c\n d", "1a 2 b3,4 c", "x\r\ny z", "a  b", " a b ", "a\n b", "a \nb", "don't 's x 's", "é é", "e ́x y", "<|endoftext|> a <|endoftext|>", "x　y z", "a <| endoftext |> b", "ab ŉn c", "a\x85 b", "İ a İ", "ß À\n\n b  c d", "猫 が 好き a b"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
