@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.ranking import global_rank
 from factloom.operators.temporal import is_active, is_known, state, with_names
 
 SRC, TGT = "source_node_uuid", "target_node_uuid"
@@ -121,7 +122,7 @@ def entity_card(facts: DataFrame, entities: DataFrame, uuid: str, at, as_of) ->
     """The facts of one entity with state and end, in the order of a card: state, start (unknown last), learned."""
     order = F.when(F.col("state") == "active", 0).when(F.col("state") == "future", 1).when(F.col("state") == "ended", 2).otherwise(3)
     seen = with_names(facts_for_entity(facts, uuid), entities, "").withColumn("state", state(at, as_of)).where(F.col("state").isNotNull())
-    return seen.withColumn("position", F.row_number().over(Window.orderBy(order, F.col("valid_at").desc_nulls_last(), F.col("created_at").desc(), "uuid")))
+    return global_rank(seen, [order, F.col("valid_at").desc_nulls_last(), F.col("created_at").desc(), "uuid"], "position")
 
 
 def same_slot_conflicts(facts: DataFrame) -> DataFrame:

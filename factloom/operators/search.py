@@ -7,9 +7,10 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import name_tier
+from factloom.functions.text import mentioned, name_tier
 from factloom.functions.vectors import cosine
 from factloom.operators.graph import graph_distance, neighbours, touching
+from factloom.operators.ranking import global_rank
 from factloom.operators.temporal import scope
 
 K1, B = 1.2, 0.75
@@ -66,9 +67,9 @@ def ranked(scores: DataFrame, score: str, ties: list[str], depth: int | None = N
     """scores above 0 with rank from 1; a depth keeps the first so many, by a top-k before the numbering."""
     found = scores.where(F.col(score) > 0)
     order = [F.col(score).desc(), *ties]
-    if depth is not None:
-        found = found.orderBy(*order).limit(depth)
-    return found.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    if depth is None:
+        return global_rank(found, order)
+    return found.orderBy(*order).limit(depth).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def rrf(rankings: list[DataFrame], key: str = "uuid", k: int = RRF_K) -> DataFrame:
@@ -95,14 +96,11 @@ def rerank(candidates: DataFrame, limit: int | None = 10, least_cosine: float =
 
 def anchors(entities: DataFrame, query: str, vector: list[float] | None = None) -> DataFrame:
     """Entities that the query names as whole words; if none, up to three with a near name vector."""
-    import re
-
-    from factloom.functions.text import mentioned
-
     low = query.lower()
     if low.isascii():  # the rule for Latin names, in whole-stage code
-        words = F.concat(F.lit(r"(?<![\p{IsLatin}\p{M}\p{N}_])\Q"), F.lower("name"), F.lit(r"\E(?![\p{IsLatin}\p{M}\p{N}_])"))
-        named = entities.where((F.length("name") >= 2) & F.expr(f"instr('{re.sub(chr(39), chr(39) * 2, low)}', lower(name)) > 0")).where(F.regexp_like(F.lit(low), words))
+        name = F.lower("name")
+        whole = F.concat(F.lit(r"(?<![\p{IsLatin}\p{M}\p{N}_])\Q"), name, F.lit(r"\E(?![\p{IsLatin}\p{M}\p{N}_])"))
+        named = entities.where((F.length("name") >= 2) & F.lit(low).contains(name)).where(F.regexp_like(F.lit(low), whole))
     else:
         named = entities.where(mentioned(F.lit(query), F.col("name")))
     if vector is None or "name_embedding" not in entities.columns or not named.isEmpty():
