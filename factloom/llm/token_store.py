@@ -21,6 +21,7 @@ from factloom.llm.tokens import encoder
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 MAGIC = b"IDS1"
+HEAD = "<4sI"  # the mark, and the bytes of an id
 #: Keys an index bucket is meant to hold; more keys give more buckets.
 KEYS_PER_BUCKET = 1 << 16
 #: Bits of a level's table per key that is still without a place.
@@ -170,19 +171,33 @@ def _get(folder: str, name: str):
     return files.open_input_file(f"{root}/{name}")
 
 
+def _ids_at(f, at: int, n: int) -> np.ndarray:
+    """n ids of a shard from place at, with 32 bits each."""
+    f.seek(0)
+    mark, step = struct.unpack(HEAD, f.read(struct.calcsize(HEAD)))
+    if mark != MAGIC:
+        raise ValueError("a shard is not in the format")
+    f.seek(struct.calcsize(HEAD) + step * at)
+    raw = f.read(step * n)
+    if len(raw) != step * n:
+        raise ValueError("a shard ends early")
+    return np.frombuffer(raw, f"<u{step}").astype("<u4")
+
+
 def _write_shard(folder: str, name: str, end_id: int):
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, encode = TaskContext.get().partitionId(), encoder(name).encode
+        shard, coder = TaskContext.get().partitionId(), encoder(name)
+        kind = "<u2" if max(coder.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
         docs, nths, offsets, lengths = [], [], [], []
 
         def chunks() -> Iterator[bytes]:
-            yield MAGIC
+            yield struct.pack(HEAD, MAGIC, np.dtype(kind).itemsize)
             at, last, nth = 0, object(), 0
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = encode(text) + tail
+                for doc, found in zip(batch.column(0).to_pylist(), coder.encode_many(batch.column(1).to_pylist()), strict=True):
+                    ids = found + tail
                     nth = nth + 1 if doc == last else 0
                     last = doc
                     docs.append(doc)
@@ -190,7 +205,7 @@ def _write_shard(folder: str, name: str, end_id: int):
                     offsets.append(at)
                     lengths.append(len(ids) // 4)
                     at += len(ids) // 4
-                    yield ids
+                    yield np.frombuffer(ids, "<u4").astype(kind).tobytes()
 
         _put(folder, f"shard-{shard:06d}.ids", chunks())
         columns = [pa.array(docs, pa.int64()), pa.array(nths, pa.int64()), pa.array([shard] * len(docs), pa.int32()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())]
@@ -234,13 +249,7 @@ def _read_back(folder: str, bases: dict[int, int], null_id: int):
                     if f:
                         f.close()
                     held, f = shard, _get(folder, f"shard-{shard:06d}.ids")
-                    if f.read(len(MAGIC)) != MAGIC:
-                        raise ValueError(f"shard {shard} is not in the format")
-                f.seek(len(MAGIC) + 4 * at)
-                raw = f.read(4 * n)
-                if len(raw) != 4 * n:
-                    raise ValueError(f"shard {shard} ends early")
-                crcs.append(zlib.crc32(raw))
+                crcs.append(zlib.crc32(_ids_at(f, at, n).tobytes()))
             start = frame["shard"].map(bases).to_numpy(np.int64) + frame["at"].to_numpy()
             ids = frame["doc_id"].astype("Int64").mask(frame["doc_id"] == null_id)
             yield pd.DataFrame({"doc_id": ids, "start": start, "n_tokens": frame["n"], "ids_crc32": np.array(crcs, np.int64)})
@@ -249,9 +258,10 @@ def _read_back(folder: str, bases: dict[int, int], null_id: int):
 
 
 class TokenStore:
-    """Raw little-endian 32-bit ids in shards of ascending doc_id, with an index by id.
+    """Raw little-endian ids in shards of ascending doc_id, with an index by id.
 
-    shard-*.ids: four bytes "IDS1", then the ids of its documents in a row.
+    shard-*.ids: four bytes "IDS1", the bytes of an id (2 where the vocabulary
+    allows, else 4) as 32 bits, then the ids of its documents in a row.
     index-*.mph: a bucket of keys: their number, then by place fingerprint, shard,
     offset and length, then the perfect hash. bases[shard] has the ids before it.
     """
@@ -274,8 +284,7 @@ class TokenStore:
         if not known[0]:
             return None
         with _get(self.folder, f"shard-{int(shard[0]):06d}.ids") as f:
-            f.seek(len(MAGIC) + 4 * int(at[0]))
-            return np.frombuffer(f.read(4 * int(n[0])), "<u4")
+            return _ids_at(f, int(at[0]), int(n[0]))
 
 
 def _bucket_of(doc_id: np.ndarray, buckets: int) -> np.ndarray:
