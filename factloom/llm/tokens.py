@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import sys
+from array import array
 from functools import cache
 
-import numpy as np
-
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: What may stand on either side of a space at which a text can be cut: ASCII that
 #: is not white space, and the letters of Latin-1. Neither tokenizer's splitting
@@ -21,8 +22,8 @@ _SIMPLE = re.compile(f" ?(?:[{LETTERS}{MARKS}]|\\n(?!\\n))+")
 _PARTS = re.compile(f" ?[{LETTERS}]+| ?[{MARKS}]+|\\n")
 _SAFE_SPACE = re.compile(f"(?<=[{EDGE}]) (?=[{EDGE}])")
 #: When a memory holds so many pieces it becomes the old half of itself; forgetting costs only time.
-MOST_WORDS, MOST_PARTS = 200_000, 300_000
-CHARS_AT_ONCE = 1 << 22
+MOST_WORDS, MOST_PARTS = 250_000, 450_000
+CHARS_AT_ONCE = 1 << 23
 
 
 class Encoder:
@@ -47,9 +48,16 @@ class Encoder:
         self.old_words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.old_parts: dict[str, bytes] = {}
+        #: Whether letters lose their case, and pieces a leading space, before they are looked up: then fewer differ.
+        self.caseless = "Lowercase" in str(self.tokenizer.normalizer)
+        self.spaceless = all(self.whole(f" {x}") == self.whole(x) for x in ("a", "É", ".", "#|", "-a"))
 
     def _all(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for ids in found:
+                ids.byteswap()
+        return [ids.tobytes() for ids in found]
 
     def whole(self, text: str) -> bytes:
         return self._all([text])[0]
@@ -62,13 +70,19 @@ class Encoder:
         out: list[bytes] = []
         some: list[str] = []
         size = 0
-        for text in texts:
-            some.append(text or "")
-            size += len(some[-1])
-            if size >= CHARS_AT_ONCE:
-                out += self._some(some)
-                some, size = [], 0
-        return out + self._some(some)
+        collecting = gc.isenabled()
+        gc.disable()  # millions of live strings and no cycles: passes over them would only cost time
+        try:
+            for text in texts:
+                some.append(text or "")
+                size += len(some[-1])
+                if size >= CHARS_AT_ONCE:
+                    out += self._some(some)
+                    some, size = [], 0
+            return out + self._some(some)
+        finally:
+            if collecting:
+                gc.enable()
 
     def _some(self, texts: list[str]) -> list[bytes]:
         if len(self.words) >= MOST_WORDS:
@@ -105,7 +119,12 @@ class Encoder:
             if not plain(piece, 0 if word[:1] == "\f" else 1):
                 odd.add(word)
             else:
-                new[word] = parts(piece) if simple(piece) else [piece]
+                if simple(piece):
+                    if self.caseless:
+                        piece = piece.lower()
+                    new[word] = parts(piece[1:] if self.spaceless and piece[0] == " " else piece)
+                else:
+                    new[word] = [piece]
         self._put(new)
         return odd
 
