@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import ASCII_LOWER, ASCII_UPPER, lower_ascii, table
+from factloom.llm.license_texts import entire_texts
 
 #: Known licences are broadcast up to this many (about 100 bytes each), else joined by a shuffle.
 BROADCAST_LICENSES = 200_000
@@ -16,7 +17,7 @@ SPELLINGS = [
     ("licence", "license"), ("sub-license", "sublicense"), ("&", " and "), ("https", "http"), ("organisation", "organization"), ("non-commercial", "noncommercial"),
     ("merchantibility", "merchantability"), ("centre", "center"),
 ]
-# Entire licence texts and notices, (SPDX id, text).
+# Two entire licence texts and the one-line notices, (SPDX id, text). The SQL knows these alone.
 LICENSES = [
     ("MIT", """MIT License
 
@@ -59,15 +60,17 @@ def canonical(text: Column) -> Column:
     return _words(_prepared(text))
 
 
-def known_digests(spark: SparkSession, licenses: list[tuple[str, str]] | DataFrame = LICENSES) -> DataFrame:
-    """(known, license): digests of licenses(license, text); of several ids for one text the first in order."""
+def known_digests(spark: SparkSession, licenses: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
+    """(known, license): digests of licenses(license, text), by default of LICENSES and all entire texts; of several ids for one text the first in order."""
+    if licenses is None:
+        licenses = LICENSES + entire_texts(LICENSES[0][1], LICENSES[1][1])
     if isinstance(licenses, list):
         licenses = spark.createDataFrame(licenses, "license string, text string")
     words = licenses.select("license", canonical(F.col("text")).alias("words")).where("words <> ''")
     return words.groupBy(F.sha2("words", 256).alias("known")).agg(F.min("license").alias("license"))
 
 
-def scan_licenses(docs: DataFrame, licenses: list[tuple[str, str]] | DataFrame = LICENSES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, licenses: list[tuple[str, str]] | DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, license, digest, n_notices, notices.
 
     A unit is an entire text: the document, and each of its lines by itself.

@@ -1,4 +1,5 @@
 from factloom.llm.license_scan import LICENSES, scan_licenses
+from factloom.llm.license_texts import read
 
 
 def test_equivalent_texts_and_near_misses(spark):
@@ -16,3 +17,19 @@ def test_equivalent_texts_and_near_misses(spark):
     assert got[8] == [(None, 0, "")] and got[9] == [(None, 0, "")] * 2 and got[None] == [("Apache-2.0", 1, "Apache-2.0")]
     assert scan_licenses(df.limit(0)).count() == 0
     assert {r.license for r in scan_licenses(df, []).collect()} == {None}
+
+
+def test_entire_published_texts(spark):
+    title = "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\n"
+    mit, isc, bsd2 = LICENSES[0][1], LICENSES[1][1], read("BSD-2-Clause")
+    bsd3 = bsd2.replace("\nTHIS SOFTWARE", "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE", 1)
+    gpl2 = read("GPL-2.0-only")
+    texts = [
+        ("Apache-2.0", title + read("Apache-2.0")), ("Apache-2.0", title + read("Apache-2.0").split("   APPENDIX")[0]), ("GPL-2.0-only", gpl2), ("GPL-2.0-only", gpl2.split("How to Apply")[0].rsplit("\n", 1)[0]),
+        *((n, read(n)) for n in ("GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-SA-4.0", "BSL-1.0", "Zlib", "0BSD", "OFL-1.1")),
+        ("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2020, Some One\nAll rights reserved.\n\n" + bsd2), ("BSD-3-Clause", "Copyright (c) 2020, Some One\n\n" + bsd3.replace("\n1. ", "\n * ").replace("\n2. ", "\n * ").replace("\n3. ", "\n * ")),
+        ("MIT", mit.replace("MIT License", "The MIT License (MIT)", 1)), ("MIT", mit.split("\n", 1)[1]), ("ISC", "ISC License\n\nCopyright (c) 2020, Some One\n\n" + isc), (None, gpl2[:-200]), (None, bsd3.replace("Neither", "Either")),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in scan_licenses(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
