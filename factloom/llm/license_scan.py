@@ -10,7 +10,15 @@ from factloom.llm.license_texts import entire_texts
 
 #: Known licences are broadcast up to this many (about 100 bytes each), else joined by a shuffle.
 BROADCAST_LICENSES = 200_000
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: What may stand before a copyright line in a source file.
+COMMENT = r"(?:(?:/?\*+!?|/{2,}|\#+|-{2,}|;+|%+|<!--|!)[ \t]*)?"
+#: A mark, a year or a placeholder of one; or a holder, whose name has a capital where the word has but one, and is none of the words that licences put there.
+DATED = r"(?:\(c\)|©|&copy;|[\[<{(]?(?:19|20)\d\d|[\[<{(]?(?:year|yyyy|xxxx)\b)"
+HOLDER = r"(?-i:Copyright)[ \t:]+(?:by[ \t]+|the[ \t]+)?(?!(?:holders?|owners?|notices?|licen[sc]es?|laws?|statements?|interests?|rights?|treaty|and|or|in|of|act|permission)\b)(?-i:[A-Z])"
+#: Lines that are dropped before a text is compared; wrapped licence wording that begins a line with the word copyright is kept.
+COPYRIGHT_LINE = rf"(?mi)^[ \t]*{COMMENT}(?:(?:spdx-filecopyrighttext:|portions)[ \t]*)?(?:copyright[ \t:]*{DATED}|{HOLDER}|copyright[ \t]+by\b|\(c\)[ \t]*(?:copyright\b|{DATED})|©|spdx-filecopyrighttext:|all rights reserved)[^\n]*$"
+#: The rule of the SQL: the texts at hand have no line that the two judge differently.
+SQL_COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 NOT_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 # Spellings that count as the same, replaced in this order.
 SPELLINGS = [
@@ -45,7 +53,7 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 
 def _prepared(text: Column) -> Column:
     """Case, copyright lines and spellings; lines are kept."""
-    out = F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
+    out = lower_ascii(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, ""))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return out
@@ -109,7 +117,7 @@ def _quoted(text: str) -> str:
 
 
 def _sql_prepared(text: str) -> str:
-    out = f"regexp_replace(translate(coalesce({text}, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), {_quoted(COPYRIGHT_LINE)}, '', 'g')"
+    out = f"regexp_replace(translate(coalesce({text}, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), {_quoted(SQL_COPYRIGHT_LINE)}, '', 'g')"
     for old, new in SPELLINGS:
         out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
     return out

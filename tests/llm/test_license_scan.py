@@ -1,3 +1,5 @@
+import textwrap
+
 from factloom.llm.license_scan import LICENSES, scan_licenses
 from factloom.llm.license_texts import read
 
@@ -33,3 +35,34 @@ def test_entire_published_texts(spark):
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.license for r in scan_licenses(df).collect()}
     assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
+
+
+def test_published_line_breaks_and_comments(spark):
+    isc = """Copyright (c) 2020, Some One <one@example.org>
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
+"""
+    flat = isc.split("\n\n", 1)[1]
+    heads = ["Copyright 2020 X", "(c) 2020 X", "© X", "Copyright Some One", "Copyright by some one", "Copyright [yyyy] [name of copyright owner]", "COPYRIGHT (C) X", "Copyright the Regents", "(C) Copyright X", "SPDX-FileCopyrightText: 2020 X", "copyright: 2019-2020 x"]
+    texts = [(isc, "ISC")] + [(f"{head}\n\n{flat}", "ISC") for head in heads]
+    for lead in ("# ", "// ", " * ", "-- ", ";; ", "% "):
+        texts.append(("".join(lead + line + "\n" for line in isc.split("\n")), "ISC"))
+    texts.append(("/*\n" + "".join(f" * {line}\n" for line in isc.split("\n")) + " */\n", "ISC"))
+    mit = LICENSES[0][1].split("\n", 1)[1]
+    for width in range(40, 100):
+        wrapped = "\n".join(textwrap.fill(p, width, break_on_hyphens=False) for p in flat.replace("\n\n", "\0").replace("\n", " ").split("\0"))
+        texts.append((wrapped, "ISC"))
+        texts.append(("Copyright 2020 X\n" + "\n".join(textwrap.fill(p, width) for p in mit.split("\n")[2:]), "MIT"))
+    texts += [("copyright is nothing of a licence\n" + flat, None), ("Copyright Notice and other terms hold\n" + flat, None), ("(c) You must keep this\n" + flat, None)]
+    got = {r.doc_id: r.license for r in scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [(i, got[i]) for i in range(len(texts))] == [(i, name) for i, (_, name) in enumerate(texts)]
