@@ -466,9 +466,9 @@ def migration_remap(g):
 
 
 def _notes(g):
-    """Customers' orders as notes: who joined which clerk's region office, and who left."""
+    """Every event as a note: who joined a firm, who left it, and who likes it (all other kinds)."""
     names = F.array(*[F.lit(x) for x in ("Acme", "Globex", "Initech", "Umbrella", "Hooli", "Stark")])
-    e = g.table("events").where(F.col("event_type").isin("signup", "error", "purchase"))
+    e = g.table("events")
     person = F.concat(F.lit("User"), F.col("user_id").cast("string"))
     firm = F.get(names, (F.col("event_id") % 6).cast("int"))
     text = F.when(F.col("event_type") == "error", F.concat_ws(" ", person, F.lit("left"), firm)).when(F.col("event_type") == "signup", F.concat_ws(" ", person, F.lit("joined"), firm)).otherwise(F.concat_ws(" ", person, F.lit("likes"), firm))
