@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Row keys (8 bytes each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 #: Bytes of one Arrow batch handed to Python, whatever the length of the texts.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 4 << 20
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 #: Maps the bytes A-Z to a-z; safe on UTF-8, whose other bytes are above 0x7F.
@@ -33,6 +38,32 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BATCH_BYTES))
 
 
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def holds(name: str, forget: Callable[[], object]) -> None:
+    """Says that this worker process now keeps a memory called name, and drops the others.
+
+    Workers are used again by other operators' tasks; without this, each would
+    go on to hold what every operator before has remembered.
+    """
+    others = [_HELD.pop(k) for k in list(_HELD) if k != name]
+    _HELD[name] = forget
+    for other in others:
+        other()
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Hands memory that is free but kept in reserve back to the system, where that is possible."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -83,6 +114,46 @@ def width(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs as a table with a key for each row, and the key's name, which no other column has.
+
+    The keys are written with the rows, so that they are the same in every later scan.
+    """
+    name = f"__row_{uuid.uuid4().hex}"
+    return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """rows joined left_semi or left_anti with keys(on): few keys, which are counted, are broadcast, so that rows stay where they are."""
+    keys = keys.select(on)
+    return rows.join(F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys, on, how)
+
+
+def without_rows(keyed: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of a table of with_row_key() that gone(rid) does not name, without the key."""
+    return join_keys(keyed, gone.select(F.col("rid").alias(key)), key, "left_anti").drop(key)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: str, weight: str, how: str = "left") -> DataFrame:
+    """rows joined (left, inner or left_semi) with groups, which has each value of on once and says how many rows it has there.
+
+    Groups of more than a share of all rows, of which there can be only a few for
+    each shuffle partition, are broadcast, so that no hot group is one task's; the
+    others are joined by a shuffle. rows should be a table: it is read twice.
+    """
+    spark = rows.sparkSession
+    share = (rows.count() // (2 * width(spark))) + 1
+    hot = groups.where(F.col(weight) >= share)
+    some = [r[0] for r in hot.select(on).limit(1).collect()]
+    rest = groups.where(F.coalesce(F.col(weight) < share, F.lit(True)))
+    if not some:
+        return rows.join(rest, on, how)
+    mark = hot.select(on)
+    one = rows.join(F.broadcast(hot), on, "inner" if how == "left" else how)
+    two = rows.join(F.broadcast(mark), on, "left_anti").join(rest, on, how)
+    return one.unionByName(two)
+
+
 def number_rows(df: DataFrame, group: list[str], order: list[str], out: str, spread: list[str]) -> DataFrame:
     """Adds out: 0, 1, 2, ... within each group, without one task per group.
 
@@ -108,13 +179,16 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], out: str, spr
     return numbered.withColumn(out, F.col(out) + F.col("__first")).drop("__bucket", "__first", *[f"__k_{c}" for c in key])
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 128) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the least node.
 
     Hook and contract: in each round every node hooks onto its least neighbour
     when that is smaller, chains of hooks are shortened by pointer doubling, and
     the edges are rewritten between the roots. Stars, such as thousands of copies
-    around one document, vanish in the first round, so that no hub stays. Nodes
+    around one document, vanish in the first round, so that no hub stays. Of the
+    least nodes that are left after a round, only such can be left after the next
+    as took all their neighbours with them, at least one each: two rounds halve
+    the nodes of a component, and 128 are enough for 2**63 of them. Nodes
     may be of any type that can be ordered. Each round's tables are checkpointed
     in the shared folder; nothing but counts goes to the driver. Null ends and
     self-loops add no link; a node that has only a self-loop is its own component.

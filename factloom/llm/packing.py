@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import bound_batches, materialise, number_rows, table
-from factloom.llm.tokens import encoder
+from factloom.llm.tokens import encoder, with_end
 
 SEQUENCE = 2048
 VOCABULARY = "byte_bpe_50k.json"
@@ -23,24 +23,23 @@ SCHEMA = "doc_id long, row long, piece int, start long, length long, ids_crc32 l
 
 
 def _cut(name: str, end_id: int, most: int):
-    tail = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(name).encode_many
+        coder = encoder(name)
         for batch in batches:
-            rows = []
-            docs, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc, key, found in zip(docs, keys, encode(batch.column(2).to_pylist()), strict=True):
-                ids = found + tail
-                n = len(ids) // 4
-                begin, piece = 0, 0
-                end = n % most or min(n, most)  # the first piece takes what is over
-                while begin < n:
-                    rows.append((doc, key, piece, begin, end - begin, zlib.crc32(ids[4 * begin : 4 * end])))
-                    begin, end, piece = end, end + most, piece + 1
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
+            ids, ends = with_end(*coder.encode_batch(batch.column(2)), end_id)
+            sizes = np.diff(ends, prepend=0)
+            pieces = -(-sizes // most)
+            doc = np.repeat(np.arange(len(sizes)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            over = (sizes - (pieces - 1) * most)[doc]  # the first piece takes what is over
+            start = np.where(piece == 0, 0, over + (piece - 1) * most)
+            length = np.where(piece == 0, over, most)
+            raw = memoryview(ids.astype("<u4")).cast("B")
+            begin = 4 * ((ends - sizes)[doc] + start)
+            crcs = [zlib.crc32(raw[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
+            at = pa.array(doc)
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crcs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
 
     return run
 
