@@ -51,3 +51,12 @@ def hash_embed(dims: int = 256):
         return text.map(lambda t: hash_vector(t, dims))
 
     return embed
+
+
+def from_text(text: Column) -> Column:
+    """A vector written as [1,2,3]; null where the text is none."""
+    return F.from_json(text, "array<double>")
+
+
+def to_text(vector: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: x.cast("double").cast("string")), ","), F.lit("]"))

@@ -7,7 +7,6 @@ state and returns the state; what a note changed is in its Outcome.
 
 from __future__ import annotations
 
-import copy
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
@@ -82,23 +81,79 @@ class Episode:
 
 
 class State:
-    """A group's entities by lower-case name, its facts by their ends, and the keys of its notes."""
+    """A group's entities by lower-case name, its facts by slot and by pair of ends, and the keys of its notes.
+
+    A slot is a source and a relation. A statement touches one slot and one pair,
+    so what it costs does not depend on how many facts its entities have.
+    """
 
     def __init__(self) -> None:
         self.entities: dict[str, Entity] = {}
-        self.by_end: dict[str, list[Fact]] = {}
+        self.facts: list[Fact] = []
+        self.slots: dict[tuple[str, str], list[int]] = {}
+        self.pairs: dict[frozenset, list[int]] = {}
         self.keys: set[str] = set()
 
+    def add(self, f: Fact) -> None:
+        place = len(self.facts)
+        self.facts.append(f)
+        self.slots.setdefault((f.source, relation_of(f.name)), []).append(place)
+        self.pairs.setdefault(frozenset((f.source, f.target)), []).append(place)
+
+    def slot(self, source: str, relation: str) -> list[Fact]:
+        return [self.facts[k] for k in self.slots.get((source, relation), ())]
+
+    def pair(self, ends: frozenset) -> list[Fact]:
+        return [self.facts[k] for k in self.pairs.get(ends, ())]
+
+    def around(self, source: str, relation: str, ends: frozenset) -> list[Fact]:
+        """The facts of a slot and of a pair, each once, in the order in which they came."""
+        return [self.facts[k] for k in sorted({*self.slots.get((source, relation), ()), *self.pairs.get(ends, ())})]
+
+
+class Journal:
+    """What a note has changed, so that one that fails leaves nothing behind."""
+
+    def __init__(self, state: State) -> None:
+        self.state = state
+        self.before: dict[int, tuple[object, dict]] = {}
+        self.named: list[str] = []
+
+    def touch(self, x: Entity | Fact) -> None:
+        if id(x) not in self.before:
+            self.before[id(x)] = (x, {**x.__dict__, "marks": dict(x.marks)})
+
+    def undo(self) -> None:
+        for x, held in self.before.values():
+            x.__dict__.update(held)
+        for name in self.named:
+            self.state.entities.pop(name, None)
+
+
+@dataclass
+class Claim:
+    """A statement between two known entities, with its window."""
+
+    src: Entity
+    tgt: Entity
+    relation: str
+    text: str
+    valid: datetime | None
+    invalid: datetime | None
+    dated: bool  # the start is only the note's date
+    replaces: bool
+
     @property
-    def facts(self) -> list[Fact]:
-        return list({id(f): f for own in self.by_end.values() for f in own}.values())
+    def ends(self) -> frozenset:
+        return frozenset((self.src.uuid, self.tgt.uuid))
 
-    def add(self, f: Fact) -> None:
-        for end in {f.source, f.target}:
-            self.by_end.setdefault(end, []).append(f)
+    @property
+    def moment(self) -> datetime:
+        return self.valid if self.valid is not None else self.invalid - TICK
 
-    def at(self, entity: Entity) -> list[Fact]:
-        return self.by_end.get(entity.uuid, [])
+    def holds(self, f: Fact) -> bool:
+        """f is true when the statement begins, or ends just where a date-only statement begins."""
+        return f.covers(self.moment) or self.dated and f.invalid == self.moment
 
 
 @dataclass
@@ -149,8 +204,9 @@ def verdict(answer: object, shown: list[Fact]) -> tuple[list[Fact], list[Fact] |
 class Note:
     """One note on its way into a group's state."""
 
-    def __init__(self, state: State, episode: Episode, judge: Judge, now: datetime, embed: Callable[[str], list[float]]):
+    def __init__(self, state: State, episode: Episode, judge: Judge, now: datetime, embed: Callable[[str], list[float]], journal: Journal | None = None):
         self.state, self.episode, self.judge, self.now, self.embed = state, episode, judge, now, embed
+        self.journal = journal or Journal(state)
         self.out = Outcome()
         self.own: list[Fact] = []
         self.fresh: set[str] = set()
@@ -175,7 +231,7 @@ class Note:
         names = lambda rows: {(r.get(k) or "").strip().lower() for r in rows for k in ("source_name", "target_name")}
         for given in self.episode.entities:
             self.meet(given, names(said), names(said) | names(ended))
-        self.plans = []
+        self.plans: list[Claim] = []
         for s in said:
             src, tgt = self.entity(s.get("source_name")), self.entity(s.get("target_name"))
             if src is None or tgt is None:
@@ -183,12 +239,12 @@ class Note:
                 continue
             relation = relation_of(s.get("relation"))
             text = (s.get("fact") or "").strip() or f"{src.name} {relation} {tgt.name}"
-            self.plans.append((src, tgt, relation, text, window(s.get("valid_at"), s.get("invalid_at"), self.episode.valid), bool(s.get("replaces_previous"))))
+            self.plans.append(Claim(src, tgt, relation, text, *window(s.get("valid_at"), s.get("invalid_at"), self.episode.valid), bool(s.get("replaces_previous"))))
         self.forget_literals()
         for e in ended:
             self.terminate(e, only_outdated=True)
-        for plan in self.distinct():
-            self.state_fact(*plan)
+        for claim in self.distinct():
+            self.settle(claim)
         for e in ended:
             self.terminate(e)
         for f in self.own:
@@ -208,10 +264,12 @@ class Note:
             marks = {"createdByEpisode": self.episode.uuid} | ({"summaryByEpisode": self.episode.uuid} if summary else {})
             known = Entity(f"{self.episode.uuid}/e{len(self.fresh)}", name, labels, summary, marks, self.now)
             self.state.entities[low] = known
+            self.journal.named.append(low)
             self.fresh.add(low)
         else:
             if low not in related and not mentions(self.episode.content, name):
                 return
+            self.journal.touch(known)
             known.labels = list(dict.fromkeys([*known.labels, *labels]))
             owner = known.marks.get("summaryByEpisode")
             if summary and owner != self.episode.uuid and (summary != known.summary or owner is not None):
@@ -221,7 +279,7 @@ class Note:
             self.out.entities.append(known)
 
     def forget_literals(self) -> None:
-        used = {e.uuid for src, tgt, *_ in self.plans for e in (src, tgt)}
+        used = {e.uuid for c in self.plans for e in (c.src, c.tgt)}
         for e in [e for e in self.out.entities if e.uuid not in used and is_literal_name(e.name)]:
             self.out.entities.remove(e)
             self.out.dropped["entities"] += 1
@@ -229,13 +287,13 @@ class Note:
                 self.fresh.discard(e.name.lower())
                 del self.state.entities[e.name.lower()]
 
-    def distinct(self) -> list[tuple]:
+    def distinct(self) -> list[Claim]:
         """Statements of the note without those it makes twice of one pair under two relation names."""
-        kept: list[tuple] = []
-        for p in self.plans:
-            twice = any(k[0] is p[0] and k[1] is p[1] and k[2] != p[2] and k[4][:2] == p[4][:2] and self.near(k[3], p[3], REPEAT) for k in kept)
-            if not twice:
-                kept.append(p)
+        kept: list[Claim] = []
+        for c in self.plans:
+            rivals = (k for k in kept if k.src is c.src and k.tgt is c.tgt and k.relation != c.relation and (k.valid, k.invalid) == (c.valid, c.invalid))
+            if not any(self.near(k.text, c.text, REPEAT) for k in rivals):
+                kept.append(c)
         return kept
 
     # changes
@@ -243,11 +301,9 @@ class Note:
     def is_own(self, f: Fact) -> bool:
         return any(f is o for o in self.own)
 
-    def pool(self, entity: Entity) -> list[Fact]:
-        return self.state.at(entity) + [f for f in self.own if entity.uuid in (f.source, f.target)]
-
     def close(self, f: Fact, at: datetime, reason: str) -> None:
         again = any(f is g for g in self.out.invalidated)
+        self.journal.touch(f)
         before = f.marks.get("previousEnd") if again else f.invalid and f.invalid.isoformat()
         f.invalid = at
         if self.is_own(f):
@@ -269,6 +325,7 @@ class Note:
 
     def support(self, f: Fact, end: datetime | None, text: str) -> None:
         if not self.is_own(f):
+            self.journal.touch(f)
             if self.episode.uuid not in f.episodes:
                 f.episodes = [*f.episodes, self.episode.uuid]
             if not any(f is g for g in self.out.reinforced):
@@ -276,63 +333,91 @@ class Note:
         if end is not None and f.invalid is None and (f.valid is None or end > f.valid):
             self.close(f, end, f"ended per: {text}")
 
-    def state_fact(self, src: Entity, tgt: Entity, relation: str, text: str, when: tuple, replaces: bool) -> None:
-        valid, invalid, dated = when
-        moment = valid if valid is not None else invalid - TICK
-        pool = self.pool(src)
-        slot = [f for f in pool if f.source == src.uuid and relation_of(f.name) == relation]
-        records = [f for f in slot if f.target == tgt.uuid and not f.withdrawn]
-        says = lambda f: self.near(f.text, text, PARAPHRASE)
-        holds = lambda f: f.covers(moment) or dated and f.invalid == moment
-        for f in records:
-            if says(f) and holds(f):
-                return self.support(f, invalid, text)
-        later = min((f for f in records if valid is not None and f.valid is not None and f.valid > valid), key=lambda f: f.valid, default=None)
-        if later is not None and says(later) and not (invalid is not None and invalid < later.valid):
-            turned = any(f is not later and f.invalid is not None and valid < f.invalid <= later.valid for f in slot)
-            if not turned:
-                later.valid = valid
-                later.marks = {k: v for k, v in later.marks.items() if k != "startFromEpisode"} | ({"startFromEpisode": True} if dated and self.undated else {})
-                return self.support(later, invalid, text)
-        end = sooner(invalid, later.valid if later is not None else None)
-        ended, restated = self.weigh(src, tgt, relation, text, valid, replaces, pool, slot, records, says)
-        shown, same = restated
-        kept = [f for f in records if not self.is_own(f) and not says(f) and holds(f) and not any(f is e for e in ended)]
-        beside = [f for f in kept if same is not None and any(f is s for s in shown) and not any(f is s for s in same)]
-        for f in kept:
-            if not any(f is b for b in beside):
-                return self.support(f, invalid, text)
-        end = sooner(end, *(f.invalid for f in beside))
+    def settle(self, claim: Claim) -> None:
+        """Finds what a statement means for its slot: support for a record that is there, or a new one.
+
+        The cases are tried in order, and the first that names a record decides.
+        """
+        slot = self.state.slot(claim.src.uuid, claim.relation) + [f for f in self.own if f.source == claim.src.uuid and relation_of(f.name) == claim.relation]
+        records = [f for f in slot if f.target == claim.tgt.uuid and not f.withdrawn]
+        alike = {id(f) for f in records if self.near(f.text, claim.text, PARAPHRASE)}
+        found = self.repeated(claim, records, alike) or self.begun_sooner(claim, slot, records, alike)
+        if found is None:
+            ended, shown, same = self.asked(claim, slot, alike)
+            apart = self.set_apart(claim, records, alike, ended)
+            told = [f for f in apart if same is not None and any(f is x for x in shown) and not any(f is x for x in same)]
+            found = next((f for f in apart if not any(f is x for x in told)), None)
+            if found is None:
+                self.record(claim, records, ended, told)
+                return
+        self.support(found, claim.invalid, claim.text)
+
+    def repeated(self, claim: Claim, records: list[Fact], alike: set[int]) -> Fact | None:
+        """The record that says the same and is true then."""
+        return next((f for f in records if id(f) in alike and claim.holds(f)), None)
+
+    def following(self, claim: Claim, records: list[Fact]) -> Fact | None:
+        """The first record that begins after the statement."""
+        begun = [f for f in records if claim.valid is not None and f.valid is not None and f.valid > claim.valid]
+        return min(begun, key=lambda f: f.valid, default=None)
+
+    def begun_sooner(self, claim: Claim, slot: list[Fact], records: list[Fact], alike: set[int]) -> Fact | None:
+        """The next record, with its start moved back, if it says the same and the slot has not turned in between."""
+        later = self.following(claim, records)
+        if later is None or id(later) not in alike or claim.invalid is not None and claim.invalid < later.valid:
+            return None
+        if any(f is not later and f.invalid is not None and claim.valid < f.invalid <= later.valid for f in slot):
+            return None
+        self.journal.touch(later)
+        later.valid = claim.valid
+        later.marks = {k: v for k, v in later.marks.items() if k != "startFromEpisode"} | self.start_mark(claim)
+        return later
+
+    def set_apart(self, claim: Claim, records: list[Fact], alike: set[int], ended: list[Fact]) -> list[Fact]:
+        """Stored records that are true then in other words, and are not ended."""
+        return [f for f in records if not self.is_own(f) and id(f) not in alike and claim.holds(f) and not any(f is e for e in ended)]
+
+    def start_mark(self, claim: Claim) -> dict:
+        return {"startFromEpisode": True} if claim.dated and self.undated else {}
+
+    def record(self, claim: Claim, records: list[Fact], ended: list[Fact], beside: list[Fact]) -> None:
+        """A new fact; what it replaces ends where it begins, and it ends where something later begins."""
+        later = self.following(claim, records)
+        end = sooner(claim.invalid, later.valid if later is not None else None, *(f.invalid for f in beside))
         for old in ended:
-            if old.valid is not None and old.valid > valid:
+            if old.valid is not None and old.valid > claim.valid:
                 end = sooner(end, old.valid)
-                continue
-            at = self.ends_where(old, valid)
-            if at is not None:
+            elif (at := self.ends_where(old, claim.valid)) is not None:
                 end = sooner(end, old.invalid)
-                self.close(old, at, f"superseded by: {text}")
-        marks = ({"replacesPrevious": True} if replaces else {}) | ({"startFromEpisode": True} if dated and self.undated else {})
-        self.own.append(Fact(f"{self.episode.uuid}/f{len(self.own)}", src.uuid, tgt.uuid, relation, text, [self.episode.uuid], valid, end, self.now, None, marks))
-        return None
-
-    def weigh(self, src, tgt, relation, text, valid, replaces, pool, slot, records, says) -> tuple[list[Fact], tuple[list[Fact], list[Fact] | None]]:
-        """What the judge says this statement ends, and what it was shown and called the same."""
-        if valid is None:
-            return [], ([], None)
-        one = replaces or relation in SINGLE_VALUED
-        pair = {src.uuid, tgt.uuid}
-        shown = []
-        for f in pool:
-            rival = f in slot and f.target != tgt.uuid and (one or bool(f.marks.get("replacesPrevious")) and f.valid is not None and f.valid > valid)
-            if self.is_own(f) or f.withdrawn or any(f is r for r in records) and says(f):
-                continue
-            if (f.live(self.now) or f.covers(valid)) and ({f.source, f.target} == pair or rival):
-                shown.append(f)
+                self.close(old, at, f"superseded by: {claim.text}")
+        marks = ({"replacesPrevious": True} if claim.replaces else {}) | self.start_mark(claim)
+        self.own.append(Fact(f"{self.episode.uuid}/f{len(self.own)}", claim.src.uuid, claim.tgt.uuid, claim.relation, claim.text, [self.episode.uuid], claim.valid, end, self.now, None, marks))
+
+    def asked(self, claim: Claim, slot: list[Fact], alike: set[int]) -> tuple[list[Fact], list[Fact], list[Fact] | None]:
+        """(ended, shown, same): what the judge says of the stored facts that a statement may end or repeat.
+
+        It is shown facts of the same pair, and where the slot has one value at a
+        time, its other values; none that says the same, and none that is over.
+        """
+        if claim.valid is None:
+            return [], [], None
+        single = claim.replaces or claim.relation in SINGLE_VALUED
+        mine = {id(f) for f in slot}
+
+        def matters(f: Fact) -> bool:
+            if f.withdrawn or id(f) in alike or not (f.live(self.now) or f.covers(claim.valid)):
+                return False
+            if frozenset((f.source, f.target)) == claim.ends:
+                return True
+            newer = bool(f.marks.get("replacesPrevious")) and f.valid is not None and f.valid > claim.valid
+            return id(f) in mine and f.target != claim.tgt.uuid and (single or newer)
+
+        shown = [f for f in self.state.around(claim.src.uuid, claim.relation, claim.ends) if matters(f)]
         if not shown:
-            return [], ([], None)
-        asked = {"source_name": src.name, "target_name": tgt.name, "fact": text, "relation": relation, "valid_at": valid, "replaces_previous": replaces}
-        ended, same = verdict(self.judge(asked, [{"fact": f.text, "valid_at": f.valid, "invalid_at": f.invalid} for f in shown]), shown)
-        return ended, (shown, same)
+            return [], [], None
+        question = {"source_name": claim.src.name, "target_name": claim.tgt.name, "fact": claim.text, "relation": claim.relation, "valid_at": claim.valid, "replaces_previous": claim.replaces}
+        ended, same = verdict(self.judge(question, [{"fact": f.text, "valid_at": f.valid, "invalid_at": f.invalid} for f in shown]), shown)
+        return ended, shown, same
 
     def terminate(self, said: dict, only_outdated: bool = False) -> None:
         """An end that the text states: it closes what still held then, and never makes a fact."""
@@ -340,14 +425,14 @@ class Note:
         if src is None or tgt is None:
             self.out.dropped["invalidations"] += not only_outdated
             return
-        stated, pair = said.get("invalid_at"), {src.uuid, tgt.uuid}
+        stated, pair = said.get("invalid_at"), frozenset((src.uuid, tgt.uuid))
         end = stated or self.episode.valid
         reason = said.get("reason") or self.episode.content[:REASON_CHARS]
         relation = relation_of(said["relation"]) if said.get("relation") else None
-        stint = any({s.uuid, t.uuid} == pair and r == relation and w[1] is not None and stated is not None and w[1] <= stated for s, t, r, _, w, _ in self.plans)
+        stint = any(c.ends == pair and c.relation == relation and c.invalid is not None and stated is not None and c.invalid <= stated for c in self.plans)
         outdates = stated is not None and relation is not None and not stint
-        for f in self.pool(src):
-            if {f.source, f.target} != pair or relation is not None and relation_of(f.name) != relation or f.withdrawn:
+        for f in self.state.pair(pair) + [o for o in self.own if frozenset((o.source, o.target)) == pair]:
+            if relation is not None and relation_of(f.name) != relation or f.withdrawn:
                 continue
             if self.is_own(f) and not (f.valid is not None and f.valid < end):
                 continue
@@ -366,17 +451,11 @@ def fold(state: State, episodes: Iterable[Episode], judge: Judge = opposites, no
         if e.key is not None and e.key in state.keys:
             outcomes.append(Outcome(status="duplicate"))
             continue
-        names = {(r.get(k) or "").strip().lower() for rows in (e.entities, e.facts, e.ends) for r in rows for k in ("name", "source_name", "target_name")}
-        met = {n: state.entities[n] for n in names if n in state.entities}
-        before = [(x, copy.deepcopy(x.__dict__)) for x in [*met.values(), *(f for m in met.values() for f in state.at(m))]]
+        journal = Journal(state)
         try:
-            outcome = Note(state, e, judge, now or e.created, embed).apply()
+            outcome = Note(state, e, judge, now or e.created, embed, journal).apply()
         except Exception as error:  # the note is kept as failed, for a retry
-            for x, held in before:
-                x.__dict__.update(held)
-            for n in names:
-                if n not in met:
-                    state.entities.pop(n, None)
+            journal.undo()
             outcomes.append(Outcome(status="failed", error=str(error)[:500]))
             continue
         if e.key is not None:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import idempotency_key
-from factloom.ingest.extract import extract
+from factloom.ingest.extract import extraction
 from factloom.ingest.fold import Entity, Episode, Fact, Judge, Outcome, State, fold, opposites
 
 CHANGES = "kind string, group_id string, uuid string, row string, status string"
@@ -50,13 +51,31 @@ def read_state(rows: pd.DataFrame) -> State:
     return state
 
 
-def payloads(content: pd.Series) -> pd.Series:
-    return content.map(lambda t: json.dumps(extract(t), ensure_ascii=False))
+def payloads(content: Column) -> Column:
+    """What the built-in extractor finds, as JSON, in whole-stage code."""
+    return F.to_json(extraction(content))
 
 
-def with_payload(episodes: DataFrame, extractor=payloads) -> DataFrame:
-    """Adds payload: what an extractor (texts to JSON) finds; it needs no state, so every row runs in parallel."""
-    return episodes.withColumn("payload", F.pandas_udf(extractor, "string")(F.col("content")))
+def batched(embed: Callable[[list[str]], list], batch: int = 256) -> Callable[[Column], Column]:
+    """An embedder over lists of texts, such as a remote service, as a column function: whole batches, one client a task."""
+
+    @F.pandas_udf("array<double>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            texts, out = part.tolist(), []
+            for k in range(0, len(texts), batch):
+                found = embed([t or "" for t in texts[k : k + batch]])
+                if len(found) != len(texts[k : k + batch]):
+                    raise ValueError("an embedder gives one vector for each text")
+                out += found
+            yield pd.Series(out, index=part.index, dtype=object)
+
+    return run
+
+
+def with_payload(episodes: DataFrame, extractor: Callable[[Column], Column] = payloads) -> DataFrame:
+    """Adds payload: what an extractor (a text column to JSON) finds; it needs no state, so every row runs in parallel."""
+    return episodes.withColumn("payload", extractor(F.col("content")))
 
 
 def fold_groups(episodes: DataFrame, state: DataFrame, judge: Judge = opposites) -> DataFrame:

@@ -1,20 +1,33 @@
-"""Manual corrections and what forgetting an episode would change, as set-valued jobs."""
+"""Manual corrections, later values of a slot, and forgetting an episode, as set-valued jobs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import SINGLE_VALUED
+from factloom.functions.text import SINGLE_VALUED, normalise_relation
 from factloom.operators.temporal import instant, is_retracted
 
+REASON_CHARS = 120
+# Attributes that belong to a closure.
+CLOSURE_MARKS = ("invalidatedBy", "retracted", "reopenedAs", "closedBy", "closedAt", "closedByEpisode", "previousEnd", "outdatedWhenWritten")
+EPISODE_MARKS = ("closedByEpisode", "previousEnd")
+
+
+def _one_each(targets: DataFrame, value: str) -> DataFrame:
+    """targets with one row an id: the earliest value; a null counts only where there is no other."""
+    return targets.groupBy("uuid").agg(F.min(value).alias(f"__{value}"))
+
 
 def end_facts(facts: DataFrame, targets: DataFrame, now) -> DataFrame:
     """The changed rows of ending targets(uuid, at): retracted, already ended and not yet started ones are refused.
 
-    Adds outcome: ended, or conflict with the row as it was.
+    Adds outcome: ended, or conflict with the row as it was. Of targets that repeat
+    an id the earliest counts.
     """
-    found = facts.join(targets.select("uuid", F.col("at").alias("__at")), "uuid")
+    found = facts.join(_one_each(targets, "at"), "uuid")
     refused = is_retracted() | F.coalesce(F.col("invalid_at") <= F.least("__at", instant(now)), F.lit(False)) | F.coalesce(F.col("__at") <= F.col("valid_at"), F.lit(False))
     out = found.withColumn("outcome", F.when(refused, "conflict").otherwise("ended"))
     ended = F.col("outcome") == "ended"
@@ -27,15 +40,29 @@ def retract_facts(facts: DataFrame, targets: DataFrame, now) -> DataFrame:
     return found.withColumn("invalid_at", F.col("valid_at")).withColumn("expired_at", instant(now)).withColumn("outcome", F.lit("retracted"))
 
 
-def reopen_facts(facts: DataFrame, targets: DataFrame, now) -> DataFrame:
-    """Two rows for each of targets(uuid, invalid_at) that has ended or was retracted: the old one withdrawn, a copy created now."""
-    closed = facts.join(targets.select("uuid", F.col("invalid_at").alias("__end")), "uuid").where((is_retracted() | F.col("invalid_at").isNotNull()) & (F.col("__end").isNull() | F.coalesce(F.col("__end") > F.col("valid_at"), F.lit(True))))
+def _copy_id(now) -> Column:
+    return F.concat(F.col("uuid"), F.lit("#"), F.date_format(instant(now), "yyyyMMddHHmmssSSS"))
+
+
+def _reopened(closed: DataFrame, end: str, now) -> DataFrame:
+    """Two rows for each closed fact: the old one withdrawn, and a copy created now that ends at column end."""
     old = closed.withColumn("expired_at", F.when(is_retracted(), F.col("expired_at")).otherwise(instant(now))).withColumn("invalid_at", F.col("valid_at")).withColumn("outcome", F.lit("withdrawn"))
-    copy = (
-        closed.withColumn("uuid", F.concat(F.col("uuid"), F.lit("#"), F.date_format(instant(now), "yyyyMMddHHmmssSSS")))
-        .withColumn("invalid_at", F.col("__end")).withColumn("expired_at", F.lit(None).cast("timestamp_ntz")).withColumn("created_at", instant(now)).withColumn("outcome", F.lit("reopened"))
-    )
-    return old.unionByName(copy).drop("__end")
+    copy = closed.withColumn("uuid", _copy_id(now)).withColumn("invalid_at", F.col(end)).withColumn("expired_at", F.lit(None).cast("timestamp_ntz")).withColumn("created_at", instant(now)).withColumn("outcome", F.lit("reopened"))
+    return old.unionByName(copy)
+
+
+def reopen_facts(facts: DataFrame, targets: DataFrame, now) -> DataFrame:
+    """Two rows for each of targets(uuid, invalid_at) that has ended or was retracted: the old one withdrawn, a copy created now.
+
+    A target that is open, or whose new end is not after its start, is refused:
+    one row as it was, with outcome conflict. Of targets that repeat an id the
+    earliest end counts.
+    """
+    found = facts.join(_one_each(targets, "invalid_at").withColumnRenamed("__invalid_at", "__end"), "uuid")
+    shut = is_retracted() | F.col("invalid_at").isNotNull()
+    fits = F.col("__end").isNull() | F.coalesce(F.col("__end") > F.col("valid_at"), F.lit(True))
+    refused = found.where(~(shut & fits)).withColumn("outcome", F.lit("conflict"))
+    return _reopened(found.where(shut & fits), "__end", now).unionByName(refused).drop("__end")
 
 
 def forget_preview(facts: DataFrame, episode: str) -> DataFrame:
@@ -46,12 +73,127 @@ def forget_preview(facts: DataFrame, episode: str) -> DataFrame:
 
 
 def later_values(facts: DataFrame, gone: DataFrame | None = None) -> DataFrame:
-    """(uuid, next_at): where a later value of a one-valued slot begins, retracted facts and gone(uuid) left out."""
+    """(uuid, next_at): where a later value of a one-valued slot begins, retracted facts and gone(uuid) left out.
+
+    Starts and the instants that are asked for are sorted together once a slot: a
+    known start asks for a start behind it, an unknown one for a start at or after
+    the fact's end. A value that was written later with the same start counts too.
+    """
     one = facts.where(F.col("name").isin(*SINGLE_VALUED))
     values = one.where(~is_retracted() & F.col("valid_at").isNotNull())
     if gone is not None:
         values = values.join(gone.select("uuid"), "uuid", "left_anti")
-    other = values.select(F.col("uuid").alias("__u"), F.col("source_node_uuid").alias("__s"), F.col("name").alias("__n"), F.col("valid_at").alias("__v"), F.col("created_at").alias("__c"))
+    slot = ["source_node_uuid", "name"]
+    asked = one.select(*slot, "uuid", "valid_at", "created_at", F.coalesce("valid_at", "invalid_at").alias("t"), F.when(F.col("valid_at").isNull(), 0).otherwise(2).alias("k"))
+    none = F.lit(None)
+    starts = values.groupBy(*slot, F.col("valid_at").alias("t")).agg(F.max("created_at").alias("last"))
+    points = starts.select(*slot, none.cast("string").alias("uuid"), none.cast("timestamp_ntz").alias("valid_at"), none.cast("timestamp_ntz").alias("created_at"), "t", F.lit(1).alias("k"))
+    both = asked.withColumn("uuid", F.col("uuid").cast("string")).unionByName(points)
+    ahead = Window.partitionBy(*slot).orderBy("t", "k").rowsBetween(1, Window.unboundedFollowing)
+    seen = both.withColumn("next_at", F.first(F.when(F.col("k") == 1, F.col("t")), ignorenulls=True).over(ahead)).where("k <> 1 and t is not null")
+    seen = seen.join(starts.select(*slot, "t", "last"), [*slot, "t"], "left")
+    same = (F.col("k") == 2) & F.coalesce(F.col("last") > F.col("created_at"), F.lit(False))
+    kind = dict(facts.dtypes)["uuid"]
+    return seen.select(F.col("uuid").cast(kind).alias("uuid"), F.when(same, F.col("t")).otherwise(F.col("next_at")).alias("next_at")).where("next_at is not null")
+
+
+@dataclass
+class Forgotten:
+    """The rows that forgetting an episode changes, and what it reports."""
+
+    facts: DataFrame  # whole rows, with outcome: retracted, unlinked, withdrawn, reopened
+    report: DataFrame  # (uuid, outcome): retracted, unlinked, reopened, still_closed, unmarked
+    entities: DataFrame  # whole rows whose summary comes back
+    orphaned: DataFrame  # (uuid): what the episode made and nothing uses
+    episode: DataFrame  # the episode as forgotten, or outcome not_found or conflict
+
+
+def _mark(name: str) -> Column:
+    return F.get_json_object(F.coalesce("attributes", F.lit("{}")), f"$.{name}")
+
+
+def _marks(drop: tuple[str, ...], **more: Column) -> Column:
+    """The attributes without some marks and with others; nulls are left out."""
+    held = F.map_filter(F.coalesce(F.from_json("attributes", "map<string,string>"), F.expr("map()").cast("map<string,string>")), lambda k, v: ~k.isin(*drop, *more))
+    if not more:
+        return F.to_json(held)
+    added = F.create_map(*[x for k, v in more.items() for x in (F.lit(k), v)])
+    return F.to_json(F.map_concat(held, F.map_filter(added, lambda k, v: v.isNotNull())))
+
+
+def forget_episode(facts: DataFrame, entities: DataFrame, episodes: DataFrame, episode: str, reason: str, now) -> Forgotten:
+    """What forgetting an episode does to its group's facts(episodes, attributes, ...) and entities(attributes, ...).
+
+    A fact that only it supports is retracted; one that others support as well
+    loses it. A fact that it closed is opened again, up to the end it had before
+    or to the next value of its slot, whichever is sooner; where another value
+    that still stands took over by then, it stays closed. Closures from before such marks were
+    written are only reported. A summary that it replaced comes back, and
+    entities that it made and nothing uses any more are reported.
+
+    Only the facts that the episode closed, a few, look for other values of their
+    slots, by an equi-join on source and relation.
+    """
+    why = F.lit(f"forgotten episode {episode[:8]}: {reason[:REASON_CHARS]}"[:REASON_CHARS])
+    outdated = F.coalesce(_mark("outdatedWhenWritten") == "true", F.lit(False)) & is_retracted()
+    cited, rest = F.array_contains("episodes", episode), F.array_remove("episodes", episode)
+    own = facts.withColumn("__cited", F.coalesce(cited, F.lit(False))).withColumn("__only", F.coalesce(cited, F.lit(False)) & (F.size(rest) == 0)).withColumn("__outdated", outdated).withColumn("__gone", is_retracted())
+    own = own.withColumn("__closed", F.col("invalid_at").isNotNull() & (~F.col("__gone") | F.col("__outdated")) & _mark("reopenedAs").isNull()).withColumn("__by", _mark("closedByEpisode"))
+
+    sole = own.where("__only and (not __gone or __closed and __outdated)")
+    retracted = (
+        sole.withColumn("expired_at", F.when(F.col("__outdated"), F.col("expired_at")).otherwise(instant(now)))
+        .withColumn("invalid_at", F.col("valid_at"))
+        .withColumn("attributes", _marks((*EPISODE_MARKS, "outdatedWhenWritten"), retracted=F.lit("true"), invalidatedBy=why))
+        .withColumn("outcome", F.lit("retracted"))
+    )
+    kept = own.where("not __only")
+    shut = kept.where((F.col("__by") == episode) & F.col("__closed")).withColumn("__rel", normalise_relation(F.col("name")))
+    other = own.where("not __only and not __gone and valid_at is not null").select(
+        F.col("uuid").alias("__u"), F.col("source_node_uuid").alias("__s"), normalise_relation(F.col("name")).alias("__r"), F.col("valid_at").alias("__v"), F.col("invalid_at").alias("__i"), F.col("created_at").alias("__c"),
+        F.coalesce(_mark("replacesPrevious") == "true", F.lit(False)).alias("__replaces"),
+    )
+    single = F.col("__rel").isin(*SINGLE_VALUED) | F.coalesce(_mark("replacesPrevious") == "true", F.lit(False)) | F.coalesce("__replaces", F.lit(False))
+    met = shut.join(other, (F.col("source_node_uuid") == F.col("__s")) & (F.col("__rel") == F.col("__r")) & (F.col("uuid") != F.col("__u")), "left")
     after = F.when(F.col("valid_at").isNotNull(), (F.col("__v") > F.col("valid_at")) | ((F.col("__v") == F.col("valid_at")) & (F.col("__c") > F.col("created_at")))).otherwise(F.col("__v") >= F.col("invalid_at"))
-    met = one.join(other, (F.col("source_node_uuid") == F.col("__s")) & (F.col("name") == F.col("__n")) & (F.col("uuid") != F.col("__u")))
-    return met.where(after).groupBy("uuid").agg(F.min("__v").alias("next_at"))
+    there = (F.col("__v") <= F.col("valid_at")) & (F.col("__i").isNull() | (F.col("valid_at") < F.col("__i")))
+    seen = met.groupBy("uuid").agg(F.min(F.when(single & after, F.col("__v"))).alias("__next"), F.max(F.coalesce(single & there, F.lit(False))).alias("__there"))
+    previous = F.to_timestamp_ntz(_mark("previousEnd"))
+    before = F.when(F.col("valid_at").isNull() | (previous > F.col("valid_at")), previous)
+    judged = shut.join(seen, "uuid").withColumn("__end", F.least(before, "__next"))  # least() passes over nulls
+    taken = F.when(F.col("__outdated"), F.col("__there")).otherwise(F.col("__next").isNotNull() & F.coalesce(F.col("__end") <= F.col("invalid_at"), F.lit(False)))
+    judged = judged.withColumn("__taken", taken)
+
+    opened = judged.where("not __taken")
+    pair = _reopened(opened, "__end", now)
+    is_copy = F.col("outcome") == "reopened"
+    copy_of = F.when(is_copy, F.substring_index("uuid", "#", 1)).otherwise(_copy_id(now))
+    pair = pair.withColumn("episodes", F.when(is_copy, rest).otherwise(F.col("episodes"))).withColumn("__copy", copy_of).withColumn(
+        "attributes",
+        F.when(is_copy, _marks(CLOSURE_MARKS, reopenedFrom=F.col("__copy"), reopenReason=why)).otherwise(
+            _marks((), retracted=F.lit("true"), reopenedAs=F.col("__copy"), invalidatedBy=F.substring(F.concat(F.lit("reopened as "), F.substring("__copy", 1, 8), F.lit(": "), why), 1, REASON_CHARS), closedBy=_mark("invalidatedBy"))
+        ),
+    )
+    still = judged.where("__taken")
+    loose = kept.join(judged.select("uuid"), "uuid", "left_anti").where("__cited").unionByName(still.where("__cited").select(*kept.columns))
+    unlinked = loose.withColumn("episodes", rest).withColumn("outcome", F.lit("unlinked"))
+    # Closures without a mark, of the instants at which the episode's own facts were written.
+    written = own.where((F.element_at("episodes", 1) == episode) & _mark("reopenedFrom").isNull()).select(F.col("created_at").alias("__at")).distinct()
+    unmarked = kept.where("__closed and __by is null").join(F.broadcast(written), F.col("expired_at") == F.col("__at"), "left_semi")
+
+    columns = [*facts.columns, "outcome"]
+    changed = retracted.select(*columns).unionByName(unlinked.select(*columns)).unionByName(pair.select(*columns))
+    said = lambda df, outcome: df.select("uuid", F.lit(outcome).alias("outcome"))
+    report = said(sole, "retracted").unionByName(said(loose, "unlinked")).unionByName(said(opened, "reopened")).unionByName(said(still, "still_closed")).unionByName(said(unmarked, "unmarked"))
+
+    used = own.where("not __gone and not __only").select(F.explode(F.array("source_node_uuid", "target_node_uuid")).alias("uuid")).distinct()
+    by, former = _mark("summaryByEpisode"), F.coalesce(_mark("previousSummary"), F.lit(""))
+    back = F.coalesce(by == episode, F.lit(False)) & (former != F.col("summary"))
+    nodes = entities.withColumn("__back", back).withColumn("__summary", F.when(back, former).otherwise(F.col("summary")))
+    summaries = nodes.where("__back").withColumn("summary", F.col("__summary")).withColumn("attributes", _marks(("summaryByEpisode", "previousSummary"))).select(*entities.columns)
+    orphaned = nodes.where((_mark("createdByEpisode") == episode) & (F.col("__summary") == "")).join(used, "uuid", "left_anti").select("uuid")
+    mine = episodes.where(F.col("uuid") == episode)
+    over = F.coalesce(F.col("status") == "forgotten", F.lit(False))
+    mine = mine.withColumn("outcome", F.when(over, "conflict").otherwise("forgotten")).withColumn("error", F.lit(reason[:REASON_CHARS])).withColumn("status", F.lit("forgotten"))
+    return Forgotten(changed, report, summaries, orphaned, mine)
+

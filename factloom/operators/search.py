@@ -94,15 +94,19 @@ def rerank(candidates: DataFrame, limit: int | None = 10, least_cosine: float =
     return out.orderBy(*order).limit(limit) if limit is not None else out
 
 
-def anchors(entities: DataFrame, query: str, vector: list[float] | None = None) -> DataFrame:
-    """Entities that the query names as whole words; if none, up to three with a near name vector."""
-    low = query.lower()
+def naming_entities(entities: DataFrame, text: str) -> DataFrame:
+    """Entities that a text names: whole words for Latin names, anywhere for scripts without spaces."""
+    low = text.lower()
     if low.isascii():  # the rule for Latin names, in whole-stage code
         name = F.lower("name")
         whole = F.concat(F.lit(r"(?<![\p{IsLatin}\p{M}\p{N}_])\Q"), name, F.lit(r"\E(?![\p{IsLatin}\p{M}\p{N}_])"))
-        named = entities.where((F.length("name") >= 2) & F.lit(low).contains(name)).where(F.regexp_like(F.lit(low), whole))
-    else:
-        named = entities.where(mentioned(F.lit(query), F.col("name")))
+        return entities.where((F.length("name") >= 2) & F.lit(low).contains(name)).where(F.regexp_like(F.lit(low), whole))
+    return entities.where(mentioned(F.lit(text), F.col("name")))
+
+
+def anchors(entities: DataFrame, query: str, vector: list[float] | None = None) -> DataFrame:
+    """Entities that the query names; if none, up to three with a near name vector."""
+    named = naming_entities(entities, query)
     if vector is None or "name_embedding" not in entities.columns or not named.isEmpty():
         return named.select("uuid")
     q = F.array(*[F.lit(float(x)) for x in vector])
@@ -113,8 +117,9 @@ def anchors(entities: DataFrame, query: str, vector: list[float] | None = None)
 def hybrid_search(facts: DataFrame, entities: DataFrame, query: str, terms: list[str], vector: list[float] | None, at, as_of=None, group: str | None = None, history: bool = False, limit: int | None = 10, least_cosine: float = LEAST_COSINE) -> DataFrame:
     """Keyword and vector rankings fused, with proximity to the named entities and a relevance cut.
 
-    facts need tokens and embedding. Without a vector the search is by keywords
-    (and proximity) alone. All visible facts are candidates; there is no cap.
+    facts need tokens and embedding. Without a vector, as when the query could not
+    be embedded, the search is by keywords (and proximity) alone, and degraded is
+    true. All visible facts are candidates; there is no cap.
     """
     seen = scope(facts, group, at, as_of, history)
     kw = ranked(bm25(seen, terms).join(seen.select("uuid", "created_at"), "uuid"), "score", ["created_at", "uuid"]).select("uuid", F.col("rank").alias("kw_rank"))
@@ -126,7 +131,7 @@ def hybrid_search(facts: DataFrame, entities: DataFrame, query: str, terms: list
     own = anchors(entities if group is None else entities.where(F.col("group_id") == group), query, vector)
     placed = graph_distance(seen, own, neighbours(seen, own))
     all_ = placed.join(kw, "uuid", "left").join(vec, "uuid", "left")
-    return rerank(all_, limit, least_cosine)
+    return rerank(all_, limit, least_cosine).withColumn("degraded", F.lit(vector is None))
 
 
 def find_entities(entities: DataFrame, query: str, limit: int | None = 10, vector: list[float] | None = None) -> DataFrame:
@@ -147,6 +152,14 @@ def find_entities(entities: DataFrame, query: str, limit: int | None = 10, vecto
     return found.unionByName(rest.withColumn("tier", F.lit(4)).drop("c").select(*found.columns))
 
 
+def candidates(entities: DataFrame, name: str, limit: int = 10) -> DataFrame:
+    """The matches of a name in order, with chosen: whether they bear the best match's name, in whatever group."""
+    found = find_entities(entities, name, limit)
+    order = ["tier", F.length("name"), "created_at", "uuid"]
+    first = F.first(F.lower("name")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # at most limit rows
+    return found.withColumn("position", F.row_number().over(Window.orderBy(*order))).withColumn("chosen", F.lower("name") == first)
+
+
 def facts_about(facts: DataFrame, entities: DataFrame, name: str, at, as_of=None, group: str | None = None, history: bool = False, limit: int | None = 50) -> DataFrame:
     """Facts of the best match for a name (of all groups' entities of that name), the latest start first."""
     pool = entities if group is None else entities.where(F.col("group_id") == group)

@@ -24,7 +24,10 @@ ENTITIES = """entities AS (
   SELECT group_id || ':customer:' || c_custkey AS uuid, group_id, c_name AS name, 'Person' AS label, c_mktsegment AS summary FROM customer JOIN grp ON c_nationkey = n_nationkey
   UNION ALL SELECT group_id || ':supplier:' || s_suppkey, group_id, s_name, 'Organization', '' FROM supplier JOIN grp ON s_nationkey = n_nationkey
   UNION ALL SELECT group_id || ':nation:' || n_nationkey, group_id, n_name, 'Entity', '' FROM grp
-  UNION ALL SELECT DISTINCT tgt, group_id, p_name, 'Product', p_type FROM facts JOIN part ON p_partkey = CAST(split_part(tgt, ':', 3) AS BIGINT) WHERE facts.name IN ('BOUGHT', 'SUPPLIES')
+  UNION ALL SELECT group_id || ':part:' || p_partkey, group_id, p_name, 'Product', p_type FROM (
+    SELECT group_id, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN grp ON c_nationkey = n_nationkey
+    UNION SELECT group_id, l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN grp ON s_nationkey = n_nationkey
+  ) sold JOIN part ON l_partkey = p_partkey
 )"""
 
 EPISODES = """episodes AS (

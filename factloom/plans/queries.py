@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as X
 from factloom.functions.vectors import cosine, hash_embed
-from factloom.operators import access, corrections, graph, search, stats, temporal
-from factloom.plans.base_sql import RETRACTED, active, graph as G, known, notes as N, state
+from factloom.operators import access, corrections, graph, lookup, search, stats, temporal, views
+from factloom.plans.base_sql import EPISODES, RETRACTED, active, graph as G, known, notes as N, state
 from factloom.sources.project import Graph
 
 AT, AS_OF, LATER = "1998-06-15 00:00:00", "1998-07-01 00:00:00", "1999-03-01 00:00:00"
@@ -183,17 +183,25 @@ def entity_card(g):
 # ---- aggregates
 
 
-@query(G(f"""SELECT group_id, entities, facts, active, facts - active AS historical FROM (SELECT group_id, count(*) AS facts, count(*) FILTER (WHERE {active(AT_SQL, AT_SQL)}) AS active FROM facts GROUP BY 1)
-FULL JOIN (SELECT group_id, count(*) AS entities FROM entities GROUP BY 1) USING (group_id)"""))
+GROUPS_SQL = f"""SELECT group_id, coalesce(entities, 0) AS entities, coalesce(facts, 0) AS facts, coalesce(active, 0) AS active, coalesce(facts - active, 0) AS historical, coalesce(episodes, 0) AS episodes, coalesce(failed, 0) AS failed,
+coalesce(pending, 0) AS pending, coalesce(processed, 0) AS processed, coalesce(given_up, 0) AS given_up, last_episode
+FROM (SELECT group_id, count(*) AS facts, count(*) FILTER (WHERE {active(AT_SQL, AT_SQL)}) AS active FROM facts GROUP BY 1) FULL JOIN (SELECT group_id, count(*) AS entities FROM entities GROUP BY 1) USING (group_id)
+FULL JOIN (SELECT group_id, count(*) AS episodes, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE coalesce(status, 'processed') = 'processed') AS processed,
+count(*) FILTER (WHERE status = 'failed' AND attempts >= 3) AS given_up, max(created_at) AS last_episode FROM episodes GROUP BY 1) USING (group_id)"""
+
+
+def _group_stats(g):
+    return stats.group_stats(g.episodes, g.entities, g.facts, AT)
+
+
+@query(G(f"SELECT group_id, entities, facts, active, historical, episodes, given_up FROM ({GROUPS_SQL})", EPISODES))
 def group_stats(g):
-    return stats.group_stats(g.episodes.limit(0), g.entities, g.facts, AT).select("group_id", "entities", "facts", "active", "historical")
+    return _group_stats(g).select("group_id", "entities", "facts", "active", "historical", "episodes", "given_up")
 
 
-@query(N("""SELECT group_id, count(*) AS episodes, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE coalesce(status, 'processed') = 'processed') AS processed,
-count(*) FILTER (WHERE status = 'failed' AND attempts >= 3) AS given_up, max(created_at) AS last_episode FROM episodes GROUP BY 1"""))
+@query(G(f"SELECT group_id, entities, facts, active, episodes, failed, pending, processed, given_up, last_episode FROM ({GROUPS_SQL})", EPISODES))
 def group_listing(g):
-    e = stats.group_stats(g.episodes, g.entities.limit(0), g.facts.limit(0), AT)
-    return e.select("group_id", "episodes", "failed", "pending", "processed", "given_up", "last_episode").orderBy(F.col("last_episode").desc_nulls_last(), "group_id")
+    return _group_stats(g).select("group_id", "entities", "facts", "active", "episodes", "failed", "pending", "processed", "given_up", "last_episode").orderBy(F.col("last_episode").desc_nulls_last(), "group_id")
 
 
 @query(N("SELECT count(*) AS failed, count(*) FILTER (WHERE attempts >= 3) AS given_up FROM episodes WHERE status = 'failed'"))
@@ -224,12 +232,13 @@ def common_vector_length(g):
 # ---- text
 
 
-@query(N(r"SELECT substr(sha256(lower(regexp_replace(trim(content), '\s+', ' ', 'g'))), 1, 32) AS content_hash, count(*) AS n FROM episodes GROUP BY 1 HAVING count(*) > 1"))
+@query(N(r"SELECT substr(sha256(lower(regexp_replace(trim(nfc_normalize(content)), '\s+', ' ', 'g'))), 1, 32) AS content_hash, count(*) AS n FROM (SELECT content FROM episodes UNION ALL SELECT '  ' || replace(content, ' ', '   ') || ' ' FROM episodes WHERE attempts > 1) GROUP BY 1 HAVING count(*) > 1"))
 def content_hash_dupes(g):
-    return g.episodes.groupBy(X.content_hash(F.col("content")).alias("content_hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    spaced = g.episodes.where("attempts > 1").select(F.concat(F.lit("  "), F.replace("content", F.lit(" "), F.lit("   ")), F.lit(" ")).alias("content"))
+    return g.episodes.select("content").union(spaced).groupBy(X.content_hash(F.col("content")).alias("content_hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query(N(r"SELECT uuid, substr(sha256(lower(regexp_replace(trim(content), '\s+', ' ', 'g'))), 1, 32) || '@' || strftime(valid_at, '%Y-%m-%d') AS key FROM episodes"))
+@query(N(r"SELECT uuid, substr(sha256(lower(regexp_replace(trim(nfc_normalize(content)), '\s+', ' ', 'g'))), 1, 32) || '@' || strftime(valid_at, '%Y-%m-%d') AS key FROM episodes"))
 def idempotency_keys(g):
     return g.episodes.select("uuid", X.idempotency_key(F.col("content"), F.col("valid_at")).alias("key"))
 
@@ -259,7 +268,7 @@ def corpus_stats(g):
     return search.corpus_stats(docs, "tokens").select("n_docs", F.round("avg_len", 6).alias("avg_len"))
 
 
-@query()
+@query(r"SELECT doc_id, len(regexp_extract_all(lower(nfc_normalize(coalesce(text, ''))), '[\p{L}\p{N}]+')) AS n_tokens FROM documents")
 def tokenize_all(g):
     return g.table("documents").select("doc_id", F.size(X.tokenize(F.coalesce("text", F.lit("")))).alias("n_tokens"))
 
@@ -318,7 +327,7 @@ def _search_facts(g):
     return docs.join(vectors, "uuid", "left").withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
 
 
-@query(f"""WITH {BM25_SQL}, {VEC_SQL}, {RANKS_SQL},
+@query(f"""WITH {BM25_SQL}, {VEC_SQL.replace("FROM embeddings)", "FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))")}, {RANKS_SQL},
 near AS (SELECT DISTINCT lang AS u FROM documents WHERE source = 'src6'),
 c AS (SELECT d.doc_id, kr.r AS k, vr.r AS v, vs.cosine, CASE WHEN source = 'src6' THEN 0.125 / 61 WHEN lang IN (SELECT u FROM near) THEN 0.0625 / 61 ELSE 0 END AS bonus
       FROM documents d LEFT JOIN kr USING (doc_id) LEFT JOIN vs USING (doc_id) LEFT JOIN vr USING (doc_id))
@@ -340,7 +349,7 @@ def find_entities_tiered(g):
     return search.find_entities(g.entities, "Bolt", None).select("uuid", "name", "tier")
 
 
-@query(G(f"SELECT f.uuid FROM facts f WHERE (src IN (SELECT uuid FROM entities WHERE lower(name) = 'nation_3') OR tgt IN (SELECT uuid FROM entities WHERE lower(name) = 'nation_3')) AND {active(AT_SQL, AS_OF_SQL)}"))
+@query(G(f"SELECT f.uuid FROM facts f LEFT JOIN own a ON a.uuid = src LEFT JOIN own b ON b.uuid = tgt WHERE (a.uuid IS NOT NULL OR b.uuid IS NOT NULL) AND {active(AT_SQL, AS_OF_SQL)}", "own AS (SELECT uuid FROM entities WHERE lower(name) = 'nation_3')"))
 def facts_about(g):
     return search.facts_about(g.facts, g.entities, "Nation_3", AT, AS_OF, limit=None).select("uuid")
 
@@ -380,9 +389,6 @@ def window_normalise(g):
     return rows.select("l_orderkey", "l_linenumber", valid.alias("valid_at"), invalid.alias("invalid_at"), dated.alias("dated_by_episode"))
 
 
-SUPPLIES = "own AS (SELECT * FROM facts WHERE name = 'SUPPLIES')"
-
-
 @query("""SELECT a.user_id, a.event_id AS a, b.event_id AS b FROM (SELECT *, lead(ts, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS e FROM events) a JOIN (SELECT *, lead(ts, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS e FROM events) b
 ON a.user_id = b.user_id AND a.event_type < b.event_type AND (a.e IS NULL OR b.ts < a.e) AND (b.e IS NULL OR a.ts < b.e)""")
 def one_value_conflicts(g):
@@ -391,9 +397,9 @@ def one_value_conflicts(g):
     return graph.same_slot_conflicts(f).select(F.col(graph.SRC).alias("user_id"), "a", "b")
 
 
-@query(G("SELECT uuid, (SELECT min(valid_at) FROM own o WHERE o.src = own.src AND o.valid_at > own.valid_at) AS next_at FROM own", SUPPLIES))
+@query(G("""SELECT uuid, name, n.next_at FROM facts f LEFT JOIN (SELECT src, name, valid_at, lead(valid_at) OVER (PARTITION BY src, name ORDER BY valid_at) AS next_at FROM (SELECT DISTINCT src, name, valid_at FROM facts WHERE valid_at IS NOT NULL)) n USING (src, name, valid_at)"""))
 def next_value(g):
-    return graph.next_value(g.supplies).select("uuid", "next_at")
+    return graph.next_value(g.facts).select("uuid", "name", "next_at")
 
 
 @query(f"""WITH own AS (SELECT event_id AS uuid, user_id, ts AS valid_at, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS invalid_at FROM events)
@@ -404,10 +410,9 @@ def later_values(g):
     return corrections.later_values(f)
 
 
-@query(G(f"SELECT uuid, CASE WHEN valid_at IS NULL THEN NULL ELSE valid_at END AS invalid_at, {LATER_SQL} AS expired_at FROM facts WHERE name = 'BOUGHT' AND group_id = 'ASIA' AND NOT {RETRACTED}"))
+@query(G(f"SELECT uuid, valid_at AS invalid_at, {LATER_SQL} AS expired_at FROM facts WHERE NOT {RETRACTED}"))
 def retract_preview(g):
-    own = g.bought.where("group_id = 'ASIA'")
-    return corrections.retract_facts(own, own.select("uuid"), LATER).select("uuid", "invalid_at", "expired_at")
+    return corrections.retract_facts(g.facts, g.facts.select("uuid"), LATER).select("uuid", "invalid_at", "expired_at")
 
 
 @query(G(f"""SELECT uuid, outcome, count(*) AS n FROM (SELECT group_id AS uuid, CASE WHEN {RETRACTED} OR coalesce(invalid_at <= least({AT_SQL}, {LATER_SQL}), false) OR coalesce({AT_SQL} <= valid_at, false) THEN 'conflict' ELSE 'ended' END AS outcome FROM facts WHERE name = 'BOUGHT') GROUP BY ALL"""))
@@ -476,11 +481,14 @@ def _notes(g):
     return e.select(F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("uuid"), group.alias("group_id"), text.alias("content"), F.col("ts").alias("valid_at"), F.col("ts").alias("created_at"))
 
 
-@query()
+@query(f"""SELECT 'n' || event_id AS uuid, 'User' || user_id AS source_name, {["Acme", "Globex", "Initech", "Umbrella", "Hooli", "Stark"]}[1 + event_id % 6] AS target_name, CASE WHEN event_type IN ('error', 'signup') THEN 'WORKS_AT' ELSE 'LIKES' END AS relation, event_type = 'error' AS ended, 2 AS entities FROM events""")
 def mock_extract(g):
-    from factloom.ingest.job import with_payload
+    from factloom.ingest.extract import extraction
 
-    return with_payload(_notes(g)).select("uuid", "payload")
+    own = _notes(g).withColumn("x", extraction(F.col("content")))
+    stated = F.transform("x.facts", lambda f: F.struct(f["source_name"].alias("source_name"), f["target_name"].alias("target_name"), f["relation"].alias("relation"), F.lit(False).alias("ended")))
+    over = F.transform("x.invalidations", lambda f: F.struct(f["source_name"].alias("source_name"), f["target_name"].alias("target_name"), f["relation"].alias("relation"), F.lit(True).alias("ended")))
+    return own.select("uuid", F.size("x.entities").alias("entities"), F.inline(F.concat(stated, over)))
 
 
 @query()
@@ -490,8 +498,320 @@ def ingest_fold(g):
     return fold_groups(with_payload(_notes(g)), empty_state(g.spark))
 
 
+def _all_end(statement, shown):
+    return True
+
+
+@query("""SELECT 'n' || event_id || '/f0' AS uuid, date_trunc('millisecond', ts) AS valid_at, date_trunc('millisecond', CASE WHEN after = ts THEN ts + INTERVAL 1 MILLISECOND ELSE after END) AS invalid_at FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, 'n' || event_id) AS after FROM events)""")
+def fold_chain(g):
+    """The fold where every note gives its user another role: each value ends where the next one begins."""
+    from factloom.ingest.job import empty_state, fold_groups
+
+    n, user = F.col("event_id").cast("string"), F.concat(F.lit("User"), F.col("user_id").cast("string"))
+    role = F.concat(F.lit("role"), n)
+    said = F.struct(user.alias("source_name"), role.alias("target_name"), F.lit("HAS_ROLE").alias("relation"), F.concat_ws(" ", user, F.lit("is"), role).alias("fact"))
+    met = F.transform(F.array(user, role), lambda x: F.struct(x.alias("name"), F.array(F.lit("Thing")).alias("labels")))
+    notes = g.table("events").select(
+        F.concat(F.lit("n"), n).alias("uuid"), user.alias("group_id"), F.concat_ws(" ", F.lit("note"), n).alias("content"), F.col("ts").alias("valid_at"), F.col("ts").alias("created_at"),
+        F.to_json(F.struct(met.alias("entities"), F.array(said).alias("facts"), F.array().cast("array<string>").alias("invalidations"))).alias("payload"),
+    )
+    changes = fold_groups(notes, empty_state(g.spark), _all_end).where("kind = 'fact'")
+    moment = lambda name: F.to_timestamp_ntz(F.get_json_object("row", f"$.{name}"))
+    return changes.select("uuid", moment("valid_at").alias("valid_at"), moment("invalid_at").alias("invalid_at"))
+
+
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_windows(g):
     from factloom.streaming.ingest import windowed_counts
 
     return windowed_counts(g.table("events"))
+
+
+# ---- lookups and views
+
+
+@query(G("SELECT uuid, name, fact FROM facts WHERE uuid = 'ch:7'"))
+def fact_by_uuid(g):
+    return lookup.by_uuid(g.facts, "ch:7").select("uuid", "name", "fact")
+
+
+@query(G("SELECT uuid, name FROM facts WHERE uuid IN (SELECT 'ch:' || c_custkey FROM customer WHERE c_custkey % 3 = 0)"))
+def facts_by_uuids(g):
+    ids = g.table("customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("ch:"), F.col("c_custkey")).alias("uuid"))
+    return lookup.by_uuids(g.facts, ids).select("uuid", "name")
+
+
+PREFIXES = ["europe:n", "EUROPE:nation:3", "asia:customer:1", " Africa:supplier:", "nowhere:x", "asia"]
+
+
+@query(G(f"""SELECT prefix, CASE WHEN length(p) < 8 THEN 'too_short' WHEN n = 0 THEN 'not_found' WHEN n > 1 THEN 'ambiguous' ELSE 'found' END AS outcome, CASE WHEN length(p) < 8 THEN 0 ELSE n END AS matches, CASE WHEN n = 1 THEN u END AS uuid
+FROM (SELECT prefix, lower(trim(prefix)) AS p, count(e.uuid) AS n, min(e.uuid) AS u FROM (SELECT unnest({PREFIXES}) AS prefix) LEFT JOIN entities e ON starts_with(lower(e.uuid), lower(trim(prefix))) AND length(trim(prefix)) >= 8 GROUP BY ALL)"""))
+def prefix_lookup(g):
+    return lookup.by_prefix(g.entities, g.spark.createDataFrame([(p,) for p in PREFIXES], "prefix string"))
+
+
+@query(G("SELECT uuid, name FROM entities WHERE contains(lower(name), 'build') OR contains(lower(coalesce(summary, '')), 'build')"))
+def entity_filter(g):
+    return lookup.naming(g.entities, "BUILD").select("uuid", "name")
+
+
+@query(G("SELECT uuid, min(origin) AS origin FROM (SELECT uuid, 0 AS origin FROM facts WHERE group_id = 'ASIA' UNION ALL SELECT uuid, 1 FROM facts WHERE name = 'SUPPLIES') GROUP BY uuid"))
+def first_of_each(g):
+    own = g.facts.select("uuid", "group_id", "name")
+    return lookup.first_of_each([own.where("group_id = 'ASIA'").select("uuid"), own.where("name = 'SUPPLIES'").select("uuid")])
+
+
+def _cited(g):
+    """Order lines with the episodes that they cite; some of these are not there."""
+    turn = lambda key, n: F.concat_ws(":", F.lit("e"), (F.col(key) % 40).cast("string"), F.lit(n))
+    cited = g.table("lineitem").select(F.concat_ws(":", F.lit("b"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("uuid"), F.array_distinct(F.array(turn("l_orderkey", "0"), turn("l_partkey", "0"), turn("l_suppkey", "1"), turn("l_linenumber", "2"))).alias("episodes"))
+    return g.bought.join(cited.dropDuplicates(["uuid"]), "uuid")
+
+
+CITED_SQL = """cited AS (SELECT f.*, list_distinct([a, b, c, d]) AS eps, a, b, c, d FROM (SELECT DISTINCT 'b:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS uuid,
+  'e:' || (l_orderkey % 40) || ':0' AS a, 'e:' || (l_partkey % 40) || ':0' AS b, 'e:' || (l_suppkey % 40) || ':1' AS c, 'e:' || (l_linenumber % 40) || ':2' AS d FROM lineitem) l JOIN facts f USING (uuid))"""
+
+
+@query(G("SELECT uuid, CASE WHEN a = 'e:3:0' THEN 'facts' ELSE 'reinforced' END AS part FROM cited WHERE list_contains(eps, 'e:3:0')", CITED_SQL))
+def episode_parts(g):
+    return views.facts_of_episode(_cited(g), "e:3:0").select("uuid", "part")
+
+
+@query(G("""SELECT uuid, status, row_number() OVER (ORDER BY valid_at DESC, uuid) AS position, n > 50 AS truncated FROM (SELECT *, count(*) OVER () AS n FROM episodes WHERE created_at <= TIMESTAMP '2024-02-01 00:00:00'
+AND uuid IN (SELECT unnest(eps) FROM cited WHERE src = 'ASIA:customer:' || (SELECT min(c_custkey) FROM customer JOIN grp ON c_nationkey = n_nationkey WHERE group_id = 'ASIA') OR group_id = 'EUROPE')) QUALIFY position <= 50""", EPISODES, CITED_SQL))
+def card_episodes(g):
+    first = g.customers.where("group_id = 'ASIA'").agg(F.concat(F.lit("ASIA:customer:"), F.min("c_custkey").cast("string")).alias("first"))
+    facts = _cited(g).crossJoin(F.broadcast(first)).where((F.col(graph.SRC) == F.col("first")) | (F.col("group_id") == "EUROPE"))
+    shown = views.card_episodes(facts, g.episodes, "2024-02-01 00:00:00")
+    w = Window.orderBy(F.col("valid_at").desc(), "uuid")
+    return shown.select("uuid", "status", F.row_number().over(w).alias("position"), "truncated")
+
+
+DAY_SQL = lambda c: f"strftime({c}, '%Y-%m-%d')"
+
+
+@query(G(f"""SELECT uuid, '[' || substr(uuid, 1, 8) || '] ' || source || ' --' || name || '--> ' || target || ' | "' || fact || '" | ' ||
+CASE WHEN {RETRACTED} THEN 'retracted' WHEN invalid_at > {AT_SQL} THEN 'since ' || coalesce({DAY_SQL("valid_at")}, '?') || ', until ' || {DAY_SQL("invalid_at")}
+WHEN invalid_at IS NOT NULL THEN 'true ' || coalesce({DAY_SQL("valid_at")}, '?') || ' → ' || {DAY_SQL("invalid_at")} WHEN valid_at > {AT_SQL} THEN 'from ' || {DAY_SQL("valid_at")}
+WHEN valid_at IS NOT NULL THEN 'since ' || {DAY_SQL("valid_at")} ELSE 'still true' END || ' | ep ' || substr(eps2[1], 1, 8) || coalesce(', ' || substr(eps2[2], 1, 8), '') || coalesce(', ' || substr(eps2[3], 1, 8), '') || CASE WHEN len(eps2) > 3 THEN ' +' || (len(eps2) - 3) ELSE '' END AS line
+FROM (SELECT c.*, s.name AS source, t.name AS target, list_concat([a], list_concat(CASE WHEN b <> a THEN [b] ELSE [] END, list_concat(CASE WHEN c NOT IN (a, b) THEN [c] ELSE [] END, CASE WHEN d NOT IN (a, b, c) THEN [d] ELSE [] END))) AS eps2 FROM cited c JOIN entities s ON s.uuid = src JOIN entities t ON t.uuid = tgt WHERE c.group_id = 'ASIA')""", CITED_SQL))
+def fact_lines(g):
+    shown = views.fact_rows(_cited(g).where("group_id = 'ASIA'"), g.entities)
+    return shown.select("uuid", views.fact_line(AT).alias("line"))
+
+
+GRAPH_VIEW_SQL = f"""drawn AS (SELECT * FROM edges WHERE group_id = 'ASIA'),
+shown AS (SELECT * FROM drawn ORDER BY created_at DESC, uuid LIMIT 300),
+deg AS (SELECT uuid, count(*) AS degree FROM (SELECT src AS uuid FROM shown UNION ALL SELECT tgt FROM shown) GROUP BY uuid),
+own AS (SELECT * FROM entities WHERE group_id = 'ASIA'),
+alone AS (SELECT uuid FROM own WHERE uuid NOT IN (SELECT uuid FROM deg) ORDER BY uuid LIMIT (SELECT greatest(0, 300 - count(*)) FROM deg))"""
+
+
+def _graph_view(g):
+    asia = F.col("group_id") == "ASIA"
+    return views.graph_view(g.facts.where(asia), g.entities.where(asia), AT, AS_OF, limit=300, with_isolated=True)
+
+
+@query(G("SELECT own.uuid, own.name, label, coalesce(degree, 0) AS degree FROM own LEFT JOIN deg USING (uuid) WHERE degree IS NOT NULL OR uuid IN (SELECT uuid FROM alone)", EDGES_SQL, GRAPH_VIEW_SQL))
+def graph_view_nodes(g):
+    return _graph_view(g).nodes.select("uuid", "name", "label", "degree")
+
+
+@query(G(f"""SELECT (SELECT count(*) FROM own) AS entities, (SELECT count(*) FROM facts WHERE group_id = 'ASIA') AS facts, (SELECT count(*) FROM shown) AS edges, (SELECT count(*) FROM deg) + (SELECT count(*) FROM alone) AS nodes,
+(SELECT count(*) FROM facts WHERE group_id = 'ASIA') - (SELECT count(*) FROM shown) AS hidden_edges, (SELECT count(*) FROM drawn) > 300 OR (SELECT count(*) FROM own WHERE uuid NOT IN (SELECT uuid FROM deg)) > (SELECT count(*) FROM alone) AS truncated""", EDGES_SQL, GRAPH_VIEW_SQL))
+def graph_view_counts(g):
+    return _graph_view(g).counts.select("entities", "facts", "edges", "nodes", "hidden_edges", "truncated")
+
+
+@query(G(f"SELECT f.uuid, CASE WHEN invalid_at IS NOT NULL AND coalesce(expired_at, f.created_at) <= {AS_OF_SQL} THEN invalid_at END AS ends_at, coalesce(expired_at > {AS_OF_SQL}, false) AS revised_later FROM facts f JOIN entities s ON s.uuid = src JOIN entities t ON t.uuid = tgt WHERE {state(AT_SQL, AS_OF_SQL)} = 'active'"))
+def graph_edge_ends(g):
+    return views.graph_edges(g.facts, g.entities, AT, AS_OF).select("uuid", "ends_at", "revised_later")
+
+
+@query(G("SELECT f.uuid, coalesce(s.name, src) AS source, coalesce(t.name, tgt) AS target FROM facts f LEFT JOIN (SELECT * FROM entities WHERE label <> 'Product') s ON s.uuid = src LEFT JOIN (SELECT * FROM entities WHERE label <> 'Product') t ON t.uuid = tgt"))
+def fact_names_or_ids(g):
+    named = g.entities.where(graph.primary_label(F.col("labels")) != "Product")
+    return temporal.with_names(g.facts, named).select("uuid", F.col("source_name").alias("source"), F.col("target_name").alias("target"))
+
+
+@query(G(r"""SELECT uuid, name, row_number() OVER (ORDER BY tier, length(name), uuid) AS position, lower(name) = first_value(lower(name)) OVER (ORDER BY tier, length(name), uuid) AS chosen FROM (SELECT *, CASE WHEN lower(name) = 'nation_1' THEN 0 WHEN starts_with(lower(name), 'nation_1') OR len(list_filter(regexp_split_to_array(lower(name), '[\s_.-]+'), lambda w: starts_with(w, 'nation_1'))) > 0 THEN 1 WHEN contains(lower(name), 'nation_1') THEN 2 ELSE 3 END AS tier FROM entities) WHERE tier < 3 ORDER BY tier, length(name), uuid LIMIT 10"""))
+def entity_candidates(g):
+    return search.candidates(g.entities, "nation_1").select("uuid", "name", "position", "chosen")
+
+
+# ---- what an extractor is told
+
+SAID = "Nation_3 and NATION_7 buy bolt steel; nation_33 does not"
+NAMED_SQL = "named AS (SELECT uuid, name FROM entities WHERE length(name) >= 2 AND regexp_matches(lower('" + SAID + "'), '(^|[^a-z0-9_])' || regexp_escape(lower(name)) || '([^a-z0-9_]|$)'))"
+
+
+@query(G("SELECT uuid, name, row_number() OVER (ORDER BY length(name) DESC, uuid) AS position FROM named QUALIFY position <= 200", NAMED_SQL))
+def known_entities(g):
+    from factloom.ingest.context import known_entities as known_
+
+    return known_(g.entities, SAID).select("uuid", "name", "position")
+
+
+@query(G(f"""SELECT uuid, min(position) AS position, any_value(relation) AS relation FROM (SELECT f.uuid, f.name AS relation, f.created_at, p.position FROM (SELECT uuid, row_number() OVER (ORDER BY length(name) DESC, uuid) AS position FROM named QUALIFY position <= 30) p
+JOIN facts f ON f.src = p.uuid OR f.tgt = p.uuid WHERE {active(AT_SQL, AT_SQL)} OR (valid_at > {AT_SQL} AND {active("valid_at", AT_SQL)})) GROUP BY uuid ORDER BY min(position), any_value(created_at), uuid LIMIT 50""", NAMED_SQL))
+def known_facts(g):
+    from factloom.ingest.context import known_entities as known_, known_facts as facts_
+
+    return facts_(g.facts, known_(g.entities, SAID), g.entities, AT).select("uuid", "position", "relation")
+
+
+# ---- saving, retrying, forgetting
+
+SAVE_SQL = """old AS (SELECT uuid, group_id, coalesce(status, 'processed') AS status, created_at, CASE WHEN turn % 2 = 0 THEN h || '@' || strftime(valid_at, '%Y-%m-%d') ELSE h || '@' || strftime(valid_at, '%Y-%m-%d') END AS key
+  FROM (SELECT *, CAST(split_part(uuid, ':', 3) AS INT) AS turn, CAST(split_part(uuid, ':', 2) AS INT) AS conv, substr(sha256(lower(regexp_replace(trim(nfc_normalize(content)), '\\s+', ' ', 'g'))), 1, 32) AS h FROM episodes) WHERE conv % 3 <> 0),
+inc AS (SELECT 'i' || k || uuid AS uuid, group_id, created_at, substr(sha256(lower(regexp_replace(trim(nfc_normalize(content)), '\\s+', ' ', 'g'))), 1, 32) || '@' || strftime(valid_at, '%Y-%m-%d') AS key FROM episodes, (SELECT unnest([1, 2]) AS k)),
+held AS (SELECT group_id, key, arg_min(uuid, (status <> 'processed', created_at, uuid)) AS uuid, arg_min(status, (status <> 'processed', created_at, uuid)) AS status FROM old GROUP BY ALL)"""
+
+
+@query(N("""SELECT i.uuid, CASE WHEN h.status = 'processed' THEN 'duplicate' WHEN h.status = 'failed' THEN 'retry' WHEN h.uuid IS NOT NULL THEN 'pending' WHEN row_number() OVER w = 1 THEN 'new' ELSE 'pending' END AS outcome, coalesce(h.uuid, first_value(i.uuid) OVER w) AS episode
+FROM inc i LEFT JOIN held h USING (group_id, key) WINDOW w AS (PARTITION BY group_id, key ORDER BY i.created_at, i.uuid)""", SAVE_SQL))
+def save_outcomes(g):
+    from factloom.ingest import lifecycle
+
+    e = g.episodes
+    bare = X.content_hash(F.col("content"))
+    day = F.date_format("valid_at", "yyyy-MM-dd")
+    turn, conv = (F.split("uuid", ":").getItem(k).cast("int") for k in (2, 1))
+    old = e.where(conv % 3 != 0).withColumn("content_hash", F.when(turn % 2 == 0, F.concat(bare, F.lit("@"), day)).otherwise(bare))
+    twice = e.withColumn("k", F.explode(F.array(F.lit("1"), F.lit("2"))))
+    asked = twice.select(F.concat(F.lit("i"), "k", "uuid").alias("uuid"), "group_id", "content", "valid_at", "created_at", F.lit(None).cast("string").alias("explicit_key"))
+    return lifecycle.save(asked, old).select("uuid", "outcome", "episode")
+
+
+@query(N("SELECT uuid, CASE WHEN n % 3 = 0 THEN attempts + 1 ELSE attempts END AS attempts, CASE WHEN n % 3 = 0 THEN CASE WHEN n % 2 = 0 THEN 'failed' ELSE 'processed' END ELSE status END AS status, CASE WHEN n % 3 = 0 AND n % 2 = 0 THEN 500 ELSE 0 END AS error_chars FROM (SELECT *, CAST(split_part(uuid, ':', 2) AS INT) AS n FROM episodes)"))
+def episode_outcomes(g):
+    from factloom.ingest import lifecycle
+
+    n = F.split("uuid", ":").getItem(1).cast("int")
+    done = g.episodes.where(n % 3 == 0).select("uuid", F.when(n % 2 == 0, "failed").otherwise("processed").alias("status"), F.repeat(F.lit("boom "), 200).alias("error"))
+    return lifecycle.finished(g.episodes.withColumn("error", F.lit(None).cast("string")), done).select("uuid", "attempts", "status", F.coalesce(F.length("error"), F.lit(0)).alias("error_chars"))
+
+
+@query(N("SELECT uuid, why FROM (SELECT uuid, 'retry' AS why FROM episodes WHERE status = 'failed' AND attempts < 3 ORDER BY created_at, uuid LIMIT 5) UNION ALL SELECT uuid, 'recover' FROM episodes WHERE status = 'pending'"))
+def retry_feed(g):
+    from factloom.ingest import lifecycle
+
+    return lifecycle.to_feed(g.episodes, recover=True).select("uuid", "why")
+
+
+@query("SELECT count(*) FILTER (WHERE event_type = 'signup') AS queued, count(*) FILTER (WHERE event_type = 'click') AS running FROM events")
+def job_counters(g):
+    from factloom.ingest import lifecycle
+
+    jobs = g.table("events").select(F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "click", "running").otherwise("done").alias("status"))
+    return lifecycle.job_counts(jobs)
+
+
+def _chains(g):
+    """Users' roles from events: one-valued slots whose values were closed by the next one's episode."""
+    e = g.table("events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    k = F.col("event_id")
+    own = e.select("event_id", "user_id", "event_type", "ts", F.lead("ts").over(w).alias("after"), F.lead("event_id").over(w).alias("closer"))
+    outdated = (k % 11 == 0) & F.col("after").isNotNull()
+    marks = F.to_json(F.struct(
+        F.when((k % 13 != 0) & F.col("closer").isNotNull(), F.concat(F.lit("s"), (F.col("closer") % 7).cast("string"))).alias("closedByEpisode"),
+        F.when(k % 4 == 0, F.date_format(F.col("after") + F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("previousEnd"),
+        F.when(outdated, F.lit(True)).alias("outdatedWhenWritten"),
+    ))
+    other = F.when(k % 3 == 0, F.concat(F.lit("t"), (k % 5).cast("string")))
+    return own.select(
+        F.concat(F.lit("h"), k.cast("string")).alias("uuid"), F.lit("g").alias("group_id"), F.col("user_id").cast("string").alias(graph.SRC), F.col("event_type").alias(graph.TGT), F.lit("has role").alias("name"), F.lit("").alias("fact"),
+        F.array_compact(F.array(F.concat(F.lit("s"), (k % 7).cast("string")), other)).alias("episodes"), F.col("ts").alias("valid_at"), F.when(outdated, F.col("ts")).otherwise(F.col("after")).alias("invalid_at"),
+        F.col("ts").alias("created_at"), F.col("after").alias("expired_at"), marks.alias("attributes"),
+    )
+
+
+FORGET_SQL = """f AS (SELECT 'h' || event_id AS uuid, user_id, event_id AS k, ts AS v, CASE WHEN event_id % 11 = 0 AND after IS NOT NULL THEN ts ELSE after END AS i, ts AS c, after AS x, event_id % 11 = 0 AND after IS NOT NULL AS outdated,
+  CASE WHEN event_id % 13 <> 0 AND closer IS NOT NULL THEN 's' || (closer % 7) END AS shut_by, CASE WHEN event_id % 4 = 0 THEN after + INTERVAL 1 DAY END AS prev, 's' || (event_id % 7) AS e1, CASE WHEN event_id % 3 = 0 THEN 't' || (event_id % 5) END AS e2
+  FROM (SELECT *, lead(ts) OVER w AS after, lead(event_id) OVER w AS closer FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))),
+g AS (SELECT *, CASE WHEN i IS NOT NULL THEN coalesce(i <= v, false) ELSE x IS NOT NULL END AS gone, i IS NOT NULL AND (NOT (i <= v) OR outdated) AS closed, e1 = 's3' AS cited, e1 = 's3' AND e2 IS NULL AS sole FROM f),
+seen AS (SELECT a.uuid, min(CASE WHEN b.v > a.v OR b.v = a.v AND b.c > a.c THEN b.v END) AS nxt, coalesce(bool_or(b.v <= a.v AND (b.i IS NULL OR a.v < b.i)), false) AS there
+  FROM g a LEFT JOIN g b ON a.user_id = b.user_id AND a.uuid <> b.uuid AND NOT b.gone AND NOT b.sole WHERE a.shut_by = 's3' AND a.closed AND NOT a.sole GROUP BY a.uuid),
+judged AS (SELECT g.*, nxt, least(CASE WHEN prev > v THEN prev END, nxt) AS stop, CASE WHEN outdated THEN there ELSE nxt IS NOT NULL AND coalesce(least(CASE WHEN prev > v THEN prev END, nxt) <= i, false) END AS taken FROM g JOIN seen USING (uuid)),
+said AS (SELECT uuid, 'retracted' AS outcome, v AS ends FROM g WHERE sole AND (NOT gone OR closed AND outdated)
+  UNION ALL SELECT uuid, 'unlinked', NULL FROM g WHERE cited AND NOT sole AND (uuid NOT IN (SELECT uuid FROM judged) OR uuid IN (SELECT uuid FROM judged WHERE taken))
+  UNION ALL SELECT uuid, 'reopened', stop FROM judged WHERE NOT taken UNION ALL SELECT uuid, 'still_closed', NULL FROM judged WHERE taken
+  UNION ALL SELECT uuid, 'unmarked', NULL FROM g WHERE closed AND NOT sole AND shut_by IS NULL AND x IN (SELECT c FROM g WHERE e1 = 's3'))"""
+
+
+@query(f"WITH {FORGET_SQL} SELECT uuid, outcome, ends FROM said")
+def forget_episode(g):
+    none = g.spark.createDataFrame([], "uuid string, summary string, attributes string")
+    notes = g.spark.createDataFrame([("s3", "processed")], "uuid string, status string")
+    out = corrections.forget_episode(_chains(g), none, notes, "s3", "wrong note", LATER)
+    ends = out.facts.where("outcome in ('retracted', 'reopened')").select(F.substring_index("uuid", "#", 1).alias("uuid"), "outcome", F.col("invalid_at").alias("ends"))
+    return out.report.join(ends, ["uuid", "outcome"], "left")
+
+
+@query("""WITH f AS (SELECT event_id AS uuid, user_id, ts AS v, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)
+SELECT uuid, CASE WHEN i IS NULL THEN 'conflict' WHEN i <= v THEN 'reopened' ELSE 'reopened' END AS outcome FROM f UNION ALL SELECT uuid, 'withdrawn' FROM f WHERE i IS NOT NULL""")
+def reopen_preview(g):
+    e = temporal.supersede_chain(g.table("events"), ["user_id"], ["ts", "event_id"], "ts")
+    f = e.select(F.col("event_id").cast("string").alias("uuid"), F.col("ts").alias("valid_at"), "invalid_at", F.col("ts").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("expired_at"))
+    out = corrections.reopen_facts(f, f.select("uuid", F.lit(None).cast("timestamp_ntz").alias("invalid_at")), LATER)
+    return out.select(F.substring_index("uuid", "#", 1).cast("long").alias("uuid"), "outcome")
+
+
+# ---- access
+
+WITHIN = [("ann", "A*"), ("ann", "EUROPE"), ("bob", "AS*"), ("eve", "AMERICA")]
+LIMITS = [("ann", "reader", True), ("bob", None, True), ("eve", "writer", False)]
+PAIRED = 'SELECT g."user", CASE WHEN starts_with(rtrim(g.pattern, \'*\'), rtrim(w.pattern, \'*\')) AND ends_with(w.pattern, \'*\') OR g.pattern = w.pattern THEN g.pattern WHEN ends_with(g.pattern, \'*\') AND starts_with(rtrim(w.pattern, \'*\'), rtrim(g.pattern, \'*\')) THEN w.pattern END AS pattern, role FROM grants g JOIN within_ w ON g."user" = w."user"'
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("NULL" if x is None else str(x).lower() if isinstance(x, bool) else repr(x) for x in r) + ")" for r in rows)
+
+
+@query(f"""WITH grants("user", pattern, role) AS (VALUES {_values(GRANTS)}), within_("user", pattern) AS (VALUES {_values(WITHIN)}), limits("user", cap, narrowed) AS (VALUES {_values(LIMITS)}),
+kept AS (SELECT g.* FROM grants g LEFT JOIN limits l USING ("user") WHERE NOT coalesce(narrowed, false) UNION ALL SELECT p.* FROM ({PAIRED}) p JOIN limits l USING ("user") WHERE narrowed AND pattern IS NOT NULL),
+r AS (SELECT "user", pattern, max(least(CASE role WHEN 'owner' THEN 3 WHEN 'writer' THEN 2 ELSE 1 END, CASE cap WHEN 'writer' THEN 2 WHEN 'reader' THEN 1 ELSE 3 END)) AS n FROM kept LEFT JOIN limits USING ("user") GROUP BY ALL)
+SELECT "user", pattern, CASE n WHEN 3 THEN 'owner' WHEN 2 THEN 'writer' ELSE 'reader' END AS role FROM r""")
+def effective_grants(g):
+    frame = g.spark.createDataFrame
+    return access.effective_grants(frame(GRANTS, "user string, pattern string, role string"), frame(LIMITS, "user string, cap string, narrowed boolean"), frame(WITHIN, "user string, pattern string"))
+
+
+REQUESTS = [(1, "ann", "EUROPE", "read", "ASIA"), (2, "ann", "", "write", "ASIA"), (3, "bob", "EUROPE", "write", "ASIA"), (4, "bob", None, "manage", "ASIA"), (5, "eve", "ASIA", "read", ""), (6, "eve", None, "read", "nope"), (7, "bob", "EUROPE", "manage", "")]
+
+
+@query(f"""WITH grants("user", pattern, role) AS (VALUES {_values(GRANTS)}), q(id, "user", group_id, need, dflt) AS (VALUES {_values(REQUESTS)}),
+m AS (SELECT "user", r_name AS group_id, max(CASE role WHEN 'owner' THEN 3 WHEN 'writer' THEN 2 ELSE 1 END) AS r FROM grants, region WHERE CASE WHEN ends_with(pattern, '*') THEN starts_with(r_name, rtrim(pattern, '*')) ELSE pattern = r_name END GROUP BY ALL),
+j AS (SELECT id, q."user", coalesce(nullif(q.group_id, ''), dflt) AS group_id, coalesce(q.group_id, '') <> '' AS named, need, r FROM q LEFT JOIN m ON m."user" = q."user" AND m.group_id = coalesce(nullif(q.group_id, ''), dflt))
+SELECT id, "user", group_id, CASE r WHEN 3 THEN 'owner' WHEN 2 THEN 'writer' WHEN 1 THEN 'reader' END AS role, CASE WHEN r IS NULL THEN CASE WHEN named THEN 'forbidden' ELSE 'no_default' END WHEN r >= CASE need WHEN 'manage' THEN 3 WHEN 'write' THEN 2 ELSE 1 END THEN 'ok' WHEN need = 'manage' THEN 'needs_owner' ELSE 'read_only' END AS outcome FROM j""")
+def resolve_groups(g):
+    held = access.roles(g.spark.createDataFrame(GRANTS, "user string, pattern string, role string"), g.table("region").select(F.col("r_name").alias("group_id")))
+    return access.resolved(g.spark.createDataFrame(REQUESTS, "id long, user string, group_id string, need string, default_group string"), held)
+
+
+@query("""SELECT c_custkey AS id, 'u' || (c_custkey % 10) AS "user", c_custkey % 10 = 4 AND c_custkey % 3 <> 0 AS admin, c_custkey % 3 = 0 AS narrowed FROM customer WHERE c_custkey % 5 <> 0 AND (c_custkey % 4 <> 0 OR c_acctbal > 0) AND c_custkey % 10 <> 7""")
+def token_principals(g):
+    k = F.col("c_custkey")
+    none = F.lit(None).cast("timestamp_ntz")
+    day = lambda d: F.lit(d).cast("timestamp_ntz")
+    tokens = g.table("customer").select(
+        k.alias("id"), F.concat(F.lit("u"), (k % 10).cast("string")).alias("user"), F.when(k % 3 == 0, F.array(F.lit("A*"))).alias("groups"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("default_group"),
+        F.when(k % 5 == 0, day(AT)).otherwise(none).alias("revoked_at"), F.when(k % 4 == 0, F.when(F.col("c_acctbal") > 0, day(LATER)).otherwise(day(AT))).otherwise(none).alias("expires_at"),
+    )
+    users = g.spark.createDataFrame([(f"u{n}", n == 4, n == 7, "g") for n in range(10)], "name string, admin boolean, disabled boolean, default_group string")
+    return access.principals(tokens, users, AS_OF).select("id", "user", "admin", "narrowed")
+
+
+@query(f"SELECT count(*) AS purged FROM orders WHERE o_orderdate <= {AT_SQL}")
+def session_purge(g):
+    return access.purged(g.table("orders").select(F.col("o_orderdate").alias("expires_at")), AT)[1]
+
+
+@query("SELECT vec_id, len(embedding) AS dims, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+def vector_text(g):
+    from factloom.functions.vectors import from_text, to_text
+
+    own = g.table("embeddings").select("vec_id", to_text(F.col("embedding")).alias("t"))
+    v = from_text(F.col("t"))
+    return own.select("vec_id", F.size(v).alias("dims"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))

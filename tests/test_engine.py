@@ -125,7 +125,10 @@ def test_corrections(spark):
     assert {r.uuid: r.outcome for r in corrections.end_facts(f, ids, "2025-07-01").collect()} == {"open": "ended", "over": "conflict", "gone": "conflict"}
     assert {r.uuid for r in corrections.retract_facts(f, ids, "2025-07-01").collect()} == {"open", "over"}
     back = corrections.reopen_facts(f, f.select("uuid", F.lit(None).cast("timestamp_ntz").alias("invalid_at")), "2025-07-01").collect()
-    assert sorted((r.outcome, r.invalid_at) for r in back if r.outcome == "reopened") == [("reopened", None)] * 2 and len(back) == 4
+    assert sorted((r.outcome, r.invalid_at) for r in back if r.outcome == "reopened") == [("reopened", None)] * 2
+    assert sorted(r.outcome for r in back) == ["conflict", "reopened", "reopened", "withdrawn", "withdrawn"] and [r.uuid for r in back if r.outcome == "conflict"] == ["open"]
+    twice = corrections.end_facts(f, ids.union(ids), "2025-07-01")
+    assert twice.count() == 3
 
 
 def test_access(spark):
@@ -134,7 +137,51 @@ def test_access(spark):
     got = {(r.user, r.group_id): r.role for r in access.roles(grants, groups).collect()}
     assert got == {("u", "a"): "reader", ("u", "ab"): "owner", ("v", "b"): "writer"}
     assert {(r.group_id, r.role) for r in access.roles(grants, groups, "writer", ["ab"]).collect()} == {("ab", "writer")}
-    assert [access.intersect(*p) for p in (("a*", "ab*"), ("a", "b"), ("*", "x"), ("a*", "b*"))] == ["ab*", None, "x", None]
+
+
+def test_effective_grants(spark):
+    pairs = [("a*", "ab*"), ("a", "b"), ("*", "x"), ("a*", "b*"), ("a", "a*"), ("a*", "a*")]
+    grants = spark.createDataFrame([(f"u{k}", a, "owner") for k, (a, _) in enumerate(pairs)], "user string, pattern string, role string")
+    within = spark.createDataFrame([(f"u{k}", b) for k, (_, b) in enumerate(pairs)], "user string, pattern string")
+    limits = spark.createDataFrame([(f"u{k}", "writer", True) for k in range(len(pairs))], "user string, cap string, narrowed boolean")
+    got = {(r.user, r.pattern, r.role) for r in access.effective_grants(grants, limits, within).collect()}
+    assert got == {("u0", "ab*", "writer"), ("u2", "x", "writer"), ("u4", "a", "writer"), ("u5", "a*", "writer")}
+
+
+def test_forget_an_episode(spark):
+    rows = [
+        ("sole", ["e1"], "2024-01-01", None, None, None), ("shared", ["e1", "e2"], "2024-01-01", None, None, None),
+        ("closed", ["e2"], "2024-01-01", "2024-05-01", "2024-06-01", '{"closedByEpisode":"e1","previousEnd":"2025-01-01T00:00:00.000"}'),
+        ("old", ["e2"], "2024-01-01", "2024-05-01", "2024-06-01", None), ("gone", ["e1"], "2024-01-01", "2024-01-01", "2024-06-01", None),
+    ]
+    f = spark.createDataFrame(rows, "uuid string, episodes array<string>, v string, i string, x string, attributes string")
+    f = f.select("uuid", "episodes", "attributes", F.lit("LIKES").alias("name"), F.col("uuid").alias("source_node_uuid"), F.lit("t").alias("target_node_uuid"), *[F.col(a).cast("timestamp_ntz").alias(b) for a, b in (("v", "valid_at"), ("i", "invalid_at"), ("x", "expired_at"))])
+    f = f.withColumn("created_at", F.when(F.col("uuid") == "sole", F.lit("2024-06-01")).otherwise("2024-02-01").cast("timestamp_ntz"))
+    people = spark.createDataFrame([("sole", "new", '{"summaryByEpisode":"e1","previousSummary":"former"}'), ("x", "", '{"createdByEpisode":"e1"}'), ("shared", "", '{"createdByEpisode":"e1"}')], "uuid string, summary string, attributes string")
+    notes = spark.createDataFrame([("e1", "processed", None), ("e2", "processed", None)], "uuid string, status string, error string")
+    out = corrections.forget_episode(f, people, notes, "e1", "wrong", "2025-07-01")
+    assert {(r.uuid, r.outcome) for r in out.report.collect()} == {("sole", "retracted"), ("shared", "unlinked"), ("closed", "reopened"), ("old", "unmarked")}
+    changed = {(r.uuid.split("#")[0], r.outcome): r for r in out.facts.collect()}
+    assert set(changed) == {("sole", "retracted"), ("shared", "unlinked"), ("closed", "withdrawn"), ("closed", "reopened")}
+    assert changed["shared", "unlinked"].episodes == ["e2"] and changed["closed", "reopened"].invalid_at == datetime(2025, 1, 1) and '"reopenedFrom":"closed"' in changed["closed", "reopened"].attributes
+    assert changed["sole", "retracted"].invalid_at == datetime(2024, 1, 1) and '"retracted":"true"' in changed["sole", "retracted"].attributes
+    assert [(r.uuid, r.summary) for r in out.entities.collect()] == [("sole", "former")] and [r.uuid for r in out.orphaned.collect()] == ["x"]
+    assert [(r.status, r.error, r.outcome) for r in out.episode.collect()] == [("forgotten", "wrong", "forgotten")]
+
+
+def test_notes_in_two_spellings_are_one(spark):
+    key = spark.createDataFrame([("Caf\u00e9",), ("Cafe\u0301",)], "t string").select(X.idempotency_key(F.col("t"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("k"))
+    assert len({r.k for r in key.collect()}) == 1
+
+
+def test_retry_feeds_failed_notes_to_the_fold(spark):
+    from factloom.ingest import lifecycle
+
+    rows = [("1", "g", "Alice works at Acme", "2024-01-01", "failed", 1), ("2", "g", "Bob works at Acme", "2024-01-02", "failed", 3), ("3", "g", "Carol works at Acme", "2024-01-03", "pending", 0)]
+    notes = spark.createDataFrame([(*r[:3], datetime.fromisoformat(r[3]), datetime.fromisoformat(r[3]), *r[4:], None) for r in rows], "uuid string, group_id string, content string, valid_at timestamp_ntz, created_at timestamp_ntz, status string, attempts int, error string")
+    changes, after = lifecycle.refed(notes, empty_state(spark), recover=True)
+    assert {r.uuid for r in changes.where("kind = 'fact'").collect()} == {"1/f0", "3/f0"}
+    assert {(r.uuid, r.status, r.attempts) for r in after.collect()} == {("1", "processed", 2), ("2", "failed", 3), ("3", "processed", 1)}
 
 
 NOTES = [

@@ -4,7 +4,7 @@ import pytest
 
 from factloom.functions.text import is_unspaced, mentions, tokens_of
 from factloom.functions.vectors import hash_vector
-from factloom.ingest.extract import extract
+from factloom.ingest.extract import extraction
 from factloom.ingest.fold import Episode, State, fold, sooner, window
 
 
@@ -173,8 +173,14 @@ def test_hash_vector_has_length_one():
     assert len(v) == 64 and abs(sum(x * x for x in v) - 1) < 1e-9 and hash_vector("", 8) == [0.0] * 8
 
 
-def test_extractor():
-    found = extract("Alice works at Acme Corp and Bob likes Pizza. Carol left Globex")
+def extract(spark, text):
+    from pyspark.sql import functions as F
+
+    return spark.createDataFrame([(text,)], "content string").select(extraction(F.col("content")).alias("x")).first().x.asDict(recursive=True)
+
+
+def test_extractor(spark):
+    found = extract(spark, "Alice works at Acme Corp and Bob likes Pizza. Carol left Globex")
     assert [(f["source_name"], f["relation"]) for f in found["facts"]] == [("Alice", "WORKS_AT"), ("Bob", "LIKES")]
     assert [(f["source_name"], f["target_name"]) for f in found["invalidations"]] == [("Carol", "Globex")]
-    assert extract("张伟在阿里巴巴工作")["facts"][0]["relation"] == "WORKS_AT" and extract(None)["facts"] == []
+    assert extract(spark, "张伟在阿里巴巴工作")["facts"][0]["relation"] == "WORKS_AT" and extract(spark, None)["facts"] == []
