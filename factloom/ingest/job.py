@@ -118,13 +118,16 @@ def empty_state(spark) -> DataFrame:
     return spark.createDataFrame([], "kind string, group_id string, row string")
 
 
+def latest_rows(rows: DataFrame) -> DataFrame:
+    """Of rows(kind, group_id, row, n) the one with the largest n of each kind and id."""
+    ids = F.when(F.col("kind") == "key", F.get_json_object("row", "$.key")).otherwise(F.get_json_object("row", "$.uuid"))
+    return rows.withColumn("id", ids).groupBy("kind", "group_id", "id").agg(F.max_by("row", "n").alias("row")).select("kind", "group_id", "row")
+
+
 def next_state(state: DataFrame, changes: DataFrame) -> DataFrame:
     """The state after changes: the latest row of each kind and id."""
-    ids = F.when(F.col("kind") == "key", F.get_json_object("row", "$.key")).otherwise(F.get_json_object("row", "$.uuid"))
     old = state.select("kind", "group_id", "row", F.lit(0).alias("n"))
-    new = changes.where("kind <> 'episode'").select("kind", "group_id", "row", F.lit(1).alias("n"))
-    both = old.unionByName(new).withColumn("id", ids)
-    return both.groupBy("kind", "group_id", "id").agg(F.max_by("row", "n").alias("row")).select("kind", "group_id", "row")
+    return latest_rows(old.unionByName(changes.where("kind <> 'episode'").select("kind", "group_id", "row", F.lit(1).alias("n"))))
 
 
 def rows_of(changes: DataFrame, kind: str, schema) -> DataFrame:

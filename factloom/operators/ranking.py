@@ -3,20 +3,40 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: monotonically_increasing_id() has the partition above these bits and the row's place below.
 PLACE_BITS = 33
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which a cluster names in spark.checkpoint.dir; a temporary one only where all runs on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = "file://" + tempfile.mkdtemp(prefix="factloom-")
+    spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, deleted when the driver's JVM ends."""
+    path = f"{shared_root(spark)}/factloom-{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder of spark.checkpoint.dir; only where that is unset, as in tests, in a local one."""
+    """Cuts the lineage in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="factloom-")
-        context.setCheckpointDir(root)
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 

@@ -32,6 +32,44 @@ def corpus_stats(docs: DataFrame, tokens: str) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens)).alias("avg_len"))
 
 
+#: Folders of an index by the hash of a term: a query reads those of its terms alone.
+INDEX_FOLDERS = 64
+
+
+def _folder(term: Column, folders: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
+
+
+class Index:
+    """Postings (key, term, tf, dl) under a folder, by term, and one row of corpus statistics.
+
+    Written once, with one shuffle by term and key; a query reads only the files of its terms'
+    folders, where the terms are sorted, so that their row groups are skipped too.
+    """
+
+    def __init__(self, spark, path: str, key: str = "uuid", folders: int = INDEX_FOLDERS):
+        self.spark, self.path, self.key, self.folders = spark, path.rstrip("/"), key, folders
+
+    def write(self, docs: DataFrame, tokens: str = "tokens") -> Index:
+        rows = postings(docs, self.key, tokens).withColumn("folder", _folder(F.col("term"), self.folders))
+        rows.sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/postings")
+        corpus_stats(docs, tokens).write.mode("overwrite").parquet(f"{self.path}/stats")
+        return self
+
+    def bm25(self, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
+        """(key, score) as bm25() gives it, from the postings of the query's terms."""
+        weights = self.spark.createDataFrame([(t, float(n)) for t, n in sorted(Counter(terms).items())], "term string, weight double")
+        numbers = [r[0] for r in weights.select(_folder(F.col("term"), self.folders)).distinct().collect()]
+        own = self.spark.read.parquet(f"{self.path}/postings").where(F.col("folder").isin(numbers) & F.col("term").isin(sorted(set(terms))))
+        df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row a term
+        stats = self.spark.read.parquet(f"{self.path}/stats")
+        joined = own.join(F.broadcast(df.join(weights, "term")), "term").crossJoin(F.broadcast(stats))  # one row
+        idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        length = F.when(F.col("avg_len") > 0, F.col("dl") / F.col("avg_len")).otherwise(F.lit(0.0))
+        part = F.col("weight") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
+        return joined.groupBy(self.key).agg(F.sum(part).alias("score")).where("score > 0")
+
+
 def _term(term: str):
     return lambda x: F.when(x == term, 1)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as X
 from factloom.functions.vectors import cosine, hash_embed
-from factloom.operators import access, corrections, graph, lookup, search, stats, temporal, views
+from factloom.operators import access, corrections, graph, lookup, ranking, search, stats, temporal, views
 from factloom.plans.base_sql import EPISODES, RETRACTED, active, graph as G, known, notes as N, state
 from factloom.sources.project import Graph
 
@@ -298,6 +298,13 @@ def bm25_topk(g):
     return scores.orderBy(F.round("score", 9).desc(), "doc_id").limit(50).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {BM25_SQL} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 50")
+def bm25_indexed(g):
+    """The same scores from postings that are written once and read by term."""
+    index = search.Index(g.spark, ranking.shared_folder(g.spark, "index"), "doc_id").write(_docs(g))
+    return index.bm25(TERMS).orderBy(F.round("score", 9).desc(), "doc_id").limit(50).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 6) AS cosine FROM embeddings ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 9) DESC, vec_id LIMIT 50")
 def vector_topk(g):
     e = g.table("embeddings")

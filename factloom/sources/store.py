@@ -90,6 +90,39 @@ class Store:
         facts = self.read("facts").select(F.count(F.lit(1)).alias("n"), F.max(F.size("fact_embedding")).alias("dims")).first()
         return {"facts": facts["n"], "dims": facts["dims"] or 0}
 
+    def episodes(self, group: str | None = None) -> DataFrame:
+        return self.read("episodes", group).orderBy("created_at", "uuid")
+
+    def entities(self, group: str | None = None) -> DataFrame:
+        return self.read("entities", group).orderBy("created_at", "uuid")
+
+    def facts(self, group: str | None = None) -> DataFrame:
+        """Facts whose ends name entities by the id that stayed, also where a fact cites one that lost to an equal name."""
+        log = self.log("entities").withColumn("__key", F.concat_ws("\x00", "group_id", F.lower("name")))
+        first = log.groupBy("__key").agg(F.min_by("uuid", "seq").alias("__uuid"))
+        lost = log.select("uuid", "__key").distinct().join(first, "__key").where("uuid <> __uuid").select(F.col("uuid").alias("__lost"), "__uuid")
+        own = self.read("facts", group)
+        for end in ("source_node_uuid", "target_node_uuid"):
+            own = own.join(lost, F.col(end) == F.col("__lost"), "left").withColumn(end, F.coalesce("__uuid", end)).drop("__lost", "__uuid")
+        return own.orderBy("created_at", "uuid")
+
+    def dump_document(self, path: str) -> None:
+        """A JSON snapshot as a single document: one task writes it line by line, and no row holds it whole."""
+        lines = None
+        for k, name in enumerate(TABLES):
+            own = self.read(name)
+            rows = own.select(F.lit(2 * k + 1).alias("part"), F.col("uuid").alias("at"), F.to_json(F.struct(*own.columns), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("text"))
+            w = Window.orderBy("part", "at")
+            head = self.spark.createDataFrame([(2 * k, "", ("{" if not k else ", ") + f'"{name}": [')], "part int, at string, text string")
+            last = self.spark.createDataFrame([(2 * k + 1, "\uffff", "]")], "part int, at string, text string")
+            every = head.unionByName(rows).unionByName(last)
+            lines = every if lines is None else lines.unionByName(every)
+        lines = lines.unionByName(self.spark.createDataFrame([(2 * len(TABLES), "", "}")], "part int, at string, text string"))
+        before = F.lag("part").over(w)
+        comma = (F.col("part") % 2 == 1) & (before == F.col("part")) & (F.col("at") != "\uffff")
+        text = lines.select("part", "at", F.concat(F.when(comma, ",").otherwise(""), "text").alias("value"))
+        text.coalesce(1).sortWithinPartitions("part", "at").select("value").write.mode("overwrite").text(path)
+
     def dump(self, path: str) -> None:
         """A JSON snapshot: a folder of lines per table."""
         for name in TABLES:

@@ -211,7 +211,7 @@ def test_batch_fold_and_next_state(spark):
 
 def test_stream_equals_batch_and_restarts(spark, tmp_path):
     notes = spark.createDataFrame(note_rows(), NOTE_SCHEMA)
-    table = StateTable(spark, f"file://{tmp_path}/state")
+    table = StateTable(spark, f"file://{tmp_path}/state", compact_after=2)
     (tmp_path / "in").mkdir()
     source = spark.readStream.schema(NOTE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     for k in range(2):
@@ -255,3 +255,20 @@ def test_hashes_and_relations(spark):
     df = spark.createDataFrame([(" A  b\n", "works at"), ("a B", " "), ("x", None)], "c string, r string")
     rows = df.select(X.content_hash(F.col("c")).alias("h"), X.normalise_relation(F.col("r")).alias("r")).collect()
     assert rows[0].h == rows[1].h != rows[2].h and [r.r for r in rows] == ["WORKS_AT", "RELATES_TO", "RELATES_TO"]
+
+
+def test_a_store_as_one_document_and_facts_that_cite_a_lost_id(spark, tmp_path):
+    import json
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    row = lambda schema, **v: spark.createDataFrame([tuple(v.get(f.name) for f in schema)], schema)
+    at = datetime(2024, 1, 1)
+    store.commit(0, entities=row(ENTITIES, uuid="n1", group_id="g", name="Acme", created_at=at))
+    store.commit(1, entities=row(ENTITIES, uuid="n2", group_id="g", name="ACME", created_at=at), facts=row(FACTS, uuid="f", group_id="g", source_node_uuid="n2", target_node_uuid="n9", name="X", created_at=at))
+    assert [(r.uuid, r.name) for r in store.entities().collect()] == [("n1", "ACME")]
+    assert [(r.source_node_uuid, r.target_node_uuid) for r in store.facts("g").collect()] == [("n1", "n9")]
+    store.dump_document(f"file://{tmp_path}/one")
+    text = "".join(p.read_text() for p in (tmp_path / "one").glob("part-*"))
+    assert {k: len(v) for k, v in json.loads(text).items()} == {"episodes": 0, "entities": 1, "facts": 1}
+    back = read_snapshot(spark, f"file://{tmp_path}/one")
+    assert [r.uuid for r in back["facts"].collect()] == ["f"]
