@@ -8,11 +8,14 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Row keys (8 bytes each) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
+#: Files (a path and a number each) that are broadcast at most.
+BROADCAST_FILES = 100_000
 #: Bytes of one Arrow batch handed to Python, whatever the length of the texts.
 ARROW_BATCH_BYTES = 4 << 20
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -75,6 +78,8 @@ def scratch_root(spark: SparkSession) -> str:
         held = spark.sparkContext.getCheckpointDir()
         root = held.rsplit("/", 1)[0] if held else None
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = "file://" + tempfile.mkdtemp(prefix="factloom-scratch-")
             spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -115,11 +120,25 @@ def width(spark: SparkSession) -> int:
 
 
 def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs as a table with a key for each row, and the key's name, which no other column has.
+    """docs with a key for each row that is the same in every scan, and the key's name, which no other column has.
 
-    The keys are written with the rows, so that they are the same in every later scan.
+    Rows of Parquet files are known by their file and their place in it: nothing
+    is copied. The files are numbered in a table of one row each. Where docs is not
+    a plain scan of files, or of more files than a broadcast should hold, the rows
+    are written once with a number.
     """
     name = f"__row_{uuid.uuid4().hex}"
+    plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in docs.columns
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(f"{name}f"), F.col("_metadata.row_index").alias(f"{name}i")) if plain else None
+    except AnalysisException:  # files without places of rows
+        placed = None
+    if placed is not None:
+        files = placed.select(f"{name}f").distinct()
+        files = materialise(files.withColumn(f"{name}n", F.row_number().over(Window.orderBy(f"{name}f")) - 1), "files")
+        if files.count() <= BROADCAST_FILES:
+            key = F.col(f"{name}n").cast("long") * F.lit(1 << 36) + F.col(f"{name}i")
+            return placed.join(F.broadcast(files), f"{name}f").withColumn(name, key).drop(f"{name}f", f"{name}i", f"{name}n"), name
     return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
 
 
@@ -130,7 +149,7 @@ def join_keys(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
 
 
 def without_rows(keyed: DataFrame, key: str, gone: DataFrame) -> DataFrame:
-    """The rows of a table of with_row_key() that gone(rid) does not name, without the key."""
+    """The rows of with_row_key() that gone(rid) does not name, without the key."""
     return join_keys(keyed, gone.select(F.col("rid").alias(key)), key, "left_anti").drop(key)
 
 
@@ -154,6 +173,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: str, weight: str, how: s
     return one.unionByName(two)
 
 
+def number_in_order(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Adds out: 0, 1, 2, ... over the whole table in the order of some columns, which break all ties.
+
+    A range sort, and the counts of its partitions summed up: no task has all rows.
+    """
+    spark = df.sparkSession
+    sorted_ = df.repartitionByRange(width(spark), *order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    dealt = materialise(sorted_.withColumn("__part", F.shiftrightunsigned(at, 33)).withColumn("__at", at.bitwiseAND((1 << 33) - 1)), "ordered")
+    before = F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows")).select("__part", F.coalesce(before, F.lit(0)).alias("__first"))  # a row a partition
+    return dealt.join(F.broadcast(firsts), "__part").withColumn(out, F.col("__at") + F.col("__first")).drop("__part", "__at", "__first")
+
+
 def number_rows(df: DataFrame, group: list[str], order: list[str], out: str, spread: list[str]) -> DataFrame:
     """Adds out: 0, 1, 2, ... within each group, without one task per group.
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import LOWER_BYTES, bound_batches, lower_ascii, materialise, table
+from factloom.llm.common import LOWER_BYTES, bound_batches, join_groups, join_keys, lower_ascii, materialise, table, with_row_key, without_rows
 
 #: The top bits of a fingerprint are its quotient, the rest its remainder.
 QUOTIENT_BITS = 24
@@ -52,10 +52,36 @@ class CountingQuotientFilter:
     def fingerprints(self) -> np.ndarray:
         return np.repeat(self.quotients.astype(np.uint64) << np.uint64(REMAINDER_BITS), self.lengths) | self.remainders
 
+    @classmethod
+    def _two(cls, one: CountingQuotientFilter, two: CountingQuotientFilter) -> CountingQuotientFilter:
+        """Both filters as one, in a single pass over the two sorted rows of fingerprints: each goes to its place behind those of the other that are smaller."""
+        a, b = one.fingerprints(), two.fingerprints()
+        at_a = np.arange(len(a)) + np.searchsorted(b, a, side="left")
+        at_b = np.arange(len(b)) + np.searchsorted(a, b, side="right")
+        prints, counts = np.empty(len(a) + len(b), np.uint64), np.empty(len(a) + len(b), np.int64)
+        prints[at_a], prints[at_b] = a, b
+        counts[at_a], counts[at_b] = one.counts, two.counts
+        if not len(prints):
+            return cls._of_sorted(prints, counts)
+        first = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]])
+        return cls._of_sorted(prints[first], np.add.reduceat(counts, first))
+
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        prints = [np.empty(0, np.uint64), *(f.fingerprints() for f in filters)]
-        return cls.build(np.concatenate(prints), np.concatenate([np.empty(0, np.int64), *(f.counts for f in filters)]))
+        """All filters as one: pairs of them, then pairs of pairs, and so on."""
+        while len(filters) > 1:
+            filters = [cls._two(*filters[k : k + 2]) if k + 1 < len(filters) else filters[k] for k in range(0, len(filters), 2)]
+        return filters[0] if filters else cls.build(np.empty(0, np.uint64), np.empty(0, np.int64))
+
+    def count(self, fingerprint: int) -> int:
+        """How often a fingerprint was added: its run by the quotient, its place by the remainder."""
+        run = np.searchsorted(self.quotients, fingerprint >> REMAINDER_BITS)
+        if run == len(self.quotients) or int(self.quotients[run]) != fingerprint >> REMAINDER_BITS:
+            return 0
+        begin = int(self.lengths[:run].sum(dtype=np.int64))
+        held = self.remainders[begin : begin + int(self.lengths[run])]
+        at = int(np.searchsorted(held, np.uint64(fingerprint & ((1 << REMAINDER_BITS) - 1))))
+        return int(self.counts[begin + at]) if at < len(held) and int(held[at]) == fingerprint & ((1 << REMAINDER_BITS) - 1) else 0
 
     def split(self, bits: int) -> Iterator[tuple[int, CountingQuotientFilter]]:
         """The filter cut by the top bits of the quotients."""
@@ -90,18 +116,20 @@ class CountingQuotientFilter:
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        shas = [hashlib.sha256((t or b"").translate(LOWER_BYTES)).digest() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        shas = [hashlib.sha256((t or b"").translate(LOWER_BYTES)).digest() for t in batch.column(2).cast(pa.binary()).to_pylist()]
         prints = np.frombuffer(b"".join(s[:8] for s in shas), ">i8").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints, pa.int64()), pa.array(shas, pa.binary())], ["doc_id", "fp", "sha"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(prints, pa.int64()), pa.array(shas, pa.binary())], ["rid", "doc_id", "fp", "sha"])
 
 
 def _build(bits: int):
+    """One filter for a partition, made of its batches as they come, in parts by the top bits of the quotients."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[CountingQuotientFilter] = []
         for frame in frames:
             held.append(CountingQuotientFilter.build(frame["fp"].to_numpy().view(np.uint64), frame["copies"].to_numpy()))
-            if len(held) > 16:
-                held = [CountingQuotientFilter.merge(held)]
+            while len(held) > 1 and len(held[-2].remainders) <= 2 * len(held[-1].remainders):
+                held[-2:] = [CountingQuotientFilter.merge(held[-2:])]
         rows = [(k, part.to_bytes()) for k, part in CountingQuotientFilter.merge(held).split(bits)]
         yield pd.DataFrame(rows, columns=["range", "filter"])
 
@@ -126,61 +154,60 @@ def repeated_fingerprints(prints: DataFrame, rows: int) -> DataFrame:
     return blocks.groupBy("range").applyInPandas(_merge, "fp long, n long")
 
 
+def _judged(own: DataFrame) -> DataFrame:
+    """own(rid, doc_id, text) as (rid, doc_id, keep_id, group_size, kept, text_sha256)."""
+    bound_batches(own.sparkSession)
+    prints = materialise(own.mapInArrow(_digest, "rid long, doc_id long, fp long, sha binary"), "digests")
+    many = materialise(repeated_fingerprints(prints.withColumn("copies", F.lit(1).cast("long")), prints.count()), "repeated")
+    suspects = materialise(join_groups(prints, many, "fp", "n", "inner").select("rid", "doc_id", "sha"), "suspects")
+    known = F.coalesce("doc_id", F.lit(0)).alias("known"), F.col("doc_id").isNull().alias("none")
+    wanted = suspects.select(F.struct(*known).alias("key")).distinct()
+    routed = join_keys(own.select("doc_id", "text", F.struct(*known).alias("key")), wanted, "key", "left_semi")
+    groups = (
+        routed.select("doc_id", lower_ascii(F.coalesce("text", F.lit(""))).alias("norm"))
+        .groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .where("group_size > 1")
+        .select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
+    )
+    groups = materialise(groups, "groups")
+    first = join_groups(suspects, groups, "sha", "group_size", "inner").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("sha").agg(F.min("rid").alias("keep_rid"))
+    joined = join_groups(prints.select("rid", "doc_id", "sha"), materialise(groups.join(first, "sha"), "kept"), "sha", "group_size")
+    alone = F.col("group_size").isNull()
+    return joined.select(
+        "rid", "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("rid") == F.col("keep_rid"))).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
+    )
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are the same after lower-casing A-Z; of a
     group the largest id stays. The text's fingerprint goes into its partition's
-    counting quotient filter; only rows whose fingerprint has a merged count above
-    one have their text moved, and those are grouped by the text itself, so that
-    bytes decide. That grouping is summed before the shuffle: a text that a third
-    of all rows share moves once per task.
+    counting quotient filter; rows whose fingerprint has a merged count above one
+    have their text moved, and those are grouped by the text itself, so that bytes
+    decide. Up to BROADCAST_KEYS such rows, which are counted, no other text
+    moves; beyond, the texts are dealt by their ids to find them. The grouping is
+    summed before the shuffle: a text that a third of all rows share moves once
+    per task, and its rows find their group by a broadcast of the hot ones.
 
     Null text is the empty text. Null ids form no key of their own: such a row is
     kept only if its group has no other id, and keep_id is then null. Of rows that
     repeat both id and text one is kept. An empty table gives no rows. Other
     columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = own.mapInArrow(_digest, "doc_id long, fp long, sha binary")
-    base = materialise(prints.groupBy("doc_id", "fp", "sha").agg(F.count(F.lit(1)).alias("copies")), "digests")
-    many = repeated_fingerprints(base, base.count())
-    wanted = base.join(many, "fp", "left_semi").select(F.col("doc_id").alias("wanted"))
-    routed = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    texts = routed.select("doc_id", lower_ascii(F.coalesce("text", F.lit(""))).alias("norm"))
-    groups = (
-        texts.groupBy("norm")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
-        .where("group_size > 1")
-    )
-    joined = base.join(groups, "sha", "left").select(
-        "doc_id",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-        F.posexplode(F.expr("sequence(1L, copies)")).alias("copy", "nth"),
-    )
-    return joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 0)).alias("kept"), "text_sha256")
+    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _judged(own).drop("rid")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup() drops, all columns kept.
-
-    Where ids are unique the survivors are joined by id alone; repeated ids add
-    the text's digest to the key.
-    """
-    kept = materialise(exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")), "kept")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
-    repeats = docs.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").limit(1)
-    if repeats.isEmpty():
-        return docs.join(kept, same, "left_semi")
-    digest = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    marked = docs.withColumn("__digest", digest)
-    left = marked.join(kept, same & (F.col("__digest") == F.col("__sha")), "left_semi")
-    return left.dropDuplicates([id_col, "__digest"]).drop("__digest")
+    """docs without the rows that exact_dedup() drops, all columns kept. Rows are told apart by a key of their own, not by their ids."""
+    keyed, key = with_row_key(docs)
+    judged = _judged(keyed.select(F.col(key).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    return without_rows(keyed, key, materialise(judged.where("not kept").select("rid"), "gone"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
