@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,15 +32,19 @@ def cosine_of(a, b) -> float:
     return dot / norm if norm else 0.0
 
 
+@lru_cache(1 << 16)
+def _signed_hash(token: str) -> int:
+    h = 2166136261
+    for unit in memoryview(token.encode("utf-16-le", "surrogatepass")).cast("H"):
+        h = (h ^ unit) * 16777619 % 2**32
+    return h - 2**32 if h >= 2**31 else h
+
+
 def hash_vector(text: str | None, dims: int = 256) -> list[float]:
     """A signed hashed bag of tokens of length one: 32-bit FNV-1a over UTF-16 units."""
     out = [0.0] * dims
     for token in tokens_of(text):
-        h = 2166136261
-        raw = token.encode("utf-16-le", "surrogatepass")
-        for i in range(0, len(raw), 2):
-            h = (h ^ int.from_bytes(raw[i : i + 2], "little")) * 16777619 % 2**32
-        signed = h - 2**32 if h >= 2**31 else h
+        signed = _signed_hash(token)
         out[abs(signed) % dims] += -1.0 if signed < 0 else 1.0
     norm = math.sqrt(sum(v * v for v in out))
     return [v / norm for v in out] if norm else out

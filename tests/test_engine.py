@@ -272,3 +272,16 @@ def test_a_store_as_one_document_and_facts_that_cite_a_lost_id(spark, tmp_path):
     assert {k: len(v) for k, v in json.loads(text).items()} == {"episodes": 0, "entities": 1, "facts": 1}
     back = read_snapshot(spark, f"file://{tmp_path}/one")
     assert [r.uuid for r in back["facts"].collect()] == ["f"]
+
+
+def test_replies_are_sanitised(spark):
+    from factloom.ingest.reply import payload_of
+
+    reply = '''Here: ```json
+{"entities": [{"name": " Ann ", "labels": ["Person", ""]}, {"name": ""}, {"labels": []}], "facts": [
+{"source_name": "Ann", "target_name": "Acme ", "relation": "works at", "valid_at": "2024-02-30", "invalid_at": "2024-03-01"}, {"source_name": "", "target_name": "x"}], "more": 1}
+```'''
+    got = [r.p.asDict(recursive=True) for r in spark.createDataFrame([(reply,), ("no object",), (None,)], "r string").select(payload_of(F.col("r")).alias("p")).collect()]
+    assert [(e["name"], e["labels"]) for e in got[0]["entities"]] == [("Ann", ["Person"]), ("Acme", [])]
+    assert [(f["target_name"], f["relation"], f["valid_at"], f["invalid_at"]) for f in got[0]["facts"]] == [("Acme", "WORKS_AT", None, "2024-03-01T00:00:00.000")]
+    assert got[1] == got[2] == {"entities": [], "facts": [], "invalidations": []}
