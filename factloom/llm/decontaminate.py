@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ASCII_LOWER, ASCII_UPPER, lower_ascii, materialise, table
+from factloom.llm.common import ASCII_LOWER, ASCII_UPPER, lower_ascii, materialise, table, with_row_key, without_rows
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a window, and of a shingle: the tokens of the set join.
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 5
-#: A benchmark of more shingles than this (about 100 bytes each) is joined by a shuffle instead of a broadcast.
+#: Shingles, windows and windows of items (about 100 bytes each) are broadcast up to this many, each counted by itself; more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 
 
@@ -32,29 +32,8 @@ def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
     return starts.select("item_id", F.array_join(cut, " ").alias("window"), cut.alias("w"), F.size(cut).alias("len")).distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    The set join: a window of an item is the set of its shingles, a document the
-    set of its own, and the window must be contained whole. Shingles are ordered
-    by how often the whole corpus has them; as all of a window's shingles must
-    occur, its rarest one alone is the necessary prefix, and a window with a
-    shingle that no document has is left out at once. Documents that have the
-    prefix shingle at a place are candidates; the place fixes where the window
-    would begin, which must be at or after the first word (position) and leave
-    room for the window (length). Candidates are then held against the shingles
-    that cover the window without gaps, word for word.
-
-    One pass over the texts keeps only shingles that the benchmark has, so that
-    all later steps handle matches, not texts. The benchmark's shingles are
-    counted first and broadcast only below BROADCAST_ROWS; beyond, they are
-    joined by a shuffle.
-
-    Null and wordless texts have no words, hits or items; an item without words
-    has no window. A null item id contaminates but is not listed; items that
-    repeat an id count once. Repeated rows of docs each give a row, null ids
-    included. An empty benchmark leaves all clean. Other columns are ignored.
-    """
+def _judged(own: DataFrame, items: DataFrame, item_id_col: str, item_text_col: str, window: int, shingle: int, most: int, written: bool) -> DataFrame:
+    """own(rid, doc_id, text) as (rid, doc_id, n_words, n_hit, n_items, items_sha256, contaminated); written says whether own is a table."""
     bench = items.select(F.col(item_id_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
     of_items = materialise(benchmark_windows(bench, window), "windows")
     wins = of_items.select("window", "w", "len").distinct()
@@ -65,12 +44,17 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         "grams",
     )
     vocabulary = grams.select(F.col("gram").alias("known")).distinct()
-    small = vocabulary.count() <= BROADCAST_ROWS
-    near = F.broadcast if small else (lambda df: df)
+
+    def near(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= most else df
+
+    small = vocabulary.count() <= most
     sizes = sorted(r.k for r in grams.select("k").distinct().collect()) or [shingle]  # at most `shingle` of them
+    if not small and not written:
+        own = materialise(own, "rows")  # read twice below, with the same row keys
 
     # One row per place whose shingle the benchmark has, and one with a null shingle per document.
-    read = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
+    read = own.select("rid", "doc_id", words(F.col("text")).alias("w"))
     n = F.size("w")
 
     def places(size: int) -> Column:
@@ -80,19 +64,20 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     whole = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("gram")))
     exploded = read.select("rid", "doc_id", n.cast("long").alias("n_words"), F.explode(F.concat(*[places(s) for s in sizes], whole)).alias("p")).select("rid", "doc_id", "n_words", "p.pos", "p.gram")
     if small:
-        kept = exploded.join(near(vocabulary), F.col("gram") == F.col("known"), "left").where("known is not null or gram is null").drop("known")
+        kept = exploded.join(F.broadcast(vocabulary), F.col("gram") == F.col("known"), "left").where("known is not null or gram is null").drop("known")
     else:
         kept = exploded.where("gram is not null").join(vocabulary, F.col("gram") == F.col("known"), "left_semi").unionByName(exploded.where("gram is null"))
     marked = materialise(kept, "marked")
     hits = marked.where("gram is not null").select("rid", "n_words", "pos", "gram")
 
     rarity = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    prefix = (
+    prefix = materialise(
         grams.join(rarity, "gram")
         .groupBy("window", "len", "k")
         .agg(F.min(F.struct("df", "off", "gram")).alias("rarest"), F.count(F.lit(1)).alias("found"))
         .where(F.col("found") == F.col("len") - F.col("k") + 1)
-        .select("window", "len", "k", "rarest.off", "rarest.gram")
+        .select("window", "len", "k", "rarest.off", "rarest.gram"),
+        "prefix",
     )
     start = F.col("pos") - F.col("off")
     candidates = (
@@ -125,13 +110,42 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
     none = F.array().cast("array<string>")
     out = marked.where("gram is null").join(covered, "rid", "left").join(listed, "rid", "left").withColumn("items", F.coalesce("items", none)).withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select("rid", "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS, shingle: int = SHINGLE_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    The set join: a window of an item is the set of its shingles, a document the
+    set of its own, and the window must be contained whole. Shingles are ordered
+    by how often the whole corpus has them; as all of a window's shingles must
+    occur, its rarest one alone is the necessary prefix, and a window with a
+    shingle that no document has is left out at once. Documents that have the
+    prefix shingle at a place are candidates; the place fixes where the window
+    would begin, which must be at or after the first word (position) and leave
+    room for the window (length). Candidates are then held against the shingles
+    that cover the window without gaps, word for word.
+
+    One pass over the texts keeps only shingles that the benchmark has, so that
+    all later steps handle matches, not texts. The benchmark's shingles, its
+    windows and the items' windows are each counted first and broadcast only up to
+    broadcast_rows; beyond, they are joined by a shuffle.
+
+    Null and wordless texts have no words, hits or items; an item without words
+    has no window. A null item id contaminates but is not listed; items that
+    repeat an id count once. Repeated rows of docs each give a row, null ids
+    included. An empty benchmark leaves all clean. Other columns are ignored.
+    """
+    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _judged(own, items, item_id_col, item_text_col, window, shingle, broadcast_rows, written=False).drop("rid")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose id has a contaminated row; null ids are judged as one id."""
-    bad = contamination(docs, items, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    """docs without the contaminated rows, which are told apart by a key of their own, not by their ids."""
+    keyed, key = with_row_key(docs)
+    own = keyed.select(F.col(key).alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    judged = _judged(own, items, "item_id", "text", WINDOW_WORDS, SHINGLE_WORDS, BROADCAST_ROWS, written=True)
+    return without_rows(keyed, key, materialise(judged.where("contaminated").select("rid"), "gone"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

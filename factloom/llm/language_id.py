@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bound_batches, table
+from factloom.llm.common import bound_batches, holds, table
 
 UNKNOWN = "und"
 #: Labelled documents of each language that the network is fitted on at most, and characters taken of each, at a place that its id's hash sets.
@@ -251,6 +251,7 @@ def predicted(docs: DataFrame, model: ByteGRU, text: str) -> DataFrame:
     """docs(doc_id, held_out, text) with lang_pred and score in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("language network", dict)
         for batch in batches:
             labels, scores = model.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
@@ -281,19 +282,20 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     bound_batches(docs.sparkSession)
     model = train(docs, id_col, text_col, lang_col)
+    least = least_share / len(model.languages) if len(model.languages) > 1 else 0.0
+    place = docs.columns.index(text_col)
 
-    @F.pandas_udf("boolean")
-    def known(texts):
-        import pandas as pd
-
-        held = texts.where(texts.notna(), None).tolist()
-        if not model.languages:
-            return pd.Series([bool(t) and any(map(str.isalpha, t)) for t in held])
-        least = least_share / len(model.languages) if len(model.languages) > 1 else 0.0
-        labels, scores = model.predict(held)
-        return pd.Series([label != UNKNOWN and score >= least for label, score in zip(labels, scores, strict=True)])
-
-    return docs.where(known(F.col(text_col)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("language network", dict)
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            if model.languages:
+                keep = [label != UNKNOWN and score >= least for label, score in zip(*model.predict(texts), strict=True)]
+            else:
+                keep = [bool(t) and any(map(str.isalpha, t)) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ASCII_LOWER, ASCII_UPPER, LOWER_BYTES, bound_batches, connected_components, materialise, table
+from factloom.llm.common import ASCII_LOWER, ASCII_UPPER, LOWER_BYTES, bound_batches, connected_components, discard, holds, join_groups, join_keys, materialise, table, width, with_row_key, without_rows
 
 SHINGLE_WORDS = 5
 #: Percent of the union that the intersection must have.
@@ -21,6 +21,8 @@ BANDS, ROWS = 32, 4
 UNIVERSE_BITS = 20
 #: Rounds in which buckets are held against one member before the rest is paired.
 STAR_ROUNDS = 2
+#: Pairs of one node that are confirmed by one part; more make more parts.
+PAIRS_A_PART = 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -98,138 +100,146 @@ def _digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    """Sets as a column of lists; null where a set is empty."""
+    ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+    values = pa.array(np.concatenate([np.empty(0, np.int64), *sets]))
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([not len(x) for x in sets], pa.bool_()))
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column as arrays, without a copy."""
+    values, ends = column.values.to_numpy(zero_copy_only=True), column.offsets.to_numpy()
+    return [values[a:b].view(np.uint64) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _sign(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("shingles", lambda: (_MINHASH.clear(), WORD_HASHES.clear()))
         if (bands, rows) not in _MINHASH:
             _MINHASH[bands, rows] = CirculantMinHash(bands, rows)
         minhash = _MINHASH[bands, rows]
         for batch in batches:
-            counts, digests, keys = [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                found = shingles(text, size)
-                counts.append(len(found))
-                digests.append(_digest(found) if len(found) else None)
-                keys.append(minhash.keys(found) if len(found) else None)
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "keys"])
+            found = [shingles(text, size) for text in batch.column(2).cast(pa.binary()).to_pylist()]
+            digests = pa.array([_digest(x) if len(x) else None for x in found], pa.binary())
+            keys = _lists([minhash.keys(x) if len(x) else x.view(np.int64) for x in found])
+            columns = [batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64()), digests, keys, _lists([x.view(np.int64) for x in found])]
+            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "n_shingles", "digest", "keys", "hashes"])
 
     return run
 
 
-def _confirm(size: int, percent: int):
+def _compare(percent: int):
+    """Rows (a, part, b, hashes), sorted: of each a and part first a's own set with a null b, then the sets that are held against it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, np.ndarray, bytes] = (None, np.empty(0, np.uint64), b"")
+        own = np.empty(0, np.uint64)
         for batch in batches:
-            a, b = (batch.column(k).to_pylist() for k in (0, 1))
-            da, db, ta, tb = (batch.column(k).cast(pa.binary()) for k in (2, 3, 4, 5))
             good = []
-            for i in range(len(a)):
-                if held[0] != a[i] or held[2] != da[i].as_py():
-                    own = shingles(ta[i].as_py(), size)
-                    held = (a[i], own, _digest(own))
-                other = shingles(tb[i].as_py(), size)
-                if held[2] != da[i].as_py() or _digest(other) != db[i].as_py():
-                    continue  # another text under a repeated id
-                both = len(np.intersect1d(held[1], other, assume_unique=True))
-                if 100 * both >= percent * (len(held[1]) + len(other) - both):
-                    good.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), batch.column(1).take(pa.array(good, pa.int64()))], ["a", "b"])
+            for k, (b, found) in enumerate(zip(batch.column(2).to_pylist(), _sets(batch.column(3)), strict=True)):
+                if b is None:
+                    own = found.copy()
+                    continue
+                both = len(np.intersect1d(own, found, assume_unique=True))
+                if 100 * both >= percent * (len(own) + len(found) - both):
+                    good.append(k)
+            at = pa.array(good, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at)], ["a", "b"])
 
     return run
 
 
-def _tokens(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, sets = [], []
-            for i, (digest, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).cast(pa.binary()).to_pylist(), strict=True)):
-                found = shingles(text, size)
-                if _digest(found) == digest:  # else another text under a repeated id
-                    keep.append(i)
-                    sets.append(found.view(np.int64))
-            at = pa.array(keep, pa.int64())
-            columns = [*(batch.column(k).take(at) for k in range(3)), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "comp", "least_n", "n", "tokens"])
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) whose sets(node, hashes) are similar enough.
 
-    return run
-
-
-def _cross_pairs(left: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    A node that many pairs name as a has its set sent once to each of the parts
+    that its pairs are dealt over, not once a pair; b's set travels with the pair.
+    """
+    spark = pairs.sparkSession
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_PART).cast("int").alias("parts"))
+    owners = parts.join(sets, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "hashes")
+    many = materialise(parts.where("parts > 1"), "parts")
+    dealt = join_groups(pairs, many.withColumn("__n", F.col("parts") * PAIRS_A_PART), "a", "__n")
+    members = dealt.select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "b")
+    members = members.join(sets, F.col("b") == F.col("node")).select("a", "part", "b", "hashes")
+    rows = owners.unionByName(members).repartition(width(spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(_compare(percent), "a long, b long")
+
+
+def _cross_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs of left(key, node, n, comp) in different components that may be linked.
 
     Nothing that the percentage allows is lost, and members of a bucket are not
     paired with each other. A link needs an intersection of at least percent / (100
     + percent) of both sizes together. Only shingles that another component has as
-    well can be in it; a node with too few of them for its bucket's smallest
-    member is out, and what it alone shared with others no longer counts. Of the
-    shingles of a node, rarest first, so few can be missing from a partner that
-    one of the first must be in it: that prefix is looked up among the shingles of
-    larger components. The shingles that a whole group has in common come last in
-    that order, so a large group of near copies gives no pairs by them.
+    well can be in it: the s of them that a node has bound the size of a partner,
+    most = s x (100 + percent) / percent - n. A node whose most is below its own
+    size can only be the larger of a pair; one with too few for the least partner
+    that its buckets leave it is out, and what it alone shared with others no
+    longer counts. Of the shingles of a node, rarest first, so few can be missing
+    from a partner that one of the first must be in it: that prefix is looked up
+    among the shingles of larger components, and among those nodes alone that can
+    take the other role: nodes that can only be the larger never meet each other.
+    The shingles that a whole group has in common come last in that order, so a
+    large group of near copies gives no pairs by them.
     """
     whole = 100 + percent
     need = lambda x, y: F.ceil(F.lit(percent) * (x + y) / F.lit(whole))
-    bounds = left.groupBy("key").agg(F.min("n").alias("bucket_n"))
-    nodes = left.join(bounds, "key").groupBy("node").agg(F.first("comp").alias("comp"), F.min("bucket_n").alias("least_n"))
-    sets = nodes.join(texts, "node").select("node", "comp", "least_n", "digest", "text").mapInArrow(_tokens(size), "node long, comp long, least_n long, n long, tokens array<long>")
-    rows = materialise(sets.select("node", "comp", "least_n", "n", F.explode("tokens").alias("token")), "tokens")
+    most = F.floor(F.col("s") * whole / percent) - F.col("n")
+    nodes = left.groupBy("node").agg(F.first("comp").alias("comp"), F.first("n").alias("n"))
+    rows = materialise(nodes.join(sets, "node").select("node", "comp", "n", F.explode("hashes").alias("token")), "tokens")
+    keys = left.select("key", "node")
+    tables = [rows]
     for _ in range(2):
         common = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        shared = rows.join(common, "token", "left_semi")
-        least = F.greatest(F.col("least_n"), F.ceil(F.lit(percent) * F.col("n") / 100))
-        alive = shared.groupBy("node").agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n"), F.first("least_n").alias("least_n")).where(F.col("s") >= need(F.col("n"), least)).select("node", "s")
-        rows = materialise(shared.drop("s").join(alive, "node"), "tokens")
-    sizes = rows.select("node", "comp").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("comp_n"))
-    rows = rows.join(sizes, "comp").withColumn("rank", F.struct("comp_n", "comp"))
-    of_token = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("rank").alias("top"))
-    ordered = rows.join(of_token, "token").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("df", "token")))
-    least = F.greatest(F.col("least_n"), F.ceil(F.lit(percent) * F.col("n") / 100))
-    probes = ordered.where((F.col("r") <= F.col("s") - need(F.col("n"), least) + 1) & (F.col("rank") < F.col("top"))).select("token", F.col("node").alias("x"), F.col("rank").alias("rank_x"), F.col("n").alias("nx"), F.col("s").alias("sx"), "r")
-    held = rows.select("token", F.col("node").alias("y"), F.col("rank").alias("rank_y"), F.col("n").alias("ny"), F.col("s").alias("sy"))
+        shared = materialise(rows.join(common, "token", "left_semi"), "shared")
+        counted = shared.groupBy("node").agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n")).withColumn("most", most)
+        counted = materialise(counted, "counted")
+        # The least partner: of the sizes in a bucket, only those of nodes that can be the smaller one of a pair count, or the node's own as the smaller.
+        smaller = keys.join(counted.where("most >= n"), "node").groupBy("key").agg(F.min("n").alias("least"))
+        least = keys.join(smaller, "key").groupBy("node").agg(F.min("least").alias("least"))
+        alive = counted.join(least, "node").withColumn("least", F.greatest("least", F.ceil(F.lit(percent) * F.col("n") / 100))).where(F.col("s") >= need(F.col("n"), F.col("least")))
+        last = materialise(shared.select("node", "comp", "token").join(alive, "node"), "tokens")  # with s, n, most, least
+        discard(left.sparkSession, shared)
+        rows = last.select("node", "comp", "n", "token")
+        tables.append(last)
+    sizes = materialise(last.select("node", "comp").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("comp_n")), "sizes")
+    weights = materialise(last.groupBy("comp").agg(F.count(F.lit(1)).alias("rows_n")).join(sizes, "comp").select("comp", "comp_n", "rows_n"), "weights")
+    ranked = materialise(join_groups(last, weights, "comp", "rows_n", "inner").withColumn("rank", F.struct("comp_n", "comp")).drop("rows_n", "comp_n"), "ranked")
+    of_token = ranked.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("rank").alias("top"))
+    ordered = ranked.join(of_token, "token").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("df", "token")))
+    probes = ordered.where((F.col("r") <= F.col("s") - need(F.col("n"), F.col("least")) + 1) & (F.col("rank") < F.col("top")))
+    probes = materialise(probes.select("token", F.col("node").alias("x"), F.col("rank").alias("rank_x"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("most").alias("mx"), "r"), "probes")
+    held = ranked.select("token", F.col("node").alias("y"), F.col("rank").alias("rank_y"), F.col("n").alias("ny"), F.col("s").alias("sy"), F.col("most").alias("my"))
     wanted = need(F.col("nx"), F.col("ny"))
-    met = probes.join(held, "token").where((F.col("rank_x") < F.col("rank_y")) & (F.col("sy") >= wanted) & (F.col("r") <= F.col("sx") - wanted + 1))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, percent: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
-
-    Two documents are linked when 100 x intersection >= percent x union of their
-    shingle sets; component_id is the smallest id reached over links. Equal sets
-    are one node from the start, so copies never meet in a bucket. Nodes that
-    share a band's bucket are candidates. A bucket is not paired out: first all
-    its members are held against the one that meets most others, twice, and what
-    that links is merged; between the components that are left, _cross_pairs()
-    finds every pair that can be linked. There is no cap. Every link is confirmed
-    on the full sets of the whole texts.
-
-    Null and wordless texts have the empty set and are linked with nothing. A
-    text of fewer words than a shingle is one shingle. Repeated rows are equal
-    sets. A row with a null id takes no part: its component_id is null, and it is
-    kept. Empty tables give no rows; other columns are ignored.
-    """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = own.mapInArrow(_sign(size, bands, rows), "doc_id long, n_shingles long, digest binary, keys array<long>")
-    signed = materialise(signed.withColumn("rid", F.monotonically_increasing_id()), "signatures")
+    fits = (F.col("rank_x") < F.col("rank_y")) & (F.col("sy") >= wanted) & (F.col("r") <= F.col("sx") - wanted + 1)
+    small = probes.join(held.where("my >= ny"), "token").where(fits)
+    large = probes.where("mx >= nx").join(held.where("my < ny"), "token").where(fits)
+    met = small.unionByName(large).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = materialise(met, "met")
+    for used in (*tables, ranked, probes):
+        discard(left.sparkSession, used)
+    return met
+
+
+def _grouped(own: DataFrame, size: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """own(rid, doc_id, text) as (rid, doc_id, n_shingles, component_id)."""
+    bound_batches(own.sparkSession)
+    signed = materialise(own.mapInArrow(_sign(size, bands, rows), "rid long, doc_id long, n_shingles long, digest binary, keys array<long>, hashes array<long>"), "signatures")
     named = signed.where("doc_id is not null and digest is not null")
-    sets = materialise(named.groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least")), "sets")
-    firsts = named.join(sets.select("node"), F.col("rid") == F.col("node"), "left_semi")
-    buckets = firsts.select(F.col("rid").alias("node"), F.explode("keys").alias("key"))
+    firsts = materialise(named.groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "sets")
+    lone = signed.select(F.col("rid").alias("node"), F.col("n_shingles").alias("n"), "keys").join(firsts.select("node"), "node", "left_semi")
+    buckets = materialise(lone.select("node", "n", F.explode("keys").alias("key")), "buckets")
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = materialise(buckets.join(shared, "key"), "buckets")  # node, key, members
-    reach = members.groupBy("node").agg(F.sum("members").alias("reach"))
-    # The texts of all nodes that share a bucket, once.
-    wanted = firsts.join(reach, F.col("rid") == F.col("node")).select("node", "reach", "digest", F.col("doc_id").alias("own_id"))
-    texts = materialise(wanted.join(own, F.col("own_id") == F.col("doc_id")).select("node", "digest", "text"), "texts")
-    members = materialise(members.select("key", "node").join(reach.join(firsts.select(F.col("rid").alias("node"), F.col("n_shingles").alias("n")), "node"), "node"), "members")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        of_b = texts.select(F.col("node").alias("b"), F.col("digest").alias("db"), F.col("text").alias("tb"))
-        of_a = texts.select(F.col("node").alias("a"), F.col("digest").alias("da"), F.col("text").alias("ta"))
-        joined = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "da", "db", "ta", "tb")
-        return joined.mapInArrow(_confirm(size, percent), "a long, b long")
+    found = materialise(buckets.join(shared, "key"), "shared")  # node, n, key, members
+    reach = found.groupBy("node").agg(F.sum("members").alias("reach"))
+    members = materialise(found.drop("members").join(reach, "node"), "members")
+    discard(own.sparkSession, buckets)
+    discard(own.sparkSession, found)
+    # The sets of all nodes that share a bucket, once.
+    sets = materialise(join_keys(signed.select(F.col("rid").alias("node"), "hashes"), members.select("node").distinct(), "node", "left_semi"), "members-sets")
+    narrow = materialise(signed.select("rid", "doc_id", "n_shingles", "digest"), "rows")
+    discard(own.sparkSession, signed)
 
     links = None
     tried = None
@@ -244,38 +254,72 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if turn:
                 rest = left.join(centre.select("key", F.col("c.comp").alias("done")), "key").where("comp <> done")
                 centre = rest.groupBy("key").agg(F.max(F.struct("reach", "node", "comp")).alias("c"))
-            pairs = left.join(centre, "key").where("comp <> c.comp").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+            pairs = left.join(centre, "key").where("comp <> c.comp").select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
         else:
-            pairs = _cross_pairs(left, texts, size, percent)
+            pairs = _cross_pairs(left, sets, percent)
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            # Held against both orders: an earlier centre may now be the member.
+            pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         if pairs.isEmpty():
             if turn < STAR_ROUNDS:
                 continue
             break
-        fresh = materialise(confirm(pairs), "links")
+        fresh = materialise(_confirmed(pairs, sets, percent), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = fresh if links is None else links.unionByName(fresh)
         roots = materialise(connected_components(links), "roots")
         if turn < STAR_ROUNDS:
             grouped = members.join(roots, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        discard(own.sparkSession, left)
     if links is None:
-        found = sets.select("digest", F.col("least").alias("component_id"))
+        found = firsts.select("digest", F.col("least").alias("component_id"), "copies")
     else:
-        rooted = sets.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rooted = firsts.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
-        found = rooted.join(least, "component").select("digest", "component_id")
-    out = signed.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
+        found = rooted.join(least, "component").select("digest", "component_id", "copies")
+    discard(own.sparkSession, sets)
+    out = join_groups(narrow, materialise(found, "components"), "digest", "copies")
     own_id = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), own_id))
+    return out.select("rid", "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own_id).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, percent: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+
+    Two documents are linked when 100 x intersection >= percent x union of their
+    shingle sets; component_id is the smallest id reached over links. Equal sets
+    are one node from the start, so copies never meet in a bucket. Nodes that
+    share a band's bucket are candidates. A bucket is not paired out: first all
+    its members are held against the one that meets most others, twice, and what
+    that links is merged; between the components that are left, _cross_pairs()
+    finds every pair that can be linked. There is no cap. Every link is confirmed
+    on the full sets of the whole texts, which are read once and kept as sorted
+    hashes; texts are never shuffled.
+
+    Null and wordless texts have the empty set and are linked with nothing. A
+    text of fewer words than a shingle is one shingle. Repeated rows are equal
+    sets. A row with a null id takes no part: its component_id is null, and it is
+    kept. Empty tables give no rows; other columns are ignored.
+    """
+    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    out = _grouped(own, size, percent, bands, rows)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the smallest id of each near-duplicate group only; all columns kept."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """docs with one row of each near-duplicate group only, that of the smallest id; all columns kept.
+
+    Rows are told apart by a key of their own, not by their ids: a row that shares
+    its id with a near copy stays. Of rows of one group that share its smallest id
+    the first stays. Null ids, null and wordless texts stay.
+    """
+    keyed, key = with_row_key(docs)
+    own = keyed.select(F.col(key).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    out = materialise(_grouped(own, SHINGLE_WORDS, SIMILARITY, BANDS, ROWS), "grouped")
+    placed = out.where("doc_id is not null and n_shingles > 0")
+    least = placed.where("doc_id = component_id").groupBy("component_id").agg(F.min("rid").alias("rid"))
+    return without_rows(keyed, key, materialise(placed.select("rid").join(least.select("rid"), "rid", "left_anti"), "gone"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,18 @@ def test_against_brute_force(spark):
     kept = drop_contaminated(d, b)
     assert kept.columns == d.columns
     assert contamination(d, b.limit(0)).where("contaminated").count() == 0 and contamination(d.limit(0), b).count() == 0
+
+
+def test_joins_by_shuffle_give_the_same(spark):
+    fox = "the quick brown fox jumps over the lazy dog and then runs away quickly"
+    docs = [(k, f"w{k} {fox}" if k % 3 == 0 else f"clean {k}") for k in range(40)] + [(None, fox), (None, None), (3, "clean again"), (5, "A, B! a-b")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    b = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert sorted(map(str, map(tuple, contamination(d, b, broadcast_rows=0).collect()))) == sorted(map(str, brute(docs, ITEMS)))
+
+
+def test_a_clean_row_does_not_go_with_its_namesake(spark):
+    fox = "the quick brown fox jumps over the lazy dog and then runs away quickly"
+    rows = [(None, fox), (None, "clean without an id"), (9, fox), (9, "clean with the same id")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.text for r in drop_contaminated(d, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()} == {rows[1][1], rows[3][1]}

@@ -127,3 +127,36 @@ def test_components_and_numbering(spark):
     for g in (0, 1, 2, None):
         own = sorted(r.n for r in rows if r.g == g)
         assert own == list(range(len(own)))
+
+
+def test_a_row_does_not_go_with_its_namesake(spark, tmp_path):
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join([*base[:59], "other"])
+    rows = [(1, " ".join(base)), (5, near), (5, "a text of its own"), (None, " ".join(base)), (None, None), (7, "x y"), (7, "X  y"), (7, "x y")]
+    written = f"{tmp_path}/docs"
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.repartition(3).write.parquet(written)
+    for d in (df, spark.read.parquet(written)):  # with and without files to know rows by
+        assert {(r.doc_id, r.text) for r in drop_near_copies(d).collect()} >= {(1, rows[0][1]), (5, "a text of its own"), (None, rows[0][1]), (None, None)}
+        assert (5, near) not in {(r.doc_id, r.text) for r in drop_near_copies(d).collect()}
+        assert sorted(str(tuple(r)) for r in drop_exact_copies(d).collect()) == sorted(str(r) for r in [*rows[:3], rows[4], rows[5], rows[6]])
+
+
+def test_templates_with_a_shorter_member(spark):
+    """Documents that share a long passage and are not linked meet only the short one in their buckets."""
+    rng = np.random.default_rng(3)
+    shared = [f"s{k}" for k in range(104)]
+    rows = [(k, " ".join(shared + [f"d{k}w{j}" for j in range(24 + k % 2)])) for k in range(120)]
+    rows += [(500, " ".join(shared)), (501, " ".join([*shared[:100], "q", "r"]))] + [(600 + k, " ".join(rng.permutation(shared))) for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(df).collect()} == brute(rows)
+
+
+def test_filters_merge_in_order_and_look_up():
+    rng = np.random.default_rng(2)
+    prints = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    parts = [CountingQuotientFilter.build(x, np.ones(len(x), np.int64)) for x in np.split(np.r_[prints, prints[:1500]], 9)]
+    whole = CountingQuotientFilter.merge(parts)
+    held = whole.fingerprints()
+    assert (np.diff(held.astype(object)) > 0).all() and len(held) == len(np.unique(prints))
+    assert [whole.count(int(p)) for p in (*prints[:5], *prints[-5:], 12345)] == [2] * 5 + [1] * 5 + [0]

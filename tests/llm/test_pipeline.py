@@ -77,3 +77,9 @@ def test_stages_keep_the_columns_of_documents(spark, documents):
     left = {r.doc_id for r in docs.select("doc_id").collect()}
     assert 10**6 + 1 in left and 10**6 not in left
     assert isinstance(docs.toPandas(), pd.DataFrame) and zlib.crc32(b"") == 0
+
+
+def test_no_documents(spark, documents, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
