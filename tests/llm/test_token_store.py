@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from factloom.llm.token_store import IndexBucket, PerfectHash, op5_token_ids, token_spans, write_store
+from factloom.llm.token_store import IndexBucket, PerfectHash, TokenStore, op5_token_ids, token_spans, write_store
 
 
 def expected(rows):
@@ -56,3 +56,15 @@ def test_perfect_hash_is_minimal():
     assert known.all() and (shard == keys % 7).all() and (at == keys % 1000).all() and (n == keys % 50).all()
     assert again.find(keys + np.uint64(1))[0].mean() < 0.001
     assert not IndexBucket.build(keys[:0], keys[:0], keys[:0], keys[:0]).find(keys)[0].any()
+
+
+def test_one_id_over_many_shards(spark, tmp_path):
+    rows = [(None, f"text {k % 50} of nobody") for k in range(400)] + [(4, f"{k} again") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted((tuple(r) for r in token_spans(df, folder=f"file://{tmp_path}").collect()), key=key) == sorted(expected(rows), key=key)
+    store = TokenStore.open(f"file://{tmp_path}")
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = sorted((x for d, x in rows if d is None), key=str.encode)
+    for nth in (0, 137, 399):
+        assert list(store.get(None, nth)) == [*t.encode(texts[nth], add_special_tokens=False).ids, 1]
+    assert store.get(None, 400) is None
