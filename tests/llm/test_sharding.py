@@ -43,3 +43,16 @@ def test_no_rows_and_fewer_rows_than_shards(spark):
     df = spark.createDataFrame([(1, "a", "x", "y", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert kd_shards(df.limit(0)).count() == 0
     assert [r.slot for r in kd_shards(df, shards=3).collect()] == [0]
+
+
+def test_placing_does_not_depend_on_files(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    df = df.union(df.limit(3)).withColumn("source", df.source.substr(1, 2))
+    one, five = ({tuple(r) for r in kd_shards(df.repartition(n), shards=5).collect()} for n in (1, 5))
+    assert one == five
+
+
+def test_long_names_that_begin_alike_are_apart(spark):
+    rows = [(k, f"text {k}", f"wikipedia_{'en' if k % 2 else 'de'}") for k in range(200)]
+    got = kd_shards(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=2).collect()
+    assert len({(r.doc_id % 2, r.shard) for r in got}) <= 3 and sum(r.group_split for r in got) <= 1
