@@ -66,3 +66,10 @@ OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
     texts += [("copyright is nothing of a licence\n" + flat, None), ("Copyright Notice and other terms hold\n" + flat, None), ("(c) You must keep this\n" + flat, None)]
     got = {r.doc_id: r.license for r in scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()}
     assert [(i, got[i]) for i in range(len(texts))] == [(i, name) for i, (_, name) in enumerate(texts)]
+
+
+def test_a_very_long_text_and_repeats(spark):
+    long = "plain words go on and on\n" * 40000 + "Released under the MIT License.\n" * 3
+    df = spark.createDataFrame([(1, long), (1, long), (2, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.license, r.n_notices, r.notices) for r in scan_licenses(df).collect())
+    assert got == [(1, None, 1, "MIT"), (1, None, 1, "MIT"), (2, None, 0, "")]
