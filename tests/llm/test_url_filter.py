@@ -77,3 +77,45 @@ def test_empty_tables_and_repeats(spark):
     assert judge_urls(df).count() == 3
     assert judge_urls(df.limit(0)).count() == 0
     assert {r.verdict for r in judge_urls(df, rules=df.sparkSession.createDataFrame([], "verdict string, host string, path string")).collect()} == {"allow"}
+
+
+HREFS = [
+    ("http://b.org/p", "/login?next=http://a.net/es/x", "allow"),  # a url in a query names no host
+    ("http://b.org/q#http://a.net/es/x", "#http://a.net/es/x", "allow"),
+    ("http://b1.org/p", "//a.net/es/x", "block"),
+    ("http://b2.org/p", "HTTP://A.net/es/x", "block"),
+    ("http://b3.org/x/y/p", "../../go/./to/../es", "allow"),
+    ("http://b4.org/p", "mailto:http://a.net/es/x", "allow"),
+    ("http://b5.org/p?a=1", "?page=2&amp;ref=1", "block"),  # b5.org/p?page=2&ref=1 is redirected to a.net below
+    ("http://b5.org/p?page=2&ref=1", "http://a.net/es/x", "block"),
+    ("http://b6.org", "x", "block"),
+    ("http://b6.org/x", "http://a.net/fr/", "block"),
+    ("http://b7.org/d/p", "./e", "block"),
+    ("http://b7.org/d/e", "http://a.net/es/x/../y", "block"),
+    ("http://b8.org/d/p", "..", "block"),
+    ("http://b8.org/", "http://a.net/es/x", "block"),
+    ("http://b9.org/d/p", "javascript:void(0)", "allow"),
+]
+
+
+def test_references_by_the_rules_for_urls(spark, tmp_path):
+    import html
+    from urllib.parse import urljoin
+
+    import duckdb
+
+    from factloom.llm.url_filter import OP8_SQL, op8_url_filter
+
+    links = []
+    for url, href, _ in HREFS:
+        to = urljoin(url, html.unescape(href))
+        if to.startswith(("http:", "HTTP:")):
+            links.append((url, to))
+    rows = [(k, url, f"<link href=\"\" rel='canonical'><head><LINK rel=canonical href='{href}' data-x>") for k, (url, href, _) in enumerate(HREFS)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {tuple(r) for r in op8_url_filter(spark, str(tmp_path)).collect()}
+    assert {r[0]: r[4] for r in got} == {k: v for k, (_, _, v) in enumerate(HREFS)}
+    assert got == brute([r[:2] for r in rows], links)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == {(r[0], r[1], r[2], r[3], r[4]) for r in duck.execute(f"SELECT page_id, host, path, rule, verdict FROM ({OP8_SQL})").fetchall()}
