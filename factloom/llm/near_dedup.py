@@ -31,7 +31,7 @@ class _WordHashes(dict):
     """64-bit hashes of words; forgets all when it has grown to its bound, which only costs time."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 16:
             self.clear()
         value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         if len(word) <= 64:
