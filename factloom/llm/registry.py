@@ -8,6 +8,7 @@ from factloom.llm.language_id import op1_language_id
 from factloom.llm.license_scan import OP3_SQL, op3_license_scan
 from factloom.llm.near_dedup import OP7_SQL, op7_near_dedup
 from factloom.llm.packing import op9_packing
+from factloom.llm.period_runs import OP11_SQL, op11_period_runs
 from factloom.llm.resample import OP13_SQL, op13_importance_resample
 from factloom.llm.secret_scan import op4_secret_scan
 from factloom.llm.sharding import op6_sharding
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_period_runs": op11_period_runs,
     "op13_importance_resample": op13_importance_resample,
 }
 
@@ -34,5 +36,6 @@ ORACLES = {
     "op7_near_dedup": OP7_SQL,
     "op8_url_filter": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_period_runs": OP11_SQL,
     "op13_importance_resample": OP13_SQL,
 }

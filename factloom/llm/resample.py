@@ -115,7 +115,7 @@ def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The remainders of a byte and the checksum of bytes, as DuckDB has none: 3988292384 is the polynomial, reversed.
-_SQL_CRC = """
+SQL_CRC_TABLE = """
 crc_table AS MATERIALIZED (SELECT list(r ORDER BY i) AS tab FROM (
   SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS r FROM (SELECT unnest(range(256)) AS i)))"""
 
@@ -134,7 +134,7 @@ def _sql_features(of: str, key: str) -> str:
 
 
 OP13_SQL = f"""
-WITH {_SQL_CRC},
+WITH {SQL_CRC_TABLE},
 d AS MATERIALIZED ({_sql_features("documents", "doc_id")}),
 b AS MATERIALIZED ({_sql_features("benchmark", "item_id")}),
 each_d AS MATERIALIZED (SELECT doc_id, f FROM (SELECT doc_id, unnest(f) AS f FROM d)),
