@@ -9,6 +9,7 @@ from factloom.llm.license_scan import OP3_SQL, op3_license_scan
 from factloom.llm.near_dedup import OP7_SQL, op7_near_dedup
 from factloom.llm.packing import op9_packing
 from factloom.llm.period_runs import OP11_SQL, op11_period_runs
+from factloom.llm.pii import op12_find_pii
 from factloom.llm.resample import OP13_SQL, op13_importance_resample
 from factloom.llm.secret_scan import op4_secret_scan
 from factloom.llm.sharding import op6_sharding
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_period_runs": op11_period_runs,
+    "op12_find_pii": op12_find_pii,
     "op13_importance_resample": op13_importance_resample,
 }
 
