@@ -7,19 +7,23 @@ state and returns the state; what a note changed is in its Outcome.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
+import numpy as np
+
 from factloom.functions.text import SINGLE_VALUED, is_literal_name, mentions, relation_of
 from factloom.functions.vectors import cosine_of, hash_vector
+from factloom.ingest.shelf import Shelf
 
 DAY, TICK = timedelta(days=1), timedelta(milliseconds=1)
 #: Texts this near are a paraphrase of one statement; repeats within one note must be nearer.
 PARAPHRASE, REPEAT = 0.92, 0.95
 REASON_CHARS, DIMS = 120, 64
 
-Judge = Callable[[dict, list[dict]], object]
+Judge = Callable[[dict, Sequence[dict]], object]
+Embed = Callable[[list[str]], Sequence[Sequence[float]]]
 
 
 @dataclass
@@ -30,6 +34,7 @@ class Entity:
     summary: str = ""
     marks: dict = field(default_factory=dict)
     created: datetime | None = None
+    vector: Sequence[float] | None = None
 
 
 @dataclass
@@ -45,6 +50,8 @@ class Fact:
     created: datetime | None = None
     expired: datetime | None = None
     marks: dict = field(default_factory=dict)
+    vector: Sequence[float] | None = None
+    place: int = -1
 
     @property
     def withdrawn(self) -> bool:
@@ -81,34 +88,71 @@ class Episode:
 
 
 class State:
-    """A group's entities by lower-case name, its facts by slot and by pair of ends, and the keys of its notes.
+    """A group's entities by lower-case name, its facts on shelves, and the keys of its notes.
 
-    A slot is a source and a relation. A statement touches one slot and one pair,
-    so what it costs does not depend on how many facts its entities have.
+    A shelf has the facts of a slot (source and relation), of a pair of ends, or of
+    a statement (slot and target), and finds those of a window without a look at
+    the others. A statement touches one of each, so what it costs follows the facts
+    that hold around its window, not those that its entities or its slot ever had.
     """
 
     def __init__(self) -> None:
         self.entities: dict[str, Entity] = {}
         self.facts: list[Fact] = []
-        self.slots: dict[tuple[str, str], list[int]] = {}
-        self.pairs: dict[frozenset, list[int]] = {}
+        self.shelves: dict[object, Shelf] = {}
         self.keys: set[str] = set()
+        self.dims: int | None = None
+
+    @staticmethod
+    def kept_at(f: Fact) -> tuple:
+        relation = relation_of(f.name)
+        return (f.source, relation), frozenset((f.source, f.target)), (f.source, relation, f.target)
 
     def add(self, f: Fact) -> None:
-        place = len(self.facts)
+        f.place = len(self.facts)
         self.facts.append(f)
-        self.slots.setdefault((f.source, relation_of(f.name)), []).append(place)
-        self.pairs.setdefault(frozenset((f.source, f.target)), []).append(place)
+        if f.vector and self.dims is None:
+            self.dims = len(f.vector)
+        for key in self.kept_at(f):
+            if key not in self.shelves:
+                self.shelves[key] = Shelf(self.facts)
+            self.shelves[key].add(f.place)
+
+    def revectored(self, f: Fact) -> None:
+        shelf = self.shelves[self.kept_at(f)[2]]
+        shelf.filled = min(shelf.filled, shelf.places.index(f.place)) if shelf.filled else 0
+
+    def drop_last(self) -> None:
+        f = self.facts[-1]
+        for key in self.kept_at(f):
+            self.shelves[key].drop_last()
+        self.facts.pop()
+
+    def moved(self, f: Fact) -> None:
+        for key in self.kept_at(f):
+            self.shelves[key].moved(f.place)
+
+    def slot(self, source: str, relation: str) -> Shelf:
+        return self.shelves.get((source, relation)) or Shelf(self.facts)
+
+    def pair(self, ends: frozenset) -> Shelf:
+        return self.shelves.get(ends) or Shelf(self.facts)
 
-    def slot(self, source: str, relation: str) -> list[Fact]:
-        return [self.facts[k] for k in self.slots.get((source, relation), ())]
+    def statement(self, source: str, relation: str, target: str) -> Shelf:
+        return self.shelves.get((source, relation, target)) or Shelf(self.facts)
 
-    def pair(self, ends: frozenset) -> list[Fact]:
-        return [self.facts[k] for k in self.pairs.get(ends, ())]
 
-    def around(self, source: str, relation: str, ends: frozenset) -> list[Fact]:
-        """The facts of a slot and of a pair, each once, in the order in which they came."""
-        return [self.facts[k] for k in sorted({*self.slots.get((source, relation), ()), *self.pairs.get(ends, ())})]
+class Seen(Sequence):
+    """Some facts by their places, each looked up when it is asked for."""
+
+    def __init__(self, facts: list[Fact], places: np.ndarray, view: Callable[[Fact], object] = lambda f: f):
+        self.facts, self.places, self.view = facts, places, view
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, k):
+        return [self.view(self.facts[p]) for p in self.places[k].tolist()] if isinstance(k, slice) else self.view(self.facts[int(self.places[k])])
 
 
 class Journal:
@@ -118,14 +162,19 @@ class Journal:
         self.state = state
         self.before: dict[int, tuple[object, dict]] = {}
         self.named: list[str] = []
+        self.first = len(state.facts)  # the place of the note's first own fact
 
     def touch(self, x: Entity | Fact) -> None:
         if id(x) not in self.before:
             self.before[id(x)] = (x, {**x.__dict__, "marks": dict(x.marks)})
 
     def undo(self) -> None:
+        while len(self.state.facts) > self.first:
+            self.state.drop_last()
         for x, held in self.before.values():
             x.__dict__.update(held)
+            if isinstance(x, Fact) and 0 <= x.place < self.first:
+                self.state.moved(x)
         for name in self.named:
             self.state.entities.pop(name, None)
 
@@ -151,10 +200,6 @@ class Claim:
     def moment(self) -> datetime:
         return self.valid if self.valid is not None else self.invalid - TICK
 
-    def holds(self, f: Fact) -> bool:
-        """f is true when the statement begins, or ends just where a date-only statement begins."""
-        return f.covers(self.moment) or self.dated and f.invalid == self.moment
-
 
 @dataclass
 class Outcome:
@@ -180,18 +225,18 @@ def window(start: datetime | None, end: datetime | None, noted: datetime) -> tup
     return (start, start + DAY, False) if end == start else (None, end, False)
 
 
-def never(statement: dict, shown: list[dict]) -> list[int]:
+def never(statement: dict, shown: Sequence[dict]) -> list[int]:
     return []
 
 
-def opposites(statement: dict, shown: list[dict]) -> list[int]:
+def opposites(statement: dict, shown: Sequence[dict]) -> list[int]:
     """The built-in judge: one text joins or likes where the other has left or hates."""
     pairs = (("joins", "left"), ("likes", "hates"))
-    new = statement["fact"]
-    return [i for i, old in enumerate(shown) if any((a in old["fact"] and b in new) or (b in old["fact"] and a in new) for a, b in pairs)]
+    against = [b for pair in pairs for a, b in (pair, pair[::-1]) if a in statement["fact"]]
+    return [i for i, old in enumerate(shown) if any(b in old["fact"] for b in against)] if against else []
 
 
-def verdict(answer: object, shown: list[Fact]) -> tuple[list[Fact], list[Fact] | None]:
+def verdict(answer: object, shown: Sequence[Fact]) -> tuple[list[Fact], list[Fact] | None]:
     """(ended, restated or None): from {"ended", "same"}, a list of places, or a boolean for all."""
     pick = lambda places: [shown[i] for i in dict.fromkeys(places or []) if isinstance(i, int) and not isinstance(i, bool) and 0 <= i < len(shown)]
     if isinstance(answer, dict):
@@ -204,33 +249,80 @@ def verdict(answer: object, shown: list[Fact]) -> tuple[list[Fact], list[Fact] |
 class Note:
     """One note on its way into a group's state."""
 
-    def __init__(self, state: State, episode: Episode, judge: Judge, now: datetime, embed: Callable[[str], list[float]], journal: Journal | None = None):
+    def __init__(self, state: State, episode: Episode, judge: Judge, now: datetime, embed: Embed, journal: Journal | None = None):
         self.state, self.episode, self.judge, self.now, self.embed = state, episode, judge, now, embed
         self.journal = journal or Journal(state)
         self.out = Outcome()
-        self.own: list[Fact] = []
         self.fresh: set[str] = set()
+        self.met: set[str] = set()
         self.undated = abs(episode.valid - episode.created) < DAY
-        self.vectors: dict[str, list[float]] = {}
+        self.vectors: dict[str, Sequence[float]] = {}
+        self.supported: set[int] = set()
+        self.closed: set[int] = set()
 
     # what is being said
 
-    def vector(self, text: str) -> list[float]:
-        if text not in self.vectors:
-            self.vectors[text] = self.embed(text)
+    def stage(self, texts: Iterable[str]) -> None:
+        """Embeds texts together; an embedder that fails, or does not give a vector for each, fails the note."""
+        new = [t for t in dict.fromkeys(texts) if t not in self.vectors]
+        if not new:
+            return
+        found = list(self.embed(new))
+        if len(found) != len(new):
+            raise ValueError("an embedder gives one vector for each text")
+        self.vectors.update(zip(new, found, strict=True))
+
+    def vector(self, text: str) -> Sequence[float]:
+        self.stage([text])
         return self.vectors[text]
 
+    def vector_of(self, f: Fact) -> Sequence[float]:
+        if not f.vector:
+            f.vector = self.vector(f.text)
+        return f.vector
+
     def near(self, a: str, b: str, least: float) -> bool:
         return a == b or cosine_of(self.vector(a), self.vector(b)) >= least
 
+    def alike(self, claim: Claim, places: np.ndarray) -> np.ndarray:
+        """Which of some places of a statement's shelf say the same as a claim."""
+        if not len(places):
+            return np.zeros(0, bool)
+        shelf = self.state.statement(claim.src.uuid, claim.relation, claim.tgt.uuid)
+        return shelf.alike(places, claim.text, self.vector(claim.text), PARAPHRASE, self.vector_of)
+
+    def repair(self) -> None:
+        """All vectors of what the note has touched, of one length: those of another model's length are made anew.
+
+        It comes last and writes nothing before every text is embedded; a length that
+        still differs fails the note, which then has changed nothing.
+        """
+        facts, entities = [*self.out.facts, *self.out.reinforced, *self.out.invalidated], self.out.entities
+        dims = self.state.dims or next((len(v) for v in self.vectors.values() if len(v)), None)
+        stale = lambda x: dims is not None and bool(x.vector) and len(x.vector) != dims or not x.vector
+        old = [(f, f.text) for f in facts if stale(f)] + [(e, e.name) for e in entities if stale(e)]
+        self.stage(text for _, text in old)
+        for x, text in old:
+            given = self.vectors[text]
+            if dims is not None and len(given) and len(given) != dims:
+                raise ValueError(f"the graph has vectors of {dims} numbers, the embedder gives {len(given)}")
+            self.journal.touch(x)
+            x.vector = given
+            if isinstance(x, Fact):
+                self.state.revectored(x)
+        if self.state.dims is None:
+            self.state.dims = dims
+
     def entity(self, name: str | None) -> Entity | None:
         return self.state.entities.get((name or "").strip().lower())
 
     def apply(self) -> Outcome:
         said, ended = self.episode.facts, self.episode.ends
         names = lambda rows: {(r.get(k) or "").strip().lower() for r in rows for k in ("source_name", "target_name")}
+        endpoints = names(said)
+        related = endpoints | names(ended)
         for given in self.episode.entities:
-            self.meet(given, names(said), names(said) | names(ended))
+            self.meet(given, endpoints, related)
         self.plans: list[Claim] = []
         for s in said:
             src, tgt = self.entity(s.get("source_name")), self.entity(s.get("target_name"))
@@ -241,15 +333,15 @@ class Note:
             text = (s.get("fact") or "").strip() or f"{src.name} {relation} {tgt.name}"
             self.plans.append(Claim(src, tgt, relation, text, *window(s.get("valid_at"), s.get("invalid_at"), self.episode.valid), bool(s.get("replaces_previous"))))
         self.forget_literals()
+        self.stage([c.text for c in self.plans] + [e.name for e in self.out.entities if not e.vector])  # every vector before any change of a fact
         for e in ended:
             self.terminate(e, only_outdated=True)
         for claim in self.distinct():
             self.settle(claim)
         for e in ended:
             self.terminate(e)
-        for f in self.own:
-            self.state.add(f)
-        self.out.facts = self.own
+        self.out.facts = self.state.facts[self.journal.first :]
+        self.repair()
         return self.out
 
     def meet(self, given: dict, endpoints: set[str], related: set[str]) -> None:
@@ -275,13 +367,16 @@ class Note:
             if summary and owner != self.episode.uuid and (summary != known.summary or owner is not None):
                 known.marks |= {"summaryByEpisode": self.episode.uuid, "previousSummary": known.summary}
             known.summary = summary or known.summary
-        if known not in self.out.entities:
+        if known.uuid not in self.met:
+            self.met.add(known.uuid)
             self.out.entities.append(known)
 
     def forget_literals(self) -> None:
         used = {e.uuid for c in self.plans for e in (c.src, c.tgt)}
-        for e in [e for e in self.out.entities if e.uuid not in used and is_literal_name(e.name)]:
-            self.out.entities.remove(e)
+        idle = [e for e in self.out.entities if e.uuid not in used and is_literal_name(e.name)]
+        gone = {e.uuid for e in idle}
+        self.out.entities = [e for e in self.out.entities if e.uuid not in gone]
+        for e in idle:
             self.out.dropped["entities"] += 1
             if e.name.lower() in self.fresh:
                 self.fresh.discard(e.name.lower())
@@ -290,29 +385,32 @@ class Note:
     def distinct(self) -> list[Claim]:
         """Statements of the note without those it makes twice of one pair under two relation names."""
         kept: list[Claim] = []
+        told: dict[tuple, list[Claim]] = {}
         for c in self.plans:
-            rivals = (k for k in kept if k.src is c.src and k.tgt is c.tgt and k.relation != c.relation and (k.valid, k.invalid) == (c.valid, c.invalid))
-            if not any(self.near(k.text, c.text, REPEAT) for k in rivals):
+            rivals = told.setdefault((c.src.uuid, c.tgt.uuid, c.valid, c.invalid), [])
+            if not any(k.relation != c.relation and self.near(k.text, c.text, REPEAT) for k in rivals):
+                rivals.append(c)
                 kept.append(c)
         return kept
 
     # changes
 
     def is_own(self, f: Fact) -> bool:
-        return any(f is o for o in self.own)
+        return f.place >= self.journal.first
 
     def close(self, f: Fact, at: datetime, reason: str) -> None:
-        again = any(f is g for g in self.out.invalidated)
+        again = f.place in self.closed
         self.journal.touch(f)
         before = f.marks.get("previousEnd") if again else f.invalid and f.invalid.isoformat()
         f.invalid = at
-        if self.is_own(f):
-            return
-        f.expired = self.now
-        f.marks = {k: v for k, v in f.marks.items() if k not in ("closedByEpisode", "previousEnd")}
-        f.marks |= {"invalidatedBy": reason[:REASON_CHARS], "closedByEpisode": self.episode.uuid} | ({"previousEnd": before} if before else {})
-        if not again:
-            self.out.invalidated.append(f)
+        if not self.is_own(f):
+            f.expired = self.now
+            f.marks = {k: v for k, v in f.marks.items() if k not in ("closedByEpisode", "previousEnd")}
+            f.marks |= {"invalidatedBy": reason[:REASON_CHARS], "closedByEpisode": self.episode.uuid} | ({"previousEnd": before} if before else {})
+            if not again:
+                self.closed.add(f.place)
+                self.out.invalidated.append(f)
+        self.state.moved(f)
 
     def ends_where(self, f: Fact, at: datetime) -> datetime | None:
         """Where a change at `at` ends f; None if f begins later or is over by then."""
@@ -328,7 +426,8 @@ class Note:
             self.journal.touch(f)
             if self.episode.uuid not in f.episodes:
                 f.episodes = [*f.episodes, self.episode.uuid]
-            if not any(f is g for g in self.out.reinforced):
+            if f.place not in self.supported:
+                self.supported.add(f.place)
                 self.out.reinforced.append(f)
         if end is not None and f.invalid is None and (f.valid is None or end > f.valid):
             self.close(f, end, f"ended per: {text}")
@@ -336,88 +435,84 @@ class Note:
     def settle(self, claim: Claim) -> None:
         """Finds what a statement means for its slot: support for a record that is there, or a new one.
 
-        The cases are tried in order, and the first that names a record decides.
+        The cases are tried in order, and the first that names a record decides. What
+        holds at the statement's moment, and what begins next, are all that is read.
         """
-        slot = self.state.slot(claim.src.uuid, claim.relation) + [f for f in self.own if f.source == claim.src.uuid and relation_of(f.name) == claim.relation]
-        records = [f for f in slot if f.target == claim.tgt.uuid and not f.withdrawn]
-        alike = {id(f) for f in records if self.near(f.text, claim.text, PARAPHRASE)}
-        found = self.repeated(claim, records, alike) or self.begun_sooner(claim, slot, records, alike)
-        if found is None:
-            ended, shown, same = self.asked(claim, slot, alike)
-            apart = self.set_apart(claim, records, alike, ended)
-            told = [f for f in apart if same is not None and any(f is x for x in shown) and not any(f is x for x in same)]
-            found = next((f for f in apart if not any(f is x for x in told)), None)
-            if found is None:
+        facts, records = self.state.facts, self.state.statement(claim.src.uuid, claim.relation, claim.tgt.uuid)
+        holding = records.holding(claim.moment, claim.dated)
+        same = self.alike(claim, holding)
+        place = int(holding[same.argmax()]) if same.any() else self.begun_sooner(claim, records)
+        if place is None:
+            ended, shown, named = self.asked(claim)
+            stored = holding[(holding < self.journal.first) & ~same]  # true then, in other words
+            apart = stored[~np.isin(stored, ended)]
+            told = apart[np.isin(apart, shown) & ~np.isin(apart, named)] if named is not None else apart[:0]
+            rest = apart[~np.isin(apart, told)]
+            if not len(rest):
                 self.record(claim, records, ended, told)
                 return
-        self.support(found, claim.invalid, claim.text)
+            place = int(rest[0])
+        self.support(facts[place], claim.invalid, claim.text)
 
-    def repeated(self, claim: Claim, records: list[Fact], alike: set[int]) -> Fact | None:
-        """The record that says the same and is true then."""
-        return next((f for f in records if id(f) in alike and claim.holds(f)), None)
-
-    def following(self, claim: Claim, records: list[Fact]) -> Fact | None:
-        """The first record that begins after the statement."""
-        begun = [f for f in records if claim.valid is not None and f.valid is not None and f.valid > claim.valid]
-        return min(begun, key=lambda f: f.valid, default=None)
-
-    def begun_sooner(self, claim: Claim, slot: list[Fact], records: list[Fact], alike: set[int]) -> Fact | None:
+    def begun_sooner(self, claim: Claim, records: Shelf) -> int | None:
         """The next record, with its start moved back, if it says the same and the slot has not turned in between."""
-        later = self.following(claim, records)
-        if later is None or id(later) not in alike or claim.invalid is not None and claim.invalid < later.valid:
+        place = records.following(claim.valid) if claim.valid is not None else None
+        if place is None:
+            return None
+        later = self.state.facts[place]
+        if claim.invalid is not None and claim.invalid < later.valid or not self.alike(claim, np.array([place]))[0]:
             return None
-        if any(f is not later and f.invalid is not None and claim.valid < f.invalid <= later.valid for f in slot):
+        if self.state.slot(claim.src.uuid, claim.relation).ends_within(claim.valid, later.valid, place):
             return None
         self.journal.touch(later)
         later.valid = claim.valid
         later.marks = {k: v for k, v in later.marks.items() if k != "startFromEpisode"} | self.start_mark(claim)
-        return later
-
-    def set_apart(self, claim: Claim, records: list[Fact], alike: set[int], ended: list[Fact]) -> list[Fact]:
-        """Stored records that are true then in other words, and are not ended."""
-        return [f for f in records if not self.is_own(f) and id(f) not in alike and claim.holds(f) and not any(f is e for e in ended)]
+        self.state.moved(later)
+        return place
 
     def start_mark(self, claim: Claim) -> dict:
         return {"startFromEpisode": True} if claim.dated and self.undated else {}
 
-    def record(self, claim: Claim, records: list[Fact], ended: list[Fact], beside: list[Fact]) -> None:
+    def record(self, claim: Claim, records: Shelf, ended: np.ndarray, beside: np.ndarray) -> None:
         """A new fact; what it replaces ends where it begins, and it ends where something later begins."""
-        later = self.following(claim, records)
-        end = sooner(claim.invalid, later.valid if later is not None else None, *(f.invalid for f in beside))
-        for old in ended:
+        facts = self.state.facts
+        place = records.following(claim.valid) if claim.valid is not None else None
+        end = sooner(claim.invalid, facts[place].valid if place is not None else None, records.least_end(beside))
+        for old in (facts[k] for k in ended.tolist()):
             if old.valid is not None and old.valid > claim.valid:
                 end = sooner(end, old.valid)
             elif (at := self.ends_where(old, claim.valid)) is not None:
                 end = sooner(end, old.invalid)
                 self.close(old, at, f"superseded by: {claim.text}")
         marks = ({"replacesPrevious": True} if claim.replaces else {}) | self.start_mark(claim)
-        self.own.append(Fact(f"{self.episode.uuid}/f{len(self.own)}", claim.src.uuid, claim.tgt.uuid, claim.relation, claim.text, [self.episode.uuid], claim.valid, end, self.now, None, marks))
+        uuid = f"{self.episode.uuid}/f{len(facts) - self.journal.first}"
+        vector = self.vector(claim.text)
+        self.state.add(Fact(uuid, claim.src.uuid, claim.tgt.uuid, claim.relation, claim.text, [self.episode.uuid], claim.valid, end, self.now, None, marks, vector))
 
-    def asked(self, claim: Claim, slot: list[Fact], alike: set[int]) -> tuple[list[Fact], list[Fact], list[Fact] | None]:
-        """(ended, shown, same): what the judge says of the stored facts that a statement may end or repeat.
+    def asked(self, claim: Claim) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(ended, shown, same): places of what the judge says of the stored facts that a statement may end or repeat.
 
         It is shown facts of the same pair, and where the slot has one value at a
         time, its other values; none that says the same, and none that is over.
         """
+        none = np.empty(0, np.int64)
         if claim.valid is None:
-            return [], [], None
+            return none, none, None
         single = claim.replaces or claim.relation in SINGLE_VALUED
-        mine = {id(f) for f in slot}
-
-        def matters(f: Fact) -> bool:
-            if f.withdrawn or id(f) in alike or not (f.live(self.now) or f.covers(claim.valid)):
-                return False
-            if frozenset((f.source, f.target)) == claim.ends:
-                return True
-            newer = bool(f.marks.get("replacesPrevious")) and f.valid is not None and f.valid > claim.valid
-            return id(f) in mine and f.target != claim.tgt.uuid and (single or newer)
-
-        shown = [f for f in self.state.around(claim.src.uuid, claim.relation, claim.ends) if matters(f)]
-        if not shown:
-            return [], [], None
+        state, target = self.state, claim.tgt.uuid
+        pair = state.pair(claim.ends).open_to(claim.valid, self.now)
+        others = state.slot(claim.src.uuid, claim.relation).open_to(claim.valid, self.now, newer=not single, other_than=target)
+        own = state.statement(claim.src.uuid, claim.relation, target).open_to(claim.valid, self.now)
+        again = own[self.alike(claim, own)]
+        shown = np.union1d(pair[~np.isin(pair, again)], others)
+        shown = shown[shown < self.journal.first]
+        if not len(shown):
+            return none, none, None
         question = {"source_name": claim.src.name, "target_name": claim.tgt.name, "fact": claim.text, "relation": claim.relation, "valid_at": claim.valid, "replaces_previous": claim.replaces}
-        ended, same = verdict(self.judge(question, [{"fact": f.text, "valid_at": f.valid, "invalid_at": f.invalid} for f in shown]), shown)
-        return ended, shown, same
+        view = Seen(state.facts, shown, lambda f: {"fact": f.text, "valid_at": f.valid, "invalid_at": f.invalid})
+        ended, same = verdict(self.judge(question, view), Seen(state.facts, shown))
+        places = lambda found: np.array([f.place for f in found], np.int64)
+        return places(ended), shown, None if same is None else places(same)
 
     def terminate(self, said: dict, only_outdated: bool = False) -> None:
         """An end that the text states: it closes what still held then, and never makes a fact."""
@@ -431,7 +526,7 @@ class Note:
         relation = relation_of(said["relation"]) if said.get("relation") else None
         stint = any(c.ends == pair and c.relation == relation and c.invalid is not None and stated is not None and c.invalid <= stated for c in self.plans)
         outdates = stated is not None and relation is not None and not stint
-        for f in self.state.pair(pair) + [o for o in self.own if frozenset((o.source, o.target)) == pair]:
+        for f in Seen(self.state.facts, self.state.pair(pair).ending_or_outdated(end)):
             if relation is not None and relation_of(f.name) != relation or f.withdrawn:
                 continue
             if self.is_own(f) and not (f.valid is not None and f.valid < end):
@@ -443,9 +538,13 @@ class Note:
                 self.close(f, at, reason)
 
 
-def fold(state: State, episodes: Iterable[Episode], judge: Judge = opposites, now: datetime | None = None, embed: Callable[[str], list[float]] | None = None) -> list[Outcome]:
+def hashed(texts: list[str]) -> list[list[float]]:
+    """The built-in embedder."""
+    return [hash_vector(t, DIMS) for t in texts]
+
+
+def fold(state: State, episodes: Iterable[Episode], judge: Judge = opposites, now: datetime | None = None, embed: Embed = hashed) -> list[Outcome]:
     """Applies notes in the order given. A note whose key was seen is a duplicate; one that fails changes nothing."""
-    embed = embed or (lambda text: hash_vector(text, DIMS))
     outcomes = []
     for e in episodes:
         if e.key is not None and e.key in state.keys:

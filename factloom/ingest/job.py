@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import idempotency_key
 from factloom.ingest.extract import extraction
-from factloom.ingest.fold import Entity, Episode, Fact, Judge, Outcome, State, fold, opposites
+from factloom.ingest.fold import Embed, Entity, Episode, Fact, Judge, Outcome, State, fold, hashed, opposites
+from factloom.operators.ranking import shared_folder
 
 CHANGES = "kind string, group_id string, uuid string, row string, status string"
 
@@ -25,14 +26,18 @@ def _text(value: datetime | None) -> str | None:
     return None if value is None else value.isoformat(timespec="milliseconds")
 
 
+def _floats(vector) -> list[float] | None:
+    return None if vector is None else [float(x) for x in vector]
+
+
 def entity_row(e: Entity, group: str) -> dict:
-    return {"uuid": e.uuid, "group_id": group, "name": e.name, "labels": e.labels, "summary": e.summary, "attributes": json.dumps(e.marks, sort_keys=True), "created_at": _text(e.created)}
+    return {"uuid": e.uuid, "group_id": group, "name": e.name, "labels": e.labels, "summary": e.summary, "attributes": json.dumps(e.marks, sort_keys=True), "created_at": _text(e.created), "name_embedding": _floats(e.vector)}
 
 
 def fact_row(f: Fact, group: str) -> dict:
     return {
         "uuid": f.uuid, "group_id": group, "source_node_uuid": f.source, "target_node_uuid": f.target, "name": f.name, "fact": f.text, "episodes": f.episodes,
-        "valid_at": _text(f.valid), "invalid_at": _text(f.invalid), "created_at": _text(f.created), "expired_at": _text(f.expired), "attributes": json.dumps(f.marks, sort_keys=True),
+        "valid_at": _text(f.valid), "invalid_at": _text(f.invalid), "created_at": _text(f.created), "expired_at": _text(f.expired), "attributes": json.dumps(f.marks, sort_keys=True), "fact_embedding": _floats(f.vector),
     }
 
 
@@ -42,10 +47,10 @@ def read_state(rows: pd.DataFrame) -> State:
         r = json.loads(raw)
         marks = json.loads(r.get("attributes") or "{}")
         if kind == "entity":
-            state.entities[r["name"].lower()] = Entity(r["uuid"], r["name"], r.get("labels") or [], r.get("summary") or "", marks, _time(r.get("created_at")))
+            state.entities[r["name"].lower()] = Entity(r["uuid"], r["name"], r.get("labels") or [], r.get("summary") or "", marks, _time(r.get("created_at")), r.get("name_embedding"))
         elif kind == "fact":
             times = (_time(r.get(k)) for k in ("valid_at", "invalid_at", "created_at", "expired_at"))
-            state.add(Fact(r["uuid"], r["source_node_uuid"], r["target_node_uuid"], r["name"], r["fact"], r.get("episodes") or [], *times, marks))
+            state.add(Fact(r["uuid"], r["source_node_uuid"], r["target_node_uuid"], r["name"], r["fact"], r.get("episodes") or [], *times, marks, r.get("fact_embedding")))
         elif kind == "key":
             state.keys.add(r["key"])
     return state
@@ -78,18 +83,58 @@ def with_payload(episodes: DataFrame, extractor: Callable[[Column], Column] = pa
     return episodes.withColumn("payload", extractor(F.col("content")))
 
 
-def fold_groups(episodes: DataFrame, state: DataFrame, judge: Judge = opposites) -> DataFrame:
+SAID = "struct<entities:array<struct<name:string>>,facts:array<struct<fact:string>>>"
+
+
+def staged_vectors(episodes: DataFrame, embed: Embed) -> tuple[DataFrame, int | None]:
+    """(group_id, text, vector) of every statement and name in episodes(group_id, payload), and the vectors' length.
+
+    Each distinct text is embedded once, in batches and in parallel, and written
+    to the shared folder; vectors of more than one length, or none, raise before
+    anything else is written.
+    """
+    said = F.from_json("payload", SAID)
+    texts = F.concat(F.coalesce(F.transform(said["facts"], lambda f: F.trim(f["fact"])), F.array()), F.coalesce(F.transform(said["entities"], lambda e: F.trim(e["name"])), F.array()))
+    wanted = episodes.select("group_id", F.explode(texts).alias("text")).where("text <> ''").distinct()
+    path = shared_folder(episodes.sparkSession, "vectors")
+    wanted.select("text").distinct().select("text", batched(embed)("text").alias("vector")).write.parquet(path)
+    vectors = episodes.sparkSession.read.schema("text string, vector array<double>").parquet(path)
+    least, most = vectors.agg(F.min(F.coalesce(F.size("vector"), F.lit(0))), F.max(F.size("vector"))).first()
+    if least != most or least == 0:
+        raise ValueError(f"vectors of {least} to {most} numbers: an embedder gives one length")
+    return wanted.join(vectors, "text"), most
+
+
+def fold_groups(episodes: DataFrame, state: DataFrame, judge: Judge = opposites, embed: Embed | None = None) -> DataFrame:
     """(kind, group_id, uuid, row, status): all rows that the notes made or changed, and each note's outcome.
 
     episodes(uuid, group_id, content, valid_at, created_at, payload) are applied
     by (created_at, uuid) within their group; state(kind, group_id, row) has the
     group's entities, facts and keys as JSON. The order within a group carries
     meaning, so a group is one task; groups run in parallel.
+
+    With an embedder, which may be a remote service, the job has two phases: all
+    texts are embedded first, see staged_vectors(), and only then are notes
+    folded, so that one that fails has changed nothing. Rows are given their
+    vectors; those of another length, of an older model, that a note touches are
+    embedded again. Without, texts are compared by the built-in embedder.
     """
+    dims = None
+    if embed is not None:
+        staged, dims = staged_vectors(episodes, embed)
+        state = state.select("kind", "group_id", "row").unionByName(staged.select(F.lit("vector").alias("kind"), "group_id", F.to_json(F.struct("text", "vector")).alias("row")))
     keyed = episodes.withColumn("key", idempotency_key(F.col("content"), F.col("valid_at")))
 
     def run(key, notes: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         group, now_state = key[0], read_state(held)
+        now_state.dims = dims or now_state.dims
+        given = {r["text"]: r["vector"] for r in map(json.loads, held.loc[held["kind"] == "vector", "row"])}
+
+        def vectors(texts: list[str]) -> list:
+            rest = [t for t in texts if t not in given]
+            given.update(zip(rest, (embed or hashed)(rest), strict=True) if rest else ())
+            return [given[t] for t in texts]
+
         rows = []
         changed_e: dict[str, Entity] = {}
         changed_f: dict[str, Fact] = {}
@@ -99,7 +144,7 @@ def fold_groups(episodes: DataFrame, state: DataFrame, judge: Judge = opposites)
                 for k in ("valid_at", "invalid_at"):
                     r[k] = _time(r.get(k))
             note = Episode(n.uuid, n.content or "", _time(n.valid_at), _time(n.created_at), found.get("entities", []), found.get("facts", []), found.get("invalidations", []), n.key)
-            outcome: Outcome = fold(now_state, [note], judge)[0]
+            outcome: Outcome = fold(now_state, [note], judge, embed=vectors)[0]
             counts = {"facts": len(outcome.facts), "reinforced": len(outcome.reinforced), "invalidated": len(outcome.invalidated), "entities": len(outcome.entities), **{f"dropped_{k}": v for k, v in outcome.dropped.items()}, "error": outcome.error}
             rows.append(("episode", group, n.uuid, json.dumps(counts), outcome.status))
             if outcome.status == "processed":

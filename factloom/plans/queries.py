@@ -527,6 +527,32 @@ def fold_chain(g):
     return changes.select("uuid", moment("valid_at").alias("valid_at"), moment("invalid_at").alias("invalid_at"))
 
 
+def _counted(texts):
+    """An embedder that SQL can follow: a text's length and its letters e."""
+    return [[float(len(t)), float(t.count("e"))] for t in texts]
+
+
+@query("""WITH own AS (SELECT *, 'User' || user_id || ' serves as role' || event_id AS fact, TIMESTAMP '2020-01-01' + event_id * INTERVAL 1 MINUTE AS valid_at FROM events)
+SELECT 'n' || event_id || '/f0' AS uuid, valid_at, lead(valid_at) OVER (PARTITION BY user_id ORDER BY valid_at) AS invalid_at, length(fact)::BIGINT AS letters, (length(fact) - length(replace(fact, 'e', '')))::BIGINT AS e FROM own""")
+def fold_late(g):
+    """As fold_chain, with notes that come in any order of what they tell, and with vectors that are staged before the fold."""
+    from factloom.ingest.job import empty_state, fold_groups
+
+    n, user = F.col("event_id").cast("string"), F.concat(F.lit("User"), F.col("user_id").cast("string"))
+    role = F.concat(F.lit("role"), n)
+    said = F.struct(user.alias("source_name"), role.alias("target_name"), F.lit("HAS_ROLE").alias("relation"), F.concat_ws(" ", user, F.lit("serves as"), role).alias("fact"))
+    met = F.transform(F.array(user, role), lambda x: F.struct(x.alias("name"), F.array(F.lit("Thing")).alias("labels")))
+    after = lambda start, k, unit: F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(**{unit: k.cast("int")})
+    notes = g.table("events").select(
+        F.concat(F.lit("n"), n).alias("uuid"), user.alias("group_id"), F.concat_ws(" ", F.lit("note"), n).alias("content"), after("2020-01-01", F.col("event_id"), "mins").alias("valid_at"),
+        after("2000-01-01", F.col("event_id") * 7919 % 10007, "mins").alias("created_at"), F.to_json(F.struct(met.alias("entities"), F.array(said).alias("facts"), F.array().cast("array<string>").alias("invalidations"))).alias("payload"),
+    )
+    facts = fold_groups(notes, empty_state(g.spark), _all_end, _counted).where("kind = 'fact'")
+    moment = lambda name: F.to_timestamp_ntz(F.get_json_object("row", f"$.{name}"))
+    part = lambda k: F.get_json_object("row", f"$.fact_embedding[{k}]").cast("double").cast("long")
+    return facts.select("uuid", moment("valid_at").alias("valid_at"), moment("invalid_at").alias("invalid_at"), part(0).alias("letters"), part(1).alias("e"))
+
+
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_windows(g):
     from factloom.streaming.ingest import windowed_counts
