@@ -16,53 +16,118 @@ CLOSURE_MARKS = ("invalidatedBy", "retracted", "reopenedAs", "closedBy", "closed
 EPISODE_MARKS = ("closedByEpisode", "previousEnd")
 
 
-def _one_each(targets: DataFrame, value: str) -> DataFrame:
-    """targets with one row an id: the earliest value; a null counts only where there is no other."""
-    return targets.groupBy("uuid").agg(F.min(value).alias(f"__{value}"))
+def _mark(name: str) -> Column:
+    return F.get_json_object(F.coalesce("attributes", F.lit("{}")), f"$.{name}")
+
+
+def _flag(name: str) -> Column:
+    """Whether a mark is the boolean true; a text that says so is none."""
+    return F.coalesce(F.from_json("attributes", f"`{name}` boolean")[name], F.lit(False))
+
+
+def _marks(drop: tuple[str, ...], **more: Column) -> Column:
+    """The attributes without some marks and with others, nulls left out; all other values stay as they are, whatever their type."""
+    held = F.coalesce(F.from_json("attributes", "map<string,variant>"), F.expr("map()").cast("map<string,variant>"))
+    held = F.map_filter(held, lambda k, v: ~k.isin(*drop, *more))
+    if not more:
+        return F.to_json(held)
+    added = F.from_json(F.to_json(F.struct(*[v.alias(k) for k, v in more.items()])), "map<string,variant>")
+    return F.to_json(F.map_concat(held, added))
+
+
+def _said(reason: str | Column) -> Column:
+    return F.substring(reason if isinstance(reason, Column) else F.lit(reason), 1, REASON_CHARS)
+
+
+def _with_marks(facts: DataFrame) -> DataFrame:
+    return facts if "attributes" in facts.columns else facts.withColumn("attributes", F.lit(None).cast("string"))
+
+
+def _targets(facts: DataFrame, targets: DataFrame, value: str | None, reason: str) -> DataFrame:
+    """facts with what targets(uuid, value, reason) ask of them, as __value and __reason.
+
+    Of targets that repeat an id the earliest value counts, with its reason; a null
+    value counts only where there is no other. Without a column reason all have
+    the one given.
+    """
+    why = F.coalesce(F.col("reason"), F.lit(reason)) if "reason" in targets.columns else F.lit(reason)
+    kind = dict(targets.dtypes)[value] if value else "timestamp_ntz"
+    asked = targets.select("uuid", (F.col(value) if value else F.lit(None)).cast(kind).alias("v"), why.alias("r"))
+    first = asked.groupBy("uuid").agg(F.min(F.struct(F.col("v").isNull().alias("none"), "v", "r")).alias("a"))
+    return _with_marks(facts).join(first.select("uuid", F.col("a.v").alias("__value"), F.col("a.r").alias("__reason")), "uuid")
 
 
-def end_facts(facts: DataFrame, targets: DataFrame, now) -> DataFrame:
-    """The changed rows of ending targets(uuid, at): retracted, already ended and not yet started ones are refused.
+def end_facts(facts: DataFrame, targets: DataFrame, now, reason: str = "") -> DataFrame:
+    """The changed rows of ending targets(uuid, at[, reason]): those that cannot end there are refused.
 
-    Adds outcome: ended, or conflict with the row as it was. Of targets that repeat
-    an id the earliest counts.
+    Refused are retracted facts, facts that ended at or before `at` or in the
+    past, and ends at or before the start. A null `at` is now. Adds outcome:
+    ended, or conflict with the row as it was. A fact that is ended so is no
+    episode's closure any more: those marks go, and the reason is written.
     """
-    found = facts.join(_one_each(targets, "at"), "uuid")
-    refused = is_retracted() | F.coalesce(F.col("invalid_at") <= F.least("__at", instant(now)), F.lit(False)) | F.coalesce(F.col("__at") <= F.col("valid_at"), F.lit(False))
+    found = _targets(facts, targets, "at", reason).withColumn("__at", F.coalesce("__value", instant(now)))
+    over = F.coalesce(F.col("invalid_at") <= F.greatest("__at", instant(now)), F.lit(False))
+    refused = is_retracted() | over | F.coalesce(F.col("__at") <= F.col("valid_at"), F.lit(False))
     out = found.withColumn("outcome", F.when(refused, "conflict").otherwise("ended"))
     ended = F.col("outcome") == "ended"
-    return out.withColumn("invalid_at", F.when(ended, F.col("__at")).otherwise(F.col("invalid_at"))).withColumn("expired_at", F.when(ended, instant(now)).otherwise(F.col("expired_at"))).drop("__at")
-
+    return (
+        out.withColumn("invalid_at", F.when(ended, F.col("__at")).otherwise(F.col("invalid_at")))
+        .withColumn("expired_at", F.when(ended, instant(now)).otherwise(F.col("expired_at")))
+        .withColumn("attributes", F.when(ended, _marks(EPISODE_MARKS, invalidatedBy=_said(F.col("__reason")))).otherwise(F.col("attributes")))
+        .drop("__at", "__value", "__reason")
+    )
 
-def retract_facts(facts: DataFrame, targets: DataFrame, now) -> DataFrame:
-    """The changed rows of withdrawing targets(uuid): an empty window, learned now."""
-    found = facts.join(targets.select("uuid"), "uuid", "left_semi").where(~is_retracted())
-    return found.withColumn("invalid_at", F.col("valid_at")).withColumn("expired_at", instant(now)).withColumn("outcome", F.lit("retracted"))
 
+def retract_facts(facts: DataFrame, targets: DataFrame, now, reason: str = "") -> DataFrame:
+    """The changed rows of withdrawing targets(uuid[, reason]): an empty window, learned now, with the reason; retracted ones give no row."""
+    found = _targets(facts, targets, None, reason).where(~is_retracted())
+    return (
+        found.withColumn("invalid_at", F.col("valid_at"))
+        .withColumn("expired_at", instant(now))
+        .withColumn("attributes", _marks(EPISODE_MARKS, retracted=F.lit(True), invalidatedBy=_said(F.col("__reason"))))
+        .withColumn("outcome", F.lit("retracted"))
+        .drop("__value", "__reason")
+    )
 
-def _copy_id(now) -> Column:
-    return F.concat(F.col("uuid"), F.lit("#"), F.date_format(instant(now), "yyyyMMddHHmmssSSS"))
 
+def _reopened(closed: DataFrame, end: str, why: str, now) -> DataFrame:
+    """Two rows for each closed fact: the old one withdrawn, and a copy created now that ends at column end.
 
-def _reopened(closed: DataFrame, end: str, now) -> DataFrame:
-    """Two rows for each closed fact: the old one withdrawn, and a copy created now that ends at column end."""
-    old = closed.withColumn("expired_at", F.when(is_retracted(), F.col("expired_at")).otherwise(instant(now))).withColumn("invalid_at", F.col("valid_at")).withColumn("outcome", F.lit("withdrawn"))
-    copy = closed.withColumn("uuid", _copy_id(now)).withColumn("invalid_at", F.col(end)).withColumn("expired_at", F.lit(None).cast("timestamp_ntz")).withColumn("created_at", instant(now)).withColumn("outcome", F.lit("reopened"))
-    return old.unionByName(copy)
+    Each names the other: the old row keeps its end and its reason as marks, the
+    copy has none of the closure's.
+    """
+    both = closed.withColumn("__copy", F.concat(F.col("uuid"), F.lit("#"), F.date_format(instant(now), "yyyyMMddHHmmssSSS")))
+    reason = _said(F.col(why))
+    shown = F.substring(F.concat(F.lit("reopened as "), F.substring("__copy", 1, 8), F.lit(": "), reason), 1, REASON_CHARS)
+    former = F.when(~is_retracted(), F.date_format("invalid_at", "yyyy-MM-dd'T'HH:mm:ss.SSS"))
+    old = (
+        both.withColumn("attributes", _marks((), retracted=F.lit(True), reopenedAs=F.col("__copy"), invalidatedBy=shown, closedBy=_mark("invalidatedBy"), closedAt=former))
+        .withColumn("expired_at", F.when(is_retracted(), F.col("expired_at")).otherwise(instant(now)))
+        .withColumn("invalid_at", F.when(is_retracted(), F.col("invalid_at")).otherwise(F.col("valid_at")))
+        .withColumn("outcome", F.lit("withdrawn"))
+    )
+    copy = (
+        both.withColumn("attributes", _marks((*CLOSURE_MARKS, "reopenedFrom", "reopenReason"), reopenedFrom=F.col("uuid"), reopenReason=reason))
+        .withColumn("uuid", F.col("__copy"))
+        .withColumn("invalid_at", F.col(end))
+        .withColumn("expired_at", F.lit(None).cast("timestamp_ntz"))
+        .withColumn("created_at", instant(now))
+        .withColumn("outcome", F.lit("reopened"))
+    )
+    return old.unionByName(copy).drop("__copy")
 
 
-def reopen_facts(facts: DataFrame, targets: DataFrame, now) -> DataFrame:
-    """Two rows for each of targets(uuid, invalid_at) that has ended or was retracted: the old one withdrawn, a copy created now.
+def reopen_facts(facts: DataFrame, targets: DataFrame, now, reason: str = "") -> DataFrame:
+    """Two rows for each of targets(uuid, invalid_at[, reason]) that has ended or was retracted: the old one withdrawn, a copy created now.
 
-    A target that is open, or whose new end is not after its start, is refused:
-    one row as it was, with outcome conflict. Of targets that repeat an id the
-    earliest end counts.
+    A target that was reopened before, that is open, or whose new end is not after
+    its start, is refused: one row as it was, with outcome conflict.
     """
-    found = facts.join(_one_each(targets, "invalid_at").withColumnRenamed("__invalid_at", "__end"), "uuid")
-    shut = is_retracted() | F.col("invalid_at").isNotNull()
+    found = _targets(facts, targets, "invalid_at", reason).withColumnRenamed("__value", "__end")
+    shut = (is_retracted() | F.col("invalid_at").isNotNull()) & _mark("reopenedAs").isNull()
     fits = F.col("__end").isNull() | F.coalesce(F.col("__end") > F.col("valid_at"), F.lit(True))
     refused = found.where(~(shut & fits)).withColumn("outcome", F.lit("conflict"))
-    return _reopened(found.where(shut & fits), "__end", now).unionByName(refused).drop("__end")
+    return _reopened(found.where(shut & fits), "__end", "__reason", now).unionByName(refused).drop("__end", "__reason")
 
 
 def forget_preview(facts: DataFrame, episode: str) -> DataFrame:
@@ -75,26 +140,34 @@ def forget_preview(facts: DataFrame, episode: str) -> DataFrame:
 def later_values(facts: DataFrame, gone: DataFrame | None = None) -> DataFrame:
     """(uuid, next_at): where a later value of a one-valued slot begins, retracted facts and gone(uuid) left out.
 
-    Starts and the instants that are asked for are sorted together once a slot: a
-    known start asks for a start behind it, an unknown one for a start at or after
-    the fact's end. A value that was written later with the same start counts too.
+    A slot is a source and a relation, whose spelling is normalised. It has one
+    value at a time by its relation, or where either of two facts is flagged as
+    replacing what was before: so a fact that is not asks only for flagged values.
+    Starts and the instants that are asked for are sorted together once a slot,
+    backwards, and the last start that was passed is kept: a known start asks for a
+    start behind it, an unknown one for a start at or after the fact's end. A value
+    that was written later with the same start counts too.
     """
-    one = facts.where(F.col("name").isin(*SINGLE_VALUED))
-    values = one.where(~is_retracted() & F.col("valid_at").isNotNull())
+    own = _with_marks(facts).withColumn("__rel", normalise_relation(F.col("name"))).withColumn("__flag", _flag("replacesPrevious"))
+    own = own.withColumn("__one", F.col("__rel").isin(*SINGLE_VALUED))
+    values = own.where(~is_retracted() & F.col("valid_at").isNotNull())
     if gone is not None:
         values = values.join(gone.select("uuid"), "uuid", "left_anti")
-    slot = ["source_node_uuid", "name"]
-    asked = one.select(*slot, "uuid", "valid_at", "created_at", F.coalesce("valid_at", "invalid_at").alias("t"), F.when(F.col("valid_at").isNull(), 0).otherwise(2).alias("k"))
-    none = F.lit(None)
-    starts = values.groupBy(*slot, F.col("valid_at").alias("t")).agg(F.max("created_at").alias("last"))
-    points = starts.select(*slot, none.cast("string").alias("uuid"), none.cast("timestamp_ntz").alias("valid_at"), none.cast("timestamp_ntz").alias("created_at"), "t", F.lit(1).alias("k"))
-    both = asked.withColumn("uuid", F.col("uuid").cast("string")).unionByName(points)
-    ahead = Window.partitionBy(*slot).orderBy("t", "k").rowsBetween(1, Window.unboundedFollowing)
-    seen = both.withColumn("next_at", F.first(F.when(F.col("k") == 1, F.col("t")), ignorenulls=True).over(ahead)).where("k <> 1 and t is not null")
-    seen = seen.join(starts.select(*slot, "t", "last"), [*slot, "t"], "left")
-    same = (F.col("k") == 2) & F.coalesce(F.col("last") > F.col("created_at"), F.lit(False))
+    slot = ["source_node_uuid", "__rel"]
+    flagged = F.when(F.col("__flag"), F.col("created_at"))
+    starts = values.groupBy(*slot, F.col("valid_at").alias("t")).agg(F.max("created_at").alias("last"), F.max(flagged).alias("flagged_last"), F.max("__flag").alias("flagged"))
+    asked = own.select(*slot, F.col("uuid").cast("string").alias("uuid"), F.coalesce("valid_at", "invalid_at").alias("t"), F.when(F.col("valid_at").isNull(), 0).otherwise(2).alias("k"), (F.col("__one") | F.col("__flag")).alias("all"), "created_at")
+    asked = asked.where("t is not null").join(starts.select(*slot, "t", "last", "flagged_last"), [*slot, "t"], "left")
+    points = starts.select(*slot, "t", F.lit(1).alias("k"), "flagged")
+    both = asked.withColumn("flagged", F.lit(None).cast("boolean")).unionByName(points, allowMissingColumns=True)
+    passed = Window.partitionBy(*slot).orderBy(F.col("t").desc(), F.col("k").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.when(F.col("k") == 1, F.col("t"))
+    seen = both.withColumn("__any", F.last(start, ignorenulls=True).over(passed)).withColumn("__some", F.last(F.when(F.col("flagged"), start), ignorenulls=True).over(passed)).where("k <> 1")
+    since = F.when(F.col("all"), F.col("last")).otherwise(F.col("flagged_last"))
+    same = (F.col("k") == 2) & F.coalesce(since > F.col("created_at"), F.lit(False))
+    after = F.when(F.col("all"), F.col("__any")).otherwise(F.col("__some"))
     kind = dict(facts.dtypes)["uuid"]
-    return seen.select(F.col("uuid").cast(kind).alias("uuid"), F.when(same, F.col("t")).otherwise(F.col("next_at")).alias("next_at")).where("next_at is not null")
+    return seen.select(F.col("uuid").cast(kind).alias("uuid"), F.when(same, F.col("t")).otherwise(after).alias("next_at")).where("next_at is not null")
 
 
 @dataclass
@@ -108,19 +181,6 @@ class Forgotten:
     episode: DataFrame  # the episode as forgotten, or outcome not_found or conflict
 
 
-def _mark(name: str) -> Column:
-    return F.get_json_object(F.coalesce("attributes", F.lit("{}")), f"$.{name}")
-
-
-def _marks(drop: tuple[str, ...], **more: Column) -> Column:
-    """The attributes without some marks and with others; nulls are left out."""
-    held = F.map_filter(F.coalesce(F.from_json("attributes", "map<string,string>"), F.expr("map()").cast("map<string,string>")), lambda k, v: ~k.isin(*drop, *more))
-    if not more:
-        return F.to_json(held)
-    added = F.create_map(*[x for k, v in more.items() for x in (F.lit(k), v)])
-    return F.to_json(F.map_concat(held, F.map_filter(added, lambda k, v: v.isNotNull())))
-
-
 def forget_episode(facts: DataFrame, entities: DataFrame, episodes: DataFrame, episode: str, reason: str, now) -> Forgotten:
     """What forgetting an episode does to its group's facts(episodes, attributes, ...) and entities(attributes, ...).
 
@@ -135,7 +195,7 @@ def forget_episode(facts: DataFrame, entities: DataFrame, episodes: DataFrame, e
     slots, by an equi-join on source and relation.
     """
     why = F.lit(f"forgotten episode {episode[:8]}: {reason[:REASON_CHARS]}"[:REASON_CHARS])
-    outdated = F.coalesce(_mark("outdatedWhenWritten") == "true", F.lit(False)) & is_retracted()
+    outdated = _flag("outdatedWhenWritten") & is_retracted()
     cited, rest = F.array_contains("episodes", episode), F.array_remove("episodes", episode)
     own = facts.withColumn("__cited", F.coalesce(cited, F.lit(False))).withColumn("__only", F.coalesce(cited, F.lit(False)) & (F.size(rest) == 0)).withColumn("__outdated", outdated).withColumn("__gone", is_retracted())
     own = own.withColumn("__closed", F.col("invalid_at").isNotNull() & (~F.col("__gone") | F.col("__outdated")) & _mark("reopenedAs").isNull()).withColumn("__by", _mark("closedByEpisode"))
@@ -144,16 +204,16 @@ def forget_episode(facts: DataFrame, entities: DataFrame, episodes: DataFrame, e
     retracted = (
         sole.withColumn("expired_at", F.when(F.col("__outdated"), F.col("expired_at")).otherwise(instant(now)))
         .withColumn("invalid_at", F.col("valid_at"))
-        .withColumn("attributes", _marks((*EPISODE_MARKS, "outdatedWhenWritten"), retracted=F.lit("true"), invalidatedBy=why))
+        .withColumn("attributes", _marks((*EPISODE_MARKS, "outdatedWhenWritten"), retracted=F.lit(True), invalidatedBy=why))
         .withColumn("outcome", F.lit("retracted"))
     )
     kept = own.where("not __only")
     shut = kept.where((F.col("__by") == episode) & F.col("__closed")).withColumn("__rel", normalise_relation(F.col("name")))
     other = own.where("not __only and not __gone and valid_at is not null").select(
         F.col("uuid").alias("__u"), F.col("source_node_uuid").alias("__s"), normalise_relation(F.col("name")).alias("__r"), F.col("valid_at").alias("__v"), F.col("invalid_at").alias("__i"), F.col("created_at").alias("__c"),
-        F.coalesce(_mark("replacesPrevious") == "true", F.lit(False)).alias("__replaces"),
+        _flag("replacesPrevious").alias("__replaces"),
     )
-    single = F.col("__rel").isin(*SINGLE_VALUED) | F.coalesce(_mark("replacesPrevious") == "true", F.lit(False)) | F.coalesce("__replaces", F.lit(False))
+    single = F.col("__rel").isin(*SINGLE_VALUED) | _flag("replacesPrevious") | F.coalesce("__replaces", F.lit(False))
     met = shut.join(other, (F.col("source_node_uuid") == F.col("__s")) & (F.col("__rel") == F.col("__r")) & (F.col("uuid") != F.col("__u")), "left")
     after = F.when(F.col("valid_at").isNotNull(), (F.col("__v") > F.col("valid_at")) | ((F.col("__v") == F.col("valid_at")) & (F.col("__c") > F.col("created_at")))).otherwise(F.col("__v") >= F.col("invalid_at"))
     there = (F.col("__v") <= F.col("valid_at")) & (F.col("__i").isNull() | (F.col("valid_at") < F.col("__i")))
@@ -165,21 +225,14 @@ def forget_episode(facts: DataFrame, entities: DataFrame, episodes: DataFrame, e
     judged = judged.withColumn("__taken", taken)
 
     opened = judged.where("not __taken")
-    pair = _reopened(opened, "__end", now)
-    is_copy = F.col("outcome") == "reopened"
-    copy_of = F.when(is_copy, F.substring_index("uuid", "#", 1)).otherwise(_copy_id(now))
-    pair = pair.withColumn("episodes", F.when(is_copy, rest).otherwise(F.col("episodes"))).withColumn("__copy", copy_of).withColumn(
-        "attributes",
-        F.when(is_copy, _marks(CLOSURE_MARKS, reopenedFrom=F.col("__copy"), reopenReason=why)).otherwise(
-            _marks((), retracted=F.lit("true"), reopenedAs=F.col("__copy"), invalidatedBy=F.substring(F.concat(F.lit("reopened as "), F.substring("__copy", 1, 8), F.lit(": "), why), 1, REASON_CHARS), closedBy=_mark("invalidatedBy"))
-        ),
-    )
+    pair = _reopened(opened.withColumn("__why", why), "__end", "__why", now)
+    pair = pair.withColumn("episodes", F.when(F.col("outcome") == "reopened", rest).otherwise(F.col("episodes")))
     still = judged.where("__taken")
     loose = kept.join(judged.select("uuid"), "uuid", "left_anti").where("__cited").unionByName(still.where("__cited").select(*kept.columns))
     unlinked = loose.withColumn("episodes", rest).withColumn("outcome", F.lit("unlinked"))
     # Closures without a mark, of the instants at which the episode's own facts were written.
     written = own.where((F.element_at("episodes", 1) == episode) & _mark("reopenedFrom").isNull()).select(F.col("created_at").alias("__at")).distinct()
-    unmarked = kept.where("__closed and __by is null").join(F.broadcast(written), F.col("expired_at") == F.col("__at"), "left_semi")
+    unmarked = kept.where("__closed and __by is null").join(written, F.col("expired_at") == F.col("__at"), "left_semi")
 
     columns = [*facts.columns, "outcome"]
     changed = retracted.select(*columns).unionByName(unlinked.select(*columns)).unionByName(pair.select(*columns))

@@ -422,10 +422,11 @@ def retract_preview(g):
     return corrections.retract_facts(g.facts, g.facts.select("uuid"), LATER).select("uuid", "invalid_at", "expired_at")
 
 
-@query(G(f"""SELECT uuid, outcome, count(*) AS n FROM (SELECT group_id AS uuid, CASE WHEN {RETRACTED} OR coalesce(invalid_at <= least({AT_SQL}, {LATER_SQL}), false) OR coalesce({AT_SQL} <= valid_at, false) THEN 'conflict' ELSE 'ended' END AS outcome FROM facts WHERE name = 'BOUGHT') GROUP BY ALL"""))
+@query(G(f"""SELECT uuid, CASE WHEN {RETRACTED} THEN 'conflict' WHEN invalid_at <= {AT_SQL} OR invalid_at <= {AS_OF_SQL} THEN 'conflict' WHEN {AT_SQL} <= valid_at THEN 'conflict' ELSE 'ended' END AS outcome FROM facts"""))
 def end_preview(g):
-    ends = g.bought.select("uuid", F.lit(AT).cast("timestamp_ntz").alias("at"))
-    return corrections.end_facts(g.bought, ends, LATER).groupBy(F.col("group_id").alias("uuid"), "outcome").agg(F.count(F.lit(1)).alias("n"))
+    """Every fact ended at one instant, which was learned later: what is over by either, retracted or not begun is refused."""
+    ends = g.facts.select("uuid", F.lit(AT).cast("timestamp_ntz").alias("at"))
+    return corrections.end_facts(g.facts, ends, AS_OF).select("uuid", "outcome")
 
 
 EVIDENCE_SQL = "ev AS (SELECT l_partkey AS uuid, list(DISTINCT 's' || (l_suppkey % 7)) AS eps FROM lineitem GROUP BY 1)"
@@ -791,6 +792,45 @@ def reopen_preview(g):
     return out.select(F.substring_index("uuid", "#", 1).cast("long").alias("uuid"), "outcome")
 
 
+@query(f"""WITH {FORGET_SQL},
+r AS (SELECT *, CASE WHEN gone THEN 'conflict' WHEN i <= {LATER_SQL} THEN 'conflict' WHEN {LATER_SQL} <= v THEN 'conflict' ELSE 'ended' END AS outcome FROM g)
+SELECT uuid, outcome, CASE WHEN outcome = 'ended' THEN 'by hand ' || user_id END AS reason, outcome <> 'ended' AND shut_by IS NOT NULL AS marked, coalesce(outdated, false) AS outdated FROM r""")
+def end_marks(g):
+    """Ending by hand: the reason is written, an episode's closure forgotten, and other marks keep their type."""
+    own = _chains(g)
+    ends = own.select("uuid", F.lit(LATER).cast("timestamp_ntz").alias("at"), F.concat(F.lit("by hand "), graph.SRC).alias("reason"))
+    out = corrections.end_facts(own, ends, LATER)
+    mark = lambda name: F.get_json_object("attributes", f"$.{name}")
+    return out.select("uuid", "outcome", mark("invalidatedBy").alias("reason"), mark("closedByEpisode").isNotNull().alias("marked"), F.coalesce(F.from_json("attributes", "outdatedWhenWritten boolean")["outdatedWhenWritten"], F.lit(False)).alias("outdated"))
+
+
+@query(f"""WITH {FORGET_SQL}
+SELECT uuid, 'conflict' AS outcome, NULL::VARCHAR AS other, NULL::TIMESTAMP AS closed_at FROM g WHERE i IS NULL
+UNION ALL SELECT uuid, 'withdrawn', uuid || '#19990301000000000', CASE WHEN NOT gone THEN date_trunc('millisecond', i) END FROM g WHERE i IS NOT NULL
+UNION ALL SELECT uuid || '#19990301000000000', 'reopened', uuid, NULL FROM g WHERE i IS NOT NULL
+UNION ALL SELECT uuid, 'conflict', uuid || '#19990301000000000', CASE WHEN NOT gone THEN date_trunc('millisecond', i) END FROM g WHERE i IS NOT NULL
+UNION ALL SELECT uuid || '#19990301000000000', 'conflict', uuid, NULL FROM g WHERE i IS NOT NULL""")
+def reopen_twice(g):
+    """What reopening gives, and that what it gave is refused when it is asked for again."""
+    own = _chains(g)
+    at = lambda df: df.select("uuid", F.lit(None).cast("timestamp_ntz").alias("invalid_at"))
+    first = corrections.reopen_facts(own, at(own), LATER, "a mistake")
+    changed = first.where("outcome <> 'conflict'").drop("outcome")
+    out = first.unionByName(corrections.reopen_facts(changed, at(changed), AT, "again"))
+    mark = lambda name: F.get_json_object("attributes", f"$.{name}")
+    return out.select("uuid", "outcome", F.coalesce(mark("reopenedAs"), mark("reopenedFrom")).alias("other"), F.to_timestamp_ntz(mark("closedAt")).alias("closed_at"))
+
+
+@query(f"""WITH {FORGET_SQL},
+own AS (SELECT *, coalesce(k % 5 = 0, false) AS flag, user_id % 2 = 0 AS one FROM g)
+SELECT a.uuid, min(b.v) AS next_at FROM own a JOIN own b ON a.user_id = b.user_id AND a.uuid <> b.uuid AND NOT b.gone AND (a.one OR a.flag OR b.flag) AND (b.v > a.v OR b.v = a.v AND b.c > a.c) GROUP BY a.uuid""")
+def later_flagged_values(g):
+    """Later values where half of the slots hold many at once, names are spelt in several ways, and a fifth of the facts replaces what was before."""
+    k = F.substring("uuid", 2, 20).cast("long")
+    own = _chains(g).withColumn("name", F.when(F.col(graph.SRC).cast("long") % 2 == 0, F.element_at(F.array(F.lit("has role"), F.lit("HAS-ROLE"), F.lit(" Has_Role ")), (k % 3 + 1).cast("int"))).otherwise(F.element_at(F.array(F.lit("knows"), F.lit("KNOWS ")), (k % 2 + 1).cast("int"))))
+    return corrections.later_values(own.withColumn("attributes", F.to_json(F.struct(F.when(k % 5 == 0, F.lit(True)).alias("replacesPrevious"), F.when(k % 5 == 1, F.lit("true")).alias("note")))))
+
+
 # ---- access
 
 WITHIN = [("ann", "A*"), ("ann", "EUROPE"), ("bob", "AS*"), ("eve", "AMERICA")]
