@@ -465,6 +465,23 @@ def latest_version_view(g):
     return latest(log, "uuid", ["moment", "event_id"]).select("uuid", "status", "moment")
 
 
+@query("""WITH log AS (SELECT *, event_id % 4 = 0 AS has, event_type = 'error' AND event_id % 3 = 0 AS dead FROM events),
+live AS (SELECT l.*, 'text ' || event_type AS fact FROM log l LEFT JOIN (SELECT user_id, max(event_id) AS gone FROM log WHERE dead GROUP BY 1) g USING (user_id) WHERE gone IS NULL OR event_id > gone)
+SELECT user_id AS uuid, min_by(ts, event_id) AS created_at, min_by(event_type, event_id) AS content, max_by(event_type, event_id) AS status, coalesce(max(CASE WHEN has THEN event_id END), -1) AS name_embedding,
+  CASE WHEN max_by(fact, CASE WHEN has THEN event_id END) = max_by(fact, event_id) THEN max(CASE WHEN has THEN event_id END) ELSE -1 END AS fact_embedding FROM live GROUP BY user_id""")
+def field_upserts(g):
+    """Rows of an append log merged column by column: the first, the last, the last with a value, and one that goes with a text; deletions begin anew."""
+    from factloom.sources.store import merged
+
+    vector = F.when(F.col("event_id") % 4 == 0, F.col("event_id"))
+    log = g.table("events").select(
+        F.col("user_id").alias("uuid"), "event_id", F.col("ts").alias("created_at"), F.col("event_type").alias("content"), F.col("event_type").alias("status"), F.concat_ws(" ", F.lit("text"), "event_type").alias("fact"),
+        vector.alias("name_embedding"), vector.alias("fact_embedding"), ((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0)).alias("deleted"),
+    )
+    out = merged(log, "uuid", ["event_id"], ("created_at", "content"), ("name_embedding", "fact_embedding"), {"fact_embedding": "fact"})
+    return out.select("uuid", "created_at", "content", "status", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("name_embedding", "fact_embedding")])
+
+
 @query("""WITH src AS (SELECT r_name AS group_id, upper(n_name) AS name, 'old:' || n_nationkey AS uuid FROM nation JOIN region ON n_regionkey = r_regionkey), cur AS (SELECT r_name AS group_id, lower(n_name) AS name, 'new:' || n_nationkey AS uuid FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0)
 SELECT s.uuid AS old_uuid, coalesce(c.uuid, s.uuid) AS uuid FROM src s LEFT JOIN cur c ON c.group_id = s.group_id AND lower(c.name) = lower(s.name)""")
 def migration_remap(g):

@@ -9,6 +9,15 @@ from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, Str
 from factloom.schema import ENTITIES, EPISODES, FACTS
 
 TABLES = {"episodes": EPISODES, "entities": ENTITIES, "facts": FACTS}
+#: Columns that a later version of a row does not change, and those that it changes only where it has a value.
+FIXED = {
+    "episodes": ("group_id", "source", "source_description", "content", "valid_at", "created_at"),
+    "entities": ("uuid", "group_id", "created_at"),
+    "facts": ("group_id", "source_node_uuid", "target_node_uuid", "created_at"),
+}
+FILLED = {"entities": ("name_embedding",), "facts": ("fact_embedding",)}
+#: A filled column that is kept only beside the value it was made from.
+MADE_FROM = {"fact_embedding": "fact"}
 
 
 def latest(log: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -23,6 +32,34 @@ def latest(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     return out.where(~F.coalesce("deleted", F.lit(False))).drop("deleted") if "deleted" in rest else out
 
 
+def merged(log: DataFrame, key: str, order: list[str], fixed: tuple[str, ...] = (), filled: tuple[str, ...] = (), made_from: dict[str, str] | None = None) -> DataFrame:
+    """The current rows of an append log, each column by its own rule: the first value (fixed), the last that is not null (filled), or the last.
+
+    A deletion ends a row: what is written after it is a new one. A filled column
+    that is made from another, such as the vector of a text, is null once that
+    one has changed without it. All rules are max_by and min_by, which are summed
+    before the shuffle, so that a key with many versions moves once a task.
+    """
+    at = F.struct(*order)
+    own = log
+    if "deleted" in log.columns:
+        gone = log.where("deleted").groupBy(key).agg(F.max(at).alias("__gone"))
+        own = log.join(gone, key, "left").where(F.col("__gone").isNull() | (at > F.col("__gone"))).drop("deleted", "__gone")
+    made_from = {c: f for c, f in (made_from or {}).items() if c in filled and c in own.columns}
+    rest = [c for c in own.columns if c != key]
+    firsts = [c for c in rest if c in fixed]
+    kept = [c for c in rest if c in filled and c not in fixed]
+    lasts = [c for c in rest if c not in firsts and c not in kept]
+    sums = [F.min_by(F.struct(*firsts), at).alias("__first")] if firsts else []
+    sums += [F.max_by(F.struct(*lasts), at).alias("__last")] if lasts else []
+    for c in kept:
+        value = F.struct(F.col(c).alias("v"), F.col(made_from[c]).alias("of")) if c in made_from else F.struct(F.col(c).alias("v"))
+        sums.append(F.max_by(value, F.when(F.col(c).isNotNull(), at)).alias(f"__kept_{c}"))
+    out = own.groupBy(key).agg(*sums)
+    value = lambda c: F.col(f"__first.{c}") if c in firsts else F.col(f"__last.{c}") if c in lasts else F.when(F.col(f"__kept_{c}.of").eqNullSafe(F.col(f"__last.{made_from[c]}")), F.col(f"__kept_{c}.v")) if c in made_from else F.col(f"__kept_{c}.v")
+    return out.select(key, *[value(c).alias(c) for c in rest])
+
+
 def entity_map(incoming: DataFrame, current: DataFrame) -> DataFrame:
     """(old_uuid, uuid): entities of the same group and name, whatever its case, are one; the stored id stays."""
     own = incoming.select(F.col("group_id").alias("g"), F.lower("name").alias("n"), F.col("uuid").alias("old_uuid"))
@@ -72,15 +109,13 @@ class Store:
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*paths).select(*[f.name for f in schema])
 
     def read(self, name: str, group: str | None = None, upto: int | None = None) -> DataFrame:
-        """The current rows of a table; entities are unique by group and name, whatever its case."""
+        """The current rows of a table, merged column by column; entities are unique by group and name, whatever its case."""
         log = self.log(name, upto)
         log = log if group is None else log.where(F.col("group_id") == group)
+        rules = {"order": ["seq"], "fixed": FIXED[name], "filled": FILLED.get(name, ()), "made_from": MADE_FROM}
         if name == "entities":
-            log = log.withColumn("__name", F.lower("name")).withColumn("__key", F.concat_ws("\x00", "group_id", "__name"))
-            first = log.groupBy("__key").agg(F.min_by("uuid", "seq").alias("__uuid"))
-            kept = latest(log.drop("__name"), "__key", ["seq"]).join(first, "__key").withColumn("uuid", F.col("__uuid"))
-            return kept.drop("__key", "__uuid", "seq")
-        return latest(log, "uuid", ["seq"]).drop("seq")
+            return merged(log.withColumn("__key", F.concat_ws("\x00", "group_id", F.lower("name"))), "__key", **rules).drop("__key", "seq")
+        return merged(log, "uuid", **rules).drop("seq")
 
     def reset(self) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)

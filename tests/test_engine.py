@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as X
 from factloom.ingest.job import empty_state, fold_groups, next_state, rows_of, with_payload
 from factloom.operators import access, corrections, graph, search, temporal
-from factloom.schema import ENTITIES, FACTS
+from factloom.schema import ENTITIES, EPISODES, FACTS
 from factloom.sources.store import Store, migrate, read_snapshot
 from factloom.streaming.ingest import StateTable, start
 
@@ -280,6 +280,28 @@ def test_store_versions_snapshot_and_migration(spark, tmp_path):
     assert other.versions() == []
 
 
+def test_upserts_by_column(spark, tmp_path):
+    """What a later version of a row may change, as the rules for each table say."""
+    store = Store(spark, f"file://{tmp_path}/store")
+    ent = lambda u, name, summary, vector, at="2024-01-01": (u, "g", name, ["Person"], summary, "{}", d(at), vector)
+    fact = lambda text, vector, src="1", at="2024-01-01", end=None, ep=("e",): ("f", "g", src, "2", "R", text, list(ep), None, end, d(at), None, "{}", vector)
+    note = lambda text, status, at="2024-01-01": ("e", "g", "n", "text", "", text, d(at), d(at), status, None, "h", 0)
+    frames = lambda **rows: {k: spark.createDataFrame(v, {"entities": ENTITIES, "facts": FACTS, "episodes": EPISODES}[k]) for k, v in rows.items()}
+    store.commit(0, **frames(entities=[ent("1", "Ann", "a", [1.0, 2.0])], facts=[fact("x", [3.0, 4.0])], episodes=[note("content", "pending")]))
+    store.commit(1, **frames(entities=[ent("9", "ANN", "", None, "2025-01-01")], facts=[fact("x", None, "7", "2025-01-01", d("2025-02-01"), ("e", "e2"))], episodes=[note("other", "processed", "2025-01-01")]))
+    one = lambda name: store.read(name).first().asDict()
+    e, f, n = one("entities"), one("facts"), one("episodes")
+    assert (e["uuid"], e["name"], e["summary"], e["name_embedding"], e["created_at"]) == ("1", "ANN", "", [1.0, 2.0], d("2024-01-01"))
+    assert (f["source_node_uuid"], f["created_at"], f["invalid_at"], f["episodes"], f["fact_embedding"]) == ("1", d("2024-01-01"), d("2025-02-01"), ["e", "e2"], [3.0, 4.0])
+    assert (n["content"], n["created_at"], n["status"]) == ("content", d("2024-01-01"), "processed")
+    store.commit(2, **frames(facts=[fact("y", None)]))
+    assert one("facts")["fact_embedding"] is None and one("facts")["invalid_at"] is None
+    store.commit(3, facts=store.read("facts").withColumn("deleted", F.lit(True)))
+    assert store.read("facts").count() == 0
+    store.commit(4, **frames(facts=[fact("z", [5.0], "8", "2026-01-01")]))
+    assert (one("facts")["source_node_uuid"], one("facts")["created_at"], one("facts")["fact_embedding"]) == ("8", d("2026-01-01"), [5.0])
+
+
 @pytest.mark.parametrize("value, found", [("10.0.0.1:80", True), ("::1", True), ("-1,000.5", True), ("https://x.y/z", True), ("v1.2.3", True), ("Ann", False), ("3 cats", False)])
 def test_literals(spark, value, found):
     assert spark.range(1).select(X.is_literal(F.lit(value))).first()[0] is found and X.is_literal_name(value) is found
