@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections import Counter
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import mentioned, name_tier
+from factloom.functions import text as X
+from factloom.functions.text import name_tier
 from factloom.functions.vectors import cosine
-from factloom.operators.graph import graph_distance, neighbours, touching
-from factloom.operators.ranking import global_rank
+from factloom.operators.graph import SRC, TGT, graph_distance, neighbours, touching
+from factloom.operators.ranking import global_rank, shared_folder
 from factloom.operators.temporal import scope
 
 K1, B = 1.2, 0.75
@@ -41,7 +43,7 @@ def _folder(term: Column, folders: int) -> Column:
 
 
 class Index:
-    """Postings (key, term, tf, dl) under a folder, by term, and one row of corpus statistics.
+    """Postings (key, term, tf, dl) under a folder, by term, the length of each document, and one row of corpus statistics.
 
     Written once, with one shuffle by term and key; a query reads only the files of its terms'
     folders, where the terms are sorted, so that their row groups are skipped too.
@@ -53,16 +55,26 @@ class Index:
     def write(self, docs: DataFrame, tokens: str = "tokens") -> Index:
         rows = postings(docs, self.key, tokens).withColumn("folder", _folder(F.col("term"), self.folders))
         rows.sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/postings")
-        corpus_stats(docs, tokens).write.mode("overwrite").parquet(f"{self.path}/stats")
+        docs.select(self.key, F.size(tokens).alias("dl")).write.mode("overwrite").parquet(f"{self.path}/lengths")
+        lengths = self.spark.read.parquet(f"{self.path}/lengths")
+        lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_len")).write.mode("overwrite").parquet(f"{self.path}/stats")
         return self
 
-    def bm25(self, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
-        """(key, score) as bm25() gives it, from the postings of the query's terms."""
+    def bm25(self, terms: list[str], k1: float = K1, b: float = B, within: DataFrame | None = None) -> DataFrame:
+        """(key, score) as bm25() gives it, from the postings of the query's terms.
+
+        within(key) are the documents that a search sees: scores and statistics are
+        then of those alone, which is a join of ids; no text is read.
+        """
         weights = self.spark.createDataFrame([(t, float(n)) for t, n in sorted(Counter(terms).items())], "term string, weight double")
         numbers = [r[0] for r in weights.select(_folder(F.col("term"), self.folders)).distinct().collect()]
         own = self.spark.read.parquet(f"{self.path}/postings").where(F.col("folder").isin(numbers) & F.col("term").isin(sorted(set(terms))))
-        df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row a term
         stats = self.spark.read.parquet(f"{self.path}/stats")
+        if within is not None:
+            seen = within.select(self.key)
+            own = own.join(seen, self.key, "left_semi")
+            stats = self.spark.read.parquet(f"{self.path}/lengths").join(seen, self.key, "left_semi").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_len"))
+        df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row a term
         joined = own.join(F.broadcast(df.join(weights, "term")), "term").crossJoin(F.broadcast(stats))  # one row
         idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         length = F.when(F.col("avg_len") > 0, F.col("dl") / F.col("avg_len")).otherwise(F.lit(0.0))
@@ -132,19 +144,24 @@ def rerank(candidates: DataFrame, limit: int | None = 10, least_cosine: float =
     return out.orderBy(*order).limit(limit) if limit is not None else out
 
 
-def naming_entities(entities: DataFrame, text: str) -> DataFrame:
-    """Entities that a text names: whole words for Latin names, anywhere for scripts without spaces."""
-    low = text.lower()
-    if low.isascii():  # the rule for Latin names, in whole-stage code
-        name = F.lower("name")
-        whole = F.concat(F.lit(r"(?<![\p{IsLatin}\p{M}\p{N}_])\Q"), name, F.lit(r"\E(?![\p{IsLatin}\p{M}\p{N}_])"))
-        return entities.where((F.length("name") >= 2) & F.lit(low).contains(name)).where(F.regexp_like(F.lit(low), whole))
-    return entities.where(mentioned(F.lit(text), F.col("name")))
+def naming_entities(entities: DataFrame, text: str, folded: bool = False) -> DataFrame:
+    """Entities that a text names: whole words for Latin names, anywhere for scripts without spaces; folded: whatever the width of characters."""
+    low = X.fold(text) if folded else text.lower()
+    by_rule = (X.mentioned_folded if folded else X.mentioned)(F.lit(text), F.col("name"))
+    if not low.isascii():
+        return entities.where(by_rule)
+    # The rule for names in ASCII, in whole-stage code; others go to Python, if they can stand in such a text at all.
+    name = F.lower("name")
+    quoted = F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    whole = F.concat(F.lit(r"(?<![\p{IsLatin}\p{M}\p{N}_])\Q"), quoted, F.lit(r"\E(?![\p{IsLatin}\p{M}\p{N}_])"))
+    plain = F.octet_length("name") == F.length("name")
+    found = entities.where(plain & (F.length("name") >= 2) & F.lit(low).contains(name)).where(F.regexp_like(F.lit(low), whole))
+    return found.unionByName(entities.where(~plain).where(by_rule)) if folded else found
 
 
 def anchors(entities: DataFrame, query: str, vector: list[float] | None = None) -> DataFrame:
     """Entities that the query names; if none, up to three with a near name vector."""
-    named = naming_entities(entities, query)
+    named = naming_entities(entities, query, folded=True)
     if vector is None or "name_embedding" not in entities.columns or not named.isEmpty():
         return named.select("uuid")
     q = F.array(*[F.lit(float(x)) for x in vector])
@@ -152,24 +169,109 @@ def anchors(entities: DataFrame, query: str, vector: list[float] | None = None)
     return near.orderBy(F.col("c").desc(), "uuid").limit(MOST_ANCHORS).select("uuid")
 
 
-def hybrid_search(facts: DataFrame, entities: DataFrame, query: str, terms: list[str], vector: list[float] | None, at, as_of=None, group: str | None = None, history: bool = False, limit: int | None = 10, least_cosine: float = LEAST_COSINE) -> DataFrame:
+#: Digits after which scores of two rows count as equal, and their order is that of creation and id.
+SCORE_DIGITS = 9
+#: Rows whose exact rank is looked up at most before the rankings are read further down; a bound on what goes to the driver.
+MOST_OPEN = 2000
+
+
+def _bonus() -> Column:
+    return F.when(F.col("distance") == 0, NEAR_BONUS).when(F.col("distance") == 1, NEXT_BONUS).otherwise(0.0)
+
+
+def _places(rows: DataFrame, score: str, wanted: list) -> dict:
+    """The rank by a score of each of wanted rows(uuid, created_at, score), which are few: one pass that counts the rows before each, and no sort."""
+    keys = sorted((-getattr(r, score), r.created_at or datetime.min, r.uuid, r) for r in wanted)
+    if not keys:
+        return {}
+    kind = {c: t for c, t in rows.dtypes}
+    schema = f"s double, c {kind['created_at']}, u {kind['uuid']}"
+    listed = rows.sparkSession.createDataFrame([(s, r.created_at, u) for s, _, u, r in keys], schema).agg(F.collect_list(F.struct("s", "c", "u")).alias("__wanted"))  # one row
+    own = F.struct((-F.col(score)).alias("s"), F.col("created_at").alias("c"), F.col("uuid").alias("u"))
+    behind = rows.where((F.col(score) > 0) & (-F.col(score) <= keys[-1][0])).crossJoin(F.broadcast(listed)).select(F.size(F.filter("__wanted", lambda w: own < w)).alias("n"))
+    counts = dict(behind.groupBy("n").count().collect())  # a row before n of the wanted ones is before the last n
+    return {r.uuid: 1 + sum(c for n, c in counts.items() if n >= len(keys) - k) for k, (*_, r) in enumerate(keys)}
+
+
+def fused_topk(rows: DataFrame, limit: int, least_cosine: float = LEAST_COSINE, k: int = RRF_K, depth: int | None = None) -> list[tuple[object, float]]:
+    """The first rows of a fusion as (uuid, score), without ranking all: exact, by a threshold.
+
+    rows(uuid, created_at, kw, cosine, distance) should be a table, as they are read
+    several times. Both rankings are read down to a depth; what is below it adds
+    less than 1 / (k + depth) by each. With the limit-th best of what the rows have
+    for sure as the threshold, only rows that may still reach it are open; their
+    ranks are counted. If too many are open, the rankings are read further down.
+    The driver gets the open rows, MOST_OPEN at most, and two rankings' heads.
+    """
+    depth = depth or max(4 * limit, 64)
+    held = rows.withColumn("bonus", _bonus()).withColumn("kw", F.when(F.col("kw") > 0, F.col("kw")))
+    held = held.withColumn("vec", F.when(F.col("cosine") > 0, F.round("cosine", SCORE_DIGITS)))
+    held = held.withColumn("kw", F.round("kw", SCORE_DIGITS)).withColumn("vec", F.when(F.col("vec") > 0, F.col("vec")))
+    kept = F.col("kw").isNotNull() | (F.col("bonus") > 0) | (F.coalesce("cosine", F.lit(-1.0)) >= least_cosine)
+    spark = rows.sparkSession
+    uuid_kind = dict(rows.dtypes)["uuid"]
+    order = lambda r: (-r[1], float("inf") if r[2] is None else -r[2].timestamp(), r[0])
+    while True:
+        placed, out_of = held, {}
+        for score in ("kw", "vec"):
+            head = held.where(F.col(score).isNotNull()).orderBy(F.col(score).desc(), "created_at", "uuid").limit(depth).select("uuid").collect()
+            ranks = spark.createDataFrame([(r.uuid, n) for n, r in enumerate(head, 1)], f"uuid {uuid_kind}, {score}_rank int")
+            placed = placed.join(F.broadcast(ranks), "uuid", "left")  # depth rows
+            out_of[score] = 1.0 / (k + depth + 1) if len(head) == depth else 0.0
+        sure = lambda score: F.coalesce(1.0 / (F.lit(k) + F.col(f"{score}_rank")), F.lit(0.0))
+        more = lambda score: F.when(F.col(score).isNotNull() & F.col(f"{score}_rank").isNull(), out_of[score]).otherwise(0.0)
+        own = placed.where(kept).withColumn("low", sure("kw") + sure("vec") + F.col("bonus")).withColumn("open", more("kw") + more("vec"))
+        best = own.orderBy(F.col("low").desc()).limit(limit).select("low").collect()
+        threshold = best[-1].low if len(best) == limit else -1.0
+        closed = own.where("open = 0").orderBy(F.round("low", 12).desc(), F.col("created_at").desc(), "uuid").limit(limit).collect()
+        open_ = own.where((F.col("open") > 0) & (F.col("low") + F.col("open") >= threshold - 1e-12)).limit(MOST_OPEN + 1).collect()
+        if len(open_) <= MOST_OPEN:
+            break
+        depth *= 4
+    lacking = lambda score: [r for r in open_ if getattr(r, score) is not None and getattr(r, f"{score}_rank") is None]
+    ranks = {score: _places(held, score, lacking(score)) for score in ("kw", "vec")}
+    final = [(r.uuid, r.low, r.created_at) for r in closed]
+    final += [(r.uuid, r.low + sum(1.0 / (k + ranks[s][r.uuid]) for s in ("kw", "vec") if r.uuid in ranks[s]), r.created_at) for r in open_]
+    final = [(u, round(s, 12), c) for u, s, c in final]
+    return [(u, s) for u, s, _ in sorted(final, key=order)[:limit]]
+
+
+def hybrid_search(
+    facts: DataFrame, entities: DataFrame, query: str, terms: list[str], vector: list[float] | None, at, as_of=None, group: str | None = None, history: bool = False, limit: int | None = 10,
+    least_cosine: float = LEAST_COSINE, index: Index | None = None,
+) -> DataFrame:
     """Keyword and vector rankings fused, with proximity to the named entities and a relevance cut.
 
-    facts need tokens and embedding. Without a vector, as when the query could not
-    be embedded, the search is by keywords (and proximity) alone, and degraded is
-    true. All visible facts are candidates; there is no cap.
+    facts need tokens, or an index of them, and embedding. Without a vector, as
+    when the query could not be embedded, the search is by keywords (and
+    proximity) alone, and degraded is true. All visible facts are candidates; there
+    is no cap. Scores that agree to SCORE_DIGITS digits tie; the older fact, and then
+    the smaller id, ranks first.
+
+    With a limit, each visible fact's scores are computed once, written as four
+    numbers, and the first rows found by fused_topk(): nothing is sorted. Without,
+    both rankings are numbered whole.
     """
     seen = scope(facts, group, at, as_of, history)
-    kw = ranked(bm25(seen, terms).join(seen.select("uuid", "created_at"), "uuid"), "score", ["created_at", "uuid"]).select("uuid", F.col("rank").alias("kw_rank"))
-    if vector is None:
-        vec = kw.select("uuid", F.lit(None).cast("double").alias("cosine"), F.lit(None).cast("int").alias("vec_rank")).limit(0)
-    else:
-        cos = vector_scores(seen, vector).join(seen.select("uuid", "created_at"), "uuid")
-        vec = cos.select("uuid", "cosine").join(ranked(cos, "cosine", ["created_at", "uuid"]).select("uuid", F.col("rank").alias("vec_rank")), "uuid", "left")
+    words = index.bm25(terms, within=seen) if index is not None else bm25(seen, terms)
     own = anchors(entities if group is None else entities.where(F.col("group_id") == group), query, vector)
-    placed = graph_distance(seen, own, neighbours(seen, own))
-    all_ = placed.join(kw, "uuid", "left").join(vec, "uuid", "left")
-    return rerank(all_, limit, least_cosine).withColumn("degraded", F.lit(vector is None))
+    ends = seen.select("uuid", "created_at", SRC, TGT, *(["embedding"] if vector is not None else []))
+    placed = graph_distance(ends, own, neighbours(ends, own))
+    cos = cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector])) if vector is not None else F.lit(None).cast("double")
+    scored = placed.select("uuid", "created_at", "distance", F.when(F.col("embedding").isNotNull(), cos).alias("cosine") if vector is not None else cos.alias("cosine"))
+    scored = scored.join(words.select("uuid", F.col("score").alias("kw")), "uuid", "left")
+    if limit is not None:
+        spark, path = facts.sparkSession, shared_folder(facts.sparkSession, "scores")
+        scored.where("kw > 0 or cosine > 0 or distance is not null").write.parquet(path)
+        first = fused_topk(spark.read.schema(scored.schema).parquet(path), limit, least_cosine)
+        ranked_ = spark.createDataFrame(first, f"uuid {dict(scored.dtypes)['uuid']}, score double")  # limit rows
+        out = facts.join(F.broadcast(ranked_), "uuid")
+        return out.orderBy(F.col("score").desc(), F.col("created_at").desc(), "uuid").withColumn("degraded", F.lit(vector is None))
+    numbered = scored.withColumn("kw", F.round("kw", SCORE_DIGITS)).withColumn("vec", F.round("cosine", SCORE_DIGITS))
+    kw = ranked(numbered, "kw", ["created_at", "uuid"]).select("uuid", F.col("rank").alias("kw_rank"))
+    vec = ranked(numbered, "vec", ["created_at", "uuid"]).select("uuid", F.col("rank").alias("vec_rank"))
+    all_ = seen.join(scored.drop("created_at"), "uuid").join(kw, "uuid", "left").join(vec, "uuid", "left")
+    return rerank(all_, None, least_cosine).withColumn("degraded", F.lit(vector is None))
 
 
 def find_entities(entities: DataFrame, query: str, limit: int | None = 10, vector: list[float] | None = None) -> DataFrame:

@@ -102,6 +102,15 @@ def validity_label(now, zone: str = "UTC", prefix: str = "") -> Column:
     )
 
 
+def reference_time(at: Column, zone: str = "UTC") -> Column:
+    """An instant as the wall clock of a zone shows it, with its distance from UTC and the day of the week: 2024-03-01T14:30:00+05:30 (Friday)."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), at)
+    minutes = F.timestamp_diff("MINUTE", F.date_trunc("second", at).cast("timestamp_ntz"), F.date_trunc("second", local).cast("timestamp_ntz"))
+    two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+    away = F.concat(F.when(minutes < 0, "-").otherwise("+"), two(F.floor(F.abs(minutes) / 60)), F.lit(":"), two(F.abs(minutes) % 60))
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), away, F.lit(" ("), F.date_format(local, "EEEE"), F.lit(")"))
+
+
 def with_names(facts: DataFrame, entities: DataFrame, missing: str | None = None) -> DataFrame:
     """Adds source_name and target_name; a name that is not there is `missing`, or the id where that is None."""
     names = entities.select(F.col("uuid").alias("__id"), F.col("name").alias("__name"))

@@ -341,3 +341,40 @@ def test_replies_are_sanitised(spark):
     assert [(e["name"], e["labels"]) for e in got[0]["entities"]] == [("Ann", ["Person"]), ("Acme", [])]
     assert [(f["target_name"], f["relation"], f["valid_at"], f["invalid_at"]) for f in got[0]["facts"]] == [("Acme", "WORKS_AT", None, "2024-03-01T00:00:00.000")]
     assert got[1] == got[2] == {"entities": [], "facts": [], "invalidations": []}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_the_first_rows_of_a_fusion_without_ranking_all(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = [
+        (f"u{k:03}", d("2024-01-01") if rng.random() < 0.5 else d("2024-02-01"), rng.choice([None, 0.0, round(rng.random(), rng.choice([1, 6]))]) if rng.random() < 0.4 + 0.1 * seed else None,
+         rng.choice([None, round(rng.uniform(-1, 1), rng.choice([1, 6]))]), rng.choice([None, None, 0, 1]) if seed % 2 else None)
+        for k in range(400)
+    ]
+    df = spark.createDataFrame(rows, "uuid string, created_at timestamp_ntz, kw double, cosine double, distance int").repartition(3).cache()
+    rank = lambda at: {r[0]: n for n, r in enumerate(sorted((r for r in rows if r[at] is not None and r[at] > 0), key=lambda r: (-r[at], r[1], r[0])), 1)}
+    kw, vec = rank(2), rank(3)
+    near = {0: search.NEAR_BONUS, 1: search.NEXT_BONUS, None: 0.0}
+    scored = [(r[0], round((1 / (60 + kw[r[0]]) if r[0] in kw else 0) + (1 / (60 + vec[r[0]]) if r[0] in vec else 0) + near[r[4]], 12), r[1]) for r in rows if r[0] in kw or near[r[4]] or (r[3] is not None and r[3] >= 0.4)]
+    want = [(u, s) for u, s, _ in sorted(scored, key=lambda x: (-x[1], -x[2].timestamp(), x[0]))]
+    for limit, depth in ((5, 5), (40, None), (40, 8), (1000, 64)):
+        got = search.fused_topk(df, limit, depth=depth)
+        assert [u for u, _ in got] == [u for u, _ in want[:limit]] and all(abs(a[1] - b[1]) < 1e-11 for a, b in zip(got, want, strict=False))
+
+
+def test_names_are_folded_and_quoted(spark):
+    own = spark.createDataFrame([("1", "ＧＰＴ４"), ("2", "a\\Eb"), ("3", "plain"), ("4", "Café"), ("5", "x")], "uuid string, name string")
+    named = lambda q, folded=True: {r.uuid for r in search.naming_entities(own, q, folded).collect()}
+    assert named("is gpt4 here") == {"1"} and named("the A\\EB thing") == {"2"} and named("PLAIN. x") == {"3"} and named("plainly") == set()
+    assert named("the ｃａｆé") == {"4"} and named("is gpt4 here", False) == set() and {r.uuid for r in search.anchors(own, "ＰＬＡＩＮ").collect()} == {"3"}
+
+
+def test_index_within_a_scope(spark, tmp_path):
+    docs = spark.createDataFrame([("a", ["x", "y", "x"]), ("b", ["y"]), ("c", ["x", "z"]), ("e", [])], "uuid string, tokens array<string>")
+    index = search.Index(spark, f"file://{tmp_path}/index").write(docs)
+    rows = lambda df: sorted((r.uuid, round(r.score, 9)) for r in df.collect())
+    for keep in (["a", "b", "c", "e"], ["a", "b"], ["c", "e"], []):
+        own = docs.where(F.col("uuid").isin(keep)) if keep else docs.limit(0)
+        assert rows(index.bm25(["x", "y", "x"], within=own)) == rows(search.bm25(own, ["x", "y", "x"]))
