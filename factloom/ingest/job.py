@@ -41,21 +41,56 @@ def fact_row(f: Fact, group: str) -> dict:
     }
 
 
+def entity_of(raw: str) -> Entity:
+    r = json.loads(raw)
+    return Entity(r["uuid"], r["name"], r.get("labels") or [], r.get("summary") or "", json.loads(r.get("attributes") or "{}"), _time(r.get("created_at")), r.get("name_embedding"))
+
+
+def fact_of(raw: str) -> Fact:
+    r = json.loads(raw)
+    times = (_time(r.get(k)) for k in ("valid_at", "invalid_at", "created_at", "expired_at"))
+    return Fact(r["uuid"], r["source_node_uuid"], r["target_node_uuid"], r["name"], r["fact"], r.get("episodes") or [], *times, json.loads(r.get("attributes") or "{}"), r.get("fact_embedding"))
+
+
 def read_state(rows: pd.DataFrame) -> State:
     state = State()
     for kind, raw in zip(rows["kind"], rows["row"], strict=True):
-        r = json.loads(raw)
-        marks = json.loads(r.get("attributes") or "{}")
         if kind == "entity":
-            state.entities[r["name"].lower()] = Entity(r["uuid"], r["name"], r.get("labels") or [], r.get("summary") or "", marks, _time(r.get("created_at")), r.get("name_embedding"))
+            e = entity_of(raw)
+            state.entities[e.name.lower()] = e
         elif kind == "fact":
-            times = (_time(r.get(k)) for k in ("valid_at", "invalid_at", "created_at", "expired_at"))
-            state.add(Fact(r["uuid"], r["source_node_uuid"], r["target_node_uuid"], r["name"], r["fact"], r.get("episodes") or [], *times, marks, r.get("fact_embedding")))
+            state.add(fact_of(raw))
         elif kind == "key":
-            state.keys.add(r["key"])
+            state.keys.add(json.loads(raw)["key"])
     return state
 
 
+def said_by(note) -> tuple[list[dict], list[dict], list[dict]]:
+    """(entities, statements, endings) of a note's payload."""
+    found = json.loads(note.payload or "{}")
+    for r in found.get("facts", []) + found.get("invalidations", []):
+        for k in ("valid_at", "invalid_at"):
+            r[k] = _time(r.get(k))
+    return found.get("entities", []), found.get("facts", []), found.get("invalidations", [])
+
+
+def apply_notes(state: State, notes: pd.DataFrame, group: str, judge: Judge, embed: Embed = hashed) -> tuple[list[tuple], list[Entity], list[Fact]]:
+    """Folds a group's notes by (created_at, uuid): the rows of episodes and keys, and the entities and facts that were made or changed."""
+    rows: list[tuple] = []
+    entities: dict[str, Entity] = {}
+    facts: dict[str, Fact] = {}
+    for n in notes.sort_values(["created_at", "uuid"]).itertuples():
+        note = Episode(n.uuid, n.content or "", _time(n.valid_at), _time(n.created_at), *said_by(n), n.key)
+        outcome: Outcome = fold(state, [note], judge, embed=embed)[0]
+        counts = {"facts": len(outcome.facts), "reinforced": len(outcome.reinforced), "invalidated": len(outcome.invalidated), "entities": len(outcome.entities), **{f"dropped_{k}": v for k, v in outcome.dropped.items()}, "error": outcome.error}
+        rows.append(("episode", group, n.uuid, json.dumps(counts), outcome.status))
+        if outcome.status == "processed":
+            rows.append(("key", group, n.key, json.dumps({"key": n.key}), outcome.status))
+        facts |= {f.uuid: f for f in outcome.facts + outcome.reinforced + outcome.invalidated}
+        entities |= {e.uuid: e for e in outcome.entities}
+    return rows, list(entities.values()), list(facts.values())
+
+
 def payloads(content: Column) -> Column:
     """What the built-in extractor finds, as JSON, in whole-stage code."""
     return F.to_json(extraction(content))
@@ -135,24 +170,9 @@ def fold_groups(episodes: DataFrame, state: DataFrame, judge: Judge = opposites,
             given.update(zip(rest, (embed or hashed)(rest), strict=True) if rest else ())
             return [given[t] for t in texts]
 
-        rows = []
-        changed_e: dict[str, Entity] = {}
-        changed_f: dict[str, Fact] = {}
-        for n in notes.sort_values(["created_at", "uuid"]).itertuples():
-            found = json.loads(n.payload or "{}")
-            for r in found.get("facts", []) + found.get("invalidations", []):
-                for k in ("valid_at", "invalid_at"):
-                    r[k] = _time(r.get(k))
-            note = Episode(n.uuid, n.content or "", _time(n.valid_at), _time(n.created_at), found.get("entities", []), found.get("facts", []), found.get("invalidations", []), n.key)
-            outcome: Outcome = fold(now_state, [note], judge, embed=vectors)[0]
-            counts = {"facts": len(outcome.facts), "reinforced": len(outcome.reinforced), "invalidated": len(outcome.invalidated), "entities": len(outcome.entities), **{f"dropped_{k}": v for k, v in outcome.dropped.items()}, "error": outcome.error}
-            rows.append(("episode", group, n.uuid, json.dumps(counts), outcome.status))
-            if outcome.status == "processed":
-                rows.append(("key", group, n.key, json.dumps({"key": n.key}), outcome.status))
-            changed_f |= {f.uuid: f for f in outcome.facts + outcome.reinforced + outcome.invalidated}
-            changed_e |= {e.uuid: e for e in outcome.entities}
-        rows += [("entity", group, u, json.dumps(entity_row(e, group), ensure_ascii=False), "") for u, e in changed_e.items()]
-        rows += [("fact", group, u, json.dumps(fact_row(f, group), ensure_ascii=False), "") for u, f in changed_f.items()]
+        rows, entities, facts = apply_notes(now_state, notes, group, judge, vectors)
+        rows += [("entity", group, e.uuid, json.dumps(entity_row(e, group), ensure_ascii=False), "") for e in entities]
+        rows += [("fact", group, f.uuid, json.dumps(fact_row(f, group), ensure_ascii=False), "") for f in facts]
         return pd.DataFrame(rows, columns=["kind", "group_id", "uuid", "row", "status"])
 
     own = keyed.select("uuid", "group_id", "content", "valid_at", "created_at", "payload", "key")
