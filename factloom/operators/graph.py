@@ -134,6 +134,42 @@ def same_slot_conflicts(facts: DataFrame) -> DataFrame:
     return met.where(overlap).select(SRC, "name", F.col("uuid").alias("a"), "b")
 
 
+def slot_conflicts(facts: DataFrame) -> DataFrame:
+    """(uuid, conflicts, cluster): for each fact the facts of its slot with another target that hold at the same time, counted, not listed.
+
+    A slot is a source and a relation. Of facts with windows [s, e), those that meet
+    one's window are all that begin before its end less those that are over by its
+    start; the same count within the target is taken off. cluster is the least id of
+    the facts that a chain of meeting windows joins, whatever their targets: all that
+    conflict with each other share it. A slot is sorted a few times, and no pair is
+    made. Empty windows meet nothing, and are clusters of their own.
+    """
+    first, last = F.lit("0001-01-01").cast("timestamp_ntz"), F.lit("9999-12-31").cast("timestamp_ntz")
+    own = facts.select("uuid", SRC, TGT, "name", F.coalesce("valid_at", first).alias("s"), F.coalesce("invalid_at", last).alias("e"))
+    real = own.where("s < e")
+
+    def meeting(rows: DataFrame, by: list[str], out: str) -> DataFrame:
+        """rows with out: how many others of the same group hold at some instant of each one's window."""
+        starts = rows.select(*by, F.col("s").alias("t"), F.lit(1).alias("begun"), F.lit(0).alias("over"))
+        ends = rows.select(*by, F.col("e").alias("t"), F.lit(0).alias("begun"), F.lit(1).alias("over"))
+        moments = starts.unionByName(ends).groupBy(*by, "t").agg(F.sum("begun").alias("begun"), F.sum("over").alias("over"))
+        before = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+        upto = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+        at = moments.select(*by, "t", F.coalesce(F.sum("begun").over(before), F.lit(0)).alias("begun_before"), F.sum("over").over(upto).alias("over_by"))
+        joined = rows.join(at.select(*by, F.col("t").alias("s"), "over_by"), [*by, "s"]).join(at.select(*by, F.col("t").alias("e"), "begun_before"), [*by, "e"])
+        return joined.withColumn(out, F.col("begun_before") - F.col("over_by") - 1).drop("begun_before", "over_by")
+
+    slot = [SRC, "name"]
+    counted = meeting(meeting(real, slot, "__all"), [*slot, TGT], "__same")
+    order = Window.partitionBy(*slot).orderBy("s", "e", "uuid")
+    reached = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = (reached.isNull() | (F.col("s") >= reached)).cast("int")
+    chained = counted.withColumn("__new", begins).withColumn("__chain", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    least = chained.groupBy(*slot, "__chain").agg(F.min("uuid").alias("cluster"))
+    met = chained.join(least, [*slot, "__chain"]).select("uuid", (F.col("__all") - F.col("__same")).alias("conflicts"), "cluster")
+    return met.unionByName(own.where("s >= e").select("uuid", F.lit(0).cast("long").alias("conflicts"), F.col("uuid").alias("cluster")))
+
+
 def next_value(facts: DataFrame) -> DataFrame:
     """facts with next_at: the next later start in the slot of its source and relation."""
     starts = facts.where("valid_at is not null").select(SRC, "name", "valid_at").distinct()

@@ -426,6 +426,18 @@ def one_value_conflicts(g):
     return graph.same_slot_conflicts(f).select(F.col(graph.SRC).alias("user_id"), "a", "b")
 
 
+@query("""WITH f AS (SELECT event_id AS uuid, user_id, event_type, ts AS s, coalesce(lead(ts, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id), TIMESTAMP '9999-12-31') AS e FROM events),
+m AS (SELECT a.uuid, count(*) AS conflicts FROM f a JOIN f b ON a.user_id = b.user_id AND a.event_type <> b.event_type AND a.s < b.e AND b.s < a.e AND a.s < a.e AND b.s < b.e GROUP BY a.uuid),
+k AS (SELECT *, CASE WHEN s >= coalesce(max(e) OVER (PARTITION BY user_id ORDER BY s, e, uuid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TIMESTAMP '0001-01-01') THEN 1 ELSE 0 END AS fresh FROM f WHERE s < e),
+c AS (SELECT uuid, min(uuid) OVER (PARTITION BY user_id, chain) AS cluster FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, e, uuid) AS chain FROM k) UNION ALL SELECT uuid, uuid FROM f WHERE s >= e)
+SELECT uuid, coalesce(conflicts, 0) AS conflicts, cluster FROM c LEFT JOIN m USING (uuid)""")
+def slot_conflicts(g):
+    """How many other values of its slot each value meets, and the chain of meeting values that it belongs to."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    f = g.table("events").select(F.col("event_id").alias("uuid"), F.col("user_id").alias(graph.SRC), F.col("event_type").alias(graph.TGT), F.lit("HAS_STATUS").alias("name"), F.col("ts").alias("valid_at"), F.lead("ts", 3).over(w).alias("invalid_at"))
+    return graph.slot_conflicts(f)
+
+
 @query(G("""SELECT uuid, name, n.next_at FROM facts f LEFT JOIN (SELECT src, name, valid_at, lead(valid_at) OVER (PARTITION BY src, name ORDER BY valid_at) AS next_at FROM (SELECT DISTINCT src, name, valid_at FROM facts WHERE valid_at IS NOT NULL)) n USING (src, name, valid_at)"""))
 def next_value(g):
     return graph.next_value(g.facts).select("uuid", "name", "next_at")

@@ -1,5 +1,5 @@
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -378,3 +378,24 @@ def test_index_within_a_scope(spark, tmp_path):
     for keep in (["a", "b", "c", "e"], ["a", "b"], ["c", "e"], []):
         own = docs.where(F.col("uuid").isin(keep)) if keep else docs.limit(0)
         assert rows(index.bm25(["x", "y", "x"], within=own)) == rows(search.bm25(own, ["x", "y", "x"]))
+
+
+def test_slot_conflicts_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    at = lambda k: None if k is None else d("2024-01-01") + timedelta(days=k)
+    rows = [(f"f{k:03}", f"s{rng.randrange(4)}", f"t{rng.randrange(3)}", "R", rng.choice([None, *range(60)]), None) for k in range(150)]
+    rows = [(*r[:5], None if rng.random() < 0.1 else (r[4] or 0) + rng.randrange(6)) for r in rows]
+    f = spark.createDataFrame([(*r[:4], at(r[4]), at(r[5])) for r in rows], "uuid string, source_node_uuid string, target_node_uuid string, name string, valid_at timestamp_ntz, invalid_at timestamp_ntz")
+    inf = float("inf")
+    span = {r[0]: (-inf if r[4] is None else r[4], inf if r[5] is None else r[5]) for r in rows}
+    meet = lambda a, b: a[1] == b[1] and a[0] != b[0] and span[a[0]][0] < span[b[0]][1] and span[b[0]][0] < span[a[0]][1] and all(span[x[0]][0] < span[x[0]][1] for x in (a, b))
+    root = {r[0]: r[0] for r in rows}
+    while True:
+        moved = {a[0]: min(root[a[0]], *[root[b[0]] for b in rows if meet(a, b)], root[a[0]]) for a in rows}
+        if moved == root:
+            break
+        root = moved
+    got = {r.uuid: (r.conflicts, r.cluster) for r in graph.slot_conflicts(f).collect()}
+    assert got == {a[0]: (sum(meet(a, b) and a[2] != b[2] for b in rows), root[a[0]]) for a in rows}
