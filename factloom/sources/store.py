@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
@@ -68,13 +71,21 @@ def entity_map(incoming: DataFrame, current: DataFrame) -> DataFrame:
     return own.join(held, ["g", "n"], "left").join(first, ["g", "n"]).select("old_uuid", F.coalesce("held", "first").alias("uuid"))
 
 
+class Conflict(RuntimeError):
+    """Others committed first, again and again."""
+
+
 class Store:
     """Episodes, entities and facts as append-only Parquet logs under one folder.
 
-    A commit writes the files of one version for all tables and then a marker
-    row; readers see only versions that have their marker, so a batch appears whole
-    or not at all. Versions are numbered by the caller (a batch id), which makes a
-    repeated commit harmless.
+    A commit writes the files of one version for all tables, in folders of its own
+    attempt, and then a marker that names the attempt; readers see only versions
+    that have their marker, so a batch appears whole or not at all. The marker is
+    created only where there is none: of two writers of one version the first one's
+    files count, and the other knows. A marker without content, left by a writer
+    that died, takes its number and no more. commit() is for versions that the
+    caller numbers (a batch id), where repeating one is harmless; transact() numbers
+    them itself and does the work again when another writer was faster.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -84,25 +95,78 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _taken(self) -> dict[int, int]:
+        """All numbers that have a marker, with its length."""
+        p, fs = self._fs(f"{self.path}/_commits")
+        names = [(s.getPath().getName(), s.getLen()) for s in fs.listStatus(p)] if fs.exists(p) else []
+        return {int(n): size for n, size in names if n.isdigit()}
+
     def versions(self) -> list[int]:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_commits")
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(p)) if fs.exists(p) else []
-
-    def commit(self, version: int, **rows: DataFrame) -> None:
-        """Appends changed rows (deleted rows have deleted true) as one version."""
-        if version in self.versions():
-            return
+        return sorted(v for v, size in self._taken().items() if size)
+
+    def _attempt(self, version: int) -> str:
+        p, fs = self._fs(f"{self.path}/_commits/{version}")
+        stream = fs.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _publish(self, version: int, attempt: str) -> bool:
+        """Creates a version's marker; False if it is there."""
+        p, fs = self._fs(f"{self.path}/_commits/{version}")
+        fs.mkdirs(p.getParent())
+        if fs.getUri().getScheme() == "file" and not self.spark._jvm.java.io.File(p.toUri().getPath()).createNewFile():  # which the file system does at once
+            return False
+        try:
+            out = fs.create(p, fs.getUri().getScheme() == "file")
+        except Exception as error:
+            if "AlreadyExists" in str(error):
+                return False
+            raise
+        out.write(bytearray(attempt.encode()))
+        out.close()
+        return True
+
+    def _write(self, version: int, rows: dict[str, DataFrame]) -> str:
+        attempt = uuid.uuid4().hex
         for name, df in rows.items():
             own = df if "deleted" in df.columns else df.withColumn("deleted", F.lit(False))
             own = own.withColumn("seq", F.lit(version).cast("long"))
-            own.write.mode("overwrite").partitionBy("group_id").parquet(f"{self.path}/{name}/v={version}")
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_commits/{version}")
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(p)
+            own.write.mode("overwrite").partitionBy("group_id").parquet(f"{self.path}/{name}/v={version}-{attempt}")
+        return attempt
+
+    def commit(self, version: int, **rows: DataFrame) -> bool:
+        """Appends changed rows (deleted rows have deleted true) as one version; False, and nothing new, if it is there."""
+        return version not in self._taken() and self._publish(version, self._write(version, rows))
+
+    def transact(self, make: Callable[[int], dict[str, DataFrame] | None], tries: int = 5) -> int | None:
+        """Commits make(head), the rows that follow from the state up to version head, as the next version, and gives its number.
+
+        When another writer took that number, the work is done again from the state
+        that this one left; nothing of the lost attempt is seen. None from make
+        commits nothing.
+        """
+        for _ in range(tries):
+            taken = self._taken()
+            head = max((v for v, size in taken.items() if size), default=-1)
+            rows = make(head)
+            if rows is None:
+                return None
+            version = max(taken, default=-1) + 1
+            attempt = self._write(version, rows)
+            if max((v for v, size in self._taken().items() if size), default=-1) == head and self._publish(version, attempt):
+                return version
+        raise Conflict(f"{tries} attempts were overtaken")
 
     def log(self, name: str, upto: int | None = None) -> DataFrame:
         """All versions of a table, or those up to one: the state at any commit can be read again."""
-        paths = [f"{self.path}/{name}/v={v}" for v in self.versions() if (upto is None or v <= upto) and self._exists(f"{self.path}/{name}/v={v}")]
+        wanted = [v for v in self.versions() if upto is None or v <= upto]
+        paths = [p for p in (f"{self.path}/{name}/v={v}-{self._attempt(v)}" for v in wanted) if self._exists(p)]
         schema = StructType([*TABLES[name], StructField("deleted", BooleanType()), StructField("seq", LongType())])
         if not paths:
             return self.spark.createDataFrame([], schema)

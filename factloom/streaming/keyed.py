@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -145,10 +146,14 @@ def current(spark: SparkSession, log: str) -> DataFrame:
     return latest_rows(rows.where("kind <> 'episode'").select("kind", "group_id", "row", "n"))
 
 
-def drain(query: StreamingQuery, seconds: int | None = None) -> bool:
-    """Lets a query finish what has come in, then stops it; whether it was done in time."""
-    if query.isActive:
-        query.processAllAvailable() if seconds is None else query.awaitTermination(seconds)
-    done = not query.isActive or not query.status["isTriggerActive"]
+def drain(query: StreamingQuery, seconds: float = 60) -> bool:
+    """Lets a query finish what has come in, for some seconds at most, then stops it; whether it had nothing left to do."""
+    until = time.monotonic() + seconds
+    while query.isActive and time.monotonic() < until:
+        now = query.status
+        if not (now["isDataAvailable"] or now["isTriggerActive"] or now["message"].startswith("Initializing")):
+            break
+        time.sleep(0.2)
+    done = not query.isActive or not (query.status["isDataAvailable"] or query.status["isTriggerActive"])
     query.stop()
     return done
