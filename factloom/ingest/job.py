@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from factloom.functions.text import idempotency_key
 from factloom.ingest.extract import extraction
 from factloom.ingest.fold import Embed, Entity, Episode, Fact, Judge, Outcome, State, fold, hashed, opposites
+from factloom.ingest.reading import Known, Reader
 from factloom.operators.ranking import shared_folder
 
 CHANGES = "kind string, group_id string, uuid string, row string, status string"
@@ -65,23 +66,40 @@ def read_state(rows: pd.DataFrame) -> State:
     return state
 
 
-def said_by(note) -> tuple[list[dict], list[dict], list[dict]]:
-    """(entities, statements, endings) of a note's payload."""
-    found = json.loads(note.payload or "{}")
+def said_by(note, found: dict | None = None) -> tuple[list[dict], list[dict], list[dict]]:
+    """(entities, statements, endings) of a note's payload, or of what a reader found."""
+    found = json.loads(note.payload or "{}") if found is None else found
     for r in found.get("facts", []) + found.get("invalidations", []):
         for k in ("valid_at", "invalid_at"):
             r[k] = _time(r.get(k))
     return found.get("entities", []), found.get("facts", []), found.get("invalidations", [])
 
 
-def apply_notes(state: State, notes: pd.DataFrame, group: str, judge: Judge, embed: Embed = hashed) -> tuple[list[tuple], list[Entity], list[Fact]]:
-    """Folds a group's notes by (created_at, uuid): the rows of episodes and keys, and the entities and facts that were made or changed."""
+def apply_notes(state: State, notes: pd.DataFrame, group: str, judge: Judge, embed: Embed = hashed, reader: Reader | None = None) -> tuple[list[tuple], list[Entity], list[Fact]]:
+    """Folds a group's notes by (created_at, uuid): the rows of episodes and keys, and the entities and facts that were made or changed.
+
+    With a reader, each note is read when its turn comes, by one who is told what
+    the notes before it have made known; a note that cannot be read has failed.
+    """
+    known = Known(state, embed) if reader is not None else None
     rows: list[tuple] = []
     entities: dict[str, Entity] = {}
     facts: dict[str, Fact] = {}
     for n in notes.sort_values(["created_at", "uuid"]).itertuples():
-        note = Episode(n.uuid, n.content or "", _time(n.valid_at), _time(n.created_at), *said_by(n), n.key)
-        outcome: Outcome = fold(state, [note], judge, embed=embed)[0]
+        note = Episode(n.uuid, n.content or "", _time(n.valid_at), _time(n.created_at), key=n.key)
+        try:
+            if known is None:
+                found = None
+            elif n.key is not None and n.key in state.keys:
+                found = {}  # a duplicate is not read
+            else:
+                found = reader(note.content, known.told(note.content, note.valid, note.created))
+            note.entities, note.facts, note.ends = said_by(n, found)
+            outcome: Outcome = fold(state, [note], judge, embed=embed)[0]
+        except Exception as error:
+            outcome = Outcome(status="failed", error=str(error)[:500])
+        if known is not None:
+            known.changed(outcome.reinforced + outcome.invalidated)
         counts = {"facts": len(outcome.facts), "reinforced": len(outcome.reinforced), "invalidated": len(outcome.invalidated), "entities": len(outcome.entities), **{f"dropped_{k}": v for k, v in outcome.dropped.items()}, "error": outcome.error}
         rows.append(("episode", group, n.uuid, json.dumps(counts), outcome.status))
         if outcome.status == "processed":
@@ -140,7 +158,7 @@ def staged_vectors(episodes: DataFrame, embed: Embed) -> tuple[DataFrame, int |
     return wanted.join(vectors, "text"), most
 
 
-def fold_groups(episodes: DataFrame, state: DataFrame, judge: Judge = opposites, embed: Embed | None = None) -> DataFrame:
+def fold_groups(episodes: DataFrame, state: DataFrame, judge: Judge = opposites, embed: Embed | None = None, reader: Reader | None = None) -> DataFrame:
     """(kind, group_id, uuid, row, status): all rows that the notes made or changed, and each note's outcome.
 
     episodes(uuid, group_id, content, valid_at, created_at, payload) are applied
@@ -153,10 +171,14 @@ def fold_groups(episodes: DataFrame, state: DataFrame, judge: Judge = opposites,
     folded, so that one that fails has changed nothing. Rows are given their
     vectors; those of another length, of an older model, that a note touches are
     embedded again. Without, texts are compared by the built-in embedder.
+
+    With a reader, payloads are not needed: it reads each note in its turn, told
+    the known entities and facts that the note is about, see Known.
     """
     dims = None
     if embed is not None:
-        staged, dims = staged_vectors(episodes, embed)
+        staged, dims = staged_vectors(episodes, embed) if reader is None else (None, None)
+    if embed is not None and reader is None:  # what a reader will say is not known yet: it is embedded note by note
         state = state.select("kind", "group_id", "row").unionByName(staged.select(F.lit("vector").alias("kind"), "group_id", F.to_json(F.struct("text", "vector")).alias("row")))
     keyed = episodes.withColumn("key", idempotency_key(F.col("content"), F.col("valid_at")))
 
@@ -170,7 +192,7 @@ def fold_groups(episodes: DataFrame, state: DataFrame, judge: Judge = opposites,
             given.update(zip(rest, (embed or hashed)(rest), strict=True) if rest else ())
             return [given[t] for t in texts]
 
-        rows, entities, facts = apply_notes(now_state, notes, group, judge, vectors)
+        rows, entities, facts = apply_notes(now_state, notes, group, judge, vectors, reader)
         rows += [("entity", group, e.uuid, json.dumps(entity_row(e, group), ensure_ascii=False), "") for e in entities]
         rows += [("fact", group, f.uuid, json.dumps(fact_row(f, group), ensure_ascii=False), "") for f in facts]
         return pd.DataFrame(rows, columns=["kind", "group_id", "uuid", "row", "status"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factloom.ingest.fold import Embed, Judge, opposites
+from factloom.ingest.reading import Reader
 from factloom.ingest.job import empty_state, fold_groups, latest_rows, payloads, with_payload
 
 
@@ -57,23 +58,23 @@ class StateTable:
             self.read(version + 1).write.mode("overwrite").parquet(f"{self.path}/base={version}")
 
 
-def ingest_batch(table: StateTable, notes: DataFrame, version: int, log: str, judge: Judge = opposites, extractor=payloads, embed: Embed | None = None) -> None:
+def ingest_batch(table: StateTable, notes: DataFrame, version: int, log: str, judge: Judge = opposites, extractor=payloads, embed: Embed | None = None, reader: Reader | None = None) -> None:
     """Folds one batch into the state as a version; doing it again gives the same files."""
     if version in table.versions():
         return
     held = table.read(version, notes)
-    fold_groups(with_payload(notes, extractor), held, judge, embed).write.mode("overwrite").parquet(f"{log}/v={version}")
+    fold_groups(with_payload(notes, extractor), held, judge, embed, reader).write.mode("overwrite").parquet(f"{log}/v={version}")
     table.write(version, table.spark.read.parquet(f"{log}/v={version}"))
 
 
-def start(notes: DataFrame, table: StateTable, log: str, checkpoint: str, judge: Judge = opposites, extractor=payloads, available_now: bool = True, embed: Embed | None = None) -> StreamingQuery:
+def start(notes: DataFrame, table: StateTable, log: str, checkpoint: str, judge: Judge = opposites, extractor=payloads, available_now: bool = True, embed: Embed | None = None, reader: Reader | None = None) -> StreamingQuery:
     """A streaming query over notes(uuid, group_id, content, valid_at, created_at).
 
     Late notes are folded by what they say about time, so no watermark drops
     them. The batch id is the version: after a crash the batch is folded again
     from the version before it.
     """
-    writer = notes.writeStream.foreachBatch(lambda df, n: ingest_batch(table, df, n, log, judge, extractor, embed)).option("checkpointLocation", checkpoint)
+    writer = notes.writeStream.foreachBatch(lambda df, n: ingest_batch(table, df, n, log, judge, extractor, embed, reader)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
