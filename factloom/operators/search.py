@@ -60,6 +60,15 @@ class Index:
         lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_len")).write.mode("overwrite").parquet(f"{self.path}/stats")
         return self
 
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    def lengths(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/lengths")
+
+    def stats(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/stats")
+
     def bm25(self, terms: list[str], k1: float = K1, b: float = B, within: DataFrame | None = None) -> DataFrame:
         """(key, score) as bm25() gives it, from the postings of the query's terms.
 
@@ -68,12 +77,12 @@ class Index:
         """
         weights = self.spark.createDataFrame([(t, float(n)) for t, n in sorted(Counter(terms).items())], "term string, weight double")
         numbers = [r[0] for r in weights.select(_folder(F.col("term"), self.folders)).distinct().collect()]
-        own = self.spark.read.parquet(f"{self.path}/postings").where(F.col("folder").isin(numbers) & F.col("term").isin(sorted(set(terms))))
-        stats = self.spark.read.parquet(f"{self.path}/stats")
+        own = self.postings().where(F.col("folder").isin(numbers) & F.col("term").isin(sorted(set(terms))))
+        stats = self.stats()
         if within is not None:
             seen = within.select(self.key)
             own = own.join(seen, self.key, "left_semi")
-            stats = self.spark.read.parquet(f"{self.path}/lengths").join(seen, self.key, "left_semi").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_len"))
+            stats = self.lengths().join(seen, self.key, "left_semi").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_len"))
         df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row a term
         joined = own.join(F.broadcast(df.join(weights, "term")), "term").crossJoin(F.broadcast(stats))  # one row
         idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -82,6 +91,101 @@ class Index:
         return joined.groupBy(self.key).agg(F.sum(part).alias("score")).where("score > 0")
 
 
+class LiveIndex(Index):
+    """An index that follows its documents: a base, and for each change since the postings of what it wrote and the ids of what it removed.
+
+    apply() writes one change, whose cost is that of its documents; a posting counts
+    if no later change names its document. A query reads its terms' folders of the
+    base and of each change, and the ids that changed. Every merge_after changes
+    all are merged into a new base, from which on the older ones are not read. A change
+    or a base is there once its marker is: repeated ones and half-written ones
+    change nothing.
+    """
+
+    def __init__(self, spark, path: str, key: str = "uuid", folders: int = INDEX_FOLDERS, merge_after: int = 16):
+        super().__init__(spark, path, key, folders)
+        self.merge_after = merge_after
+
+    def _numbers(self, prefix: str) -> list[int]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        done = lambda n: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/lengths/_SUCCESS"))
+        return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and done(n))
+
+    def _parts(self) -> tuple[list[str], list[int]]:
+        bases = self._numbers("base=")
+        last = bases[-1] if bases else -1
+        return ([f"base={last}"] if bases else []), [v for v in self._numbers("change=") if v > last]
+
+    def apply(self, version: int, docs: DataFrame, tokens: str = "tokens") -> LiveIndex:
+        """Takes in docs(key, tokens[, deleted]) as one change: new and changed documents, and deleted ones."""
+        if version in self._numbers("change=") or version <= max(self._numbers("base="), default=-1):
+            return self
+        gone = F.coalesce("deleted", F.lit(False)) if "deleted" in docs.columns else F.lit(False)
+        folder = f"{self.path}/change={version}"
+        rows = postings(docs.where(~gone), self.key, tokens).withColumn("folder", _folder(F.col("term"), self.folders))
+        rows.sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{folder}/postings")
+        docs.select(self.key, F.when(~gone, F.size(tokens)).alias("dl")).write.mode("overwrite").parquet(f"{folder}/lengths")  # its marker comes last
+        if len(self._parts()[1]) >= self.merge_after:
+            self.merge(version)
+        return self
+
+    def merge(self, version: int) -> None:
+        """Writes what all changes up to a version have made of the index as a new base."""
+        folder = f"{self.path}/base={version}"
+        self.postings().sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{folder}/postings")
+        self.lengths().write.mode("overwrite").parquet(f"{folder}/lengths")
+
+    def _read(self, what: str) -> DataFrame | None:
+        """The rows of a base and its changes, with the number of each."""
+        bases, changes = self._parts()
+        kind = dict(self._kind())[self.key]
+        schema = f"{self.key} {kind}, " + ("dl int" if what == "lengths" else "dl int, term string, tf bigint, folder int")
+        own = None
+        for n, part in [(-1, p) for p in bases] + [(v, f"change={v}") for v in changes]:
+            rows = self.spark.read.schema(schema).parquet(f"{self.path}/{part}/{what}").withColumn("__n", F.lit(n))
+            own = rows if own is None else own.unionByName(rows)
+        return own if own is not None else self.spark.createDataFrame([], schema).withColumn("__n", F.lit(0))
+
+    def _kind(self) -> list[tuple[str, str]]:
+        bases, changes = self._parts()
+        parts = bases + [f"change={v}" for v in changes]
+        return self.spark.read.parquet(f"{self.path}/{parts[0]}/lengths").dtypes if parts else [(self.key, "string")]
+
+    def _last(self) -> DataFrame:
+        """(key, __last): the last change of each document that changes name."""
+        return self._read("lengths").where("__n >= 0").groupBy(self.key).agg(F.max("__n").alias("__last"))
+
+    def _current(self, rows: DataFrame) -> DataFrame:
+        kept = rows.join(self._last(), self.key, "left").where(F.col("__last").isNull() | (F.col("__n") == F.col("__last")))
+        return kept.drop("__n", "__last")
+
+    def postings(self) -> DataFrame:
+        return self._current(self._read("postings"))
+
+    def lengths(self) -> DataFrame:
+        return self._current(self._read("lengths")).where("dl is not null")
+
+    def stats(self) -> DataFrame:
+        return self.lengths().agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_len"))
+
+
+def search_tokens(facts: DataFrame, entities: DataFrame | None = None, tokens: str = "tokens") -> DataFrame:
+    """facts with the tokens that a search looks in: of the relation, the text and, with entities, the names of both ends; rows that have tokens keep them."""
+    said = F.concat_ws(" ", F.regexp_replace("name", "_", " "), "fact")
+    own = facts
+    if entities is not None:
+        names = entities.select(F.col("uuid").alias("__id"), F.col("name").alias("__name"))
+        for end, col in (("__s", SRC), ("__t", TGT)):
+            own = own.join(names.select(F.col("__id").alias(f"{end}i"), F.col("__name").alias(end)), F.col(col) == F.col(f"{end}i"), "left").drop(f"{end}i")
+        said = F.concat_ws(" ", F.regexp_replace("name", "_", " "), "fact", "__s", "__t")
+    held = F.col(tokens) if tokens in facts.columns else F.lit(None).cast("array<string>")
+    plain = F.octet_length(said) == F.length(said)  # in ASCII the built-in rule is the same
+    made = F.when(plain, X.latin_tokens(said)).otherwise(X.tokenize(said))
+    return own.withColumn(tokens, F.coalesce(held, made)).drop("__s", "__t")
+
+
 def _term(term: str):
     return lambda x: F.when(x == term, 1)
 

@@ -323,6 +323,21 @@ def bm25_indexed(g):
     return _index(g).bm25(TERMS).orderBy(F.round("score", 9).desc(), "uuid").limit(50).select(F.col("uuid").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+LIVE_SQL = BM25_SQL.replace(f"tok AS (SELECT doc_id, {WORD_SQL} AS w FROM documents)", f"""tok AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN list_concat(['that', 'was', lower(lang)], {WORD_SQL}) ELSE {WORD_SQL} END AS w FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 2 = 0)""")
+
+
+@query(f"WITH {LIVE_SQL} SELECT doc_id, round(score, 6) AS score FROM bm")
+def index_upkeep(g):
+    """An index of two thirds of the documents, to which the rest is added, a fifth changed, a part deleted and some of that put back, with merges in between."""
+    docs = g.table("documents").select(F.col("doc_id").alias("uuid"), "lang", X.latin_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    changed = F.when(F.col("uuid") % 5 == 0, F.concat(F.array(F.lit("that"), F.lit("was"), F.lower("lang")), F.col("tokens"))).otherwise(F.col("tokens"))
+    after, n = docs.withColumn("tokens", changed), F.col("uuid")
+    index = search.LiveIndex(g.spark, ranking.shared_folder(g.spark, "live"), merge_after=3)
+    index.apply(0, docs.where(n % 3 != 0)).apply(1, docs.where(n % 3 == 0)).apply(2, after.where(n % 5 == 0))
+    index.apply(3, after.where(n % 7 == 0).withColumn("deleted", F.lit(True))).apply(4, after.where((n % 7 == 0) & (n % 2 == 0))).apply(4, docs)
+    return index.bm25(TERMS).select(F.col("uuid").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 6) AS cosine FROM embeddings ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 9) DESC, vec_id LIMIT 50")
 def vector_topk(g):
     e = g.table("embeddings")

@@ -399,3 +399,31 @@ def test_slot_conflicts_against_all_pairs(spark):
         root = moved
     got = {r.uuid: (r.conflicts, r.cluster) for r in graph.slot_conflicts(f).collect()}
     assert got == {a[0]: (sum(meet(a, b) and a[2] != b[2] for b in rows), root[a[0]]) for a in rows}
+
+
+def test_index_after_changes_is_one_built_anew(spark, tmp_path):
+    import random
+
+    rng = random.Random(7)
+    words = ["x", "y", "z", "w"]
+    text = lambda: [rng.choice(words) for _ in range(rng.randrange(6))]
+    held, live = {}, search.LiveIndex(spark, f"file://{tmp_path}/live", merge_after=3)
+    for version in range(5):
+        change = {f"d{rng.randrange(12)}": None if rng.random() < 0.3 else text() for _ in range(5)}
+        held |= change
+        live.apply(version, spark.createDataFrame([(k, v, v is None) for k, v in change.items()], "uuid string, tokens array<string>, deleted boolean"))
+        live.apply(version, spark.createDataFrame([("d0", ["x"] * 9, False)], "uuid string, tokens array<string>, deleted boolean"))  # a repeated version
+        rows = lambda df: sorted((r.uuid, round(r.score, 9)) for r in df.collect())
+        anew = spark.createDataFrame([(k, v) for k, v in held.items() if v is not None], "uuid string, tokens array<string>")
+        if version in (1, 2, 4):
+            assert rows(live.bm25(["x", "y", "x"])) == rows(search.bm25(anew, ["x", "y", "x"])), version
+    assert live._numbers("base=") == [2] and live._parts() == (["base=2"], [3, 4])
+
+
+def test_search_tokens_are_filled_in(spark):
+    rows = [("1", "a", "b", "WORKS_AT", "Ann works", None), ("2", "a", "z", "LIKES", "爱猫", None), ("3", "a", "b", "R", "kept", ["old"])]
+    f = spark.createDataFrame(rows, "uuid string, source_node_uuid string, target_node_uuid string, name string, fact string, tokens array<string>")
+    names = spark.createDataFrame([("a", "Ann Lee"), ("b", "Acme")], "uuid string, name string")
+    got = {r.uuid: r.tokens for r in search.search_tokens(f, names).collect()}
+    assert got == {"1": ["works", "at", "ann", "works", "ann", "lee", "acme"], "2": ["likes", "爱猫", "ann", "lee"], "3": ["old"]}
+    assert {r.uuid: r.tokens for r in search.search_tokens(f.drop("tokens")).collect()}["3"] == ["r", "kept"]
