@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.operators.graph import SRC, TGT, degrees, edges, graph_counts, isolated, label_histogram, primary_label, timeline
+from factloom.operators.graph import SRC, TGT, degrees, edges, entity_card, graph_counts, isolated, label_histogram, primary_label, timeline
 from factloom.operators.temporal import ends_at, revised_later, validity_label, with_names
 
 CARD_EPISODES, LINE_EPISODES, SHORT_ID, GRAPH_EDGES = 50, 3, 8, 500
@@ -70,6 +70,27 @@ def card_episodes(facts: DataFrame, episodes: DataFrame, as_of, limit: int = CAR
     return top.orderBy(F.col("valid_at").desc(), "uuid").limit(limit).crossJoin(F.broadcast(more))
 
 
+@dataclass
+class Card:
+    """An entity with its facts at an instant, in a card's order, and the episodes that they come from."""
+
+    entity: DataFrame  # one row, or none
+    facts: DataFrame  # rows as they are shown, with state, ends_at, revised_later and position
+    episodes: DataFrame  # rows as they are shown, with position and truncated
+
+
+def card(facts: DataFrame, entities: DataFrame, episodes: DataFrame, uuid: str, at, as_of, limit: int = CARD_EPISODES) -> Card:
+    """All that is known of one entity: facts that touch it by state, start and learning, and the newest episodes that these cite."""
+    shown = entity_card(facts, entities, uuid, at, as_of)
+    placed = shown.select("uuid", "state", "position", ends_at(as_of).alias("ends_at"), revised_later(as_of).alias("revised_later"))
+    rows = fact_rows(shown.drop("source_name", "target_name", "state", "position"), entities, "").join(placed, "uuid")
+    cited = card_episodes(shown, episodes, as_of, limit)
+    order = Window.orderBy(F.col("valid_at").desc(), "uuid")  # limit rows at most
+    numbered = cited.select("uuid", F.row_number().over(order).alias("position"), "truncated")
+    notes = episode_rows(cited).join(numbered, "uuid")
+    return Card(entity_rows(entities.where(F.col("uuid") == uuid)), rows, notes)
+
+
 @dataclass
 class GraphView:
     nodes: DataFrame

@@ -677,16 +677,32 @@ def episode_parts(g):
     return views.facts_of_episode(_cited(g), "e:3:0").select("uuid", "part")
 
 
-@query(G("""SELECT uuid, status, row_number() OVER (ORDER BY valid_at DESC, uuid) AS position, n > 50 AS truncated FROM (SELECT *, count(*) OVER () AS n FROM episodes WHERE created_at <= TIMESTAMP '2024-02-01 00:00:00'
-AND uuid IN (SELECT unnest(eps) FROM cited WHERE src = 'ASIA:customer:' || (SELECT min(c_custkey) FROM customer JOIN grp ON c_nationkey = n_nationkey WHERE group_id = 'ASIA') OR group_id = 'EUROPE')) QUALIFY position <= 50""", EPISODES, CITED_SQL))
+SEEN = "2024-02-01 00:00:00"
+
+
+@query(G(f"""SELECT uuid, status, row_number() OVER (ORDER BY valid_at DESC, uuid) AS position, n > 50 AS truncated FROM (SELECT *, count(*) OVER () AS n FROM episodes WHERE created_at <= TIMESTAMP '{SEEN}'
+AND uuid IN (SELECT unnest(eps) FROM cited)) QUALIFY position <= 50""", EPISODES, CITED_SQL))
 def card_episodes(g):
-    first = g.customers.where("group_id = 'ASIA'").agg(F.concat(F.lit("ASIA:customer:"), F.min("c_custkey").cast("string")).alias("first"))
-    facts = _cited(g).crossJoin(F.broadcast(first)).where((F.col(graph.SRC) == F.col("first")) | (F.col("group_id") == "EUROPE"))
-    shown = views.card_episodes(facts, g.episodes, "2024-02-01 00:00:00")
+    """The newest episodes that any order line cites."""
+    shown = views.card_episodes(_cited(g), g.episodes, SEEN)
     w = Window.orderBy(F.col("valid_at").desc(), "uuid")
     return shown.select("uuid", "status", F.row_number().over(w).alias("position"), "truncated")
 
 
+@query(G(f"""SELECT 'fact' AS part, uuid, row_number() OVER (ORDER BY CASE state WHEN 'active' THEN 0 WHEN 'future' THEN 1 WHEN 'ended' THEN 2 ELSE 3 END, valid_at DESC NULLS LAST, created_at DESC, uuid) AS position, state AS label, false AS truncated FROM own
+UNION ALL SELECT 'episode', uuid, row_number() OVER (ORDER BY valid_at DESC, uuid) AS position, coalesce(status, 'processed'), n > 50 FROM (SELECT *, count(*) OVER () AS n FROM episodes WHERE created_at <= TIMESTAMP '{SEEN}' AND uuid IN (SELECT unnest(eps) FROM own)) QUALIFY position <= 50
+UNION ALL SELECT 'entity', uuid, 0, name, false FROM entities WHERE uuid = (SELECT uuid FROM one)""", EPISODES, CITED_SQL, f"""one AS (SELECT min('ASIA:customer:' || c_custkey) AS uuid FROM customer JOIN grp ON c_nationkey = n_nationkey WHERE group_id = 'ASIA'),
+own AS (SELECT *, {state(f"TIMESTAMP '{SEEN}'", f"TIMESTAMP '{SEEN}'")} AS state FROM cited WHERE src = (SELECT uuid FROM one) AND state IS NOT NULL)"""))
+def whole_card(g):
+    """One customer's card: its line, its facts and what these cite."""
+    first = g.customers.where("group_id = 'ASIA'").agg(F.min(F.concat(F.lit("ASIA:customer:"), F.col("c_custkey").cast("string")))).first()[0]
+    card = views.card(_cited(g), g.entities, g.episodes, first, SEEN, SEEN)
+    no = F.lit(False)
+    facts = card.facts.select(F.lit("fact").alias("part"), "uuid", F.col("position").cast("long").alias("position"), F.col("state").alias("label"), no.alias("truncated"))
+    notes = card.episodes.select(F.lit("episode"), "uuid", F.col("position").cast("long"), "status", "truncated")
+    return facts.union(notes).union(card.entity.select(F.lit("entity"), "uuid", F.lit(0).cast("long"), "name", no))
+
+
 DAY_SQL = lambda c: f"strftime({c}, '%Y-%m-%d')"
 
 
@@ -694,9 +710,9 @@ DAY_SQL = lambda c: f"strftime({c}, '%Y-%m-%d')"
 CASE WHEN {RETRACTED} THEN 'retracted' WHEN invalid_at > {AT_SQL} THEN 'since ' || coalesce({DAY_SQL("valid_at")}, '?') || ', until ' || {DAY_SQL("invalid_at")}
 WHEN invalid_at IS NOT NULL THEN 'true ' || coalesce({DAY_SQL("valid_at")}, '?') || ' → ' || {DAY_SQL("invalid_at")} WHEN valid_at > {AT_SQL} THEN 'from ' || {DAY_SQL("valid_at")}
 WHEN valid_at IS NOT NULL THEN 'since ' || {DAY_SQL("valid_at")} ELSE 'still true' END || ' | ep ' || substr(eps2[1], 1, 8) || coalesce(', ' || substr(eps2[2], 1, 8), '') || coalesce(', ' || substr(eps2[3], 1, 8), '') || CASE WHEN len(eps2) > 3 THEN ' +' || (len(eps2) - 3) ELSE '' END AS line
-FROM (SELECT c.*, s.name AS source, t.name AS target, list_concat([a], list_concat(CASE WHEN b <> a THEN [b] ELSE [] END, list_concat(CASE WHEN c NOT IN (a, b) THEN [c] ELSE [] END, CASE WHEN d NOT IN (a, b, c) THEN [d] ELSE [] END))) AS eps2 FROM cited c JOIN entities s ON s.uuid = src JOIN entities t ON t.uuid = tgt WHERE c.group_id = 'ASIA')""", CITED_SQL))
+FROM (SELECT c.*, s.name AS source, t.name AS target, list_concat([a], list_concat(CASE WHEN b <> a THEN [b] ELSE [] END, list_concat(CASE WHEN c NOT IN (a, b) THEN [c] ELSE [] END, CASE WHEN d NOT IN (a, b, c) THEN [d] ELSE [] END))) AS eps2 FROM cited c JOIN entities s ON s.uuid = src JOIN entities t ON t.uuid = tgt)""", CITED_SQL))
 def fact_lines(g):
-    shown = views.fact_rows(_cited(g).where("group_id = 'ASIA'"), g.entities)
+    shown = views.fact_rows(_cited(g), g.entities)
     return shown.select("uuid", views.fact_line(AT).alias("line"))
 
 
@@ -899,8 +915,6 @@ def later_flagged_values(g):
 
 # ---- access
 
-WITHIN = [("ann", "A*"), ("ann", "EUROPE"), ("bob", "AS*"), ("eve", "AMERICA")]
-LIMITS = [("ann", "reader", True), ("bob", None, True), ("eve", "writer", False)]
 PAIRED = 'SELECT g."user", CASE WHEN starts_with(rtrim(g.pattern, \'*\'), rtrim(w.pattern, \'*\')) AND ends_with(w.pattern, \'*\') OR g.pattern = w.pattern THEN g.pattern WHEN ends_with(g.pattern, \'*\') AND starts_with(rtrim(w.pattern, \'*\'), rtrim(g.pattern, \'*\')) THEN w.pattern END AS pattern, role FROM grants g JOIN within_ w ON g."user" = w."user"'
 
 
@@ -908,13 +922,22 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join("NULL" if x is None else str(x).lower() if isinstance(x, bool) else repr(x) for x in r) + ")" for r in rows)
 
 
-@query(f"""WITH grants("user", pattern, role) AS (VALUES {_values(GRANTS)}), within_("user", pattern) AS (VALUES {_values(WITHIN)}), limits("user", cap, narrowed) AS (VALUES {_values(LIMITS)}),
+@query(f"""WITH grants AS (SELECT DISTINCT 'u' || c_custkey % 97 AS "user", CASE c_custkey % 3 WHEN 0 THEN c_mktsegment ELSE substr(c_mktsegment, 1, c_custkey % 5) || '*' END AS pattern, CASE c_custkey % 4 WHEN 0 THEN 'owner' WHEN 1 THEN 'writer' ELSE 'reader' END AS role FROM customer),
+within_ AS (SELECT DISTINCT 'u' || (c_custkey * 7) % 97 AS "user", CASE c_custkey % 2 WHEN 0 THEN c_mktsegment ELSE substr(c_mktsegment, 1, c_custkey % 4) || '*' END AS pattern FROM customer),
+limits AS (SELECT DISTINCT 'u' || c_custkey % 97 AS "user", CASE (c_custkey % 97) % 3 WHEN 0 THEN 'reader' WHEN 1 THEN 'writer' END AS cap, (c_custkey % 97) % 4 <> 0 AS narrowed FROM customer),
 kept AS (SELECT g.* FROM grants g LEFT JOIN limits l USING ("user") WHERE NOT coalesce(narrowed, false) UNION ALL SELECT p.* FROM ({PAIRED}) p JOIN limits l USING ("user") WHERE narrowed AND pattern IS NOT NULL),
 r AS (SELECT "user", pattern, max(least(CASE role WHEN 'owner' THEN 3 WHEN 'writer' THEN 2 ELSE 1 END, CASE cap WHEN 'writer' THEN 2 WHEN 'reader' THEN 1 ELSE 3 END)) AS n FROM kept LEFT JOIN limits USING ("user") GROUP BY ALL)
 SELECT "user", pattern, CASE n WHEN 3 THEN 'owner' WHEN 2 THEN 'writer' ELSE 'reader' END AS role FROM r""")
 def effective_grants(g):
-    frame = g.spark.createDataFrame
-    return access.effective_grants(frame(GRANTS, "user string, pattern string, role string"), frame(LIMITS, "user string, cap string, narrowed boolean"), frame(WITHIN, "user string, pattern string"))
+    """Customers' segments as groups: who is granted which, under tokens that are kept to some of them."""
+    k, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    user = lambda n: F.concat(F.lit("u"), (n % 97).cast("string")).alias("user")
+    begins = lambda n: F.concat(F.substr(segment, F.lit(1), n.cast("int")), F.lit("*"))
+    c = g.table("customer")
+    grants = c.select(user(k), F.when(k % 3 == 0, segment).otherwise(begins(k % 5)).alias("pattern"), F.when(k % 4 == 0, "owner").when(k % 4 == 1, "writer").otherwise("reader").alias("role")).distinct()
+    within = c.select(user(k * 7), F.when(k % 2 == 0, segment).otherwise(begins(k % 4)).alias("pattern")).distinct()
+    limits = c.select(user(k), F.when(k % 97 % 3 == 0, "reader").when(k % 97 % 3 == 1, "writer").alias("cap"), (k % 97 % 4 != 0).alias("narrowed")).distinct()
+    return access.effective_grants(grants, limits, within)
 
 
 REQUESTS = [(1, "ann", "EUROPE", "read", "ASIA"), (2, "ann", "", "write", "ASIA"), (3, "bob", "EUROPE", "write", "ASIA"), (4, "bob", None, "manage", "ASIA"), (5, "eve", "ASIA", "read", ""), (6, "eve", None, "read", "nope"), (7, "bob", "EUROPE", "manage", "")]
