@@ -20,8 +20,11 @@ BROADCAST_RULES = 200_000
 HOST = r"(?s)^.*?://([^/?#]*)"
 PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
 QUERY = r"(?s)^.*?://[^?#]*(\?[^#]*)"
-CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+#: A tag ends before the next one begins, so that a page of unclosed tags is read once, not once a tag.
+CANONICAL = r"(?is)<link\b[^<>]*\brel\s*=\s*[\"']?canonical\b[^<>]*>"
+REFRESH = r"(?is)<meta\b[^<>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^<>]*>"
+#: Numbers of labels among the rules' hosts up to which only suffixes of those numbers are made.
+MOST_LENGTHS = 64
 #: Of a tag, the value in double, in single or without quotes.
 HREF = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\s>]+))"
 TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
@@ -84,13 +87,16 @@ def absolute(href: Column, url: Column) -> Column:
 def _rule_of(named: DataFrame, rules: DataFrame) -> DataFrame:
     """named(key, host, path) with rule and verdict of the longest fitting rule, where one fits.
 
-    The host's suffixes at dots are looked up among the rules' hosts.
+    The host's suffixes at dots are looked up among the rules' hosts, those alone
+    that have as many labels as some rule's host.
     """
     small = rules.count() <= BROADCAST_RULES
     near = F.broadcast(rules) if small else rules
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fits = named.select("key", "path", F.explode(F.array_distinct(suffixes)).alias("rule_host")).join(near, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
+    lengths = [r[0] for r in rules.select(F.size(F.split("rule_host", r"\.")).alias("n")).distinct().orderBy("n").limit(MOST_LENGTHS + 1).collect()]
+    wanted = F.array(*[F.lit(n) for n in lengths]).cast("array<int>") if len(lengths) <= MOST_LENGTHS else F.sequence(F.lit(1), F.col("labels"))
+    cut = named.select("key", "path", "host", F.size(F.split("host", r"\.")).alias("labels"))
+    suffixes = F.transform(F.filter(wanted, lambda n: n <= F.col("labels")), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
+    fits = cut.select("key", "path", F.explode(F.array_distinct(suffixes)).alias("rule_host")).join(near, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
     rule = F.concat("rule_host", "rule_path")
     best = F.max(F.struct(F.length(rule).alias("n"), (F.col("rule_verdict") == "allow").alias("allowed"), rule.alias("rule")))
     return fits.groupBy("key").agg(best.alias("best")).select("key", "best.rule", F.when(F.col("best.allowed"), "allow").otherwise("block").alias("verdict"))

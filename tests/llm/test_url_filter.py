@@ -119,3 +119,19 @@ def test_references_by_the_rules_for_urls(spark, tmp_path):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     assert got == {(r[0], r[1], r[2], r[3], r[4]) for r in duck.execute(f"SELECT page_id, host, path, rule, verdict FROM ({OP8_SQL})").fetchall()}
+
+
+def test_long_hosts_and_unclosed_tags_take_no_time(spark):
+    import time
+
+    hosts = ["a." * 8000 + "example.com", "." * 16000 + "com", "b." * 8000 + "org"]
+    pages = [
+        (1, "http://" + hosts[0] + "/en/x", ""), (2, "http://" + hosts[1] + "/", ""), (3, "http://" + hosts[2] + "/", "<link " * 180_000), (4, "http://c.org/", "<meta http-equiv=refresh " * 40_000),
+        (5, "http://d.org/", "<link " * 50_000 + "<link rel=canonical href='http://x.net/fr/1'>"), (6, "http://e.org/", "<link rel=canonical " + "x " * 400_000), (7, "http://f.org/", "<link " + "rel " * 200_000 + ">"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    judge_urls(df.limit(0)).collect()
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(df).collect()}
+    assert time.time() - began < 60
+    assert got[1] == ("example.com/en/", "block") and got[2] == ("com/", "allow") and got[5] == (None, "block") and got[3] == got[4] == got[6] == got[7] == (None, "allow")
