@@ -345,6 +345,37 @@ def vector_topk(g):
     return e.crossJoin(F.broadcast(q)).select("vec_id", cosine(F.col("embedding"), F.col("q")).alias("c")).orderBy(F.round("c", 9).desc(), "vec_id").limit(50).select("vec_id", F.round("c", 6).alias("cosine"))
 
 
+def _signed(g):
+    from factloom.operators import nearest
+
+    rows = g.table("embeddings").select(F.col("vec_id").alias("uuid"), "embedding")
+    dims = rows.select(F.max(F.size("embedding"))).first()[0] or 1
+    signed = ranking.shared_checkpoint(nearest.with_signature(rows, dims))
+    return signed, signed.where("uuid % 50 = 0").select(F.col("uuid").alias("query"), "embedding", "signature")
+
+
+@query()
+def vector_recall(g):
+    """Every fiftieth vector against all: how many of its 50 nearest the signatures find, and how many cosines that took."""
+    from factloom.operators import nearest
+
+    rows, asked = _signed(g)
+    found = nearest.nearest(rows, asked, 50)
+    exact = nearest.nearest(rows, asked, 50, share=1.0)
+    taken = found.groupBy("query").agg(F.max("taken").alias("cosines"))
+    return nearest.recall(found, exact).join(taken, "query")
+
+
+@query("""SELECT a.vec_id AS query, b.vec_id AS uuid, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS position
+FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY position <= 10""")
+def vectors_nearest(g):
+    """The exact form: a share of all rows."""
+    from factloom.operators import nearest
+
+    rows, asked = _signed(g)
+    return nearest.nearest(rows, asked, 10, share=1.0).select("query", "uuid", F.round("cosine", 6).alias("cosine"), "position")
+
+
 VEC_SQL = "vs AS (SELECT vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) AS cosine FROM embeddings)"
 RANKS_SQL = "kr AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM bm WHERE score > 0), vr AS (SELECT doc_id, row_number() OVER (ORDER BY round(cosine, 9) DESC, doc_id) AS r FROM vs WHERE cosine > 0)"
 

@@ -427,3 +427,21 @@ def test_search_tokens_are_filled_in(spark):
     got = {r.uuid: r.tokens for r in search.search_tokens(f, names).collect()}
     assert got == {"1": ["works", "at", "ann", "works", "ann", "lee", "acme"], "2": ["likes", "爱猫", "ann", "lee"], "3": ["old"]}
     assert {r.uuid: r.tokens for r in search.search_tokens(f.drop("tokens")).collect()}["3"] == ["r", "kept"]
+
+
+def test_nearest_vectors_by_signatures(spark):
+    from factloom.operators import nearest
+    from factloom.plans.queries import QUERIES
+
+    got = QUERIES["vector_recall"](spark, "/root/testdata/sf0.1").collect()
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").count()
+    assert len(got) == rows // 50 and sum(r.met for r in got) >= 0.95 * sum(r.wanted for r in got) and all(r.wanted == 50 for r in got)
+    assert sum(r.cosines for r in got) < 0.5 * rows * len(got)
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0]), (5, [0.0, 0.0]), (6, [1.0, 0.1]), (7, [1.0, 0.0])], "uuid long, embedding array<double>")
+    own = nearest.with_signature(df, 2)
+    asked = own.where("uuid in (1, 3)").withColumnRenamed("uuid", "query")
+    found = [(r.query, r.uuid, r.position) for r in nearest.nearest(own, asked, 3, share=1.0).orderBy("position").collect()]
+    assert found == [(1, 1, 1), (1, 7, 2), (1, 6, 3)] and nearest.nearest(own.limit(0), asked, 3).count() == 0
+    bits = lambda v: [b for w in nearest.signature(v) for b in f"{w % 2**64:064b}"[::-1]]
+    side = (nearest.planes(2).T @ [0.3, -0.7] > 0).astype(int)
+    assert [int(b) for b in bits([0.3, -0.7])] == side.tolist()
