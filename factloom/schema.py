@@ -28,3 +28,10 @@ PAYLOAD = _struct(
     ("invalidations", T.ArrayType(_struct(("source_name", S), ("target_name", S), ("relation", S), ("invalid_at", TS), ("reason", S)))),
 )
 GRANTS = _struct(("user", S), ("pattern", S), ("role", S))
+USERS = _struct(("name", S), ("admin", T.BooleanType()), ("disabled", T.BooleanType()), ("default_group", S), ("created_at", TS))
+GRANT_LOG = _struct(("user", S), ("pattern", S), ("role", S), ("created_at", TS))
+TOKENS = _struct(
+    ("id", S), ("user", S), ("name", S), ("prefix", S), ("secret_hash", S), ("groups", T.ArrayType(S)), ("role", S), ("default_group", S),
+    ("created_at", TS), ("expires_at", TS), ("last_used_at", TS), ("revoked_at", TS),
+)
+SESSIONS = _struct(("sid_hash", S), ("token_id", S), ("created_at", TS), ("expires_at", TS))

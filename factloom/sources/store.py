@@ -88,6 +88,8 @@ class Store:
     them itself and does the work again when another writer was faster.
     """
 
+    tables, parted = TABLES, ("group_id",)
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
@@ -137,7 +139,7 @@ class Store:
         for name, df in rows.items():
             own = df if "deleted" in df.columns else df.withColumn("deleted", F.lit(False))
             own = own.withColumn("seq", F.lit(version).cast("long"))
-            own.write.mode("overwrite").partitionBy("group_id").parquet(f"{self.path}/{name}/v={version}-{attempt}")
+            own.write.mode("overwrite").partitionBy(*self.parted).parquet(f"{self.path}/{name}/v={version}-{attempt}")
         return attempt
 
     def commit(self, version: int, **rows: DataFrame) -> bool:
@@ -167,7 +169,7 @@ class Store:
         """All versions of a table, or those up to one: the state at any commit can be read again."""
         wanted = [v for v in self.versions() if upto is None or v <= upto]
         paths = [p for p in (f"{self.path}/{name}/v={v}-{self._attempt(v)}" for v in wanted) if self._exists(p)]
-        schema = StructType([*TABLES[name], StructField("deleted", BooleanType()), StructField("seq", LongType())])
+        schema = StructType([*self.tables[name], StructField("deleted", BooleanType()), StructField("seq", LongType())])
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*paths).select(*[f.name for f in schema])
