@@ -246,6 +246,14 @@ def verdict(answer: object, shown: Sequence[Fact]) -> tuple[list[Fact], list[Fac
     return pick(answer) if isinstance(answer, (list, tuple)) else [], None
 
 
+def without(places: np.ndarray, others: np.ndarray) -> np.ndarray:
+    return places[~np.isin(places, others)] if len(places) and len(others) else places
+
+
+def among(places: np.ndarray, others: np.ndarray) -> np.ndarray:
+    return places[np.isin(places, others)] if len(places) and len(others) else places[:0]
+
+
 class Note:
     """One note on its way into a group's state."""
 
@@ -445,9 +453,9 @@ class Note:
         if place is None:
             ended, shown, named = self.asked(claim)
             stored = holding[(holding < self.journal.first) & ~same]  # true then, in other words
-            apart = stored[~np.isin(stored, ended)]
-            told = apart[np.isin(apart, shown) & ~np.isin(apart, named)] if named is not None else apart[:0]
-            rest = apart[~np.isin(apart, told)]
+            apart = without(stored, ended)
+            told = without(among(apart, shown), named) if named is not None else apart[:0]
+            rest = without(apart, told)
             if not len(rest):
                 self.record(claim, records, ended, told)
                 return
@@ -504,7 +512,8 @@ class Note:
         others = state.slot(claim.src.uuid, claim.relation).open_to(claim.valid, self.now, newer=not single, other_than=target)
         own = state.statement(claim.src.uuid, claim.relation, target).open_to(claim.valid, self.now)
         again = own[self.alike(claim, own)]
-        shown = np.union1d(pair[~np.isin(pair, again)], others)
+        pair = without(pair, again)
+        shown = np.union1d(pair, others) if len(pair) and len(others) else pair if len(pair) else others
         shown = shown[shown < self.journal.first]
         if not len(shown):
             return none, none, None
