@@ -30,18 +30,17 @@ def facts_between(facts: DataFrame, a: str, b: str, at, as_of) -> DataFrame:
 
 
 def touching(facts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Facts with either end among ids(uuid), each once."""
-    own = ids.select(F.col("uuid").alias("__id")).distinct()
-    by_src = facts.join(own, F.col(SRC) == F.col("__id"), "left_semi")
-    by_tgt = facts.join(own, F.col(TGT) == F.col("__id"), "left_semi").join(own, F.col(SRC) == F.col("__id"), "left_anti")
-    return by_src.unionByName(by_tgt)
+    """Facts with either end among ids(uuid), each once; facts are read once."""
+    own = ids.where("uuid is not null").select(F.col("uuid").alias("__s"), F.col("uuid").alias("__t")).distinct()
+    met = facts.join(own.select("__s"), F.col(SRC) == F.col("__s"), "left").join(own.select("__t"), F.col(TGT) == F.col("__t"), "left")
+    return met.where("__s is not null or __t is not null").drop("__s", "__t")
 
 
 def neighbours(facts: DataFrame, anchors: DataFrame) -> DataFrame:
     """Distinct ids one fact away from anchors(uuid), anchors left out."""
     own = anchors.select(F.col("uuid").alias("__id")).distinct()
-    both = facts.select(F.col(SRC).alias("a"), F.col(TGT).alias("b"))
-    both = both.union(both.select("b", "a"))
+    ends = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = facts.select(F.inline(F.array(ends(SRC, TGT), ends(TGT, SRC))))
     return both.join(own, F.col("a") == F.col("__id"), "left_semi").join(own, F.col("b") == F.col("__id"), "left_anti").select(F.col("b").alias("uuid")).distinct()
 
 
