@@ -445,3 +445,21 @@ def test_nearest_vectors_by_signatures(spark):
     bits = lambda v: [b for w in nearest.signature(v) for b in f"{w % 2**64:064b}"[::-1]]
     side = (nearest.planes(2).T @ [0.3, -0.7] > 0).astype(int)
     assert [int(b) for b in bits([0.3, -0.7])] == side.tolist()
+
+
+def test_nearest_vectors_meet_in_blocks(spark):
+    import numpy as np
+
+    from factloom.operators import nearest
+
+    drawn = np.random.default_rng(3).normal(size=(90, 8)).round(1)
+    drawn[40:70] = drawn[0]  # a large group of copies
+    own = nearest.with_signature(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(drawn)], "uuid long, embedding array<double>"), 8).cache()
+    asked = own.where("uuid % 10 = 0").withColumnRenamed("uuid", "query")
+    units = drawn / np.linalg.norm(drawn, axis=1, keepdims=True)
+    cosines = np.round(units @ units.T, 9)
+    want = {(q, int(u), p) for q in range(0, 90, 10) for p, u in enumerate(np.lexsort((np.arange(90), -cosines[q]))[:7], 1)}
+    whole = nearest.nearest(own, asked, 7, share=1.0, in_rows=13, in_queries=4).collect()
+    assert {(r.query, r.uuid, r.position) for r in whole} == want and {r.taken for r in whole} == {90}
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    assert plain(nearest.nearest(own, asked, 7, in_rows=13, in_queries=4)) == plain(nearest.nearest(own, asked, 7))
