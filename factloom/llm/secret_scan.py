@@ -8,6 +8,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import accumulate
 
 import pyarrow as pa
@@ -35,8 +36,11 @@ NOT_HINT = bytes(c for c in range(256) if not (c < 128 and chr(c).isalnum()))
 LEAST_SCORE = 5
 #: A strong literal: so long, of both cases and digits, so much entropy, and so large a share of neighbours of different classes; no path or address.
 STRONG_LENGTH, STRONG_ENTROPY, STRONG_CHANGES = 16, 3.5, 0.4
-#: Characters up to which a value that is put together from names is known; beyond, only the literals in the expression itself count, and the name holds nothing.
+#: Characters up to which a value that is put together from names is kept as text; a longer one is kept as what its score needs (Made).
 MOST_VALUE = 1024
+#: Characters at the beginning of a longer value that are kept, more than any placeholder or kind of place is told by.
+HEAD = 32
+SCHEME = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 PLACE = re.compile(r"[./~]|[A-Za-z][A-Za-z0-9+.-]*:|.*://")
 CLASSES = ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|0+|your[-_ ].*|change[-_]?me|example.*|placeholder|dummy|test|none|null|true|false|undefined|todo|redacted|\$\{.*|\{\{.*|<.*>|%\(.*|env\b.*|os\.environ.*)$")
@@ -78,23 +82,79 @@ def may_score(text: str) -> bool:
     return any(w in flat for w in HINT_WORDS)
 
 
-def literal_score(value: str, quoted: bool) -> int:
+def _kind(c: str) -> int:
+    return next(i for i, p in enumerate(CLASSES) if re.match(p, c))
+
+
+class Made:
+    """A value too long for text, as names double each other: exactly what its score needs, in the space of its alphabet."""
+
+    def __init__(self, parts: list[str | Made]):
+        self.length = self.changes = 0  # changes: neighbours of different classes
+        self.counts: Counter[str] = Counter()
+        self.head = self.tail = ""
+        self.url, self.odd = False, None  # whether :// is in it, and its first character that no scheme has
+        for part in parts:
+            if part if isinstance(part, str) else part.length:
+                self._add(part)
+
+    def _add(self, part: str | Made) -> None:
+        text = isinstance(part, str)
+        head, tail = (part[:HEAD], part[-2:]) if text else (part.head, part.tail)
+        self.changes += self.length > 0 and _kind(self.tail[-1]) != _kind(head[0])
+        self.url = self.url or "://" in (part if text else head) or not text and part.url or "://" in self.tail + head[:2]
+        if self.odd is None:
+            self.odd = next((c for c in part if c not in SCHEME), None) if text else part.odd
+        if text:
+            kinds = [_kind(c) for c in part]
+            self.changes += sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+        else:
+            self.changes += part.changes
+        self.length += len(part) if text else part.length
+        self.counts.update(part if text else part.counts)
+        self.head, self.tail = (self.head + head)[:HEAD], (self.tail + tail)[-2:]
+
+    def shown(self) -> str:
+        """A text that is a placeholder, has white space and has the classes of characters as the value does."""
+        return self.head + "".join(self.counts) + self.tail
+
+    def is_place(self) -> bool:
+        return self.head[0] in "./~" or self.url or self.head[0].isascii() and self.head[0].isalpha() and self.odd == ":"
+
+
+def literal_score(value: str | Made, quoted: bool) -> int:
     """0 to 3: length, mixed classes and entropy; 4 for a strong literal, which is a secret under any sensitive name; -9 for what is no secret by its shape."""
-    if len(value) < 6 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    text = isinstance(value, str)
+    shown, counts, length = (value, Counter(value), len(value)) if text else (value.shown(), value.counts, value.length)
+    if length < 6 or PLACEHOLDER.match(shown) or any(c.isspace() for c in shown):
         return -9
-    present = [bool(re.search(p, value)) for p in CLASSES]
+    present = [bool(re.search(p, shown)) for p in CLASSES]
     classes = sum(present)
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    if not quoted and (classes < 2 or not re.search("[0-9]", value)):
+    entropy = -sum(share * math.log2(share) for n in counts.values() if (share := n / length))
+    if not quoted and (classes < 2 or not re.search("[0-9]", shown)):
         return -9
-    score = (len(value) >= 8) + (classes >= 2) + (entropy >= 2.5)
-    if score == 3 and all(present[:3]) and len(value) >= STRONG_LENGTH and entropy >= STRONG_ENTROPY and not PLACE.match(value):
-        kinds = [next(i for i, p in enumerate(CLASSES) if re.match(p, c)) for c in value]
-        score += sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) >= STRONG_CHANGES * (len(value) - 1)
+    score = (length >= 8) + (classes >= 2) + (entropy >= 2.5)
+    if score == 3 and all(present[:3]) and length >= STRONG_LENGTH and entropy >= STRONG_ENTROPY and not (PLACE.match(value) if text else value.is_place()):
+        if text:
+            kinds = [_kind(c) for c in value]
+            score += sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) >= STRONG_CHANGES * (length - 1)
+        else:
+            score += value.changes >= Fraction(str(STRONG_CHANGES)) * (length - 1)
     return score
 
 
+def _literals(spans: list, told: dict[int, list]) -> Iterator[tuple[int, int]]:
+    """The spans of a value and of the names it is made of; what a name holds is given once, and is noted in told."""
+    todo = [spans]
+    while todo:
+        for span in todo.pop():
+            if not isinstance(span, list):
+                yield span
+            elif id(span) not in told:
+                told[id(span)] = span
+                todo.append(span)
+
+
 class _Lexed:
     """Statements `name op expression` of a text, read token by token."""
 
@@ -103,8 +163,8 @@ class _Lexed:
         inner = {"q": "string", "body": "string", "lq": "long", "lines": "long", "tag": "element", "inner": "element", "option": "gap"}
         self.tokens = [(inner.get(m.lastgroup, m.lastgroup), m) for m in SCAN.finditer(text)]
         self.seen = self.tried = 0  # tokens up to which lists have been read, and rows of names been tried as targets
-        #: What a name holds: its value, and the spans of the literals that it is made of, each once.
-        self.constants: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
+        #: What a name holds: its value, and the spans of its literals; a list among them is what another name held.
+        self.constants: dict[str, tuple[str | Made, list]] = {}
 
     def _next(self, i: int, newlines: bool = False) -> int:
         """The next token that means something, or one that ends the statement."""
@@ -115,8 +175,8 @@ class _Lexed:
     def _op(self, i: int) -> str:
         return self.tokens[i][1][0] if i < len(self.tokens) and self.tokens[i][0] == "op" else ""
 
-    def pairs(self) -> Iterator[tuple[str, str, list[tuple[int, int]], bool]]:
-        """(target name, value, spans of the literals it is made of, quoted)."""
+    def pairs(self) -> Iterator[tuple[str, str | Made, list, bool]]:
+        """(target name, value, spans of the literals it is made of, quoted); see _literals() for the spans."""
         i = 0
         while i < len(self.tokens):
             kind, m = self.tokens[i]
@@ -153,10 +213,10 @@ class _Lexed:
             first = self._next(j + 1)
             if self._op(first) in ("[", "{") and first >= self.seen and name_score(name):
                 yield from self._listed(name, first)  # what stands inside is read again, for its own names
-            value, spans, quoted, known, end = self._expression(first)
+            value, spans, quoted, end = self._expression(first)
             if spans:
                 if kind == "name" or self._op(j) != "=":
-                    self.constants[name] = (value, tuple(spans)) if quoted and known else ("", ())
+                    self.constants[name] = (value, spans) if quoted else ("", [])
                 yield name, value, spans, quoted
             i = max(end, i + 1)
 
@@ -171,10 +231,10 @@ class _Lexed:
         j = self._next(i + 1)
         if j >= len(self.tokens) or self.tokens[j][0] != "name" or j + 1 >= len(self.tokens) or self.tokens[j + 1][0] != "gap":
             return max(j, i + 1)
-        value, spans, quoted, known, end = self._expression(self._next(j + 1))
+        value, spans, quoted, end = self._expression(self._next(j + 1))
         if spans:
             name = self.tokens[j][1][0]
-            self.constants[name] = (value, tuple(spans)) if quoted and known else ("", ())
+            self.constants[name] = (value, spans) if quoted else ("", [])
             yield name, value, spans, quoted
         return max(end, j + 1)
 
@@ -193,9 +253,9 @@ class _Lexed:
         for k, name in enumerate(names):
             if k and self._op(j) != ",":
                 break
-            value, spans, quoted, known, j = self._expression(self._next(j + 1))
+            value, spans, quoted, j = self._expression(self._next(j + 1))
             if spans:
-                self.constants[name] = (value, tuple(spans)) if quoted and known else ("", ())
+                self.constants[name] = (value, spans) if quoted else ("", [])
                 yield name, value, spans, quoted
         return j
 
@@ -230,16 +290,16 @@ class _Lexed:
             j += 1
         return "".join(self.text[a:b] for a, b in spans), spans, j
 
-    def _expression(self, i: int) -> tuple[str, list[tuple[int, int]], bool, bool, int]:
-        """Strings and constants joined by + or side by side, or one bare word: (value, spans, quoted, known, end).
+    def _expression(self, i: int) -> tuple[str | Made, list, bool, int]:
+        """Strings and constants joined by + or side by side, or one bare word: (value, spans, quoted, end).
 
         Names hold their values, so that one is as long as it is, however often the
         names double each other; a value that names make longer than MOST_VALUE is
-        not known. Each token is read once, and what a name adds is bounded.
+        one of Made, and the spans of a name are shared, not copied. Each token is
+        read once, and what a name adds is bounded by its alphabet.
         """
-        own: list[tuple[int, int]] = []  # literals of the expression itself
-        values: list[str] = []
-        spans: dict[tuple[int, int], None] = {}
+        values: list[str | Made] = []
+        spans: list = []
         first, quoted, depth, length, named = i, False, 0, 0, False
         while i < len(self.tokens):
             kind, m = self.tokens[i]
@@ -252,29 +312,24 @@ class _Lexed:
             elif kind in ("string", "long"):
                 quoted = True
                 parts = [m.span("body")] if kind == "string" else self._strip(*m.span("lines"))
-                own += parts
-                spans.update(dict.fromkeys(parts))
+                spans += parts
                 values += ["".join(x.strip() for x in self.text[a:b].split("\n")) if kind == "long" else m["body"] for a, b in parts]
                 length += sum(b - a for a, b in parts)
                 i = self._next(i + 1, newlines=depth > 0)
-            elif kind == "name" and self.constants.get(m[0], ("", ()))[1]:
+            elif kind == "name" and self.constants.get(m[0], ("", []))[1]:
                 quoted = named = True
                 value, parts = self.constants[m[0]]
-                length += len(value)
-                if length <= MOST_VALUE:
-                    values.append(value)
-                    spans.update(dict.fromkeys(parts))
+                length += len(value) if isinstance(value, str) else value.length
+                values.append(value)
+                spans.append(parts)
                 i = self._next(i + 1, newlines=depth > 0)
-            elif kind == "op" and m[0] == "+" and (own or named):
+            elif kind == "op" and m[0] == "+" and spans:
                 i = self._next(i + 1, newlines=True)
                 continue
             else:
                 break
             if self._op(i) not in ("+", ")") and not (i < len(self.tokens) and self.tokens[i][0] in ("string", "long")) and not (depth and i < len(self.tokens)):
                 break
-        known = not named or length <= MOST_VALUE
-        if not known:
-            return "".join(self.text[a:b] for a, b in own), own, quoted, False, i
         if not spans and first < len(self.tokens) and self.tokens[first][0] in ("name", "bare"):
             a = b = self.tokens[first][1].start()
             i = first
@@ -282,9 +337,9 @@ class _Lexed:
                 b = self.tokens[i][1].end()
                 i += 1
             if i < len(self.tokens) and self._op(i) == "(":
-                return "", [], False, True, i  # a call, not a literal
-            return self.text[a:b], [(a, b)], False, True, i
-        return "".join(values), list(spans), quoted, True, i
+                return "", [], False, i  # a call, not a literal
+            return self.text[a:b], [(a, b)], False, i
+        return Made(values) if named and length > MOST_VALUE else "".join(values), spans, quoted, i
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
@@ -309,10 +364,11 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     if any(c in text for c in "=:<#") and may_score(text):
         base, added = sorted((a, b) for _, a, b in spans), set()
         begins, reach = [a for a, _ in base], [0, *accumulate((b for _, b in base), max)]  # reach[k]: how far the first k base spans go
-        for name, value, literals, quoted in _Lexed(text).pairs():
+        told: dict[int, list] = {}
+        for name, value, spans_, quoted in _Lexed(text).pairs():
             weight = name_score(name)
             if weight and weight + literal_score(value, quoted) >= LEAST_SCORE:
-                added |= {("literal", a, b) for a, b in literals if b > a and reach[bisect_right(begins, a)] < b}
+                added |= {("literal", a, b) for a, b in _literals(spans_, told) if b > a and reach[bisect_right(begins, a)] < b}
         spans += added
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -146,3 +147,22 @@ def test_hostile_syntax_takes_linear_time(text):
     began = time.process_time()
     find_secrets(text)
     assert time.process_time() - began < 8
+
+
+def test_values_of_names_are_judged_whole_however_long():
+    from factloom.llm.secret_scan import Made, literal_score
+
+    long = "\n".join(["a = 'Zx9kQ21pLm4T'", *["a = a + a"] * 10, "password = a", "salt = a + 'w7'", "b = 'xxxx'", *["b = b + b"] * 10, "token = b", "c = 'k1' + 'kk'", *["c = c + c"] * 5000, "secret = c"])
+    found = [long[a:b] for k, a, b in find_secrets(long) if k == "literal"]
+    assert found == ["Zx9kQ21pLm4T", "w7", "k1", "kk"]  # 12,288 characters; b is a placeholder, c is of 2 ** 5003 characters
+    chain = "\n".join(["x0 = 'Zx9kQ21p'", *[f"x{k} = x{k - 1} + 'q{k}'" for k in range(1, 3000)], "password = x2999"])
+    assert len(find_secrets(chain)) == 3000
+    parts = ["ab", "9", "Z", ":", "/", "//", "://", "<", ">", "x", "X", "...", "~", "é", " ", "your-", "Example", "${", "env", "%(", "K7", "0", "q1W2", "http", "-"]
+    drawn = random.Random(7)
+    for _ in range(4000):
+        some = [drawn.choice(parts) * drawn.choice((1, 1, 40)) for _ in range(drawn.randint(1, 6))]
+        whole = "".join(some) + drawn.choice(["", "q7Rt2Lm9Xz4Kb8Wd3F" * 3])
+        if len(whole) > 40:
+            cut = drawn.randint(0, len(whole))
+            made = Made([whole[:cut], Made([whole[cut:]])])
+            assert [literal_score(made, q) for q in (True, False)] == [literal_score(whole, q) for q in (True, False)], whole
