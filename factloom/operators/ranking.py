@@ -40,6 +40,13 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and written to the shared folder as Parquet, whose columns are read apart."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def global_rank(df: DataFrame, order: list, out: str = "rank") -> DataFrame:
     """Adds out: 1, 2, 3, ... in the order given, which must break all ties.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.graph import SRC, TGT, degrees, edges, entity_card, graph_counts, isolated, label_histogram, primary_label, timeline
+from factloom.operators.ranking import shared_checkpoint, shared_table
 from factloom.operators.temporal import ends_at, revised_later, validity_label, with_names
 
 CARD_EPISODES, LINE_EPISODES, SHORT_ID, GRAPH_EDGES = 50, 3, 8, 500
@@ -106,24 +107,29 @@ def graph_view(facts: DataFrame, entities: DataFrame, at, as_of, history: bool =
 
     Entities without a shown edge fill what limit leaves of the nodes, the latest
     learned first. counts says whether anything was cut off. The shown edges are
-    at most limit rows, so their ends are broadcast.
+    at most limit rows, so their ends are broadcast. Entities, and the ids of
+    drawable edges, are read by several of the results: they are written once.
     """
+    entities = shared_table(entities, "entities")
     every = graph_edges(facts, entities, at, as_of, history)
-    shown = every.orderBy((F.col("state") == "active").desc(), F.col("created_at").desc(), "uuid").limit(limit)
-    degree = degrees(shown)
-    joined = entities.join(F.broadcast(degree), "uuid")
+    first = [(F.col("state") == "active").desc(), F.col("created_at").desc(), "uuid"]
+    drawn = shared_table(every.select("uuid", "group_id", SRC, TGT, "state", "created_at"), "edges")
+    placed = shared_checkpoint(drawn.orderBy(*first).limit(limit))
+    degree = F.broadcast(shared_checkpoint(degrees(placed)))
+    joined = entities.join(degree, "uuid")
     alone = isolated(entities, degree, as_of, limit) if with_isolated else entities.limit(0)
     nodes = joined.unionByName(alone.withColumn("degree", F.lit(0).cast("long")).select(*joined.columns))
     nodes = nodes.select("uuid", "name", "labels", "summary", "created_at", primary_label(F.col("labels")).alias("label"), "degree")
-    drawable = every.groupBy("group_id").agg(F.count(F.lit(1)).alias("drawable"))
+    drawable = drawn.groupBy("group_id").agg(F.count(F.lit(1)).alias("drawable"))
     lonely = isolated(entities, degree, as_of).groupBy("group_id").agg(F.count(F.lit(1)).alias("lonely"))
     room = F.greatest(F.lit(limit) - F.col("nodes"), F.lit(0))
-    counts = graph_counts(facts, entities, shown).join(drawable, "group_id", "left").join(lonely, "group_id", "left").fillna(0, ["drawable", "lonely"])
+    counts = graph_counts(facts, entities, placed).join(drawable, "group_id", "left").join(lonely, "group_id", "left").fillna(0, ["drawable", "lonely"])
     cut = F.col("drawable") > F.col("edges")
     if with_isolated:
         filled = F.least("lonely", room)
         counts = counts.withColumn("truncated", cut | (F.col("lonely") > filled)).withColumn("nodes", F.col("nodes") + filled)
     else:
         counts = counts.withColumn("truncated", cut)
+    shown = every.orderBy(*first).limit(limit)
     return GraphView(nodes, shown, label_histogram(entities), timeline(facts, "valid_at", "invalid_at"), timeline(facts, "created_at", "expired_at"), counts.drop("drawable", "lonely"))
 
