@@ -10,7 +10,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 
-from factloom.llm.common import holds
+from factloom.llm.common import give_back, holds
 
 OTHER, LETTER, MARK, NEWLINE, SPACE = range(5)
 #: The class of every byte. Letters beyond ASCII are two bytes and found by _classes(); the apostrophe, with which contractions begin, is no mark.
@@ -20,6 +20,8 @@ _CLASS[[c for c in range(128) if chr(c).isalpha()]] = LETTER
 _CLASS[ord("\n")], _CLASS[ord(" ")] = NEWLINE, SPACE
 #: At so many parts or ids the memory keeps only those that came up again; forgetting costs only time. Longer parts are not kept.
 MOST_PARTS, MOST_IDS, LONGEST_KEPT = 500_000, 4_000_000, 64
+#: Bytes of texts that are cut at once, one text at least: the masks and places of a cut take some 15 times as many.
+BYTES_AT_ONCE = 1 << 20
 #: Words that are handed to the library as one text.
 WORDS_AT_ONCE = 1000
 _WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
@@ -90,10 +92,22 @@ class Encoder:
         return self.encode_batch(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ends): the ids of all texts in a row, and where the ids of each of them end."""
+        """(ids, ends): the ids of all texts in a row, and where the ids of each of them end. A few texts are cut at a time, see BYTES_AT_ONCE."""
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        size = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+        ids, ends, first, total = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], 0, 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(size, size[first] + BYTES_AT_ONCE, side="right")) - 1)
+            some, at = self._encode_some(texts.slice(first, last - first))
+            ids.append(some)
+            ends.append(at + total)
+            first, total = last, total + len(some)
+        return np.concatenate(ids), np.concatenate(ends)
+
+    def _encode_some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """encode_batch() of texts that are cut at once."""
         if len(self.known) >= MOST_PARTS or self.used >= MOST_IDS:
             self._shrink()
-        texts = texts.cast(pa.large_binary()).fill_null(b"")
         size = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
         raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[size[0] : size[-1]]
         bounds = size - size[0]
@@ -210,7 +224,9 @@ def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray
 def _load(name: str) -> Encoder:
     import public_tokenizers
 
-    return Encoder(public_tokenizers.path(name))
+    made = Encoder(public_tokenizers.path(name))
+    give_back()  # reading the vocabulary takes twice what it leaves
+    return made
 
 
 def encoder(name: str) -> Encoder:

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -79,3 +80,19 @@ def test_nulls_repeats_clashing_columns_and_no_rows(spark):
     twice = pack(df.union(df).union(spark.createDataFrame([(None, "q", "q")], df.schema))).toPandas()
     assert twice.length.sum() == 2 * pack(df).toPandas().length.sum() + 2
     assert pack(df.limit(0)).count() == 0
+
+
+def test_texts_are_cut_a_few_at_a_time(monkeypatch):
+    """A batch's masks and places are those of a few texts, whatever its size; ids and ends are the same."""
+    texts = TEXTS * 3 + [None, "a long text " * 50, ""]
+    e = encoder("byte_bpe_50k.json")
+    want = [e.whole(t or "") for t in texts]
+    cut, sizes = e._cut, []
+    monkeypatch.setattr(e, "_cut", lambda raw, bounds: (sizes.append((len(raw), len(bounds) - 1)), cut(raw, bounds))[1])
+    monkeypatch.setattr("factloom.llm.tokens.BYTES_AT_ONCE", 100)
+    for some in (pa.array(texts, pa.string()), pa.array(["x", *texts], pa.string()).slice(1)):
+        sizes.clear()
+        ids, ends = e.encode_batch(some)
+        assert np.concatenate([[0], ends]).tolist() == np.cumsum([0, *(len(w) // 4 for w in want)]).tolist()
+        assert ids.astype("<u4").tobytes() == b"".join(want)
+        assert len(sizes) > 5 and all(size <= 100 or rows == 1 for size, rows in sizes)
