@@ -21,6 +21,8 @@ BANDS, ROWS = 32, 4
 UNIVERSE_BITS = 20
 #: Rounds in which buckets are held against one member before the rest is paired.
 STAR_ROUNDS = 2
+#: Nodes (five numbers each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_NODES = 200_000
 #: Pairs of one node that are confirmed by one part; more make more parts.
 PAIRS_A_PART = 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -156,6 +158,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     that its pairs are dealt over, not once a pair; b's set travels with the pair.
     """
     spark = pairs.sparkSession
+    # Only sets that a pair names are sent.
+    sets = join_keys(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_PART).cast("int").alias("parts"))
     owners = parts.join(sets, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "hashes")
     many = materialise(parts.where("parts > 1"), "parts")
@@ -187,19 +191,20 @@ def _cross_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     need = lambda x, y: F.ceil(F.lit(percent) * (x + y) / F.lit(whole))
     most = F.floor(F.col("s") * whole / percent) - F.col("n")
     nodes = left.groupBy("node").agg(F.first("comp").alias("comp"), F.first("n").alias("n"))
-    rows = materialise(nodes.join(sets, "node").select("node", "comp", "n", F.explode("hashes").alias("token")), "tokens")
+    rows = materialise(_beside(sets, nodes).select("node", "comp", "n", F.explode("hashes").alias("token")), "tokens")
     keys = left.select("key", "node")
     tables = [rows]
     for _ in range(2):
-        common = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        shared = materialise(rows.join(common, "token", "left_semi"), "shared")
+        of_same = Window.partitionBy("token")  # one shuffle, where a join with the counted tokens takes two
+        ends = rows.withColumn("lo", F.min("comp").over(of_same)).withColumn("hi", F.max("comp").over(of_same))
+        shared = materialise(ends.where("lo <> hi").drop("lo", "hi"), "shared")
         counted = shared.groupBy("node").agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n")).withColumn("most", most)
         counted = materialise(counted, "counted")
         # The least partner: of the sizes in a bucket, only those of nodes that can be the smaller one of a pair count, or the node's own as the smaller.
         smaller = keys.join(counted.where("most >= n"), "node").groupBy("key").agg(F.min("n").alias("least"))
         least = keys.join(smaller, "key").groupBy("node").agg(F.min("least").alias("least"))
         alive = counted.join(least, "node").withColumn("least", F.greatest("least", F.ceil(F.lit(percent) * F.col("n") / 100))).where(F.col("s") >= need(F.col("n"), F.col("least")))
-        last = materialise(shared.select("node", "comp", "token").join(alive, "node"), "tokens")  # with s, n, most, least
+        last = materialise(_beside(shared.select("node", "comp", "token"), materialise(alive, "alive")), "tokens")  # with s, n, most, least
         discard(left.sparkSession, shared)
         rows = last.select("node", "comp", "n", "token")
         tables.append(last)
@@ -222,19 +227,23 @@ def _cross_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met
 
 
+def _beside(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows joined with nodes, which has each node once: few nodes, which are counted, are broadcast, so that rows stay where they are."""
+    return rows.join(F.broadcast(nodes) if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else nodes, "node")
+
+
 def _grouped(own: DataFrame, size: int, percent: int, bands: int, rows: int) -> DataFrame:
     """own(rid, doc_id, text) as (rid, doc_id, n_shingles, component_id)."""
     bound_batches(own.sparkSession)
     signed = materialise(own.mapInArrow(_sign(size, bands, rows), "rid long, doc_id long, n_shingles long, digest binary, keys array<long>, hashes array<long>"), "signatures")
     named = signed.where("doc_id is not null and digest is not null")
     firsts = materialise(named.groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "sets")
-    lone = signed.select(F.col("rid").alias("node"), F.col("n_shingles").alias("n"), "keys").join(firsts.select("node"), "node", "left_semi")
-    buckets = materialise(lone.select("node", "n", F.explode("keys").alias("key")), "buckets")
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    found = materialise(buckets.join(shared, "key"), "shared")  # node, n, key, members
+    lone = join_keys(signed.select(F.col("rid").alias("node"), F.col("n_shingles").alias("n"), "keys"), firsts, "node", "left_semi")
+    buckets = lone.select("node", "n", F.explode("keys").alias("key"))
+    counted = buckets.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key")))  # one shuffle of the buckets
+    found = materialise(counted.where("members > 1"), "shared")  # node, n, key, members
     reach = found.groupBy("node").agg(F.sum("members").alias("reach"))
     members = materialise(found.drop("members").join(reach, "node"), "members")
-    discard(own.sparkSession, buckets)
     discard(own.sparkSession, found)
     # The sets of all nodes that share a bucket, once.
     sets = materialise(join_keys(signed.select(F.col("rid").alias("node"), "hashes"), members.select("node").distinct(), "node", "left_semi"), "members-sets")
@@ -250,11 +259,13 @@ def _grouped(own: DataFrame, size: int, percent: int, bands: int, rows: int) ->
         left = materialise(grouped.join(open_keys, "key", "left_semi"), "open")
         if turn < STAR_ROUNDS:
             # A later round takes the member with most reach outside the earlier centre's component.
-            centre = left.groupBy("key").agg(F.max(F.struct("reach", "node", "comp")).alias("c"))
+            centre = left.groupBy("key").agg(F.max(F.struct("reach", "node", "comp", "n")).alias("c"))
             if turn:
                 rest = left.join(centre.select("key", F.col("c.comp").alias("done")), "key").where("comp <> done")
-                centre = rest.groupBy("key").agg(F.max(F.struct("reach", "node", "comp")).alias("c"))
-            pairs = left.join(centre, "key").where("comp <> c.comp").select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+                centre = rest.groupBy("key").agg(F.max(F.struct("reach", "node", "comp", "n")).alias("c"))
+            # An intersection is no larger than the smaller set, a union no smaller than the larger one.
+            near = F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent
+            pairs = left.join(centre, "key").where(F.expr("comp <> c.comp") & near).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
         else:
             pairs = _cross_pairs(left, sets, percent)
         if tried is not None:

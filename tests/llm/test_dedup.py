@@ -160,3 +160,21 @@ def test_filters_merge_in_order_and_look_up():
     held = whole.fingerprints()
     assert (np.diff(held.astype(object)) > 0).all() and len(held) == len(np.unique(prints))
     assert [whole.count(int(p)) for p in (*prints[:5], *prints[-5:], 12345)] == [2] * 5 + [1] * 5 + [0]
+
+
+def test_near_duplicates_compare_only_sets_whose_sizes_allow_a_link(spark, monkeypatch):
+    """Pairs of sizes that cannot be linked are not sent; here by the forms for more rows than are broadcast."""
+    from factloom.llm import common, near_dedup
+
+    words = [f"w{i}" for i in range(300)]
+    rows = [(10 * k + j, " ".join(words[40 * k : 40 * k + int(40 * 1.6**j)])) for k in range(2) for j in range(4)]  # each begins as the longer ones do
+    rows += [(100 + k, " ".join(words[40 * k : 40 * k + 40] + ["end"])) for k in range(2)]  # near copies of the shortest ones
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    size = [len(t.split()) - 4 for _, t in rows]
+    sent, confirmed = [], near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, sets, percent: (sent.extend((r.a, r.b) for r in pairs.collect()), confirmed(pairs, sets, percent))[1])
+    monkeypatch.setattr(near_dedup, "BROADCAST_NODES", 0)
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    found = near_dedup.near_duplicates(docs, bands=64, rows=1).collect()
+    assert sent and all(100 * min(size[a], size[b]) >= 75 * max(size[a], size[b]) for a, b in sent)
+    assert {r.doc_id: r.component_id for r in found} == {i: i if i < 100 else 10 * (i - 100) for i, _ in rows}
