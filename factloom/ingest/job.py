@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -16,6 +17,10 @@ from factloom.ingest.fold import Embed, Entity, Episode, Fact, Judge, Outcome, S
 from factloom.ingest.reading import Known, Reader
 from factloom.operators.ranking import shared_folder
 
+#: Rows that a task hands over at once.
+ROWS_AT_ONCE = 2000
+#: Texts whose vectors by the built-in embedder are kept; forgetting them only costs time.
+KEPT_VECTORS = 50_000
 CHANGES = "kind string, group_id string, uuid string, row string, status string"
 
 
@@ -53,16 +58,20 @@ def fact_of(raw: str) -> Fact:
     return Fact(r["uuid"], r["source_node_uuid"], r["target_node_uuid"], r["name"], r["fact"], r.get("episodes") or [], *times, json.loads(r.get("attributes") or "{}"), r.get("fact_embedding"))
 
 
+def read_row(state: State, kind: str, raw: str) -> None:
+    if kind == "entity":
+        e = entity_of(raw)
+        state.entities[e.name.lower()] = e
+    elif kind == "fact":
+        state.add(fact_of(raw))
+    elif kind == "key":
+        state.keys.add(json.loads(raw)["key"])
+
+
 def read_state(rows: pd.DataFrame) -> State:
     state = State()
     for kind, raw in zip(rows["kind"], rows["row"], strict=True):
-        if kind == "entity":
-            e = entity_of(raw)
-            state.entities[e.name.lower()] = e
-        elif kind == "fact":
-            state.add(fact_of(raw))
-        elif kind == "key":
-            state.keys.add(json.loads(raw)["key"])
+        read_row(state, kind, raw)
     return state
 
 
@@ -75,38 +84,56 @@ def said_by(note, found: dict | None = None) -> tuple[list[dict], list[dict], li
     return found.get("entities", []), found.get("facts", []), found.get("invalidations", [])
 
 
-def apply_notes(state: State, notes: pd.DataFrame, group: str, judge: Judge, embed: Embed = hashed, reader: Reader | None = None) -> tuple[list[tuple], list[Entity], list[Fact]]:
-    """Folds a group's notes by (created_at, uuid): the rows of episodes and keys, and the entities and facts that were made or changed.
+class Folding:
+    """A group's notes on their way into its state, one at a time, and the entities and facts that they made or changed.
 
     With a reader, each note is read when its turn comes, by one who is told what
     the notes before it have made known; a note that cannot be read has failed.
     """
-    known = Known(state, embed) if reader is not None else None
-    rows: list[tuple] = []
-    entities: dict[str, Entity] = {}
-    facts: dict[str, Fact] = {}
-    for n in notes.sort_values(["created_at", "uuid"]).itertuples():
+
+    def __init__(self, state: State, group: str, judge: Judge, embed: Embed = hashed, reader: Reader | None = None):
+        self.state, self.group, self.judge, self.embed, self.reader = state, group, judge, embed, reader
+        self.known = Known(state, embed) if reader is not None else None
+        self.entities: dict[str, Entity] = {}
+        self.facts: dict[str, Fact] = {}
+
+    def apply(self, n) -> list[tuple]:
+        """The rows of a note's outcome and of its key."""
         note = Episode(n.uuid, n.content or "", _time(n.valid_at), _time(n.created_at), key=n.key)
         try:
-            if known is None:
+            if self.known is None:
                 found = None
-            elif n.key is not None and n.key in state.keys:
+            elif n.key is not None and n.key in self.state.keys:
                 found = {}  # a duplicate is not read
             else:
-                found = reader(note.content, known.told(note.content, note.valid, note.created))
+                found = self.reader(note.content, self.known.told(note.content, note.valid, note.created))
             note.entities, note.facts, note.ends = said_by(n, found)
-            outcome: Outcome = fold(state, [note], judge, embed=embed)[0]
+            outcome: Outcome = fold(self.state, [note], self.judge, embed=self.embed)[0]
         except Exception as error:
             outcome = Outcome(status="failed", error=str(error)[:500])
-        if known is not None:
-            known.changed(outcome.reinforced + outcome.invalidated)
+        if self.known is not None:
+            self.known.changed(outcome.reinforced + outcome.invalidated)
         counts = {"facts": len(outcome.facts), "reinforced": len(outcome.reinforced), "invalidated": len(outcome.invalidated), "entities": len(outcome.entities), **{f"dropped_{k}": v for k, v in outcome.dropped.items()}, "error": outcome.error}
-        rows.append(("episode", group, n.uuid, json.dumps(counts), outcome.status))
+        rows = [("episode", self.group, n.uuid, json.dumps(counts), outcome.status)]
         if outcome.status == "processed":
-            rows.append(("key", group, n.key, json.dumps({"key": n.key}), outcome.status))
-        facts |= {f.uuid: f for f in outcome.facts + outcome.reinforced + outcome.invalidated}
-        entities |= {e.uuid: e for e in outcome.entities}
-    return rows, list(entities.values()), list(facts.values())
+            rows.append(("key", self.group, n.key, json.dumps({"key": n.key}), outcome.status))
+        self.facts.update((f.uuid, f) for f in outcome.facts + outcome.reinforced + outcome.invalidated)
+        self.entities.update((e.uuid, e) for e in outcome.entities)
+        return rows
+
+    def changed(self) -> Iterator[tuple]:
+        """The rows of the entities and facts, as they are after all notes."""
+        for e in self.entities.values():
+            yield "entity", self.group, e.uuid, json.dumps(entity_row(e, self.group), ensure_ascii=False), ""
+        for f in self.facts.values():
+            yield "fact", self.group, f.uuid, json.dumps(fact_row(f, self.group), ensure_ascii=False), ""
+
+
+def apply_notes(state: State, notes: pd.DataFrame, group: str, judge: Judge, embed: Embed = hashed, reader: Reader | None = None) -> tuple[list[tuple], list[Entity], list[Fact]]:
+    """Folds a group's notes by (created_at, uuid): the rows of episodes and keys, and the entities and facts that were made or changed."""
+    folding = Folding(state, group, judge, embed, reader)
+    rows = [row for n in notes.sort_values(["created_at", "uuid"]).itertuples() for row in folding.apply(n)]
+    return rows, list(folding.entities.values()), list(folding.facts.values())
 
 
 def payloads(content: Column) -> Column:
@@ -164,7 +191,9 @@ def fold_groups(episodes: DataFrame, state: DataFrame, judge: Judge = opposites,
     episodes(uuid, group_id, content, valid_at, created_at, payload) are applied
     by (created_at, uuid) within their group; state(kind, group_id, row) has the
     group's entities, facts and keys as JSON. The order within a group carries
-    meaning, so a group is one task; groups run in parallel.
+    meaning, so a group is one task; groups run in parallel. Spark sorts a group's
+    state and notes, and the task reads them as a stream: what it holds is the
+    group's state, not its notes nor their outcomes.
 
     With an embedder, which may be a remote service, the job has two phases: all
     texts are embedded first, see staged_vectors(), and only then are notes
@@ -182,23 +211,52 @@ def fold_groups(episodes: DataFrame, state: DataFrame, judge: Judge = opposites,
         state = state.select("kind", "group_id", "row").unionByName(staged.select(F.lit("vector").alias("kind"), "group_id", F.to_json(F.struct("text", "vector")).alias("row")))
     keyed = episodes.withColumn("key", idempotency_key(F.col("content"), F.col("valid_at")))
 
-    def run(key, notes: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        group, now_state = key[0], read_state(held)
-        now_state.dims = dims or now_state.dims
-        given = {r["text"]: r["vector"] for r in map(json.loads, held.loc[held["kind"] == "vector", "row"])}
+    def started(group: str) -> tuple[Folding, dict]:
+        state, given = State(), {}
+        state.dims = dims
 
         def vectors(texts: list[str]) -> list:
-            rest = [t for t in texts if t not in given]
-            given.update(zip(rest, (embed or hashed)(rest), strict=True) if rest else ())
+            rest = [t for t in dict.fromkeys(texts) if t not in given]
+            if embed is None and len(given) + len(rest) > KEPT_VECTORS:
+                given.clear()
+                rest = list(dict.fromkeys(texts))
+            given.update(zip(rest, (array("d", v) for v in (embed or hashed)(rest)), strict=True) if rest else ())
             return [given[t] for t in texts]
 
-        rows, entities, facts = apply_notes(now_state, notes, group, judge, vectors, reader)
-        rows += [("entity", group, e.uuid, json.dumps(entity_row(e, group), ensure_ascii=False), "") for e in entities]
-        rows += [("fact", group, f.uuid, json.dumps(fact_row(f, group), ensure_ascii=False), "") for f in facts]
-        return pd.DataFrame(rows, columns=["kind", "group_id", "uuid", "row", "status"])
-
-    own = keyed.select("uuid", "group_id", "content", "valid_at", "created_at", "payload", "key")
-    return own.groupBy("group_id").cogroup(state.select("kind", "group_id", "row").groupBy("group_id")).applyInPandas(run, CHANGES)
+        return Folding(state, group, judge, vectors, reader), given
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packed = lambda rows: pd.DataFrame(rows, columns=["kind", "group_id", "uuid", "row", "status"])
+        rows: list[tuple] = []
+        for row in changes(n for frame in frames for n in frame.itertuples(index=False)):
+            rows.append(row)
+            if len(rows) >= ROWS_AT_ONCE:
+                yield packed(rows)
+                rows = []
+        yield packed(rows)
+
+    def changes(sorted_: Iterator) -> Iterator[tuple]:
+        folding = None
+        for n in sorted_:
+            if folding is None or folding.group != n.group_id:
+                if folding is not None:
+                    yield from folding.changed()
+                folding, given = started(n.group_id)
+            if n.kind == "vector":
+                said = json.loads(n.row)
+                given[said["text"]] = array("d", said["vector"])
+            elif n.kind is not None:
+                read_row(folding.state, n.kind, n.row)
+            else:
+                yield from folding.apply(n)
+        if folding is not None:
+            yield from folding.changed()
+
+    own = keyed.select("group_id", F.lit(1).alias("turn"), "created_at", "uuid", "content", "valid_at", "payload", "key")
+    held = state.select("group_id", F.lit(0).alias("turn"), "kind", "row").where("kind is not null")
+    order = [F.col(c).asc_nulls_last() for c in ("created_at", "uuid")]
+    dealt = own.unionByName(held, allowMissingColumns=True).repartition("group_id").sortWithinPartitions("group_id", "turn", *order)
+    return dealt.mapInPandas(run, CHANGES)
 
 
 def empty_state(spark) -> DataFrame:

@@ -81,3 +81,24 @@ def test_what_is_told_has_bounds_and_only_live_facts():
     told = Known(state, hashed).told("Hub and T7, T12", START + timedelta(days=9), START + timedelta(days=9))
     assert [e["name"] for e in told["known_entities"][:3]] == ["Hub", "T12", "T7"] or [e["name"] for e in told["known_entities"][:3]] == ["T12", "Hub", "T7"]
     assert len(told["known_entities"]) == 3 + 50 and len(told["known_facts"]) == 50 and all(int(f["target_name"][1:]) % 2 == 0 for f in told["known_facts"])
+
+
+def test_a_group_s_notes_are_read_as_a_stream(spark):
+    def rows_held(content, told):
+        """Says how many notes the largest table of notes in this worker has."""
+        import gc
+
+        import pandas as pd
+
+        held = [len(x) for x in gc.get_objects() if isinstance(x, pd.DataFrame) and "content" in x.columns] if content.endswith("last") else [0]
+        return {"entities": [{"name": f"Held {max(held)}", "labels": ["Thing"]}], "facts": [], "invalidations": []}
+
+    rows = [(f"n{k:02}", "g", f"note {k} last" if k == 59 else f"note {k}") for k in range(60)]
+    own = spark.createDataFrame(rows, "uuid string, group_id string, content string").selectExpr("*", "timestamp_ntz'2024-01-01' AS valid_at", "timestamp_ntz'2024-01-01' AS created_at", "cast(null as string) AS payload")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10")
+    try:
+        found = fold_groups(own, empty_state(spark), reader=rows_held).where("kind = 'entity'").selectExpr("get_json_object(row, '$.name') AS name").collect()
+    finally:
+        spark.conf.unset(key)
+    assert {r.name for r in found} == {"Held 0", "Held 10"}
