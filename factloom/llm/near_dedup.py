@@ -125,8 +125,20 @@ def _sign(size: int, bands: int, rows: int):
             found = [shingles(text, size) for text in batch.column(2).cast(pa.binary()).to_pylist()]
             digests = pa.array([_digest(x) if len(x) else None for x in found], pa.binary())
             keys = _lists([minhash.keys(x) if len(x) else x.view(np.int64) for x in found])
-            columns = [batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64()), digests, keys, _lists([x.view(np.int64) for x in found])]
-            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "n_shingles", "digest", "keys", "hashes"])
+            columns = [batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64()), digests, keys]
+            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "n_shingles", "digest", "keys"])
+
+    return run
+
+
+def _full_sets(size: int):
+    """Rows (node, text) with the whole set of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("shingles", lambda: (_MINHASH.clear(), WORD_HASHES.clear()))
+        for batch in batches:
+            found = [shingles(text, size) for text in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([x.view(np.int64) for x in found])], ["node", "hashes"])
 
     return run
 
@@ -156,17 +168,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     A node that many pairs name as a has its set sent once to each of the parts
     that its pairs are dealt over, not once a pair; b's set travels with the pair.
+    Whoever needs a set is listed first, so that sets meet one list, once.
     """
     spark = pairs.sparkSession
-    # Only sets that a pair names are sent.
-    sets = join_keys(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_PART).cast("int").alias("parts"))
-    owners = parts.join(sets, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "hashes")
+    owners = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), F.col("a").alias("node"))
     many = materialise(parts.where("parts > 1"), "parts")
     dealt = join_groups(pairs, many.withColumn("__n", F.col("parts") * PAIRS_A_PART), "a", "__n")
-    members = dealt.select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "b")
-    members = members.join(sets, F.col("b") == F.col("node")).select("a", "part", "b", "hashes")
-    rows = owners.unionByName(members).repartition(width(spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    members = dealt.select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "b", F.col("b").alias("node"))
+    ends = materialise(owners.unionByName(members), "ends")
+    rows = _beside(sets, ends).select("a", "part", "b", "hashes").repartition(width(spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return rows.mapInArrow(_compare(percent), "a long, b long")
 
 
@@ -228,14 +239,14 @@ def _cross_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _beside(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """rows joined with nodes, which has each node once: few nodes, which are counted, are broadcast, so that rows stay where they are."""
+    """rows joined with nodes by their node: few rows of nodes, which are counted, are broadcast, so that rows stay where they are."""
     return rows.join(F.broadcast(nodes) if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else nodes, "node")
 
 
 def _grouped(own: DataFrame, size: int, percent: int, bands: int, rows: int) -> DataFrame:
-    """own(rid, doc_id, text) as (rid, doc_id, n_shingles, component_id)."""
+    """own(rid, doc_id, text), whose rids are the same in every scan, as (rid, doc_id, n_shingles, component_id)."""
     bound_batches(own.sparkSession)
-    signed = materialise(own.mapInArrow(_sign(size, bands, rows), "rid long, doc_id long, n_shingles long, digest binary, keys array<long>, hashes array<long>"), "signatures")
+    signed = materialise(own.mapInArrow(_sign(size, bands, rows), "rid long, doc_id long, n_shingles long, digest binary, keys array<long>"), "signatures")
     named = signed.where("doc_id is not null and digest is not null")
     firsts = materialise(named.groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "sets")
     lone = join_keys(signed.select(F.col("rid").alias("node"), F.col("n_shingles").alias("n"), "keys"), firsts, "node", "left_semi")
@@ -245,8 +256,9 @@ def _grouped(own: DataFrame, size: int, percent: int, bands: int, rows: int) ->
     reach = found.groupBy("node").agg(F.sum("members").alias("reach"))
     members = materialise(found.drop("members").join(reach, "node"), "members")
     discard(own.sparkSession, found)
-    # The sets of all nodes that share a bucket, once.
-    sets = materialise(join_keys(signed.select(F.col("rid").alias("node"), "hashes"), members.select("node").distinct(), "node", "left_semi"), "members-sets")
+    # The sets of all nodes that share a bucket, made anew from their texts: those of all documents, 8 bytes a word, would be larger than the texts.
+    texts = join_keys(own.select(F.col("rid").alias("node"), "text"), members.select("node").distinct(), "node", "left_semi")
+    sets = materialise(texts.mapInArrow(_full_sets(size), "node long, hashes array<long>"), "members-sets")
     narrow = materialise(signed.select("rid", "doc_id", "n_shingles", "digest"), "rows")
     discard(own.sparkSession, signed)
 
@@ -255,8 +267,11 @@ def _grouped(own: DataFrame, size: int, percent: int, bands: int, rows: int) ->
     roots = None
     grouped = members.withColumn("comp", F.col("node"))
     for turn in range(STAR_ROUNDS + 1):
-        open_keys = grouped.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        left = materialise(grouped.join(open_keys, "key", "left_semi"), "open")
+        if turn == 0:
+            left = grouped  # each member of a bucket is a component of its own
+        else:
+            open_keys = grouped.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+            left = materialise(grouped.join(open_keys, "key", "left_semi"), "open")
         if turn < STAR_ROUNDS:
             # A later round takes the member with most reach outside the earlier centre's component.
             centre = left.groupBy("key").agg(F.max(F.struct("reach", "node", "comp", "n")).alias("c"))
@@ -282,7 +297,8 @@ def _grouped(own: DataFrame, size: int, percent: int, bands: int, rows: int) ->
         roots = materialise(connected_components(links), "roots")
         if turn < STAR_ROUNDS:
             grouped = members.join(roots, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        discard(own.sparkSession, left)
+        if turn:
+            discard(own.sparkSession, left)
     if links is None:
         found = firsts.select("digest", F.col("least").alias("component_id"), "copies")
     else:
@@ -305,15 +321,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its members are held against the one that meets most others, twice, and what
     that links is merged; between the components that are left, _cross_pairs()
     finds every pair that can be linked. There is no cap. Every link is confirmed
-    on the full sets of the whole texts, which are read once and kept as sorted
-    hashes; texts are never shuffled.
+    on the full sets of the whole texts: these are read once for the signatures,
+    and those of nodes that share a bucket once more for their sets. Texts are
+    shuffled only where such nodes are more than a broadcast holds.
 
     Null and wordless texts have the empty set and are linked with nothing. A
     text of fewer words than a shingle is one shingle. Repeated rows are equal
     sets. A row with a null id takes no part: its component_id is null, and it is
     kept. Empty tables give no rows; other columns are ignored.
     """
-    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    keyed, key = with_row_key(docs)
+    own = keyed.select(F.col(key).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = _grouped(own, size, percent, bands, rows)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

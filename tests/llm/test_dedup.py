@@ -178,3 +178,18 @@ def test_near_duplicates_compare_only_sets_whose_sizes_allow_a_link(spark, monke
     found = near_dedup.near_duplicates(docs, bands=64, rows=1).collect()
     assert sent and all(100 * min(size[a], size[b]) >= 75 * max(size[a], size[b]) for a, b in sent)
     assert {r.doc_id: r.component_id for r in found} == {i: i if i < 100 else 10 * (i - 100) for i, _ in rows}
+
+
+def test_only_sets_of_texts_that_share_a_bucket_are_written(spark, monkeypatch, tmp_path):
+    """Of all texts only signatures are kept, which are smaller than sets; a set goes to its pairs by one join."""
+    from factloom.llm import near_dedup
+
+    rng = np.random.default_rng(11)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 400))) for k in range(60)]
+    rows += [(100 + k, rows[k][1] + " end") for k in range(3)] + [(200, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    kept, write = {}, near_dedup.materialise
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, name: kept.setdefault(name, write(df, name)) if "hashes" in df.columns else write(df, name))
+    found = near_dedup.near_duplicates(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    assert list(kept) == ["members-sets"]
+    assert {r.doc_id: r.component_id for r in found} == {i: i - 100 if 100 <= i < 103 else i for i, _ in rows}
