@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +28,60 @@ NAME_COSINE = 0.75
 ANCHOR_COSINE, MOST_ANCHORS = 0.7, 3
 
 
+#: Tokens whose terms are counted at once: what a Python worker holds beside its batch.
+TOKENS_AT_ONCE = 1_000_000
+
+
+def _parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring documents of at most so many tokens together, or one that has more, as (first, number)."""
+    first, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and held + n > most:
+            yield first, i - first
+            first, held = i, 0
+        held += n
+    if first < len(sizes):
+        yield first, len(sizes) - first
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        all_keys, all_lists = batch.columns
+        sizes = pc.fill_null(pc.list_value_length(all_lists), 0).to_numpy(zero_copy_only=False)
+        for first, number in _parts(sizes, TOKENS_AT_ONCE):
+            keys, lists, size = all_keys.slice(first, number), all_lists.slice(first, number), sizes[first : first + number]
+            dl = pc.list_value_length(lists).cast(pa.int32())
+            coded = lists.flatten().dictionary_encode()
+            code = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            pairs, tf = np.unique(code * number + np.repeat(np.arange(number), size), return_counts=True)  # by term, then document
+            pairs, tf = pairs[pairs >= 0], tf[pairs >= 0]  # a token that is null is no term
+            term, doc = pairs // number, pairs % number
+            starts = np.flatnonzero(np.diff(term, prepend=-1))
+            terms = pa.concat_arrays([coded.dictionary.take(pa.array(term[starts])), pa.nulls(1, coded.dictionary.type)])
+            doc, tf = np.concatenate([doc, np.arange(number)]), np.concatenate([tf, np.zeros(number, np.int64)])
+            offsets = pa.array(np.concatenate([starts, [len(pairs), len(doc)]]).astype(np.int32))
+            columns = [keys.take(pa.array(doc)), dl.take(pa.array(doc)), pa.array(tf.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([terms, *[pa.ListArray.from_arrays(offsets, c) for c in columns]], ["term", "keys", "dls", "tfs"])
+
+
+def term_lists(docs: DataFrame, key: str, tokens: str) -> DataFrame:
+    """(term, keys, dls, tfs): what a few documents have of a term as one row, and as one row of no term all of them.
+
+    A task counts the terms of its documents without a shuffle, and each text is read once.
+    """
+    kind = docs.select(key).schema[0].dataType.simpleString()
+    return docs.select(key, tokens).mapInArrow(_count_terms, f"term string, keys array<{kind}>, dls array<int>, tfs array<int>")
+
+
+def _unpacked(lists: DataFrame, key: str, *more: str) -> DataFrame:
+    """(key, dl, term, tf) of lists, a row for each document of each."""
+    rows = lists.select("term", *more, F.inline(F.arrays_zip("keys", "dls", "tfs")))
+    return rows.select(F.col("keys").alias(key), F.col("dls").alias("dl"), "term", F.col("tfs").cast("long").alias("tf"), *more)
+
+
 def postings(docs: DataFrame, key: str, tokens: str) -> DataFrame:
-    """(key, term, tf, dl): the inverted index of docs, to be written once, clustered by term."""
-    own = docs.select(key, F.col(tokens).alias("t")).withColumn("dl", F.size("t")).where("dl > 0")
-    return own.select(key, "dl", F.explode("t").alias("term")).groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, dl, term, tf): the inverted index of docs, to be written once, clustered by term."""
+    return _unpacked(term_lists(docs, key, tokens).where("term is not null"), key)
 
 
 def corpus_stats(docs: DataFrame, tokens: str) -> DataFrame:
@@ -36,6 +90,10 @@ def corpus_stats(docs: DataFrame, tokens: str) -> DataFrame:
 
 #: Folders of an index by the hash of a term: a query reads those of its terms alone.
 INDEX_FOLDERS = 64
+#: Parts of a folder by the hash of a document, so that a frequent term is no single task; bounds the files of an index too.
+FOLDER_PARTS = 16
+#: The folder of the rows without a term.
+NO_TERM = -1
 
 
 def _folder(term: Column, folders: int) -> Column:
@@ -45,23 +103,27 @@ def _folder(term: Column, folders: int) -> Column:
 class Index:
     """Postings (key, term, tf, dl) under a folder, by term, the length of each document, and one row of corpus statistics.
 
-    Written once, with one shuffle by term and key; a query reads only the files of its terms'
-    folders, where the terms are sorted, so that their row groups are skipped too.
+    Written once, as lists of some documents for a term, with one shuffle of the lists by folder
+    and part. A query reads only the files of its terms' folders, where the terms are sorted, so
+    that their row groups are skipped too.
     """
 
     def __init__(self, spark, path: str, key: str = "uuid", folders: int = INDEX_FOLDERS):
         self.spark, self.path, self.key, self.folders = spark, path.rstrip("/"), key, folders
 
     def write(self, docs: DataFrame, tokens: str = "tokens") -> Index:
-        rows = postings(docs, self.key, tokens).withColumn("folder", _folder(F.col("term"), self.folders))
-        rows.sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/postings")
-        docs.select(self.key, F.size(tokens).alias("dl")).write.mode("overwrite").parquet(f"{self.path}/lengths")
+        lists = term_lists(docs, self.key, tokens).withColumn("folder", F.when(F.col("term").isNull(), NO_TERM).otherwise(_folder(F.col("term"), self.folders)))
+        dealt = lists.repartition("folder", F.pmod(F.xxhash64(F.col("keys")[0]), F.lit(FOLDER_PARTS)))
+        dealt.sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{self.path}/postings")
+        held = self.spark.read.schema(lists.schema).parquet(f"{self.path}/postings").where(F.col("folder") == NO_TERM)
+        _unpacked(held, self.key).select(self.key, "dl").write.mode("overwrite").parquet(f"{self.path}/lengths")
         lengths = self.spark.read.parquet(f"{self.path}/lengths")
         lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_len")).write.mode("overwrite").parquet(f"{self.path}/stats")
         return self
 
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
+        lists = self.spark.read.parquet(f"{self.path}/postings").where(F.col("folder") != NO_TERM)
+        return _unpacked(lists, self.key, "folder")
 
     def lengths(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/lengths")

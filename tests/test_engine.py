@@ -523,3 +523,38 @@ def test_many_order_lines_are_dealt_before_they_meet_orders(spark, monkeypatch):
         assert "".join(plan.split()).count("RepartitionByExpression") == 2 and plan.count("], 100") == 2
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def test_an_index_reads_each_text_once(spark, tmp_path):
+    """And its postings are counted in the task that has the text: no shuffle, no second pass for the lengths."""
+    read = spark.sparkContext.accumulator(0)
+
+    def split(text):
+        read.add(1)
+        return None if text is None else text.split()
+
+    docs = spark.createDataFrame([(1, "x y x"), (2, ""), (3, None), (4, "z y")], "uuid long, text string")
+    docs = docs.select("uuid", F.udf(split, "array<string>")("text").alias("tokens"))
+    assert "Exchange" not in search.postings(docs, "uuid", "tokens")._jdf.queryExecution().executedPlan().toString()
+    index = search.Index(spark, f"file://{tmp_path}/once").write(docs)
+    assert read.value == 4
+    assert sorted(index.postings().select("uuid", "dl", "term", "tf").collect()) == [(1, 3, "x", 2), (1, 3, "y", 1), (4, 2, "y", 1), (4, 2, "z", 1)]
+    assert sorted((r.uuid, r.dl) for r in index.lengths().where("uuid <> 3").collect()) == [(1, 3), (2, 0), (4, 2)] and index.stats().first().n_docs == 4
+
+
+def test_terms_are_counted_a_few_texts_at_a_time(monkeypatch):
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    lists = [None, [], ["a", None, "a"], *[[rng.choice("abcdeé") for _ in range(rng.randrange(12))] for _ in range(60)]]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"d{i}" for i in range(len(lists))]), pa.array(lists, pa.list_(pa.string()))], ["uuid", "tokens"])
+    want = sorted((f"d{i}", len(t), w, n) for i, t in enumerate(lists) if t for w, n in Counter(x for x in t if x is not None).items())
+    for most in (1, 7, 10**6):
+        monkeypatch.setattr(search, "TOKENS_AT_ONCE", most)
+        got = [r for b in search._count_terms(iter([batch.slice(0, 20), batch.slice(20), batch.slice(0, 0)])) for r in b.to_pylist()]
+        flat = [(k, d, r["term"], n) for r in got for k, d, n in zip(r["keys"], r["dls"], r["tfs"], strict=True)]
+        assert sorted(x for x in flat if x[2] is not None) == want
+        assert [x[:2] for x in flat if x[2] is None] == [(f"d{i}", None if t is None else len(t)) for i, t in enumerate(lists)]
