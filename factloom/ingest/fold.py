@@ -281,7 +281,8 @@ class Note:
         self.vectors.update(zip(new, found, strict=True))
 
     def vector(self, text: str) -> Sequence[float]:
-        self.stage([text])
+        if text not in self.vectors:
+            self.stage([text])
         return self.vectors[text]
 
     def vector_of(self, f: Fact) -> Sequence[float]:
@@ -309,7 +310,8 @@ class Note:
         dims = self.state.dims or next((len(v) for v in self.vectors.values() if len(v)), None)
         stale = lambda x: dims is not None and bool(x.vector) and len(x.vector) != dims or not x.vector
         old = [(f, f.text) for f in facts if stale(f)] + [(e, e.name) for e in entities if stale(e)]
-        self.stage(text for _, text in old)
+        if old:
+            self.stage(text for _, text in old)
         for x, text in old:
             given = self.vectors[text]
             if dims is not None and len(given) and len(given) != dims:

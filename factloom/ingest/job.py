@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 from array import array
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,16 @@ KEPT_VECTORS = 50_000
 CHANGES = "kind string, group_id string, uuid string, row string, status string"
 
 
+as_json = json.JSONEncoder(ensure_ascii=False).encode
+sorted_json = json.JSONEncoder(sort_keys=True).encode
+
+
 def _time(value) -> datetime | None:
-    return None if value is None or value is pd.NaT else datetime.fromisoformat(value) if isinstance(value, str) else pd.Timestamp(value).to_pydatetime()
+    if value is None or value is pd.NaT:
+        return None
+    if type(value) is datetime:
+        return value
+    return value.to_pydatetime() if type(value) is pd.Timestamp else datetime.fromisoformat(value) if isinstance(value, str) else pd.Timestamp(value).to_pydatetime()
 
 
 def _text(value: datetime | None) -> str | None:
@@ -33,17 +43,17 @@ def _text(value: datetime | None) -> str | None:
 
 
 def _floats(vector) -> list[float] | None:
-    return None if vector is None else [float(x) for x in vector]
+    return None if vector is None else vector.tolist() if isinstance(vector, array) and vector.typecode == "d" else [float(x) for x in vector]
 
 
 def entity_row(e: Entity, group: str) -> dict:
-    return {"uuid": e.uuid, "group_id": group, "name": e.name, "labels": e.labels, "summary": e.summary, "attributes": json.dumps(e.marks, sort_keys=True), "created_at": _text(e.created), "name_embedding": _floats(e.vector)}
+    return {"uuid": e.uuid, "group_id": group, "name": e.name, "labels": e.labels, "summary": e.summary, "attributes": sorted_json(e.marks), "created_at": _text(e.created), "name_embedding": _floats(e.vector)}
 
 
 def fact_row(f: Fact, group: str) -> dict:
     return {
         "uuid": f.uuid, "group_id": group, "source_node_uuid": f.source, "target_node_uuid": f.target, "name": f.name, "fact": f.text, "episodes": f.episodes,
-        "valid_at": _text(f.valid), "invalid_at": _text(f.invalid), "created_at": _text(f.created), "expired_at": _text(f.expired), "attributes": json.dumps(f.marks, sort_keys=True), "fact_embedding": _floats(f.vector),
+        "valid_at": _text(f.valid), "invalid_at": _text(f.invalid), "created_at": _text(f.created), "expired_at": _text(f.expired), "attributes": sorted_json(f.marks), "fact_embedding": _floats(f.vector),
     }
 
 
@@ -96,6 +106,14 @@ class Folding:
         self.known = Known(state, embed) if reader is not None else None
         self.entities: dict[str, Entity] = {}
         self.facts: dict[str, Fact] = {}
+        self.shared: set[str] = set()
+
+    def share(self, id: str, name: str, created: datetime) -> None:
+        """An entity is known from here on that other parts of the group name too; what becomes of it is told elsewhere."""
+        self.shared.add(id)
+        held = self.state.entities.setdefault(name.lower(), Entity(id, name, created=created))
+        if held.uuid != id:
+            raise ValueError(f"{name} is {held.uuid}, not {id}")
 
     def apply(self, n) -> list[tuple]:
         """The rows of a note's outcome and of its key."""
@@ -123,10 +141,10 @@ class Folding:
 
     def changed(self) -> Iterator[tuple]:
         """The rows of the entities and facts, as they are after all notes."""
-        for e in self.entities.values():
-            yield "entity", self.group, e.uuid, json.dumps(entity_row(e, self.group), ensure_ascii=False), ""
+        for e in (e for e in self.entities.values() if e.uuid not in self.shared):
+            yield "entity", self.group, e.uuid, as_json(entity_row(e, self.group)), ""
         for f in self.facts.values():
-            yield "fact", self.group, f.uuid, json.dumps(fact_row(f, self.group), ensure_ascii=False), ""
+            yield "fact", self.group, f.uuid, as_json(fact_row(f, self.group)), ""
 
 
 def apply_notes(state: State, notes: pd.DataFrame, group: str, judge: Judge, embed: Embed = hashed, reader: Reader | None = None) -> tuple[list[tuple], list[Entity], list[Fact]]:
@@ -210,9 +228,20 @@ def fold_groups(episodes: DataFrame, state: DataFrame, judge: Judge = opposites,
     if embed is not None and reader is None:  # what a reader will say is not known yet: it is embedded note by note
         state = state.select("kind", "group_id", "row").unionByName(staged.select(F.lit("vector").alias("kind"), "group_id", F.to_json(F.struct("text", "vector")).alias("row")))
     keyed = episodes.withColumn("key", idempotency_key(F.col("content"), F.col("valid_at")))
+    own = keyed.select("group_id", "created_at", "uuid", "content", "valid_at", "payload", "key")
+    held = state.select("group_id", "kind", "row").where("kind is not null")
+    return folded(own.unionByName(held, allowMissingColumns=True), judge, embed, reader, dims)
+
+
+def folded(rows: DataFrame, judge: Judge, embed: Embed | None = None, reader: Reader | None = None, dims: int | None = None, tasks: int | None = None) -> DataFrame:
+    """CHANGES by notes (kind is null) and the rows of state, vectors and shared entities of their groups.
 
-    def started(group: str) -> tuple[Folding, dict]:
-        state, given = State(), {}
+    Rows with a part are folded by group and part; an entity that parts share is
+    known after the note that made it, whose created_at and uuid its row has.
+    """
+
+    def started(group: str, given: dict) -> Folding:
+        state = State()
         state.dims = dims
 
         def vectors(texts: list[str]) -> list:
@@ -223,28 +252,39 @@ def fold_groups(episodes: DataFrame, state: DataFrame, judge: Judge = opposites,
             given.update(zip(rest, (array("d", v) for v in (embed or hashed)(rest)), strict=True) if rest else ())
             return [given[t] for t in texts]
 
-        return Folding(state, group, judge, vectors, reader), given
+        return Folding(state, group, judge, vectors, reader)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packed = lambda rows: pd.DataFrame(rows, columns=["kind", "group_id", "uuid", "row", "status"])
+    columns = ("group_id", "part", "kind", "row", "created_at", "uuid", "content", "valid_at", "payload", "key")
+    Row = namedtuple("Row", columns)  # noqa: N806
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["kind", "group_id", "uuid", "row", "status"])
+        given = (n for batch in batches for part in slices(batch) for n in map(Row, *(part.column(c).to_pylist() for c in columns)))
         rows: list[tuple] = []
-        for row in changes(n for frame in frames for n in frame.itertuples(index=False)):
+        for row in changes(given):
             rows.append(row)
             if len(rows) >= ROWS_AT_ONCE:
                 yield packed(rows)
                 rows = []
-        yield packed(rows)
+        if rows:
+            yield packed(rows)
+
+    def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        return (batch.slice(k, ROWS_AT_ONCE) for k in range(0, batch.num_rows, ROWS_AT_ONCE))
 
     def changes(sorted_: Iterator) -> Iterator[tuple]:
-        folding = None
+        folding, at, given = None, None, {}
         for n in sorted_:
-            if folding is None or folding.group != n.group_id:
+            if folding is None or at != (n.group_id, n.part):
                 if folding is not None:
                     yield from folding.changed()
-                folding, given = started(n.group_id)
+                given = given if embed is None else {}  # a group's own vectors; those by the built-in embedder are anyone's
+                folding, at = started(n.group_id, given), (n.group_id, n.part)
             if n.kind == "vector":
                 said = json.loads(n.row)
                 given[said["text"]] = array("d", said["vector"])
+            elif n.kind == "shared":
+                folding.share(**json.loads(n.row), created=_time(n.created_at))
             elif n.kind is not None:
                 read_row(folding.state, n.kind, n.row)
             else:
@@ -252,11 +292,12 @@ def fold_groups(episodes: DataFrame, state: DataFrame, judge: Judge = opposites,
         if folding is not None:
             yield from folding.changed()
 
-    own = keyed.select("group_id", F.lit(1).alias("turn"), "created_at", "uuid", "content", "valid_at", "payload", "key")
-    held = state.select("group_id", F.lit(0).alias("turn"), "kind", "row").where("kind is not null")
+    for name in ("kind", "row", "part"):
+        rows = rows if name in rows.columns else rows.withColumn(name, F.lit("" if name == "part" else None).cast("string"))
+    rows = rows.withColumn("turn", (F.col("kind").isNull() | (F.col("kind") == "shared")).cast("int"))
     order = [F.col(c).asc_nulls_last() for c in ("created_at", "uuid")]
-    dealt = own.unionByName(held, allowMissingColumns=True).repartition("group_id").sortWithinPartitions("group_id", "turn", *order)
-    return dealt.mapInPandas(run, CHANGES)
+    dealt = rows.repartition(*([tasks] if tasks else []), "group_id", "part").sortWithinPartitions("group_id", "part", "turn", *order, F.col("kind").asc_nulls_first())
+    return dealt.mapInArrow(run, CHANGES)
 
 
 def empty_state(spark) -> DataFrame:
