@@ -18,9 +18,12 @@ def _or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind).alias(name)
 
 
-def fact_rows(facts: DataFrame, entities: DataFrame, missing: str | None = None) -> DataFrame:
-    """Facts as they are shown: names beside ids, and the reason of an end from the attributes."""
-    named = with_names(facts, entities, missing)
+def fact_rows(facts: DataFrame, entities: DataFrame | None = None, missing: str | None = None) -> DataFrame:
+    """Facts as they are shown: names beside ids, and the reason of an end from the attributes.
+
+    Without entities, facts bring source_name and target_name.
+    """
+    named = facts if entities is None else with_names(facts, entities, missing)
     reason = F.get_json_object("attributes", "$.invalidatedBy") if "attributes" in facts.columns else F.lit(None).cast("string")
     return named.select(
         "uuid", F.col("name").alias("relation"), F.col("source_name").alias("source"), F.col("target_name").alias("target"), F.col(SRC).alias("source_uuid"), F.col(TGT).alias("target_uuid"),
